@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import classifier, decontaminate, langid, mixing, quality_rules, token_output
 
-MODULES = [decontaminate, quality_rules]
+MODULES = [langid, mixing, token_output, decontaminate, quality_rules, classifier]
 
 
 def queries() -> dict:

@@ -200,17 +200,18 @@ def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def span_hashes_any(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of whole rows: pieces of long rows are chained."""
     out = np.zeros(len(start), U)
-    for i in range(len(start)):
-        if end[i] - start[i] > PIECE:
-            h = U(0)
-            for a in range(int(start[i]), int(end[i]), PIECE):
-                b = min(a + PIECE, int(end[i]))
-                up, _ = _BYTES.get(b - a)
-                h = h * U(_C) + (TABLE[data[a:b]] * up).sum(dtype=U)
-            out[i] = h
-    short = np.flatnonzero((end > start) & (end - start <= PIECE))
-    if len(short):
-        out[short] = span_hashes(data, start[short], end[short])
+    size = end - start
+    for i in np.flatnonzero(size > PIECE).tolist():
+        h = 0
+        for a in range(int(start[i]), int(end[i]), PIECE):
+            b = min(a + PIECE, int(end[i]))
+            up, _ = _BYTES.get(b - a)
+            h = (h * _C + int((TABLE[data[a:b]] * up).sum(dtype=U))) % (1 << 64)
+        out[i] = h
+    short = (size > 0) & (size <= PIECE)
+    if short.all():
+        return mix(span_hashes(data, start, end))
+    out[short] = span_hashes(data, start[short], end[short])
     return mix(out)
 
 
