@@ -12,6 +12,7 @@ longer), and hashes inside a slice in pieces, so memory stays bounded.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -23,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE = 4 << 20
 PIECE = 1 << 20
-RECORDS = 2000
+RECORDS = 256
+NO_ID = (1 << 63) - 1
 
 U = np.uint64
 _B = 0x9E3779B97F4A7C15
@@ -229,15 +232,38 @@ def ship(spark: SparkSession) -> None:
     sc._package_sent = True
 
 
-def arrow_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of ``RECORDS`` rows: texts may be long.
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield _one(held)
+            held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(held) == 1:
+        return held[0]
+    t = pa.Table.from_batches(held)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) for c in t.columns], t.schema.names)
+
+
+def arrow_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of about ``SLICE`` bytes, whatever the length of rows.
 
     Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` in the session, as the
     default of 10,000 texts of unknown length would not be a memory bound.
     """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(gathered(batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -262,5 +288,22 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """did (doc_id, a null one after all others), tkey (64-bit key of the text) and text of each row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+
+
+def doc_id() -> F.Column:
+    """The doc_id that ``keyed`` made did from."""
+    return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
