@@ -57,6 +57,11 @@ def unpack(data: bytes) -> Arrays:
     return out
 
 
+def carried(e: Arrays) -> Arrays:
+    """A pack's entries with the columns they bring along."""
+    return {k.removeprefix("_"): v[e["row"]] if k[0] == "_" else v for k, v in e.items()}
+
+
 def small(a: np.ndarray) -> np.ndarray:
     """``a`` in the narrowest unsigned type."""
     top = int(a.max()) if len(a) else 0
@@ -67,11 +72,12 @@ def parts_of(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays]], parts: int, drop: int = 0) -> DataFrame:
+def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays]], parts: int, drop: int = 0, carry: tuple[str, ...] = ("did",)) -> DataFrame:
     """Packs (kind 1, dealt by ``part``) and directories (kind 0) of each unit of ``df``.
 
     entries: gives a unit's entries (``hash`` and others) and its directory (``did`` of
-    each row, and others). drop: low bits of a hash that aren't sent.
+    each row, and others). drop: low bits of a hash that aren't sent. carry: columns
+    of the directory that entries bring along.
     """
 
     def go(batches):
@@ -91,7 +97,7 @@ def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays
                 s = slice(cuts[p], cuts[p + 1])
                 mine = {k: v[s] for k, v in e.items()}
                 rows, mine["row"] = np.unique(mine["row"], return_inverse=True)
-                mine = {k: v if k == "hash" else small(v) for k, v in mine.items()} | {"rows": small(rows), "did": directory["did"][rows]}
+                mine = {k: v if k == "hash" else small(v) for k, v in mine.items()} | {"rows": small(rows)} | {f"_{c}": directory[c][rows] for c in carry}
                 units.append(unit)
                 kinds.append(1)
                 where.append(p)
@@ -139,7 +145,7 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
     """Answers (kind 1) to the packs of ``deal``, beside the directories (kind 0).
 
     fold: adds a pack to the part's table. answer: what goes back to the pack's unit;
-    its ``row`` is the row within the unit.
+    its ``row``, if any, is the row within the unit.
     """
 
     def go(batches):
@@ -153,8 +159,7 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
                     if k == 0:
                         yield _raw([u], [0], [data])
                         continue
-                    e = unpack(data)
-                    e["did"] = e["did"][e["row"]]
+                    e = carried(unpack(data))
                     fold(table, e)
                     held.write(data)
                     sizes.append((u, len(data)))
@@ -162,11 +167,11 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
             held.seek(0)
             out: tuple[list, list, list] = ([], [], [])
             for u, n in sizes:
-                e = unpack(held.read(n))
-                rows, e["did"] = e["rows"], e["did"][e["row"]]
+                e = carried(unpack(held.read(n)))
                 a = answer(table, e)
-                if a is not None and len(a["row"]):
-                    a["row"] = rows[a["row"]]
+                if a is not None and len(next(iter(a.values()))):
+                    if "row" in a:
+                        a["row"] = e["rows"][a["row"]]
                     out[0].append(u)
                     out[1].append(1)
                     out[2].append(pack({k: small(v) if v.dtype.kind in "ui" else v for k, v in a.items()}))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, langid, mixing, quality_rules, token_output
+from . import classifier, decontaminate, langid, mixing, ngram_join, quality_rules, substring_dedup, token_output
 
-MODULES = [langid, mixing, token_output, decontaminate, quality_rules, classifier]
+MODULES = [langid, mixing, token_output, decontaminate, quality_rules, ngram_join, classifier, substring_dedup]
 
 
 def queries() -> dict:
