@@ -72,17 +72,18 @@ def parts_of(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays]], parts: int, drop: int = 0, carry: tuple[str, ...] = ("did",)) -> DataFrame:
+def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays]], parts: int, drop: int = 0, carry: tuple[str, ...] = ("did",), unit_bytes: int = 0) -> DataFrame:
     """Packs (kind 1, dealt by ``part``) and directories (kind 0) of each unit of ``df``.
 
     entries: gives a unit's entries (``hash`` and others) and its directory (``did`` of
     each row, and others). drop: low bits of a hash that aren't sent. carry: columns
-    of the directory that entries bring along.
+    of the directory that entries bring along. unit_bytes: the size of a unit where
+    it is larger than a batch.
     """
 
     def go(batches):
         task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in tc.gathered(batches, unit_bytes) if unit_bytes else batches:
             e, directory = entries(b)
             unit = (task << 32) | n
             n += 1
@@ -141,11 +142,11 @@ class Table:
         return {k: v[i] for k, v in self.cols.items()}
 
 
-def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[str, np.ufunc], answer: Callable[[Table, Arrays], Arrays | None]) -> DataFrame:
+def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[str, np.ufunc], answer: Callable[[Table, Arrays], Arrays | None], total: Callable[[Table], Arrays] | None = None) -> DataFrame:
     """Answers (kind 1) to the packs of ``deal``, beside the directories (kind 0).
 
     fold: adds a pack to the part's table. answer: what goes back to the pack's unit;
-    its ``row``, if any, is the row within the unit.
+    its ``row``, if any, is the row within the unit. total: one more row (kind 2) for the part.
     """
 
     def go(batches):
@@ -164,6 +165,8 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
                     held.write(data)
                     sizes.append((u, len(data)))
             table.close()
+            if total is not None and table.hash is not None:
+                yield _raw([-1], [2], [pack(total(table))])
             held.seek(0)
             out: tuple[list, list, list] = ([], [], [])
             for u, n in sizes:
