@@ -1,11 +1,530 @@
-"""Queries of the library's own operators, and their SQL."""
+"""Queries of the library's own operators on star-schema tables, and their SQL.
+
+The operators are made for facts of source code; here they run on facts of equal
+shape: a day of a user's events is a block whose signature is the set of event
+types, parts and suppliers are vertices that line items link, part names are
+names to resolve. Names carry the operators each query applies.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from facetmill.config import STOP_WORDS, AggregationConfig
+from facetmill.functions import text as tx
+from facetmill.operators import clustering, components, directives, graph, grouping, intervals, numbering, profile, projection, resolve, similarity, tokens
+from facetmill.operators.wcc import weakly_connected_components
+from facetmill.plans import reports
+from facetmill.plans.pipeline import Analysis
+from facetmill.sources import sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# blocks with signatures: a user's day in events
+
+_DAYS = "SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS d, list_sort(list(DISTINCT event_type)) AS ids FROM events GROUP BY ALL"
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_set("event_type")).alias("ids"))
+
+
+@query(f"""WITH b AS ({_DAYS}), g AS (SELECT ids, count(*) AS block_count FROM b GROUP BY ids)
+SELECT 'G' || row_number() OVER (ORDER BY ids) AS group_id, array_to_string(ids, '|') AS signature, block_count FROM g""")
+def win1_agg1_signature_groups(spark, sf):
+    g = grouping.number_sets(_days(spark, sf), "ids")
+    return g.select("group_id", tx.join_ids(F.col("ids")).alias("signature"), F.col("n_rows").alias("block_count"))
+
+
+@query(f"""WITH b AS ({_DAYS}), g AS (SELECT ids, count(*) AS n FROM b GROUP BY ids), u AS (SELECT list_sort(list(DISTINCT event_type)) AS u FROM events)
+SELECT array_to_string(ids, '|') AS signature, array_to_string(u, '|') AS universe,
+  CASE WHEN ids = u THEN 'FULL_COMMONALITY' WHEN len(ids) > 1 THEN 'SUBGROUP_COMMONALITY' ELSE 'VARIABLE_SIGNATURE' END AS commonality FROM g, u""")
+def fil14_agg2_commonality(spark, sf):
+    g = grouping.number_sets(_days(spark, sf), "ids").crossJoin(grouping.universe(_days(spark, sf), "ids"))
+    return g.select(tx.join_ids(F.col("ids")).alias("signature"), tx.join_ids(F.col("universe")).alias("universe"), grouping.commonality(F.col("ids"), F.col("universe")).alias("commonality"))
+
+
+@query(f"""WITH b AS ({_DAYS}), p AS (SELECT a.user_id, a.d, a.ids AS own, y.ids AS parent FROM b a LEFT JOIN b y ON a.user_id = y.user_id AND y.d = a.d - INTERVAL 1 DAY)
+SELECT user_id, d, array_to_string(own, '|') AS own, coalesce(array_to_string(CASE WHEN parent IS NULL THEN own ELSE list_filter(own, lambda x: list_contains(parent, x)) END, '|'), '') AS effective FROM p""")
+def dir5_dir6_set4_effective_signature(spark, sf):
+    days = _days(spark, sf)
+    raw = days.select("user_id", "d", F.concat(F.lit(" "), F.array_join("ids", " | "), F.lit(" |")).alias("raw"))
+    before = days.select("user_id", F.date_add("d", 1).alias("d"), F.col("ids").alias("parent"))
+    own = raw.join(before, ["user_id", "d"], "left").withColumn("own", tx.parse_signature(F.col("raw")))
+    effective = F.when(F.col("parent").isNull(), F.col("own")).otherwise(tx.restrict(F.col("own"), F.col("parent")))
+    return own.select("user_id", "d", tx.join_ids(F.col("own")).alias("own"), tx.join_ids(effective).alias("effective"))
+
+
+# scripts: one annotated source for each nation
+
+_SCRIPT = ["//#if A | B|C", "int a;", "  //  #if B|D ", "int n;", "//#endif", "//#elif N%d", "x();", "//@Override", "//#else", "y();", "//#endif", "//#endif"]
+
+
+def _scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """As many leading blank lines as the region's key, then the script."""
+    n = _t(spark, sf, "nation")
+    body = F.lit("\n".join(_SCRIPT))
+    src = F.concat(F.repeat(F.lit("\n"), F.col("n_regionkey")), F.replace(body, F.lit("%d"), F.col("n_nationkey").cast("string")), F.lit("\n"))
+    return n.select(F.concat(F.lit("/n/"), F.col("n_name")).alias("path"), src.alias("src"))
+
+
+_BLOCKS = """(VALUES (0, 'IF', 1, 5, 0, 'A|B|C', NULL), (1, 'IF', 3, 4, 1, 'B', 0), (2, 'ENDIF', 5, 5, 1, '', 0), (3, 'ELIF', 6, 8, 0, 'N', NULL), (4, 'ELSE', 9, 10, 0, '', NULL), (5, 'ENDIF', 11, 11, 0, '', NULL)) v(seq, directive, s, e, depth, ids, parent_seq)"""
+
+
+@query(f"""SELECT '/n/' || n_name AS file, seq, directive, CAST(s + n_regionkey AS INT) AS start_line, CAST(e + n_regionkey AS INT) AS end_line, depth,
+  CASE ids WHEN 'N' THEN 'N' || n_nationkey ELSE ids END AS ids, parent_seq, '/n/' || n_name || ':' || directive || ':' || (s + n_regionkey) || '-' || (e + n_regionkey) AS block_id FROM nation, {_BLOCKS}""")
+def src5_dir1_2_3_4_7_str10_blocks(spark, sf):
+    return directives.extract(_scripts(spark, sf)).select("file", "seq", "directive", "start_line", "end_line", "depth", tx.join_ids(F.col("ids")).alias("ids"), "parent_seq", "block_id")
+
+
+@query("""WITH l AS (SELECT '/n/' || n_name AS file, CAST(ln + n_regionkey AS INT) AS ln, word, CAST(depth AS INT) AS depth, CAST(e + n_regionkey AS INT) AS end_line FROM nation,
+  (VALUES (1, 'if', 0, 5), (3, 'if', 1, 4), (5, 'endif', 1, 5), (6, 'elif', 0, 8), (9, 'else', 0, 10), (11, 'endif', 0, 11)) v(ln, word, depth, e)) SELECT * FROM l""")
+def win8_dir3_dir4_depth_by_windows(spark, sf):
+    from facetmill.sources import scan
+
+    # the last line, an orphan in this form, isn't balanced and is left out
+    marks = scan.lines(_scripts(spark, sf)).withColumn("word", F.regexp_extract("text", directives.PATTERN, 1)).where("word <> ''")
+    last = Window.partitionBy("path")
+    marks = marks.withColumn("top", F.max("ln").over(last)).where("ln < top").select(F.col("path").alias("file"), "ln", "word")
+    return directives.depths(marks, "file", "ln", "word")
+
+
+@query("""WITH p AS (SELECT '/n/' || n_name AS file, n_nationkey AS k, n_regionkey AS r, product FROM nation, (SELECT unnest(['A', 'B', 'N3', 'Z']) AS product))
+SELECT file, product, CAST(r + 12 AS INT) AS line_count,
+  CASE WHEN product = 'A' THEN 'int a;' WHEN product = 'B' THEN 'int a;|int n;' WHEN product = 'N' || k THEN 'x();|@Override' ELSE 'y();' END AS kept FROM p""")
+def join1_src6_prj1_2_3_4_projection(spark, sf):
+    products = spark.createDataFrame([(["A", "B", "N3", "Z"],)], "universe array<string>")
+    made = projection.generate(_scripts(spark, sf), products)
+    return made.select("file", "product", "line_count", F.array_join(F.filter(F.split("src", "\n"), lambda x: x != ""), "|").alias("kept"))
+
+
+@query("SELECT p_type, n_name, count(*) AS n FROM (SELECT DISTINCT p_type FROM part), nation GROUP BY ALL")
+def join1_cross(spark, sf):
+    return _t(spark, sf, "part").select("p_type").distinct().crossJoin(_t(spark, sf, "nation").select("n_name")).groupBy("p_type", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT user_id, CAST(epoch(date_trunc('day', min(ts))) AS BIGINT) AS s, CAST(epoch(date_trunc('day', min(ts))) AS BIGINT) + 43199 AS e, 0 AS depth, 'day-' || min(event_id) AS block FROM events GROUP BY user_id, date_trunc('day', ts)
+  UNION ALL SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT), CAST(floor(epoch(ts)) AS BIGINT) + 21600, 1, 'buy-' || event_id FROM events WHERE event_type = 'purchase'),
+p AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+m AS (SELECT event_id, block, row_number() OVER (PARTITION BY event_id ORDER BY depth DESC, s DESC, block DESC) AS k FROM p JOIN i ON p.user_id = i.user_id AND t BETWEEN s AND e)
+SELECT p.event_id, coalesce(block, 'COMMON') AS block FROM p LEFT JOIN m ON p.event_id = m.event_id AND k = 1""")
+def join2_innermost_interval(spark, sf):
+    e = _t(spark, sf, "events").withColumn("t", F.unix_timestamp("ts"))
+    day = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("event_id").alias("k"))
+    start = F.unix_timestamp(F.col("d").cast("timestamp"))
+    days = day.select("user_id", start.alias("s"), (start + 43199).alias("e"), F.lit(0).alias("depth"), F.concat(F.lit("day-"), F.col("k").cast("string")).alias("block"))
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("s"), (F.col("t") + 21600).alias("e"), F.lit(1).alias("depth"), F.concat(F.lit("buy-"), F.col("event_id").cast("string")).alias("block"))
+    found = intervals.innermost(e, days.union(bought), "user_id", "t", "s", "e", [F.col("depth"), F.col("s")], ["block"])
+    return intervals.with_default(e.select("event_id", "user_id", "t"), found, "user_id", "t", {"block": "COMMON"}).select("event_id", "block")
+
+
+# dependency facts: line items from suppliers to parts
+
+_RELATIONS = """SELECT l_returnflag AS flag, CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS src, CASE WHEN l_linenumber IN (4, 5) THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS dst,
+  CASE l_linestatus WHEN 'O' THEN 'AMBIGUOUS' ELSE 'RESOLVED_EXTERNAL' END AS status, l_discount FROM lineitem"""
+
+
+@query(f"""WITH r AS ({_RELATIONS}), s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier WHERE s_suppkey % 7 <> 0), p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_size FROM part WHERE p_partkey % 5 <> 0)
+SELECT CASE WHEN src = '' THEN 'missing source entity' WHEN s.k IS NULL THEN 'source entity not found'
+  WHEN dst IS NULL THEN CASE status WHEN 'AMBIGUOUS' THEN 'ambiguous target' ELSE 'external target' END WHEN p.k IS NULL THEN 'target entity not found'
+  WHEN flag = 'R' AND p_size < 10 THEN 'invalid constructor target type' ELSE 'resolved' END AS reason, flag, count(*) AS n
+FROM r LEFT JOIN s ON src = s.k LEFT JOIN p ON dst = p.k GROUP BY ALL""")
+def join3_join4_fil10_gra1_reasons(spark, sf):
+    r = _t(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_suppkey").cast("string")).alias("src"),
+        F.when(~F.col("l_linenumber").isin(4, 5), F.col("l_partkey").cast("string")).alias("dst"), F.when(F.col("l_linestatus") == "O", "AMBIGUOUS").otherwise("RESOLVED_EXTERNAL").alias("status"),
+    )
+    s = _t(spark, sf, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").cast("string").alias("sk"))
+    p = _t(spark, sf, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("pk"), "p_size")
+    j = r.join(s, F.col("src") == F.col("sk"), "left").join(p, F.col("dst") == F.col("pk"), "left")
+    why = graph.reason(F.col("src"), F.col("sk").isNotNull(), F.col("dst"), F.col("pk").isNotNull(), F.col("status"), F.coalesce((F.col("flag") == "R") & (F.col("p_size") < 10), F.lit(False)))
+    return j.groupBy(F.coalesce(why, F.lit("resolved")).alias("reason"), "flag").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey AS src, p_partkey AS dst, l_returnflag AS relation_type, array_to_string(list_sort(list(DISTINCT l_linestatus)), '|') AS products, count(*) AS n, arg_min(l_linenumber, l_orderkey * 10 + l_linenumber) AS first_line
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def agg5_agg3_agg4_edge_merge(spark, sf):
+    k = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return k.groupBy(F.col("s_suppkey").alias("src"), F.col("p_partkey").alias("dst"), F.col("l_returnflag").alias("relation_type")).agg(F.array_join(F.array_sort(F.collect_set("l_linestatus")), "|").alias("products"), F.count("*").alias("n"), F.min_by("l_linenumber", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_line"))
+
+
+_NATIONS = "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+
+
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    l, s, o, c = (_t(spark, sf, x) for x in ("lineitem", "supplier", "orders", "customer"))
+    j = l.select("l_suppkey", "l_orderkey", "l_returnflag").join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"), F.col("l_returnflag").alias("relation_type"), (F.col("s_nationkey") != F.col("c_nationkey")).alias("cross_file"))
+
+
+@query(f"""SELECT s_nationkey AS source, c_nationkey AS target, l_returnflag AS relation_type, count(*) AS edge_count, CAST(sum(CASE WHEN s_nationkey <> c_nationkey THEN 1 ELSE 0 END) AS BIGINT) AS cross_file_edge_count,
+  CASE WHEN s_nationkey = c_nationkey THEN 'INTERNAL_CANDIDATE' WHEN s_nationkey % 5 = c_nationkey % 5 THEN 'INTRA_SIGNATURE_INTER_CANDIDATE' ELSE 'CROSS_SIGNATURE' END AS dependency_scope {_NATIONS} GROUP BY ALL""")
+def agg6_agg7_fil11_fil13_rollup(spark, sf):
+    out = graph.rollup(_nations(spark, sf), ["source", "target", "relation_type"], "cross_file")
+    return out.withColumn("dependency_scope", components.scope(F.col("source"), F.col("target"), F.col("source") % 5, F.col("target") % 5))
+
+
+@query(f"""WITH e AS (SELECT s_nationkey AS s, c_nationkey AS t {_NATIONS}) SELECT source, target, n FROM (SELECT s AS source, t AS target, count(*) AS n FROM e GROUP BY ALL) ORDER BY n DESC, CAST(source AS VARCHAR) || '->' || CAST(target AS VARCHAR) LIMIT 10""")
+def agg19_top4_group_pairs(spark, sf):
+    n = _nations(spark, sf).groupBy("source", "target").agg(F.count("*").alias("n"))
+    return reports.top(n, [F.desc("n"), F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string"))], 10)
+
+
+@query(f"""SELECT CAST(count(*) AS BIGINT) AS edges, CAST(sum(CASE WHEN s_nationkey <> c_nationkey THEN 1 ELSE 0 END) AS BIGINT) AS cross_file, CAST(sum(CASE WHEN s_nationkey = c_nationkey THEN 1 ELSE 0 END) AS BIGINT) AS same_file {_NATIONS}""")
+def agg18_agg21_counters(spark, sf):
+    return reports.counters(_nations(spark, sf), edges=F.lit(1), cross_file=F.col("cross_file"), same_file=~F.col("cross_file"))
+
+
+# names
+
+@query("""WITH names AS (SELECT p_name AS name, 'P' || p_partkey AS id FROM part UNION ALL SELECT s_name, 'S' || s_suppkey FROM supplier),
+i AS (SELECT regexp_replace(name, '\\s+', '', 'g') AS name, count(DISTINCT id) AS n, min(id) AS id FROM names GROUP BY 1),
+p AS (SELECT DISTINCT 'x.' || p_name || ' <T>[]' AS probe, regexp_replace(p_name, '\\s+', '', 'g') AS s FROM part UNION SELECT DISTINCT s_name, s_name FROM supplier UNION SELECT DISTINCT c_mktsegment, c_mktsegment FROM customer UNION SELECT 'java.util.' || n_name, n_name FROM nation)
+SELECT probe, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n = 1 THEN 'RESOLVED_INTERNAL' WHEN n > 1 THEN 'AMBIGUOUS' WHEN probe LIKE 'java.%' THEN 'RESOLVED_EXTERNAL' ELSE 'UNRESOLVED' END AS status FROM p LEFT JOIN i ON p.s = i.name""")
+def join7_8_9_10_11_str6_7_9_name_resolution(spark, sf):
+    part, s = _t(spark, sf, "part"), _t(spark, sf, "supplier")
+    names = part.select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")).union(s.select("s_name", F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))))
+    probes = part.select(F.concat(F.lit("x."), "p_name", F.lit(" <T>[]")).alias("probe")).union(s.select("s_name")).union(_t(spark, sf, "customer").select("c_mktsegment")).union(_t(spark, sf, "nation").select(F.concat(F.lit("java.util."), "n_name"))).distinct()
+    found = resolve.lookup(probes, F.col("probe"), resolve.name_index(names, "name", "id"), "m")
+    return found.select("probe", F.col("m_n").alias("matches"), F.col("m_id").alias("id"), resolve.tri_state(F.col("m_n"), tx.known_external(F.col("probe"))).alias("status"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_brand AS file, p_name AS name FROM part), d AS (SELECT file, name, min(id) AS id FROM f GROUP BY ALL)
+SELECT p_partkey AS probe, d.id AS field_id FROM part LEFT JOIN d ON d.file = 'Brand#' || (p_size % 25 + 1) AND d.name = p_name""")
+def join5_join6_first_wins(spark, sf):
+    part = _t(spark, sf, "part")
+    order = Window.partitionBy("p_brand", "p_name").orderBy("p_partkey")
+    first = part.withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_partkey").alias("field_id"))
+    probe = part.select(F.col("p_partkey").alias("probe"), F.concat(F.lit("Brand#"), (F.col("p_size") % 25 + 1).cast("string")).alias("file"), F.col("p_name").alias("name"))
+    return probe.join(first, ["file", "name"], "left").select("probe", "field_id")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS name FROM pages), h AS (SELECT page_id, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS host, regexp_replace(name, '/[^/]*$', '') AS dir, name FROM u)
+SELECT c.page_id AS container, m.page_id AS member FROM h c JOIN h m ON c.host = m.host AND starts_with(m.name, c.dir || '/') AND c.page_id <> m.page_id WHERE c.page_id % 2 = 0 AND trim(c.dir) <> ''""")
+def join12_containment(spark, sf):
+    u = _t(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("name"))
+    h = u.select("page_id", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host"), F.regexp_replace("name", "/[^/]*$", "").alias("dir"), "name")
+    both = h.select("page_id", "host", F.col("dir").alias("name"), F.lit(True).alias("is_dir")).union(h.select("page_id", "host", "name", F.lit(False)))
+    both = both.withColumn("id", F.concat(F.when(F.col("is_dir"), "d").otherwise("p"), F.col("page_id").cast("string")))
+    found = components.containment(both, ["host"], "name", "id", F.col("is_dir") & (F.col("page_id") % 2 == 0), "/").where("member like 'p%'")
+    out = found.select(F.substring("container", 2, 20).cast("long").alias("container"), F.substring("member", 2, 20).cast("long").alias("member"))
+    return out.where("container <> member")
+
+
+@query("""WITH m AS (SELECT c_custkey AS cand, c_nationkey AS g, c_mktsegment AS block FROM customer), b AS (SELECT DISTINCT n_nationkey AS g, seg AS block, lo, lo + 99 AS hi FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer), (SELECT unnest(range(0, 1500, 500)) AS lo)),
+r AS (SELECT cand, m.block || '-' || lo AS block_id FROM m JOIN b ON m.g = b.g AND m.block = b.block WHERE lo = 0 UNION SELECT cand, b.block || '-' || lo FROM m JOIN b ON m.g = b.g AND cand BETWEEN lo AND hi UNION SELECT o_custkey, 'AUTOMOBILE-500' FROM orders JOIN m ON o_custkey = cand WHERE o_totalprice > 400000 AND g < 25)
+SELECT cand, block_id FROM r""")
+def join13_or_join(spark, sf):
+    c = _t(spark, sf, "customer")
+    seg = c.select(F.col("c_mktsegment").alias("seg")).distinct()
+    b = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("group_id")).crossJoin(seg).crossJoin(spark.range(0, 1500, 500).select(F.col("id").alias("start_line")))
+    b = b.select("group_id", F.concat("seg", F.lit("-"), F.col("start_line").cast("string")).alias("block_id"), F.lit("f").alias("file"), "start_line", (F.col("start_line") + 99).alias("end_line"))
+    members = c.select(F.col("c_custkey").alias("candidate_id"), F.col("c_nationkey").alias("group_id"), F.lit("f").alias("file"), F.col("c_custkey").alias("start_line"), F.concat("c_mktsegment", F.lit("-0")).alias("block_id"))
+    starts = _t(spark, sf, "orders").where("o_totalprice > 400000").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("candidate_id"), F.col("c_nationkey").alias("group_id"), F.lit("AUTOMOBILE-500").alias("block_id"))
+    return components.associate(members, b, starts).select(F.col("candidate_id").alias("cand"), "block_id")
+
+
+@query("""SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey""")
+def join14_set5_anti(spark, sf):
+    urgent = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return _t(spark, sf, "customer").select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+# graphs: parts and suppliers of some line items
+
+_LINKS = "SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_discount = 0.05"
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    l = _t(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_discount = 0.05")
+    return l.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
+
+
+@query(f"""WITH RECURSIVE l AS ({_LINKS}), e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), r(node, o) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.o = e.x),
+c AS (SELECT node, min(o) AS label FROM r GROUP BY node), k AS (SELECT label, 'FEC-G1-' || lpad(CAST(row_number() OVER (ORDER BY label) AS VARCHAR), CAST(greatest(2, len(CAST(row_number() OVER (ORDER BY label) AS VARCHAR))) AS INT), '0') AS candidate_id FROM (SELECT DISTINCT label FROM c))
+SELECT node, candidate_id FROM c JOIN k USING (label)""")
+def gra2_gra3_win5_components(spark, sf):
+    found = weakly_connected_components(_links(spark, sf), "a", "b")
+    first = found.select("label").distinct().withColumn("n", F.row_number().over(Window.orderBy("label")))
+    return found.join(first, "label").select("node", components.numbered("FEC-", F.lit("G1"), F.col("n")).alias("candidate_id"))
+
+
+@query(f"""WITH l AS ({_LINKS}), d AS (SELECT a AS node, 0 AS i, 1 AS o FROM l UNION ALL SELECT b, 1, 0 FROM l), g AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM d GROUP BY node)
+SELECT node, in_degree, out_degree, degree, 2 * degree + in_degree + out_degree AS score, CAST(row_number() OVER (PARTITION BY left(node, 1) ORDER BY 2 * degree + in_degree + out_degree, degree DESC, node) AS INT) AS rank FROM g""")
+def gra5_agg14_win7_importance(spark, sf):
+    d = graph.degrees(_links(spark, sf), "a", "b").withColumn("kind", F.substring("node", 1, 1))
+    e = d.select(F.col("node").alias("entity_id"), "kind", F.lit("").alias("file"), F.lit(0).alias("start_line"))
+    return profile.ranked(e, d, "kind").select(F.col("entity_id").alias("node"), "in_degree", "out_degree", "degree", "score", "rank")
+
+
+@query(f"""WITH l AS ({_LINKS}), v AS (SELECT 'P' || p_partkey AS node FROM part UNION ALL SELECT 'S' || s_suppkey FROM supplier), d AS (SELECT a AS node FROM l UNION ALL SELECT b FROM l), n AS (SELECT v.node, count(d.node) AS degree FROM v LEFT JOIN d USING (node) GROUP BY ALL)
+SELECT degree AS size, count(*) AS n FROM n GROUP BY ALL""")
+def gra5_agg20_degree_histogram(spark, sf):
+    v = _t(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node")).union(_t(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))))
+    d = v.join(graph.degrees(_links(spark, sf), "a", "b").select("node", "degree"), "node", "left").na.fill(0, ["degree"])
+    return reports.histogram(d, "degree")
+
+
+@query(f"""WITH l AS ({_LINKS}), n AS (SELECT a, b, regexp_replace(b, '^S', '') AS ln FROM l) SELECT a, b, CAST(row_number() OVER (ORDER BY concat_ws('|', 'f', ln, a, b)) AS BIGINT) AS n FROM n""")
+def win4_text_key_numbers(spark, sf):
+    e = _links(spark, sf)
+    return numbering.number(e, [F.concat_ws("|", F.lit("f"), F.regexp_replace("b", "^S", ""), "a", "b")], "n")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS n FROM orders")
+def win2_win3_ord1_ord2_numbers(spark, sf):
+    return numbering.number(_t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "n").select("o_orderkey", "n")
+
+
+@query(f"""WITH l AS ({_LINKS}), g AS (SELECT b AS candidate_id, a AS entity_id, p_name AS name FROM l JOIN part ON a = 'P' || p_partkey), n AS (SELECT candidate_id, name, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC, name) AS k FROM n)
+SELECT candidate_id, string_agg(name || ':' || n, '|' ORDER BY k) AS top FROM t WHERE k <= 8 GROUP BY candidate_id""")
+def agg15_top5_endpoints(spark, sf):
+    part = _t(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("a"), F.col("p_name").alias("name"))
+    e = _links(spark, sf).join(part, "a").select(F.col("b").alias("candidate_id"), F.col("name").alias("end"))
+    names = e.select("candidate_id", F.col("end").alias("entity_id"), F.col("end").alias("name")).distinct()
+    return profile.endpoints(e, "end", names, "top").select("candidate_id", tx.join_ids(F.col("top")).alias("top"))
+
+
+# tokens and similarity: brands and the names of their parts
+
+_STEM = "CASE WHEN w LIKE '%ies' AND len(w) > 4 THEN left(w, len(w) - 3) || 'y' WHEN w LIKE '%ing' AND len(w) > 5 THEN left(w, len(w) - 3) WHEN w LIKE '%s' AND len(w) > 3 THEN left(w, len(w) - 1) ELSE w END"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_SPLIT = r"unnest(regexp_split_to_array(replace(regexp_replace(regexp_replace(fr, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '_', ' '), '\s+'))"
+
+
+def _token_sql(text: str, table: str, by: str) -> str:
+    return rf"""f AS (SELECT {by} AS k, unnest(regexp_split_to_array({text}, '[^A-Za-z0-9]+')) AS fr FROM {table}), r AS (SELECT k, {_SPLIT} AS raw FROM f WHERE fr <> ''),
+s AS (SELECT k, lower(raw) AS w FROM r WHERE trim(raw) <> ''), t AS (SELECT k, {_STEM} AS token FROM s), n AS (SELECT k, token, count(*) AS n FROM t WHERE token <> '' AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ({_STOP}) GROUP BY ALL)"""
+
+
+@query(f"WITH {_token_sql('text', 'documents', 'source')} SELECT k AS source, token, n FROM n")
+def str1_2_3_4_agg10_tokens(spark, sf):
+    return tokens.frequencies(tokens.explode_tokens(_t(spark, sf, "documents").select("source", "text"), "text"), "source")
+
+
+_BRANDS = "(SELECT p_brand, p_name || ' ' || p_type || ' get' || replace(p_name, ' ', 'Value_') AS x FROM part)"
+
+
+def _brand_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.concat("p_name", F.lit(" "), "p_type", F.lit(" get"), F.replace(F.col("p_name"), F.lit(" "), F.lit("Value_")))
+    return tokens.frequencies(tokens.explode_tokens(_t(spark, sf, "part").select("p_brand", x.alias("x")), "x"), "p_brand")
+
+
+@query(f"""WITH {_token_sql('x', _BRANDS, 'p_brand')}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, token) AS rk FROM n), a AS (SELECT k, list(token ORDER BY rk) AS top FROM o WHERE rk <= 8 GROUP BY k)
+SELECT k AS brand, array_to_string(top, '|') AS tokens, upper(left(top[1], 1)) || substr(top[1], 2) || ' ' || top[2] || ' behavior' AS label, upper(left(top[1], 1)) || substr(top[1], 2) || '-' || top[2] || ' implementation cluster' AS concept,
+  CASE WHEN len(top) >= 3 AND length(k) > 7 THEN 'HIGH' WHEN len(top) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS label_confidence, CASE WHEN length(k) > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS candidate_confidence FROM a""")
+def top1_lab1_lab2_lab3_lab5_str11_labels(spark, sf):
+    top = tokens.representative(_brand_tokens(spark, sf), "p_brand").select("p_brand", F.transform("top", lambda x: x["token"]).alias("t"))
+    size = F.when(F.length("p_brand") > 7, 2).otherwise(1)
+    out = top.select(F.col("p_brand").alias("brand"), tx.join_ids(F.col("t")).alias("tokens"), clustering.label(F.col("t")).alias("label"), profile.concept(F.col("t")).alias("concept"), clustering.label_confidence(F.size("t"), size).alias("label_confidence"), size.alias("s"))
+    return out.withColumn("candidate_confidence", clustering.candidate_confidence(F.col("label_confidence"), F.col("s"))).drop("s")
+
+
+def _measures(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of brands with every measure; the group of a brand is the parity of its number."""
+    part = _t(spark, sf, "part")
+    group = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 2).cast("string")
+    brands = part.select(group.alias("g"), "p_brand").distinct()
+    pairs = similarity.all_pairs(brands, "g", "p_brand", ["p_brand"])
+    pairs = similarity.weighted_jaccard(pairs, _brand_tokens(spark, sf), "p_brand", "token", "n")
+    sold = _t(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity = 50 and l_discount = 0.05").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
+    x, y = sold.toDF("s", "from_id"), sold.toDF("s", "to_id")
+    pairs = similarity.direct(pairs, x.join(y, "s").where("from_id <> to_id").select("from_id", "to_id"))
+    sets = part.groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_retailprice") > 1900, F.col("p_type"))).alias("packages"), F.collect_set(F.when(F.col("p_retailprice") > 1500, F.col("p_size").cast("string"))).alias("classes"), F.collect_set(F.when(F.col("p_size") < 3, F.col("p_name"))).alias("files"), F.collect_set(F.when(F.col("p_size") > 48, F.col("p_type"))).alias("blocks"))
+    a, b = (sets.select(F.col("p_brand").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("packages", "classes", "files", "blocks")]) for k in "ab")
+    j = lambda c: tx.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))
+    both = pairs.join(a, "a").join(b, "b").withColumns({"context": tx.mean(j("packages"), j("classes"), j("files")), "neighborhood": j("files"), "block": j("blocks")})
+    return both.withColumns({"combined": similarity.combined(AggregationConfig()), "support": similarity.support()})
+
+
+_SETS = "s AS (SELECT p_brand AS k, coalesce(list(DISTINCT p_type) FILTER (p_retailprice > 1900), []) AS pk, coalesce(list(DISTINCT p_size) FILTER (p_retailprice > 1500), []) AS cl, coalesce(list(DISTINCT p_name) FILTER (p_size < 3), []) AS fi, coalesce(list(DISTINCT p_type) FILTER (p_size > 48), []) AS bl FROM part GROUP BY p_brand)"
+
+
+def _jaccard_sql(c: str) -> str:
+    return f"(CASE WHEN len(x.{c}) = 0 OR len(y.{c}) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(x.{c}, y.{c})) AS DOUBLE) / CAST(len(list_distinct(list_concat(x.{c}, y.{c}))) AS DOUBLE) END)"
+
+
+_PAIRS = f"""WITH {_token_sql('x', _BRANDS, 'p_brand').replace(' s AS (', ' s0 AS (').replace(chr(10) + 's AS (', chr(10) + 's0 AS (').replace('FROM s)', 'FROM s0)')},
+{_SETS}, tot AS (SELECT k, sum(n) AS t FROM n GROUP BY k), w AS (SELECT p.k AS a, q.k AS b, sum(least(p.n, q.n)) AS l FROM n p JOIN n q ON p.token = q.token AND p.k < q.k GROUP BY ALL),
+d AS (SELECT DISTINCT p.p_brand AS a, q.p_brand AS b FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.05) p JOIN (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.05) q ON p.l_suppkey = q.l_suppkey AND p.p_brand < q.p_brand),
+m AS (SELECT x.k AS a, y.k AS b, CAST(coalesce(w.l, 0) AS DOUBLE) / (ta.t + tb.t - coalesce(w.l, 0)) AS lexical, ({_jaccard_sql('pk')} + {_jaccard_sql('cl')} + {_jaccard_sql('fi')}) / 3.0::DOUBLE AS context, {_jaccard_sql('fi')} AS neighborhood, CASE WHEN d.a IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS direct, {_jaccard_sql('bl')} AS block
+  FROM s x JOIN s y ON x.k < y.k AND CAST(regexp_extract(x.k, '(\\d+)', 1) AS INT) % 2 = CAST(regexp_extract(y.k, '(\\d+)', 1) AS INT) % 2 JOIN tot ta ON ta.k = x.k JOIN tot tb ON tb.k = y.k LEFT JOIN w ON w.a = x.k AND w.b = y.k LEFT JOIN d ON d.a = x.k AND d.b = y.k)"""
+
+
+@query(f"""{_PAIRS} SELECT a, b, round(lexical, 6) AS lexical, round(context, 6) AS context, round(neighborhood, 6) AS neighborhood, direct, round(block, 6) AS block,
+  round(0.35 * lexical + 0.2 * context + 0.2 * neighborhood + 0.15 * direct + 0.1 * block, 6) AS combined FROM m""")
+def join16_join17_sim1_2_3_4_5_measures(spark, sf):
+    return _measures(spark, sf).select("a", "b", *[F.round(c, 6).alias(c) for c in ("lexical", "context", "neighborhood")], "direct", F.round("block", 6).alias("block"), F.round("combined", 6).alias("combined"))
+
+
+@query(f"""{_PAIRS}, z AS (SELECT a, b, 0.35 * lexical + 0.2 * context + 0.2 * neighborhood + 0.15 * direct + 0.1 * block AS c, list_filter([CASE WHEN lexical >= 0.2 THEN 'lexical' END, CASE WHEN context >= 0.3 THEN 'context' END, CASE WHEN neighborhood >= 0.2 THEN 'neighborhood' END, CASE WHEN direct > 0 THEN 'direct' END, CASE WHEN block >= 0.2 THEN 'block' END], lambda v: v IS NOT NULL) AS s FROM m)
+SELECT a, b, array_to_string(s, '|') AS support, CASE WHEN len(s) < 2 OR c < 0.42 THEN 'NOT_MERGED' ELSE 'MERGED' END AS decision,
+  CASE WHEN len(s) < 2 THEN 'insufficient independent evidence families' WHEN c < 0.42 THEN 'combined score below threshold' ELSE 'threshold and evidence-family requirements satisfied' END AS reason FROM z""")
+def sim6_sim7_fil7_decisions(spark, sf):
+    m = _measures(spark, sf).withColumn("support_count", F.size("support")).withColumn("group_id", F.lit("G"))
+    brands = m.select("a").union(m.select("b")).distinct().select(F.col("a").alias("candidate_id"), F.lit("S").alias("signature"), F.lit("STRUCTURALLY_CONNECTED").alias("classification_status"))
+    return similarity.decisions(m, brands, AggregationConfig()).select("a", "b", tx.join_ids(F.col("support")).alias("support"), "decision", "reason")
+
+
+@query()
+def clu1_clu2_win6_clusters(spark, sf):
+    """Greedy clusters depend on their order, which SQL can't express; tests hold them against brute force."""
+    m = _measures(spark, sf)
+    nodes = m.select("a").union(m.select("b")).distinct().select(F.lit("G").alias("group_id"), F.col("a").alias("component_id"))
+    pairs = m.select("a", "b", ((F.size("support") >= 2) & (F.col("combined") >= 0.42)).alias("merged"), "combined")
+    return clustering.complete_link(nodes, pairs, 0.5).select("component_id", "part", "sub")
+
+
+# member tables, counts and orders
+
+@query("""SELECT c_nationkey AS candidate_id, 'ENTITY' AS member_type, 'C' || c_custkey AS member_id FROM customer UNION ALL SELECT s_nationkey, 'BLOCK', 'S' || s_suppkey FROM supplier UNION ALL SELECT n_nationkey, 'INTERNAL_DEPENDENCY', n_name FROM nation""")
+def set1_set2_tagged_union(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("candidate_id"), F.lit("ENTITY").alias("member_type"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("member_id"))
+    s = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("candidate_id"), F.lit("BLOCK").alias("member_type"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("member_id"))
+    n = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("candidate_id"), F.lit("INTERNAL_DEPENDENCY").alias("member_type"), F.col("n_name").alias("member_id"))
+    return c.unionByName(s).unionByName(n)
+
+
+@query("""WITH v AS (SELECT CAST(i AS INT) AS ordinal, x AS event_type FROM (VALUES (0, 'view'), (1, 'signup'), (2, 'refund'), (3, 'purchase'), (4, 'error'), (5, 'click')) t(i, x)), u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id, ordinal, v.event_type, count(e.event_id) AS n FROM u CROSS JOIN v LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = v.event_type GROUP BY ALL""")
+def agg17_agg22_zero_filled_by_group(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", "event_type")
+    return reports.zero_filled(e, "event_type", ["view", "signup", "refund", "purchase", "error", "click"], e.select("user_id"))
+
+
+@query("""SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10""")
+def top3_top4_top7_first_rows(spark, sf):
+    return reports.top(_t(spark, sf, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.asc("c_custkey")], 10)
+
+
+@query("""SELECT p_brand, p_type, p_partkey, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 5""")
+def top2_top6_per_group(spark, sf):
+    return tokens.top_k(_t(spark, sf, "part"), ["p_brand", "p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], 5).select("p_brand", "p_type", "p_partkey", "rank")
+
+
+@query("""SELECT c_nationkey, count(*) AS entity_count, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS products, min(c_custkey) AS min_line, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
+  CASE WHEN c_nationkey = 0 THEN 'BLOCK_ONLY' WHEN count(*) = 1 THEN 'ISOLATED_ENTITY' ELSE 'STRUCTURALLY_CONNECTED' END AS status FROM customer GROUP BY c_nationkey""")
+def agg8_agg11_agg16_fil12_summary(spark, sf):
+    s = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("entity_count"), tx.join_ids(tx.canonical_ids(F.collect_list("c_mktsegment"))).alias("products"), F.min("c_custkey").alias("min_line"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
+    return s.withColumn("status", components.classification(F.col("c_nationkey") == 0, F.col("entity_count"), F.lit(0)))
+
+
+@query("""SELECT relation_type, count(*) AS n FROM (SELECT l_returnflag AS relation_type, l_suppkey % 5 AS s, l_partkey % 5 AS t FROM lineitem) WHERE s = t GROUP BY ALL""")
+def fil3_fil4_fil5_agg9_same_group_edges(spark, sf):
+    e = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("relation_type"), (F.col("l_suppkey") % 5).alias("s"), (F.col("l_partkey") % 5).alias("t"), "l_suppkey", "l_partkey")
+    e = e.join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    return e.where("s = t").groupBy("relation_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS k, c_nationkey AS comp, c_nationkey % 4 AS cluster FROM customer), e AS (SELECT o_orderkey, o_custkey AS s, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS t FROM orders)
+SELECT ms.cluster AS candidate_id, count(*) AS outgoing FROM e JOIN m ms ON e.s = ms.k JOIN m mt ON e.t = mt.k WHERE ms.comp <> mt.comp AND ms.cluster <> mt.cluster GROUP BY ALL""")
+def fil6_gra4_join15_cluster_edges(spark, sf):
+    c = _t(spark, sf, "customer")
+    n = c.count()
+    m = c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("comp"), (F.col("c_nationkey") % 4).alias("cluster"))
+    e = _t(spark, sf, "orders").select(F.col("o_custkey").alias("s"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("t"))
+    j = e.join(m.toDF("s", "s_comp", "s_cluster"), "s").join(m.toDF("t", "t_comp", "t_cluster"), "t")
+    return j.where("s_comp <> t_comp and s_cluster <> t_cluster").groupBy(F.col("s_cluster").alias("candidate_id")).agg(F.count("*").alias("outgoing"))
+
+
+@query("""SELECT o_orderpriority AS token, array_to_string(list_sort(list(DISTINCT o_orderstatus || ':' || coalesce(c_name, '<external>'))), ',') AS origins, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 50 = 0) ON o_custkey = c_custkey GROUP BY ALL""")
+def join19_agg12_agg13_str13_origins(spark, sf):
+    c = _t(spark, sf, "customer").where("c_custkey % 50 = 0")
+    j = _t(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    said = F.concat("o_orderstatus", F.lit(":"), tx.display_name(F.col("c_name"), F.lit("<external>")))
+    return j.groupBy(F.col("o_orderpriority").alias("token")).agg(F.array_join(F.array_sort(F.collect_set(said)), ",").alias("origins"), F.count("*").alias("n"))
+
+
+@query("""SELECT count(DISTINCT o_custkey) AS parsed_files, count(*) AS attempts, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS successes FROM orders""")
+def agg23_counters(spark, sf):
+    return _t(spark, sf, "orders").agg(F.countDistinct("o_custkey").alias("parsed_files"), F.count("*").alias("attempts"), F.count_if(F.col("o_orderstatus") == "F").alias("successes"))
+
+
+@query("""SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_type <> 'ECONOMY'""")
+def join18_type_check(spark, sf):
+    return _t(spark, sf, "lineitem").where("l_returnflag = 'R'").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).where("p_type <> 'ECONOMY'").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN instr(q, '.') > 0 THEN regexp_extract(q, '^(.*)\\.[^.]*$', 1) ELSE '' END AS package, CASE WHEN len(string_split(q, '.')) >= 2 THEN string_split(q, '.')[-2] ELSE q END AS class, string_split(q, '.')[-1] AS simple,
+  starts_with(q, 'm.') AND FALSE OR starts_with(q, 'com.') OR starts_with(q, 'org.') AS external FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS q FROM pages)""")
+def str7_str8_str9_names(spark, sf):
+    q = _t(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("q"))
+    return q.select("page_id", tx.package_prefix(F.col("q")).alias("package"), tx.enclosing_class(F.col("q")).alias("class"), tx.simple_name(F.col("q")).alias("simple"), tx.known_external(F.col("q")).alias("external"))
+
+
+@query("""SELECT '"' || replace(p_name, 'r', 'r"') || '"' || ',' || CAST(p_size AS VARCHAR) || ',' || CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END || ',' || CASE WHEN p_size % 2 = 0 THEN '' ELSE '"' || p_brand || '|' || p_type || '"' END || ',' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS value FROM part""".replace("'r\"'", "'r\"\"'"))
+def snk1_str12_arr1_csv_rows(spark, sf):
+    p = _t(spark, sf, "part").select(F.replace(F.col("p_name"), F.lit("r"), F.lit('r"')).alias("entity_id"), F.col("p_size").alias("line"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("end"), F.when(F.col("p_size") % 2 != 0, F.array("p_brand", "p_type")).alias("products"), (F.col("p_size") > 25).alias("flag"))
+    return p.select(F.concat_ws(",", *[sinks.rendered(p, c) for c in p.columns]).alias("value"))
+
+
+@query("""SELECT group_id, sum(n) AS n, sum(n) FILTER (c) AS n_groupable FROM (SELECT 'G' || n_regionkey AS group_id, CASE WHEN seq IN (2, 4, 5) THEN false ELSE true END AS c, 1 AS n FROM nation, """ + _BLOCKS + """) GROUP BY ALL""")
+def fil1_groupable(spark, sf):
+    b = directives.extract(_scripts(spark, sf))
+    n = _t(spark, sf, "nation").select(F.concat(F.lit("/n/"), F.col("n_name")).alias("file"), F.concat(F.lit("G"), F.col("n_regionkey").cast("string")).alias("group_id"))
+    kept = grouping.groupable(b).select("block_id").withColumn("k", F.lit(1))
+    return b.join(n, "file").join(kept, "block_id", "left").groupBy("group_id").agg(F.count("*").cast("decimal(38,0)").alias("n"), F.count("k").cast("decimal(38,0)").alias("n_groupable"))
+
+
+# sources made from nations: the parser and the whole analysis
+
+_JAVA = """package p;
+public class C%d extends Base implements Runnable {
+//#if A|B
+  private int count = %d;
+  public void run() { new C0(); helper(count); }
+//#elif C
+  void other() { this.run(); }
+//#endif
+  void helper(int x) { }
+}
+"""
+
+
+def _java(spark: SparkSession, sf: str) -> DataFrame:
+    n = _t(spark, sf, "nation")
+    return n.select(F.concat(F.lit("/n/"), F.col("n_name")).alias("path"), F.replace(F.lit(_JAVA), F.lit("%d"), F.col("n_nationkey").cast("string")).alias("src"))
+
+
+@query("""SELECT entity_type, n * (SELECT count(*) FROM nation) AS n FROM (VALUES ('CLASS', 1), ('FIELD', 1), ('METHOD', 3)) v(entity_type, n)""")
+def par1_to_par14_agg3_entities(spark, sf):
+    return Analysis(_java(spark, sf)).facts.entities.groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT relation_type, resolution_status, n * (SELECT count(*) FROM nation) AS n FROM (VALUES ('CONSTRUCTOR_CALL', 'UNRESOLVED', 1), ('EXTENDS', 'UNRESOLVED', 1), ('IMPLEMENTS', 'RESOLVED_EXTERNAL', 1), ('FIELD_REFERENCE', 'RESOLVED_INTERNAL', 1), ('METHOD_CALL', 'AMBIGUOUS', 2), ('TYPE_REFERENCE', 'RESOLVED_INTERNAL', 1), ('TYPE_REFERENCE', 'UNRESOLVED', 2)) v(relation_type, resolution_status, n)""".replace("('TYPE_REFERENCE', 'RESOLVED_INTERNAL', 1), ", "('TYPE_REFERENCE', 'RESOLVED_INTERNAL', 1), "))
+def par6_to_par11_agg4_relations(spark, sf):
+    return Analysis(_java(spark, sf)).facts.relations.groupBy("relation_type", "resolution_status").agg(F.count("*").alias("n"))
+
+
+@query()
+def lab7_profiles_of_generated_sources(spark, sf):
+    """The whole analysis; its stages are held against fixtures in the tests."""
+    return Analysis(_java(spark, sf)).profiles.select("candidate_id", "group_id", "implementation_concept", "entity_count", "internal_edge_count", tx.join_ids(F.col("token_counts")).alias("tokens"))
