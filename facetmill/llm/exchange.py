@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 
 Arrays = dict[str, np.ndarray]
-_RAW = "unit long, kind int, payload binary"
+RAW = "unit long, kind int, payload binary"
 
 
 def pack(arrays: Arrays) -> bytes:
@@ -68,8 +68,9 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def parts_of(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts_of(df: DataFrame, factor: int = 2, least: int = 48) -> int:
+    """The number of parts: in proportion to ``spark.sql.shuffle.partitions``, and some for the smallest input too."""
+    return max(least, factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays]], parts: int, drop: int = 0, carry: tuple[str, ...] = ("did",), unit_bytes: int = 0) -> DataFrame:
@@ -103,12 +104,20 @@ def deal(df: DataFrame, entries: Callable[[pa.RecordBatch], tuple[Arrays, Arrays
                 kinds.append(1)
                 where.append(p)
                 data.append(pack(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(data, pa.binary())], ["unit", "kind", "part", "payload"])
+            yield pack_rows(units, kinds, where, data)
 
-    packs = tc.arrow_batches(df, go, "unit long, kind int, part int, payload binary")
+    return by_part(tc.arrow_batches(df, go, "unit long, kind int, part int, payload binary"), parts)
+
+
+def by_part(packs: DataFrame, parts: int) -> DataFrame:
+    """Each part in a task of its own."""
     return packs.repartitionById(parts, F.col("part")) if hasattr(packs, "repartitionById") else packs.repartition(parts, "part")
 
 
+def pack_rows(units: list, kinds: list, parts: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["unit", "kind", "part", "payload"])
+
+
 class Table:
     """Distinct hashes with folded columns, grown from sorted packs."""
 
@@ -142,11 +151,12 @@ class Table:
         return {k: v[i] for k, v in self.cols.items()}
 
 
-def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[str, np.ufunc], answer: Callable[[Table, Arrays], Arrays | None], total: Callable[[Table], Arrays] | None = None) -> DataFrame:
+def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[str, np.ufunc], answer: Callable[[Table, Arrays], Arrays | None], total: Callable[[Table], Arrays] | None = None, last: Callable[[Table], Arrays] | None = None) -> DataFrame:
     """Answers (kind 1) to the packs of ``deal``, beside the directories (kind 0).
 
     fold: adds a pack to the part's table. answer: what goes back to the pack's unit;
-    its ``row``, if any, is the row within the unit. total: one more row (kind 2) for the part.
+    its ``row``, if any, is the row within the unit. total: one more row (kind 2) for the part,
+    made before the answers. last: one more row (kind 3), made after them.
     """
 
     def go(batches):
@@ -158,7 +168,7 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
                 for i, (u, k) in enumerate(zip(units, kinds, strict=True)):
                     data = b.column("payload")[i].as_py()
                     if k == 0:
-                        yield _raw([u], [0], [data])
+                        yield raw([u], [0], [data])
                         continue
                     e = carried(unpack(data))
                     fold(table, e)
@@ -166,7 +176,7 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
                     sizes.append((u, len(data)))
             table.close()
             if total is not None and table.hash is not None:
-                yield _raw([-1], [2], [pack(total(table))])
+                yield raw([-1], [2], [pack(total(table))])
             held.seek(0)
             out: tuple[list, list, list] = ([], [], [])
             for u, n in sizes:
@@ -179,15 +189,17 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
                     out[1].append(1)
                     out[2].append(pack({k: small(v) if v.dtype.kind in "ui" else v for k, v in a.items()}))
                     if len(out[0]) == 64:
-                        yield _raw(*out)
+                        yield raw(*out)
                         out = ([], [], [])
             if out[0]:
-                yield _raw(*out)
+                yield raw(*out)
+            if last is not None and table.hash is not None:
+                yield raw([-1], [3], [pack(last(table))])
 
-    return tc.arrow_batches(packs, go, _RAW)
+    return tc.arrow_batches(packs, go, RAW)
 
 
-def _raw(units: list, kinds: list, data: list) -> pa.RecordBatch:
+def raw(units: list, kinds: list, data: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["unit", "kind", "payload"])
 
 

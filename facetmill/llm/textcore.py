@@ -251,8 +251,7 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(held) == 1:
         return held[0]
-    t = pa.Table.from_batches(held)
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) for c in t.columns], t.schema.names)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)], held[0].schema.names)
 
 
 def arrow_batches(df: DataFrame, fn, schema) -> DataFrame:
