@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill import shared
+
 
 @dataclass(frozen=True)
 class Project:
@@ -51,18 +53,25 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     """path, src of every regular file at or below ``path``, without a filter of names (SRC-1, SRC-2).
 
     ``src`` is null where the bytes aren't UTF-8. Spark's listing leaves out names
-    that begin with ``_`` or ``.``; on a local file system such files are listed by
-    the driver and read beside the others. A missing path raises (SRC-3).
+    that begin with ``_`` or ``.``; on a local file system the driver lists such files
+    and tasks read them. A missing path raises (SRC-3).
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(path))
+    found = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     local = str(path).removeprefix("file://")
     if os.path.isdir(local):
         hidden = [os.path.join(d, f) for d, _, names in os.walk(local) for f in names if any(x[:1] in "._" for x in Path(os.path.relpath(os.path.join(d, f), local)).parts)]
-        for h in sorted(hidden):
-            found = found.union(spark.read.format("binaryFile").load(h))
-    at = F.expr("url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B'))")
+        if hidden:
+            shared.ship(spark)
+            listed = spark.createDataFrame([(h,) for h in sorted(hidden)], "path string")
+            found = found.union(listed.mapInPandas(_read, "path string, content binary"))
     text = F.col("content").cast("string")
-    return found.select(at.alias("path"), F.when(F.is_valid_utf8(text), text).alias("src"))
+    return found.select("path", F.when(F.is_valid_utf8(text), text).alias("src"))
+
+
+def _read(parts):
+    for part in parts:
+        yield part.assign(content=[Path(p).read_bytes() for p in part["path"]])
 
 
 def lines(files: DataFrame) -> DataFrame:

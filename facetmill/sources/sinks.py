@@ -45,19 +45,24 @@ def rendered(df: DataFrame, column: str) -> Column:
 
 
 def csv_rows(df: DataFrame, name: str) -> tuple[str, DataFrame]:
-    """The header and one string column of rows in order."""
+    """The header, and rows as one string column beside the columns (o0, o1, ...) that order them."""
     spec, order = CSV[name]
     columns = [c.partition("=") for c in spec.split(",")]
     line = F.concat_ws(",", *[rendered(df, s or n) for n, _, s in columns])
-    return ",".join(n for n, _, _ in columns), df.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if dict(df.dtypes)[c] == "string" else F.col(c) for c in order]).select(line.alias("value"))
+    keys = [F.coalesce(F.col(c), F.lit("")) if dict(df.dtypes)[c] == "string" else F.col(c) for c in order]
+    return ",".join(n for n, _, _ in columns), df.select(line.alias("value"), *[k.alias(f"o{i}") for i, k in enumerate(keys)])
+
+
+def _one_file(rows: DataFrame, keys: list[str], path: str) -> None:
+    rows.repartition(1).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, name: str, directory: str) -> None:
     """``name``.csv as a folder of one text file, replaced as a whole (SNK-1 to SNK-17, SNK-20)."""
     header, rows = csv_rows(df, name)
     top = df.sparkSession.createDataFrame([(0, header)], "k int, value string")
-    both = top.union(rows.withColumn("k", F.lit(1)).select("k", "value"))
-    both.coalesce(1).select("value").write.mode("overwrite").text(f"{directory}/{name}.csv")
+    both = top.unionByName(rows.withColumn("k", F.lit(1)), allowMissingColumns=True)
+    _one_file(both, ["k", *[c for c in rows.columns if c != "value"]], f"{directory}/{name}.csv")
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
@@ -67,8 +72,8 @@ def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
 
 def blocks_tsv(blocks: DataFrame, path: str) -> None:
     """The forest in pre-order with tabs (SNK-19)."""
-    rows = blocks.orderBy("file", "seq").select("file", F.lower("directive").alias("directive"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), F.col("depth").alias("nestingDepth"), tx.join_ids(F.col("ids")).alias("productIds"))
-    rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
+    rows = blocks.repartition(1).sortWithinPartitions("file", "seq").select("file", F.lower("directive").alias("directive"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), F.col("depth").alias("nestingDepth"), tx.join_ids(F.col("ids")).alias("productIds"))
+    rows.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
 
 
 def candidate_members(entities: DataFrame, blocks: DataFrame, internal: DataFrame) -> DataFrame:
@@ -139,4 +144,4 @@ def profile_report(profiles: DataFrame) -> DataFrame:
 
 
 def write_report(profiles: DataFrame, directory: str) -> None:
-    profile_report(profiles).orderBy("candidate_id").coalesce(1).select("value").write.mode("overwrite").text(f"{directory}/feature-evidence-report.txt")
+    _one_file(profile_report(profiles), ["candidate_id"], f"{directory}/feature-evidence-report.txt")
