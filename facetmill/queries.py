@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetmill.config import STOP_WORDS, AggregationConfig
+from facetmill.config import ENTITY_TYPES, STOP_WORDS, AggregationConfig
 from facetmill.functions import text as tx
 from facetmill.operators import clustering, components, directives, graph, grouping, intervals, numbering, profile, projection, resolve, similarity, tokens
 from facetmill.operators.wcc import weakly_connected_components
@@ -528,3 +528,59 @@ def par6_to_par11_agg4_relations(spark, sf):
 def lab7_profiles_of_generated_sources(spark, sf):
     """The whole analysis; its stages are held against fixtures in the tests."""
     return Analysis(_java(spark, sf)).profiles.select("candidate_id", "group_id", "implementation_concept", "entity_count", "internal_edge_count", tx.join_ids(F.col("token_counts")).alias("tokens"))
+
+
+@query("""SELECT group_id, signature, (SELECT count(*) FROM nation) AS block_count FROM (VALUES ('G1', 'A|B'), ('G2', 'C')) v(group_id, signature)""")
+def rpt1_src1_generated_groups(spark, sf):
+    return reports.groups(Analysis(_java(spark, sf)))
+
+
+@query("""SELECT 'G1' AS source_group_id, target AS target_group_id, relation_type, n AS edge_count, CASE WHEN relation_type = 'TYPE_REFERENCE' THEN n - 1 ELSE 0 END AS cross_file_edge_count
+FROM (VALUES ('G1', 'FIELD_REFERENCE'), ('COMMON', 'TYPE_REFERENCE')) v(target, relation_type), (SELECT count(*) AS n FROM nation)""")
+def gra1_fil9_rpt3_generated_edges(spark, sf):
+    return graph.group_dependencies(Analysis(_java(spark, sf)).graph.edges)
+
+
+@query("""SELECT group_id, status AS classification_status, entities AS entity_count, internal AS internal_edge_count, 1 AS block_count, count(*) AS n FROM nation, (VALUES ('G1', 'STRUCTURALLY_CONNECTED', 2, 1), ('G2', 'ISOLATED_ENTITY', 1, 0)) v(group_id, status, entities, internal) GROUP BY ALL""")
+def agg8_fil12_rpt4_generated_candidates(spark, sf):
+    c = Analysis(_java(spark, sf)).candidates.candidates
+    kinds = [F.col(x).cast("int").alias(x) for x in ("entity_count", "internal_edge_count", "block_count")]
+    return c.groupBy("group_id", "classification_status", *kinds).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT s_nationkey AS s, c_nationkey AS t, l_returnflag AS f {_NATIONS}), x AS (SELECT s AS k, 'N' || t AS v FROM e WHERE f = 'R' UNION SELECT t, 'N' || s FROM e WHERE f = 'A' AND t % 5 = 0)
+SELECT k AS component_id, string_agg(v, '|' ORDER BY v) AS neighbors FROM x GROUP BY k""")
+def set3_set6_gra6_agg11_neighbors(spark, sf):
+    e = _nations(spark, sf)
+    node = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    out = e.where("relation_type = 'R'").groupBy(F.col("source").alias("k")).agg(F.collect_set(node("target")).alias("o"))
+    in_ = e.where("relation_type = 'A' and target % 5 = 0").groupBy(F.col("target").alias("k")).agg(F.collect_set(node("source")).alias("i"))
+    none = F.array().cast("array<string>")
+    both = out.join(in_, "k", "full").select(F.col("k").alias("component_id"), F.array_sort(F.array_union(F.coalesce("o", none), F.coalesce("i", none))).alias("n"))
+    return both.select("component_id", tx.join_ids(F.col("n")).alias("neighbors"))
+
+
+@query(f"""WITH {_token_sql('x', _BRANDS, 'p_brand')} SELECT CAST(regexp_extract(k, '(\\d+)', 1) AS INT) % 3 AS cluster, token, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY ALL""")
+def agg12_map1_token_sums(spark, sf):
+    f = _brand_tokens(spark, sf).withColumn("cluster", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 3)
+    return f.groupBy("cluster", "token").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT c_custkey AS candidate_id, CAST(row_number() OVER (ORDER BY c_nationkey, coalesce(f, ''), coalesce(l, 2147483647), c_custkey) AS BIGINT) AS n
+FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS f, CAST(min(o_orderkey) AS INT) AS l FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000 GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def ord3_ord4_ord5_candidate_order(spark, sf):
+    o = _t(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 300000").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("f"), F.min("o_orderkey").cast("int").alias("l"))
+    c = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("candidate_id"), "c_nationkey", F.coalesce("f", F.lit("")).alias("f"), F.coalesce("l", F.lit((1 << 31) - 1)).alias("l"))
+    return numbering.number(c, [F.col("c_nationkey"), F.col("f"), F.col("l"), F.col("candidate_id")], "n").select("candidate_id", "n")
+
+
+@query("""SELECT CASE WHEN p_size % 5 IN (0, 1, 3) THEN 'TYPE_NAME' WHEN p_size % 5 = 2 THEN 'METHOD_NAME' ELSE 'FIELD_NAME' END AS provenance, count(*) AS n FROM part GROUP BY ALL""")
+def str5_provenance(spark, sf):
+    kinds = F.array(*map(F.lit, ENTITY_TYPES))
+    return _t(spark, sf, "part").groupBy(tokens.provenance(F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int"))).alias("provenance")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 2 = 0 THEN ['insufficient evidence for semantic aggregation or descriptive label'] ELSE [] END, '|') AS concerns FROM customer WHERE c_custkey % 7 = 0""")
+def lab4_fil8_fil15_concerns(spark, sf):
+    state = F.when(F.col("c_custkey") % 2 == 0, "UNRESOLVED").otherwise("LOW")
+    return _t(spark, sf, "customer").where("c_custkey % 7 = 0").select("c_custkey", tx.join_ids(clustering.concerns(state)).alias("concerns"))
