@@ -12,13 +12,10 @@ longer), and hashes inside a slice in pieces, so memory stays bounded.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.shared import shared_dir, ship, stored
+
+__all__ = ["shared_dir", "ship", "stored"]
+
 SLICE = 4 << 20
 PIECE = 1 << 20
 RECORDS = 256
@@ -218,20 +219,6 @@ def span_hashes_any(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return mix(out)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_package_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp()) / f"{package.name}_sent.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(at))
-    sc._package_sent = True
-
-
 def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes."""
     held: list[pa.RecordBatch] = []
@@ -262,29 +249,21 @@ def arrow_batches(df: DataFrame, fn, schema) -> DataFrame:
     """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
-    return df.mapInArrow(lambda batches: fn(gathered(batches)), schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    def run(batches):
+        yield from fn(gathered(batches))
+        trim()
 
-    Where it is unset, as in tests, a folder below the warehouse is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at if ":" in at.split("/", 1)[0] else f"file://{os.path.abspath(at)}"
-
-
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Give freed memory back at a task's end: Python workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def release(spark: SparkSession) -> None:
