@@ -16,6 +16,7 @@ from facetmill.sources import scan
 #: The directive line. Matches whole lines; spaces are ASCII.
 PATTERN = r"^[ \t\n\x0B\f\r]*//[ \t\n\x0B\f\r]*#(if|elif|else|endif)\b[ \t\n\x0B\f\r]*([^\n\r\u0085\u2028\u2029]*)$"
 _DIRECTIVE = re.compile(PATTERN, re.ASCII)
+_LINE = re.compile("\r\n|\n|\r")
 _SPACE = "".join(map(chr, range(33)))
 SCHEMA = "file string, seq int, directive string, start_line int, end_line int, depth int, raw string, ids array<string>, parent_seq int"
 
@@ -86,22 +87,23 @@ def fold(directives: Iterable[tuple[int, str, str]], last_line: int) -> list[dic
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Blocks of all files (path, src), a row each, with their block_id; narrow, file by file."""
+    """Blocks of all files (path, src), a row each, with their block_id; file by file, without a shuffle."""
     shared.ship(files.sparkSession)
-    found = scan.lines(files).withColumns({"word": F.regexp_extract("text", PATTERN, 1)})
-    marks = F.array_sort(F.collect_list(F.when(F.col("word") != "", F.struct("ln", "text"))))
-    by_file = found.groupBy("path").agg(F.max("ln").alias("last"), marks.alias("marks")).where(F.size("marks") > 0)
+    readable = files.select("path", scan.checked().alias("src")).where(F.instr("src", "#") > 0)
 
     def build(parts):
         for part in parts:
             rows = []
-            for path, last, lines in zip(part["path"], part["last"], part["marks"], strict=True):
-                words = [(int(m["ln"]), *recognise(m["text"])) for m in lines]
-                rows += [{"file": path} | b for b in fold(words, int(last))]
+            for path, src in zip(part["path"], part["src"], strict=True):
+                lines = _LINE.split(src)
+                if lines[-1] == "":
+                    lines.pop()
+                words = [(i + 1, *d) for i, x in enumerate(lines) if (d := recognise(x))]
+                rows += [{"file": path} | b for b in fold(words, len(lines))]
             if rows:
                 yield pd.DataFrame(rows)[[c.split()[0] for c in SCHEMA.split(", ")]].astype({"parent_seq": "Int32"})
 
-    blocks = by_file.mapInPandas(build, SCHEMA)
+    blocks = readable.mapInPandas(build, SCHEMA)
     return blocks.withColumn("block_id", tx.block_id(F.col("file"), F.col("directive"), F.col("start_line"), F.col("end_line")))
 
 

@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill import shared
@@ -74,10 +74,14 @@ def _read(parts):
         yield part.assign(content=[Path(p).read_bytes() for p in part["path"]])
 
 
+def checked() -> Column:
+    """The source of a file; one that isn't UTF-8 ends the run."""
+    return F.when(F.col("src").isNull(), F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))).otherwise(F.col("src"))
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """path, ln (from 1), text of each line (SRC-5); bytes that aren't UTF-8 end the run."""
-    src = F.when(F.col("src").isNull(), F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))).otherwise(F.col("src"))
-    parts = F.split(src, "\r\n|\n|\r", -1)
+    """path, ln (from 1), text of each line (SRC-5)."""
+    parts = F.split(checked(), "\r\n|\n|\r", -1)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return files.select("path", F.posexplode(kept).alias("i", "text")).select("path", (F.col("i") + 1).alias("ln"), "text")
 
