@@ -155,8 +155,8 @@ def fold(column: str, n: int) -> F.Column:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tc.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    chosen = labels.where(fold("doc_id", 4) != 2).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", "label")
-    picked = F.broadcast(chosen)  # SAMPLE rows at most
+    chosen = tc.thinned(labels.where(fold("doc_id", 4) != 2), "doc_id", SAMPLE)
+    picked = F.broadcast(chosen)  # about SAMPLE rows
     labelled = docs.where("text is not null").join(picked, "doc_id").select("text", F.col("label").cast("long"), F.col("doc_id").alias("key"))
     out = classify(docs, labelled)
     return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
