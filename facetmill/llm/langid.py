@@ -31,7 +31,7 @@ from . import textcore as tc
 from .classifier import fold
 
 #: Bound of the labelled rows for each language that the centroids are fitted on.
-SAMPLE = 1200
+SAMPLE = 500
 #: Bound of the languages learned: those with the most rows.
 LANGUAGES = 200
 BUCKETS = 1 << 12
@@ -123,11 +123,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
         for b in batches:
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (c := counts(t)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.astype(np.float32).tobytes()])], ["lang", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes()])], ["lang", "v"])
 
     got = tc.arrow_batches(picked.select(F.col("text").cast("string"), F.col("lang").cast("string")), vectors, "lang string, v binary").collect()
     got.sort(key=lambda r: (r.lang, r.v))  # the order of partitions doesn't matter
-    return CentroidModel().fit(np.stack([np.frombuffer(r.v, np.float32) for r in got]), [r.lang for r in got]) if got else None
+    return CentroidModel().fit(np.stack([np.frombuffer(r.v, np.uint16) for r in got]).astype(np.float32), [r.lang for r in got]) if got else None
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, keep: list[str] | None = None) -> DataFrame:
