@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,20 @@ def _least(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return value, place
 
 
-def owners(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, the place of each one's anchor, and the anchors' hashes by place."""
-    h = _string_hashes(data, offs, anchor)
-    _, place = _least(h, length - anchor + 1)
-    ends = np.repeat(offs[1:], np.diff(offs))[: len(place)]
-    at = np.flatnonzero(np.arange(len(place)) <= ends - length)
-    return at, place[at].astype(np.int64), h
+def owners(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts of windows, and the places and hashes of their anchors, for rows of about a megabyte at a time."""
+    for i, j in tc.slices(offs, 1 << 20):
+        part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        h = _string_hashes(part, o, anchor)
+        _, place = _least(h, length - anchor + 1)
+        at = np.flatnonzero(np.arange(len(place)) <= np.repeat(o[1:], np.diff(o))[: len(place)] - length)
+        place = place[at]
+        yield at + offs[i], place + offs[i], h[place]
+
+
+def _dealt(h: np.ndarray) -> np.ndarray:
+    """Keys of anchors, spread evenly: anchors are least hashes, and so small ones."""
+    return tc.mix(h ^ tc.U(0x94D049BB133111EB))
 
 
 def _unit(b: pa.RecordBatch):
@@ -95,15 +103,18 @@ def deal_segments(near: DataFrame, parts: int, length: int = LENGTH) -> DataFram
             unit, n = (task << 32) | n, n + 1
             data, offs = _unit(b)
             did, tkey = b.column("did").to_numpy(), b.column("tkey").to_numpy()
-            at, anchor, h = owners(data, offs, length)
             shared = np.zeros(len(data) + 1, bool)
             for r, p in enumerate(b.column("hits").to_pylist()):
                 shared[offs[r] + np.frombuffer(p, np.uint32)] = True
-            keep = shared[anchor]
-            at, anchor = at[keep], anchor[keep]
-            first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
-            start, count = at[first], np.diff(np.append(first, len(at)))
-            key = h[anchor[first]]
+            runs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, tc.U))]
+            for at, anchor, h in owners(data, offs, length):
+                keep = shared[anchor]
+                at, anchor, h = at[keep], anchor[keep], h[keep]
+                if len(at):
+                    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
+                    runs.append((at[first], np.diff(np.append(first, len(at))), h[first]))
+            start, count, key = (np.concatenate(x) for x in zip(*runs, strict=True))
+            key = _dealt(key)
             order = np.argsort(key, kind="stable")
             start, count, key = start[order], count[order], key[order]
             row = np.searchsorted(offs, start, "right") - 1
@@ -115,7 +126,7 @@ def deal_segments(near: DataFrame, parts: int, length: int = LENGTH) -> DataFram
                 size = count[s] + length - 1
                 done = np.cumsum(size)
                 text = data[np.repeat(start[s] - (done - size), size) + np.arange(done[-1])]
-                e = {"row": ex.small(row[s]), "pos": ex.small(start[s] - offs[row[s]]), "count": ex.small(count[s]), "did": did[row[s]], "text": text}
+                e = {"hash": key[s], "row": ex.small(row[s]), "pos": ex.small(start[s] - offs[row[s]]), "count": ex.small(count[s]), "did": did[row[s]], "text": text}
                 yield ex.pack_rows([unit], [1], [p], [ex.pack(e)])
 
     packs = tc.arrow_batches(near.select("did", "tkey", "text", "hits"), go, "unit long, kind int, part int, payload binary")
@@ -161,7 +172,7 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
         held = tempfile.SpooledTemporaryFile(max_size=32 << 20)
         sizes: list[tuple[int, int]] = []
         known: dict[int, int] = {}
-        texts, ids, lengths = [], [], []
+        texts, ids, lengths, anchors = [], [], [], []
         with held:
             for b in batches:
                 for u, k, data in zip(b.column("unit").to_pylist(), b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
@@ -176,6 +187,7 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                             texts.append(e["text"][a[i] : z[i]].tobytes())
                             lengths.append(int(z[i] - a[i]))
                             ids.append(tc.NO_ID)
+                            anchors.append(int(e["hash"][i]))
                     seg = np.array([known[x] for x in key.tolist()], np.int64)
                     order = np.argsort(seg, kind="stable")
                     cut = np.flatnonzero(np.append(True, seg[order][1:] != seg[order][:-1]))
@@ -185,14 +197,20 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                     sizes.append((u, len(data)))
             if not texts:
                 return
-            size = np.array(lengths, np.int64)
+            # a segment that is alone with its anchor shares windows with no other one
+            ids_of = np.array(ids, np.int64)
+            _, which, times = np.unique(np.array(anchors, np.uint64), return_inverse=True, return_counts=True)
+            many = np.flatnonzero(times[which] > 1)
+            size = np.array(lengths, np.int64)[many]
             start = np.cumsum(size + 1) - size - 1
-            text = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).copy()
-            text += 1
-            text[start + size] = 0
-            np.minimum(text, 253, out=text)
-            del texts
-            low = repeats(text, start, size, np.array(ids, np.int64), length)
+            place = np.full(len(ids), -1, np.int64)
+            place[many] = start
+            low = np.zeros(0, np.int64)
+            if len(many):
+                text = np.frombuffer(b"\x00".join(texts[i] for i in many.tolist()) + b"\x00", np.uint8) + np.uint8(1)
+                text[start + size] = 0
+                low = repeats(np.minimum(text, 253), start, size, ids_of[many], length)
+            del texts, anchors
             held.seek(0)
             for u, n in sizes:
                 e = ex.unpack(held.read(n))
@@ -201,17 +219,19 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                 count = e["count"].astype(np.int64)
                 done = np.cumsum(count)
                 within = np.arange(done[-1]) - np.repeat(done - count, count)
-                gone = low[np.repeat(start[seg], count) + within] < np.repeat(e["did"], count)
+                least = np.repeat(ids_of[seg], count)
+                at = np.repeat(place[seg], count)
+                sorted_ = at >= 0
+                least[sorted_] = low[at[sorted_] + within[sorted_]]
+                gone = least < np.repeat(e["did"], count)
                 if not gone.any():
                     continue
                 # runs of removed windows inside each segment
-                d = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 lead = within == 0
                 begin = gone & (lead | ~np.concatenate([[False], gone[:-1]]))
                 b0 = np.flatnonzero(begin)
                 stop = gone & np.concatenate([lead[1:] | ~gone[1:], [True]])
                 b1 = np.flatnonzero(stop)
-                del d
                 owner = np.repeat(np.arange(len(count)), count)[b0]
                 pos = e["pos"].astype(np.int64)[owner] + within[b0]
                 yield ex.raw([u], [1], [ex.pack({"row": ex.small(e["row"][owner]), "pos": ex.small(pos), "size": ex.small(b1 - b0 + length)})])
@@ -234,12 +254,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def anchors(b):
         data, offs = _unit(b)
-        _, place, h = owners(data, offs, length)
-        place = np.unique(place)
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, tc.U)]
+        for _, p, h in owners(data, offs, length):
+            new = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
+            places.append(p[new])
+            hashes.append(h[new])
+        place, h = np.concatenate(places), np.concatenate(hashes)
         row = np.searchsorted(offs, place, "right") - 1
         raw = data.tobytes()
         sha = "".join(hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
-        return {"hash": h[place], "row": row, "pos": place - offs[row]}, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "n_bytes": np.diff(offs), "sha": np.frombuffer(sha.encode(), np.uint8)}
+        return {"hash": _dealt(h), "row": row, "pos": place - offs[row]}, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "n_bytes": np.diff(offs), "sha": np.frombuffer(sha.encode(), np.uint8)}
 
     def fold(table, e):
         table.add(e["hash"], {"low": e["did"], "high": e["did"]})
