@@ -30,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetmill.operators.wcc import weakly_connected_components
+
 from . import exchange as ex
+from . import membership
 from . import textcore as tc
-from .components import components
 
 N = 3
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 _BLOCK = 1 << 16
+#: Ranges of hash whose counts outline a set; the top six bits of a hash tell.
+CLASSES = 64
 #: Members that are verified against one node in a task.
 MEMBERS = 256
 
@@ -101,6 +105,42 @@ def node_sets(h: np.ndarray, row: np.ndarray, rows: int, order_by: np.ndarray |
     return h, row, at, node
 
 
+_ROW = {"hash": tc.U, "node": np.int64, "n": np.int64, "pos": np.int64}
+
+
+def _distinct(kept: list[ex.Arrays]) -> ex.Arrays:
+    """The distinct (hash, node) rows, by hash and size."""
+    x = {k: np.concatenate([np.zeros(0, t), *(p[k].astype(t) for p in kept)]) for k, t in _ROW.items()}
+    order = np.lexsort((x["node"], x["n"], x["hash"]))
+    x = {k: v[order] for k, v in x.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (x["hash"][1:] != x["hash"][:-1]) | (x["node"][1:] != x["node"][:-1])
+    return {k: v[new] for k, v in x.items()}
+
+
+def _with_partners(x: ex.Arrays) -> ex.Arrays:
+    """Those of all rows of some hashes that may have a partner in their bucket.
+
+    The size nearest to a row's own is a neighbour's in the bucket: without one that
+    passes the length filter it has no partner. The smallest size that passes gives
+    the least overlap, and so the last position, that a partner can ask for.
+    """
+    while len(x["hash"]):
+        h, n = x["hash"], x["n"]
+        near = (h[1:] == h[:-1]) & (10 * n[:-1] >= 9 * n[1:])
+        has = np.append(near, False) | np.append(False, near)
+        bucket = np.cumsum(np.append(True, h[1:] != h[:-1])).astype(np.int64)
+        place = bucket << 40 | n
+        at = np.searchsorted(place, bucket << 40 | -(-9 * n // 10))
+        at += at == np.arange(len(n))  # itself
+        least = n[np.minimum(at, len(n) - 1)]
+        has &= n - x["pos"] >= -(-9 * (n + np.where(has, least, n)) // 19)
+        if has.all():
+            break
+        x = {k: v[has] for k, v in x.items()}
+    return x
+
+
 def enough(x: str, y: str) -> F.Column:
     """The least overlap of two sets of these sizes."""
     return F.ceil(9 * (F.col(x) + F.col(y)) / 19)
@@ -112,38 +152,85 @@ def _passes(a: str, b: str) -> F.Column:
     return (10 * F.least(na, nb) >= 9 * F.greatest(na, nb)) & (na - F.col(f"{a}.pos") >= least) & (nb - F.col(f"{b}.pos") >= least)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets are 90 % alike; a member at a time meets its centre's set."""
-    share = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("salt"))
-    members = dealt.join(sets, dealt.b == sets.node).select("a", "salt", F.lit(1).alias("kind"), "b", "items")
-    centres = dealt.select("a", "salt").distinct().join(sets, F.col("a") == sets.node).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "items")
-    lined = centres.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-
-    def compare(batches):
-        centre, own = None, None
-        for r in batches:
-            out: tuple[list, list] = ([], [])
-            for a, kind, b, items in zip(*(r.column(c).to_pylist() for c in ("a", "kind", "b", "items")), strict=True):
-                x = np.frombuffer(items, np.uint64)
-                if kind == 0:
-                    centre, own = x, a
-                    low = np.bincount((x >> tc.U(60)).astype(np.int64), minlength=16)
-                    continue
-                if own != a:
-                    raise ValueError("a member without its centre")
-                least = -(-9 * (len(x) + len(centre)) // 19)
-                spread = np.abs(low - np.bincount((x >> tc.U(60)).astype(np.int64), minlength=16)).sum()
-                if spread > len(x) + len(centre) - 2 * least:
-                    continue  # the sets differ in more places than they may
-                both = len(x) + len(centre) - len(np.union1d(x, centre))
-                if 100 * both >= 90 * (len(x) + len(centre) - both):
-                    out[0].append(a)
-                    out[1].append(b)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-
-    return tc.arrow_batches(lined, compare, "a long, b long")
+def _outline(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many items of each set fall into each of CLASSES ranges of hash."""
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    return np.bincount(row * CLASSES + (h >> tc.U(58)).astype(np.int64), minlength=rows * CLASSES).reshape(rows, CLASSES).astype(np.uint32)
+
+
+class _Candidates:
+    """Nodes that share buckets, each with one document that stands for it."""
+
+    def __init__(self, base: DataFrame, chosen: DataFrame, n: int):
+        self.base, self.n, self.spark = base, n, base.sparkSession
+        self.chosen = tc.stored(chosen, "chosen")
+        outlines = self._scan(self.chosen, lambda h, at: [x.tobytes() for x in _outline(h, at)])
+        self.outlines = tc.stored(outlines, "outlines")
+
+    def _scan(self, chosen: DataFrame, made) -> DataFrame:
+        """(node, items) of chosen nodes; a bitmap of fixed size keeps other texts out of the shuffle."""
+        bits = self.spark.sparkContext.broadcast(membership.bitmap(chosen.select("tkey")))
+        n = self.n
+
+        def scan(batches):
+            for b in batches:
+                b = b.filter(pa.array(membership.maybe(bits.value, b.column("tkey").to_numpy())))
+                if b.num_rows:
+                    h, row = shingles(b, n)
+                    h, row, at, _ = node_sets(h, row, b.num_rows)
+                    yield pa.RecordBatch.from_arrays([b.column("did"), b.column("tkey"), pa.array(made(h, at), pa.binary())], ["did", "tkey", "items"])
+
+        found = tc.arrow_batches(self.base, scan, "did long, tkey long, items binary")
+        return found.join(chosen.hint("merge"), ["did", "tkey"]).dropDuplicates(["node"]).select("node", "items")
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose outlines differ in no more places than links may (suffix filter)."""
+        x, y = self.outlines.toDF("a", "x"), self.outlines.toDF("b", "y")
+
+        def near(batches):
+            for b in batches:
+                u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, CLASSES).astype(np.int64) for c in ("x", "y"))
+                total = u.sum(1) + v.sum(1)
+                ok = np.abs(u - v).sum(1) <= total - 2 * -(-9 * total // 19)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+        return tc.arrow_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), near, "a long, b long")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those (a, b) whose sets are 90 % alike; a member at a time meets its centre's set."""
+        pairs = tc.stored(self.alike(pairs), "pairs")
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = tc.stored(self._scan(self.chosen.join(named, "node"), lambda h, at: [h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), "sets")
+        tc.release(self.spark)
+        sets = sets.hint("merge")
+        share = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("salt"))
+        members = dealt.join(sets, dealt.b == sets.node).select("a", "salt", F.lit(1).alias("kind"), "b", "items")
+        centres = dealt.select("a", "salt").distinct().join(sets, F.col("a") == sets.node).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "items")
+        lined = centres.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+
+        def compare(batches):
+            centre, own = None, None
+            for r in batches:
+                out: tuple[list, list] = ([], [])
+                for a, kind, b, items in zip(*(r.column(c).to_pylist() for c in ("a", "kind", "b", "items")), strict=True):
+                    x = np.frombuffer(items, np.uint64)
+                    if kind == 0:
+                        centre, own = x, a
+                        continue
+                    if own != a:
+                        raise ValueError("a member without its centre")
+                    both = len(x) + len(centre) - len(np.union1d(x, centre))
+                    if 100 * both >= 90 * (len(x) + len(centre) - both):
+                        out[0].append(a)
+                        out[1].append(b)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+        links = tc.stored(tc.arrow_batches(lined, compare, "a long, b long"), "links")
+        tc.release(self.spark)
+        return links
 
 
 def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
@@ -169,15 +256,16 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
     def shared(table, e):
         t = table.at(e["hash"])
         m = np.flatnonzero(t["low"] != t["high"])
-        key = tc.mix(e["hash"][m] * tc.U(0x9E3779B97F4A7C15) + e["node"][m].view(tc.U))
-        key, first = np.unique(key, return_index=True)
-        seen = getattr(table, "seen", np.zeros(0, tc.U))
-        new = ~np.isin(key, seen, assume_unique=True)
-        table.seen = np.union1d(seen, key)
-        m = m[np.sort(first[new])]
-        return {"hash": e["hash"][m], "node": e["node"][m].view(tc.U), "n": e["n"][m].astype(np.int64), "pos": e["pos"][m]}
-
-    settled = tc.stored(ex.settle(ex.deal(base, prefixes, parts, carry=("node", "n")), fold, {"low": np.minimum, "high": np.maximum}, shared), "prefixes")
+        if len(m):
+            table.kept = [*getattr(table, "kept", []), {k: e[k][m] for k in ("hash", "node", "n", "pos")}]
+            if sum(len(x["hash"]) for x in table.kept) > 2 * len(table.kept[0]["hash"]) + (1 << 20):
+                table.kept = [_distinct(table.kept)]
+
+    def partners(table):
+        kept = _with_partners(_distinct(getattr(table, "kept", [])))
+        return {"hash": kept["hash"], "node": kept["node"].view(tc.U), "n": kept["n"], "pos": kept["pos"]}
+
+    settled = tc.stored(ex.settle(ex.deal(base, prefixes, parts, carry=("node", "n")), fold, {"low": np.minimum, "high": np.maximum}, shared, last=partners), "prefixes")
     tc.release(spark)
 
     def rows_of(batches):
@@ -195,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], list(cols))
 
     rows = tc.arrow_batches(settled.where("kind = 0").select("payload"), rows_of, "did long, tkey long, n long, node long")
-    buckets = tc.arrow_batches(settled.where("kind = 1").select("payload"), buckets_of, "h long, node long, n long, pos long")
+    buckets = tc.arrow_batches(settled.where("kind = 3").select("payload"), buckets_of, "h long, node long, n long, pos long")
     linked = _link(base, rows, buckets, n)
     least = rows.where("n > 0").groupBy("node").agg(F.min("did").alias("did"))
     named = least.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -208,15 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
 def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
     """(node, label) of all nodes that are linked with another one."""
     chosen = buckets.select("node").distinct().join(rows, "node").groupBy("node").agg(F.min(F.struct("did", "tkey")).alias("k")).select("node", "k.*")
-
-    def sets_of(batches):
-        for b in batches:
-            h, row = shingles(b, n)
-            h, row, at, _ = node_sets(h, row, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["node", "items"])
-
-    texts = base.join(chosen, ["did", "tkey"]).dropDuplicates(["node"]).select("node", "text")
-    sets = tc.stored(tc.arrow_batches(texts, sets_of, "node long, items binary"), "sets")
+    candidates = _Candidates(base, chosen, n)
     tc.release(base.sparkSession)
 
     # the member that holds a bucket's shingle earliest has the fewest rare ones: what others are copies of
@@ -224,16 +304,15 @@ def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int) -> DataF
     met = buckets.alias("x").join(centre.select("h", "c.*").alias("c"), "h").where((F.col("x.node") != F.col("c.node")) & _passes("x", "c"))
     counted = met.groupBy(F.col("x.node").alias("b"), F.col("c.node").alias("a")).agg(F.count("*").alias("k"))
     best = counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b")
-    links = tc.stored(verify(best, sets), "links")
-    labels = components(links)
+    links = candidates.verify(best)
+    labels = weakly_connected_components(links, "a", "b")
 
     alive = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = alive.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     alive = tc.stored(alive.join(open_, "h"), "open")
     across = alive.alias("x").join(alive.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _passes("x", "y"))
     pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = tc.stored(verify(pairs, sets), "links")
-    return components(links.union(more))
+    return weakly_connected_components(links.union(candidates.verify(pairs)), "a", "b")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
