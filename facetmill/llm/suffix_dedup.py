@@ -52,25 +52,33 @@ def _string_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
         s[0] = 0
         np.cumsum(tc.TABLE[data[a:b]] * up, out=s[1:])
         out[a : b - k + 1] = tc.mix((s[k:] - s[:-k]) * down[: b - a - k + 1])
-    # the last k - 1 places of each row have no whole string
-    end = np.repeat(offs[1:], np.diff(offs))
-    out[np.arange(n) > end - k] = _TOP
+    out[~_whole(offs, k)] = _TOP
     return out
 
 
-def _least(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least of w values from each place on, and the leftmost place of it."""
-    value, place, have = h, np.arange(len(h), dtype=np.int32), 1
-    while have < w and len(value):
+def _whole(offs: np.ndarray, k: int) -> np.ndarray:
+    """Which places have k bytes of their row from there on."""
+    out = np.ones(int(offs[-1]), bool)
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        out[max(a, b - k + 1) : b] = False
+    return out
+
+
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of the w values from each place on, as far as high bits tell; the leftmost of equals.
+
+    Places stand in the low bits, so one minimum finds both.
+    """
+    low = max(1, len(h).bit_length())
+    mask = tc.U((1 << low) - 1)
+    key, have = (h & ~mask) | np.arange(len(h), dtype=tc.U), 1
+    while have < w:
         step = min(have, w - have)
-        if len(value) <= step:
-            return value[:0], place[:0]
-        left, right = value[:-step], value[step:]
-        later = right < left
-        place = np.where(later, place[step:], place[:-step])
-        value = np.where(later, right, left)
+        if len(key) <= step:
+            return np.zeros(0, np.int64)
+        key = np.minimum(key[:-step], key[step:])
         have += step
-    return value, place
+    return (key & mask).astype(np.int64)
 
 
 def owners(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,8 +86,8 @@ def owners(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int
     for i, j in tc.slices(offs, 1 << 20):
         part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         h = _string_hashes(part, o, anchor)
-        _, place = _least(h, length - anchor + 1)
-        at = np.flatnonzero(np.arange(len(place)) <= np.repeat(o[1:], np.diff(o))[: len(place)] - length)
+        place = _least(h, length - anchor + 1)
+        at = np.flatnonzero(_whole(o, length)[: len(place)])
         place = place[at]
         yield at + offs[i], place + offs[i], h[place]
 
@@ -140,9 +148,7 @@ def repeats(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, did: np.nda
     """
     n = len(text)
     owner = np.repeat(np.arange(len(starts)), sizes + 1)
-    whole = np.zeros(n, bool)
-    ends = np.repeat(starts + sizes, sizes + 1)
-    whole[np.arange(n) <= ends - length] = True
+    whole = _whole(np.append(starts, n), length + 1)  # a zero byte follows each segment
     same = _string_hashes(text, np.append(starts, n), length)
     low = np.full(n, tc.NO_ID, np.int64)
     carry: tuple[int, np.ndarray, int] | None = None
