@@ -8,10 +8,12 @@ by backpropagation truncated to windows, with the state carried on; texts are
 scored whole, all of a unit in step, with states carried across windows.
 
 Counts of all words of all training documents are made by a hash exchange, whose
-answers are already sums per document, and so grow with the input; base scores are
-add-one unigram scores from them. Only the network's weights are fitted on a
-sample: training rows of at most ``ROW_BYTES``, about ``SAMPLE`` of them, by hash
-of their ids.
+answers are already sums per document; base scores are add-one unigram scores from
+them. The short list and the weights of classes are the exact counts of words over
+all training documents, and every training document is learned from: the network
+starts from about ``SAMPLE`` rows of at most ``ROW_BYTES``, then each shard of the
+training rows, dealt by hash, goes on from there in one pass, and the shards'
+weights are averaged by their tokens.
 
 Cases: a null or empty text is its end token alone; a null doc_id is neither
 learned from nor held out; repeated rows each get a row and count as often;
@@ -22,8 +24,11 @@ columns are ignored; an empty table gives an empty result. Words are told apart
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,11 @@ STREAMS = 64
 EPOCHS = 2
 RATE = 0.08
 UNIT = 8 << 20
+#: Streams and tokens of a block of the pass over all training rows.
+PASS_STREAMS = 256
+BLOCK = 1 << 20
+#: Words counted at once in a task.
+COUNTED = 4 << 20
 #: Sums of logarithms travel as multiples of this.
 STEP = 2.0**-24
 #: The end token's place in the short list.
@@ -69,6 +79,7 @@ class GatedModel:
         f32 = lambda x: x.astype(np.float32)
         self.par = {"x": f32(rng.normal(0, 0.1, (v, 3 * hidden))), "u": f32(rng.normal(0, 0.2, (hidden, 3 * hidden))), "wc": f32(rng.normal(0, 0.1, (hidden, c))), "wo": f32(rng.normal(0, 0.1, (v, hidden)))}
         share = np.bincount(self.cls, weights=counts)
+        self.square: dict | None = None
         self.par |= {"bc": f32(np.log((share + 1) / (share + 1).sum())), "bo": f32(np.log(np.maximum(counts, 1)))}
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
@@ -124,15 +135,22 @@ class GatedModel:
 
     def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, window: int = WINDOW, streams: int = STREAMS, rate: float = RATE) -> GatedModel:
         """Train on texts of ids, each ending in END, by truncated backpropagation."""
-        n, p = self.hidden, self.par
-        square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
         rng = np.random.default_rng(9)
         for _ in range(epochs):
             ids = np.concatenate([texts[i] for i in rng.permutation(len(texts))])
-            length = len(ids) // streams
-            if length < 2:
-                streams, length = 1, len(ids)
-            ids = ids[: streams * length].reshape(streams, length).T
+            whole = len(ids) // streams * streams if len(ids) >= 2 * streams else 0
+            for part, k in ((ids[:whole], streams), (ids[whole:], 1)):
+                if len(part):
+                    self._pass(part, k, window, rate)
+        return self
+
+    def _pass(self, ids: np.ndarray, streams: int, window: int, rate: float) -> None:
+        n, p = self.hidden, self.par
+        if self.square is None:
+            self.square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        square, length = self.square, len(ids) // streams
+        if length:
+            ids = ids.reshape(streams, length).T
             fresh = np.ones_like(ids, bool)
             fresh[1:] = ids[:-1] == END
             state = np.zeros((streams, n), np.float32)
@@ -163,12 +181,13 @@ class GatedModel:
                     grad["u"] += h.T @ du
                     back = back * z + du @ p["u"].T + gh[t]
                     back[new[t]] = 0
-                np.add.at(grad["x"], tok.ravel(), gx.reshape(-1, 3 * n))
+                order = np.argsort(tok.ravel(), kind="stable")
+                first = np.flatnonzero(np.diff(tok.ravel()[order], prepend=-1))
+                grad["x"][tok.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first)
                 for k, d in grad.items():
                     d = np.clip(d / streams, -1, 1)
                     square[k] += d * d
                     p[k] -= rate * d / np.sqrt(square[k])
-        return self
 
     def score(self, ids: np.ndarray, lengths: np.ndarray, limit: int = 1 << 16) -> np.ndarray:
         """Log10 probability of each text; ``ids`` holds the texts one after the other."""
@@ -209,16 +228,98 @@ def words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tc.span_hashes(data, start, end), row
 
 
-def train(texts: list[str]) -> GatedModel:
-    """A model of the texts, with their most frequent words as its short list."""
-    h, row = words_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
-    words, n = np.unique(h, return_counts=True)
-    top = np.lexsort((words, -n))[:SHORT_LIST]
-    counts = np.concatenate([[len(texts)], n[top], [max(n.sum() - n[top].sum(), 1)]])
-    model = GatedModel(words[top], counts)
-    ids, at = model.encode(h), tc.row_starts(row, len(texts))
-    docs = [np.append(ids[a:b], END) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return model.fit(docs) if docs else model
+def word_counts(rows: DataFrame) -> DataFrame:
+    """kind, hash, n: how often each word stands in training rows (kind 0), and all words do (kind 1)."""
+
+    def count(batches):
+        held, size, total = [], 0, 0
+
+        def out():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "hash", "n"])
+
+        for b in batches:
+            held.append(words_of(b)[0])
+            size += len(held[-1])
+            total += len(held[-1])
+            if size >= COUNTED:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "hash", "n"])
+
+    found = tc.arrow_batches(rows.where("train").select("text"), count, "kind int, hash long, n long")
+    return found.groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+
+
+def untrained(rows: DataFrame, ends: int) -> GatedModel:
+    """A model of the exact counts of all training rows, with their most frequent words as its short list."""
+    got = word_counts(rows).orderBy(F.desc("kind"), F.desc("n"), "hash").limit(SHORT_LIST + 1).collect()
+    total = sum(r.n for r in got if r.kind)
+    top = [r for r in got if not r.kind]
+    n = np.array([r.n for r in top], np.int64)
+    return GatedModel(np.array([r.hash for r in top], np.int64).view(tc.U), np.concatenate([[ends], n, [max(total - n.sum(), 1)]]))
+
+
+def encoded(model: GatedModel, b: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each text, END last."""
+    h, row = words_of(b)
+    ids, at = model.encode(h), tc.row_starts(row, b.num_rows)
+    return [np.append(ids[i:j], END) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def train(rows: DataFrame, ends: int, sample: int = SAMPLE) -> GatedModel:
+    """A model that has learned from every training row of ``rows``."""
+    spark = rows.sparkSession
+    model = untrained(rows, ends)
+    texts = sample_texts(rows, sample)
+    if texts:
+        model.fit(encoded(model, pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])))
+    if not ends:
+        return model
+    start = spark.sparkContext.broadcast(model)
+
+    def encode(batches):
+        for b in batches:
+            ids = [x.astype(np.uint16).tobytes() for x in encoded(start.value, b)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+
+    def learn(batches):
+        own, held, size, seen = copy.deepcopy(start.value), [], 0, 0
+        for b in batches:
+            for x in b.column("ids").to_pylist():
+                held.append(np.frombuffer(x, np.uint16).astype(np.int64))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    own.fit(held, epochs=1, streams=PASS_STREAMS)
+                    held, seen, size = [], seen + size, 0
+        if held:
+            own.fit(held, epochs=1, streams=PASS_STREAMS)
+            seen += size
+        if seen:
+            shard = TaskContext.get().partitionId()
+            sums = [(v * float(seen)).astype(np.float64).tobytes() for v in own.par.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(own.par), pa.string()), pa.array([shard] * len(sums), pa.int32()), pa.array([seen] * len(sums), pa.int64()), pa.array(sums, pa.binary())], ["name", "shard", "n", "v"])
+
+    def add(batches):
+        n: dict[str, int] = {}
+        v: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, k, x in zip(b.column("name").to_pylist(), b.column("n").to_pylist(), b.column("v").to_pylist(), strict=True):
+                n[name] = n.get(name, 0) + k
+                v[name] = v.get(name, 0) + np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([x.tobytes() for x in v.values()], pa.binary())], ["name", "n", "v"])
+
+    keyed = rows.where("train").select(F.xxhash64("did", "tkey").alias("key"), "text")
+    dealt = tc.arrow_batches(keyed, encode, "key long, ids binary").repartition(ex.parts_of(rows, factor=1), "key").sortWithinPartitions("key", "ids")
+    learned = tc.arrow_batches(dealt, learn, "name string, shard int, n long, v binary")
+    summed = tc.arrow_batches(learned.repartition(len(model.par), "name").sortWithinPartitions("name", "shard"), add, "name string, n long, v binary")
+    for r in summed.collect():  # of a fixed size
+        model.par[r.name] = (np.frombuffer(r.v) / r.n).astype(np.float32).reshape(model.par[r.name].shape)
+        model.learned = r.n
+    model.square = None
+    return model
 
 
 def sample_texts(rows: DataFrame, sample: int = SAMPLE) -> list[str]:
@@ -234,7 +335,8 @@ def score_corpus(docs: DataFrame, train_rows: F.Column, sample: int = SAMPLE) ->
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tc.NO_ID)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
-    shared = spark.sparkContext.broadcast(train(sample_texts(rows, sample)))
+    ends = rows.where("train").count()
+    shared = spark.sparkContext.broadcast(train(rows, ends, sample))
 
     def entries(b):
         model = shared.value
@@ -275,7 +377,6 @@ def score_corpus(docs: DataFrame, train_rows: F.Column, sample: int = SAMPLE) ->
     for r in settled.where("kind = 2").select("payload").collect():  # four numbers for each part
         for k, x in ex.unpack(r.payload).items():
             sums[k] += int(x[0])
-    ends = rows.where("train").count()
     n_all, v_all = sums["n"] + ends, sums["v"] + (ends > 0)
 
     def make(d, answers):

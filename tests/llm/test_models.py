@@ -179,6 +179,20 @@ def test_op9_training_helps():
     assert m.score(np.concatenate(texts), np.array([len(t) for t in texts])).sum() > 0.6 * before
 
 
+def test_op9_learns_from_every_training_row(spark):
+    """Short list and weights don't hang on the sample, and long rows are learned from too."""
+    texts = ["red stone " * 20] * 150 + ["blue river " * 20] * 150 + ["moon lamp " * 10_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = language_model.score_corpus(docs, F.lit(True), sample=0).where("did < 300").collect()
+    assert len(got) == 300 and sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
+    rows = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("tkey"), "text", F.lit(True).alias("train"))
+    tokens = sum(len(words(t)) + 1 for t in texts)
+    model = language_model.train(rows, len(texts), sample=0)
+    assert model.learned == tokens and len(model.keys) == 6
+    again = language_model.train(rows.repartition(5), len(texts), sample=0)
+    assert all(np.array_equal(model.par[k], again.par[k]) for k in model.par)
+
+
 def test_bitmaps_never_lose_a_key(spark):
     keys = spark.range(0, 1000).select((F.col("id") * 1_000_003 - 77).alias("k"))
     bits = membership.bitmap(keys)
