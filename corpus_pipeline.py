@@ -22,6 +22,10 @@ from facetmill.llm import textcore as _tc
 from facetmill.llm import token_output as _token_output
 
 
+#: Near copies: words of a shingle and the least Jaccard similarity in per cent.
+NEAR_WORDS, NEAR_ALIKE = 5, 80
+
+
 def _guarded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with every column under a plain name of its own, beside the columns that operators read."""
     plain = [f"_c{i}" for i in range(len(docs.columns))]
@@ -45,7 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one with the least id."""
     rows, plain = _guarded(docs)
-    found = _tc.stored(_ngram_join.jaccard_components(rows), "groups")
+    found = _tc.stored(_ngram_join.jaccard_components(rows, NEAR_WORDS, NEAR_ALIKE), "groups")
     first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("did", "tkey")).alias("k")).select("k.did", "k.tkey")
     keep = first.union(found.where("label is null").select("did", "tkey").distinct())
     keyed = rows.select(*plain, F.coalesce(F.col("doc_id").cast("long"), F.lit(_tc.NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey"))

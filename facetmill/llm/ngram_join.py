@@ -1,12 +1,13 @@
 """Operator 6: n-gram Jaccard self-join with rare-first prefix filtering.
 
-A document's set is its distinct three-word shingles. All documents with one set
+A document's set is its distinct n-word shingles. All documents with one set
 are one *node*. Shingles are ordered rare first by a frequency sketch of fixed
 size over all documents (any order is right; rare ones first keep buckets small).
-For a similarity of 90 % two sets of sizes x and y share one of their first
-``x - ceil(0.9 x) + 1`` shingles (prefix filter), 10 min >= 9 max of the sizes
+For a similarity of p % two sets of sizes x and y share one of their first
+``x - ceil(p x / 100) + 1`` shingles (prefix filter), 100 min >= p max of the sizes
 (length filter), and from the first shared shingle on both still hold
-``ceil(9 (x + y) / 19)`` shingles (positional filter). Prefix shingles meet in a
+``ceil(p (x + y) / (100 + p))`` shingles (positional filter). Words of a shingle and
+p are parameters; the query has three and 90. Prefix shingles meet in a
 hash exchange; those of one node only go at once.
 
 Links are verified once per pair, by counts in ranges of hash first (suffix
@@ -17,7 +18,7 @@ holds two components, all pairs across components that pass the filters. What is
 left out are only pairs that are connected anyway.
 
 Cases: null texts and texts without words have empty sets and are linked with
-nothing; fewer words than three are one shingle; rows with one text are one node;
+nothing; fewer words than n are one shingle; rows with one text are one node;
 a null doc_id stands after all others; other columns are ignored; an empty table
 gives an empty result. Nodes are told apart by 64-bit sums of mixed hashes and
 their sizes.
@@ -37,6 +38,8 @@ from . import membership
 from . import textcore as tc
 
 N = 3
+#: Least similarity of linked sets, in per cent.
+ALIKE = 90
 SKETCH_BITS = 22
 _BLOCK = 1 << 16
 #: Ranges of hash whose counts outline a set; the top six bits of a hash tell.
@@ -118,7 +121,7 @@ def _distinct(kept: list[ex.Arrays]) -> ex.Arrays:
     return {k: v[new] for k, v in x.items()}
 
 
-def _with_partners(x: ex.Arrays) -> ex.Arrays:
+def _with_partners(x: ex.Arrays, alike: int) -> ex.Arrays:
     """Those of all rows of some hashes that may have a partner in their bucket.
 
     The size nearest to a row's own is a neighbour's in the bucket: without one that
@@ -127,29 +130,29 @@ def _with_partners(x: ex.Arrays) -> ex.Arrays:
     """
     while len(x["hash"]):
         h, n = x["hash"], x["n"]
-        near = (h[1:] == h[:-1]) & (10 * n[:-1] >= 9 * n[1:])
+        near = (h[1:] == h[:-1]) & (100 * n[:-1] >= alike * n[1:])
         has = np.append(near, False) | np.append(False, near)
         bucket = np.cumsum(np.append(True, h[1:] != h[:-1])).astype(np.int64)
         place = bucket << 40 | n
-        at = np.searchsorted(place, bucket << 40 | -(-9 * n // 10))
+        at = np.searchsorted(place, bucket << 40 | -(-alike * n // 100))
         at += at == np.arange(len(n))  # itself
         least = n[np.minimum(at, len(n) - 1)]
-        has &= n - x["pos"] >= -(-9 * (n + np.where(has, least, n)) // 19)
+        has &= n - x["pos"] >= -(-alike * (n + np.where(has, least, n)) // (100 + alike))
         if has.all():
             break
         x = {k: v[has] for k, v in x.items()}
     return x
 
 
-def enough(x: str, y: str) -> F.Column:
+def enough(x: str, y: str, alike: int) -> F.Column:
     """The least overlap of two sets of these sizes."""
-    return F.ceil(9 * (F.col(x) + F.col(y)) / 19)
+    return F.ceil(alike * (F.col(x) + F.col(y)) / (100 + alike))
 
 
-def _passes(a: str, b: str) -> F.Column:
+def _passes(a: str, b: str, alike: int) -> F.Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = enough(f"{a}.n", f"{b}.n")
-    return (10 * F.least(na, nb) >= 9 * F.greatest(na, nb)) & (na - F.col(f"{a}.pos") >= least) & (nb - F.col(f"{b}.pos") >= least)
+    least = enough(f"{a}.n", f"{b}.n", alike)
+    return (100 * F.least(na, nb) >= alike * F.greatest(na, nb)) & (na - F.col(f"{a}.pos") >= least) & (nb - F.col(f"{b}.pos") >= least)
 
 
 def _outline(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,8 +165,8 @@ def _outline(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 class _Candidates:
     """Nodes that share buckets, each with one document that stands for it."""
 
-    def __init__(self, base: DataFrame, chosen: DataFrame, n: int):
-        self.base, self.n, self.spark = base, n, base.sparkSession
+    def __init__(self, base: DataFrame, chosen: DataFrame, n: int, percent: int):
+        self.base, self.n, self.percent, self.spark = base, n, percent, base.sparkSession
         self.chosen = tc.stored(chosen, "chosen")
         outlines = self._scan(self.chosen, lambda h, at: [x.tobytes() for x in _outline(h, at)])
         self.outlines = tc.stored(outlines, "outlines")
@@ -187,18 +190,19 @@ class _Candidates:
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose outlines differ in no more places than links may (suffix filter)."""
         x, y = self.outlines.toDF("a", "x"), self.outlines.toDF("b", "y")
+        percent = self.percent
 
         def near(batches):
             for b in batches:
                 u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, CLASSES).astype(np.int64) for c in ("x", "y"))
                 total = u.sum(1) + v.sum(1)
-                ok = np.abs(u - v).sum(1) <= total - 2 * -(-9 * total // 19)
+                ok = np.abs(u - v).sum(1) <= total - 2 * -(-percent * total // (100 + percent))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
         return tc.arrow_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), near, "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those (a, b) whose sets are 90 % alike; a member at a time meets its centre's set."""
+        """Those (a, b) whose sets are alike enough; a member at a time meets its centre's set."""
         pairs = tc.stored(self.alike(pairs), "pairs")
         named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = tc.stored(self._scan(self.chosen.join(named, "node"), lambda h, at: [h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), "sets")
@@ -210,6 +214,8 @@ class _Candidates:
         centres = dealt.select("a", "salt").distinct().join(sets, F.col("a") == sets.node).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "items")
         lined = centres.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
+        percent = self.percent
+
         def compare(batches):
             centre, own = None, None
             for r in batches:
@@ -222,7 +228,7 @@ class _Candidates:
                     if own != a:
                         raise ValueError("a member without its centre")
                     both = len(x) + len(centre) - len(np.union1d(x, centre))
-                    if 100 * both >= 90 * (len(x) + len(centre) - both):
+                    if 100 * both >= percent * (len(x) + len(centre) - both):
                         out[0].append(a)
                         out[1].append(b)
                 if out[0]:
@@ -233,7 +239,7 @@ class _Candidates:
         return links
 
 
-def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = N, alike: int = ALIKE) -> DataFrame:
     """did, tkey, n_shingles, label (of the component, null for empty sets) and cid (least did reachable) of each row of ``docs``."""
     spark = docs.sparkSession
     base = tc.keyed(docs)
@@ -245,7 +251,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
         h, row, at, node = node_sets(h, row, b.num_rows, rare.value)
         size = np.diff(at)
         pos = np.arange(len(h)) - at[row]
-        keep = pos < (size - -(-9 * size // 10) + 1)[row]
+        keep = pos < (size - -(-alike * size // 100) + 1)[row]
         entries = {"hash": h[keep], "row": row[keep], "pos": pos[keep]}
         return entries, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "n": size, "node": node}
 
@@ -262,7 +268,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
                 table.kept = [_distinct(table.kept)]
 
     def partners(table):
-        kept = _with_partners(_distinct(getattr(table, "kept", [])))
+        kept = _with_partners(_distinct(getattr(table, "kept", [])), alike)
         return {"hash": kept["hash"], "node": kept["node"].view(tc.U), "n": kept["n"], "pos": kept["pos"]}
 
     settled = tc.stored(ex.settle(ex.deal(base, prefixes, parts, carry=("node", "n")), fold, {"low": np.minimum, "high": np.maximum}, shared, last=partners), "prefixes")
@@ -284,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
 
     rows = tc.arrow_batches(settled.where("kind = 0").select("payload"), rows_of, "did long, tkey long, n long, node long")
     buckets = tc.arrow_batches(settled.where("kind = 3").select("payload"), buckets_of, "h long, node long, n long, pos long")
-    linked = _link(base, rows, buckets, n)
+    linked = _link(base, rows, buckets, n, alike)
     least = rows.where("n > 0").groupBy("node").agg(F.min("did").alias("did"))
     named = least.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     cids = named.groupBy("label").agg(F.min("did").alias("cid"))
@@ -293,15 +299,15 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
     return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).alias("label"), F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("did")).alias("cid"))
 
 
-def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int, alike: int) -> DataFrame:
     """(node, label) of all nodes that are linked with another one."""
     chosen = buckets.select("node").distinct().join(rows, "node").groupBy("node").agg(F.min(F.struct("did", "tkey")).alias("k")).select("node", "k.*")
-    candidates = _Candidates(base, chosen, n)
+    candidates = _Candidates(base, chosen, n, alike)
     tc.release(base.sparkSession)
 
     # the member that holds a bucket's shingle earliest has the fewest rare ones: what others are copies of
     centre = buckets.groupBy("h").agg(F.min(F.struct("pos", "n", "node")).alias("c"))
-    met = buckets.alias("x").join(centre.select("h", "c.*").alias("c"), "h").where((F.col("x.node") != F.col("c.node")) & _passes("x", "c"))
+    met = buckets.alias("x").join(centre.select("h", "c.*").alias("c"), "h").where((F.col("x.node") != F.col("c.node")) & _passes("x", "c", alike))
     counted = met.groupBy(F.col("x.node").alias("b"), F.col("c.node").alias("a")).agg(F.count("*").alias("k"))
     best = counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b")
     links = candidates.verify(best)
@@ -310,7 +316,7 @@ def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int) -> DataF
     alive = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = alive.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     alive = tc.stored(alive.join(open_, "h"), "open")
-    across = alive.alias("x").join(alive.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _passes("x", "y"))
+    across = alive.alias("x").join(alive.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _passes("x", "y", alike))
     pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return weakly_connected_components(links.union(candidates.verify(pairs)), "a", "b")
 

@@ -1,6 +1,7 @@
 """Operators on repeats: brute force on a fixture with every awkward case."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -104,6 +105,32 @@ def test_op6_chains_across_buckets(spark):
     test_op6_links_and_components(frame(spark, data), data)
 
 
+def test_near_copies_between_the_limits(spark):
+    """Five words and 80 %: brute force on pairs that three words and 90 % don't link."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    data = []
+    for g, n in enumerate([6, 18, 49, 50, 51, 80, 200]):
+        t = [f"g{g}x{i}" for i in range(n)]
+        for i in range(6):
+            w = [*t]
+            for k in rng.sample(range(n), min(n, i)):
+                w[k] = f"new{g}_{i}_{k}"
+            data.append((g * 100 + i, " ".join(w), *[None] * 6))
+    s = [{tuple(x[i : i + 5]) for i in range(max(len(x) - 4, 1))} for x in (words(r[1]) for r in data)]
+    linked = lambda least: [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= least * len(s[i] | s[j])]
+    assert len(linked(80)) > len(linked(90))
+    label = list(range(len(s)))
+    for i, j in linked(80):
+        label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min(r[0] for r, y in zip(data, label, strict=True) if y == x) for x in label}
+    got = ngram_join.jaccard_components(frame(spark, data), 5, 80).select("did", "cid").collect()
+    assert sorted(map(tuple, got)) == sorted((r[0], least[x]) for r, x in zip(data, label, strict=True))
+    kept = corpus_pipeline.near_copies(spark, frame(spark, data), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
+
+
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog and then some more"), (2, "Short item"), (3, None), (4, "..."), (None, "null id item words"), (2, "Short item"), (11, "The Quick brown fox jumps over the lazy dog AND")]
 
 
