@@ -9,6 +9,7 @@ names to resolve. Names carry the operators each query applies.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -263,39 +264,39 @@ def join14_set5_anti(spark, sf):
 _LINKS = "SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_discount = 0.05"
 
 
-def _links(spark: SparkSession, sf: str) -> DataFrame:
-    l = _t(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_discount = 0.05")
+def _links(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    l = _t(spark, sf, "lineitem").where("true" if whole else "l_quantity = 50 and l_linenumber = 1 and l_discount = 0.05")
     return l.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
 
 
 @query(f"""WITH RECURSIVE l AS ({_LINKS}), e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), r(node, o) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.o = e.x),
 c AS (SELECT node, min(o) AS label FROM r GROUP BY node), k AS (SELECT label, 'FEC-G1-' || lpad(CAST(row_number() OVER (ORDER BY label) AS VARCHAR), CAST(greatest(2, len(CAST(row_number() OVER (ORDER BY label) AS VARCHAR))) AS INT), '0') AS candidate_id FROM (SELECT DISTINCT label FROM c))
 SELECT node, candidate_id FROM c JOIN k USING (label)""")
-def gra2_gra3_win5_components(spark, sf):
-    found = weakly_connected_components(_links(spark, sf), "a", "b")
+def gra2_gra3_win5_components(spark, sf, whole=False):
+    found = weakly_connected_components(_links(spark, sf, whole), "a", "b")
     first = found.select("label").distinct().withColumn("n", F.row_number().over(Window.orderBy("label")))
     return found.join(first, "label").select("node", components.numbered("FEC-", F.lit("G1"), F.col("n")).alias("candidate_id"))
 
 
 @query(f"""WITH l AS ({_LINKS}), d AS (SELECT a AS node, 0 AS i, 1 AS o FROM l UNION ALL SELECT b, 1, 0 FROM l), g AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM d GROUP BY node)
 SELECT node, in_degree, out_degree, degree, 2 * degree + in_degree + out_degree AS score, CAST(row_number() OVER (PARTITION BY left(node, 1) ORDER BY 2 * degree + in_degree + out_degree, degree DESC, node) AS INT) AS rank FROM g""")
-def gra5_agg14_win7_importance(spark, sf):
-    d = graph.degrees(_links(spark, sf), "a", "b").withColumn("kind", F.substring("node", 1, 1))
+def gra5_agg14_win7_importance(spark, sf, whole=False):
+    d = graph.degrees(_links(spark, sf, whole), "a", "b").withColumn("kind", F.substring("node", 1, 1))
     e = d.select(F.col("node").alias("entity_id"), "kind", F.lit("").alias("file"), F.lit(0).alias("start_line"))
     return profile.ranked(e, d, "kind").select(F.col("entity_id").alias("node"), "in_degree", "out_degree", "degree", "score", "rank")
 
 
 @query(f"""WITH l AS ({_LINKS}), v AS (SELECT 'P' || p_partkey AS node FROM part UNION ALL SELECT 'S' || s_suppkey FROM supplier), d AS (SELECT a AS node FROM l UNION ALL SELECT b FROM l), n AS (SELECT v.node, count(d.node) AS degree FROM v LEFT JOIN d USING (node) GROUP BY ALL)
 SELECT degree AS size, count(*) AS n FROM n GROUP BY ALL""")
-def gra5_agg20_degree_histogram(spark, sf):
+def gra5_agg20_degree_histogram(spark, sf, whole=False):
     v = _t(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node")).union(_t(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))))
-    d = v.join(graph.degrees(_links(spark, sf), "a", "b").select("node", "degree"), "node", "left").na.fill(0, ["degree"])
+    d = v.join(graph.degrees(_links(spark, sf, whole), "a", "b").select("node", "degree"), "node", "left").na.fill(0, ["degree"])
     return reports.histogram(d, "degree")
 
 
 @query(f"""WITH l AS ({_LINKS}), n AS (SELECT a, b, regexp_replace(b, '^S', '') AS ln FROM l) SELECT a, b, CAST(row_number() OVER (ORDER BY concat_ws('|', 'f', ln, a, b)) AS BIGINT) AS n FROM n""")
-def win4_text_key_numbers(spark, sf):
-    e = _links(spark, sf)
+def win4_text_key_numbers(spark, sf, whole=False):
+    e = _links(spark, sf, whole)
     return numbering.number(e, [F.concat_ws("|", F.lit("f"), F.regexp_replace("b", "^S", ""), "a", "b")], "n")
 
 
@@ -306,9 +307,9 @@ def win2_win3_ord1_ord2_numbers(spark, sf):
 
 @query(f"""WITH l AS ({_LINKS}), g AS (SELECT b AS candidate_id, a AS entity_id, p_name AS name FROM l JOIN part ON a = 'P' || p_partkey), n AS (SELECT candidate_id, name, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC, name) AS k FROM n)
 SELECT candidate_id, string_agg(name || ':' || n, '|' ORDER BY k) AS top FROM t WHERE k <= 8 GROUP BY candidate_id""")
-def agg15_top5_endpoints(spark, sf):
+def agg15_top5_endpoints(spark, sf, whole=False):
     part = _t(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("a"), F.col("p_name").alias("name"))
-    e = _links(spark, sf).join(part, "a").select(F.col("b").alias("candidate_id"), F.col("name").alias("end"))
+    e = _links(spark, sf, whole).join(part, "a").select(F.col("b").alias("candidate_id"), F.col("name").alias("end"))
     names = e.select("candidate_id", F.col("end").alias("entity_id"), F.col("end").alias("name")).distinct()
     return profile.endpoints(e, "end", names, "top").select("candidate_id", tx.join_ids(F.col("top")).alias("top"))
 
@@ -348,14 +349,14 @@ def top1_lab1_lab2_lab3_lab5_str11_labels(spark, sf):
     return out.withColumn("candidate_confidence", clustering.candidate_confidence(F.col("label_confidence"), F.col("s"))).drop("s")
 
 
-def _measures(spark: SparkSession, sf: str) -> DataFrame:
+def _measures(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """All pairs of brands with every measure; the group of a brand is the parity of its number."""
     part = _t(spark, sf, "part")
     group = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 2).cast("string")
     brands = part.select(group.alias("g"), "p_brand").distinct()
     pairs = similarity.all_pairs(brands, "g", "p_brand", ["p_brand"])
     pairs = similarity.weighted_jaccard(pairs, _brand_tokens(spark, sf), "p_brand", "token", "n")
-    sold = _t(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity = 50 and l_discount = 0.05").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
+    sold = _t(spark, sf, "lineitem").where("true" if whole else "l_linenumber = 1 and l_quantity = 50 and l_discount = 0.05").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
     x, y = sold.toDF("s", "from_id"), sold.toDF("s", "to_id")
     pairs = similarity.direct(pairs, x.join(y, "s").where("from_id <> to_id").select("from_id", "to_id"))
     sets = part.groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_retailprice") > 1900, F.col("p_type"))).alias("packages"), F.collect_set(F.when(F.col("p_retailprice") > 1500, F.col("p_size").cast("string"))).alias("classes"), F.collect_set(F.when(F.col("p_size") < 3, F.col("p_name"))).alias("files"), F.collect_set(F.when(F.col("p_size") > 48, F.col("p_type"))).alias("blocks"))
@@ -381,23 +382,23 @@ m AS (SELECT x.k AS a, y.k AS b, CAST(coalesce(w.l, 0) AS DOUBLE) / (ta.t + tb.t
 
 @query(f"""{_PAIRS} SELECT a, b, round(lexical, 6) AS lexical, round(context, 6) AS context, round(neighborhood, 6) AS neighborhood, direct, round(block, 6) AS block,
   round(0.35 * lexical + 0.2 * context + 0.2 * neighborhood + 0.15 * direct + 0.1 * block, 6) AS combined FROM m""")
-def join16_join17_sim1_2_3_4_5_measures(spark, sf):
-    return _measures(spark, sf).select("a", "b", *[F.round(c, 6).alias(c) for c in ("lexical", "context", "neighborhood")], "direct", F.round("block", 6).alias("block"), F.round("combined", 6).alias("combined"))
+def join16_join17_sim1_2_3_4_5_measures(spark, sf, whole=False):
+    return _measures(spark, sf, whole).select("a", "b", *[F.round(c, 6).alias(c) for c in ("lexical", "context", "neighborhood")], "direct", F.round("block", 6).alias("block"), F.round("combined", 6).alias("combined"))
 
 
 @query(f"""{_PAIRS}, z AS (SELECT a, b, 0.35 * lexical + 0.2 * context + 0.2 * neighborhood + 0.15 * direct + 0.1 * block AS c, list_filter([CASE WHEN lexical >= 0.2 THEN 'lexical' END, CASE WHEN context >= 0.3 THEN 'context' END, CASE WHEN neighborhood >= 0.2 THEN 'neighborhood' END, CASE WHEN direct > 0 THEN 'direct' END, CASE WHEN block >= 0.2 THEN 'block' END], lambda v: v IS NOT NULL) AS s FROM m)
 SELECT a, b, array_to_string(s, '|') AS support, CASE WHEN len(s) < 2 OR c < 0.42 THEN 'NOT_MERGED' ELSE 'MERGED' END AS decision,
   CASE WHEN len(s) < 2 THEN 'insufficient independent evidence families' WHEN c < 0.42 THEN 'combined score below threshold' ELSE 'threshold and evidence-family requirements satisfied' END AS reason FROM z""")
-def sim6_sim7_fil7_decisions(spark, sf):
-    m = _measures(spark, sf).withColumn("support_count", F.size("support")).withColumn("group_id", F.lit("G"))
+def sim6_sim7_fil7_decisions(spark, sf, whole=False):
+    m = _measures(spark, sf, whole).withColumn("support_count", F.size("support")).withColumn("group_id", F.lit("G"))
     brands = m.select("a").union(m.select("b")).distinct().select(F.col("a").alias("candidate_id"), F.lit("S").alias("signature"), F.lit("STRUCTURALLY_CONNECTED").alias("classification_status"))
     return similarity.decisions(m, brands, AggregationConfig()).select("a", "b", tx.join_ids(F.col("support")).alias("support"), "decision", "reason")
 
 
 @query()
-def clu1_clu2_win6_clusters(spark, sf):
+def clu1_clu2_win6_clusters(spark, sf, whole=False):
     """Greedy clusters depend on their order, which SQL can't express; tests hold them against brute force."""
-    m = _measures(spark, sf)
+    m = _measures(spark, sf, whole)
     nodes = m.select("a").union(m.select("b")).distinct().select(F.lit("G").alias("group_id"), F.col("a").alias("component_id"))
     pairs = m.select("a", "b", ((F.size("support") >= 2) & (F.col("combined") >= 0.42)).alias("merged"), "combined")
     return clustering.complete_link(nodes, pairs, 0.5).select("component_id", "part", "sub")
@@ -581,6 +582,24 @@ def str5_provenance(spark, sf):
 
 
 @query("""SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 2 = 0 THEN ['insufficient evidence for semantic aggregation or descriptive label'] ELSE [] END, '|') AS concerns FROM customer WHERE c_custkey % 7 = 0""")
-def lab4_fil8_fil15_concerns(spark, sf):
+def lab4_fil8_fil15_concerns(spark, sf, whole=False):
     state = F.when(F.col("c_custkey") % 2 == 0, "UNRESOLVED").otherwise("LOW")
-    return _t(spark, sf, "customer").where("c_custkey % 7 = 0").select("c_custkey", tx.join_ids(clustering.concerns(state)).alias("concerns"))
+    return _t(spark, sf, "customer").where("true" if whole else "c_custkey % 7 = 0").select("c_custkey", tx.join_ids(clustering.concerns(state)).alias("concerns"))
+
+
+# the same over whole tables; recursion over the whole graph is too slow in SQL, so components have none
+
+_CUTS = [" WHERE l_quantity = 50 AND l_linenumber = 1 AND l_discount = 0.05", " WHERE l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.05", " WHERE c_custkey % 7 = 0"]
+
+
+def _whole(f: Query) -> None:
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = partial(f, whole=True)
+    if (sql := ORACLE.get(f.__name__)) and "RECURSIVE" not in sql:
+        for cut in _CUTS:
+            sql = sql.replace(cut, "")
+        ORACLE[name] = sql
+
+
+for _f in (gra2_gra3_win5_components, gra5_agg14_win7_importance, gra5_agg20_degree_histogram, win4_text_key_numbers, agg15_top5_endpoints, join16_join17_sim1_2_3_4_5_measures, sim6_sim7_fil7_decisions, clu1_clu2_win6_clusters, lab4_fil8_fil15_concerns):
+    _whole(_f)
