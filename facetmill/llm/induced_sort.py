@@ -7,7 +7,8 @@ sorted in turn. All others follow by induction: sorted suffixes, taken symbol by
 symbol, put the suffix before each into the queue of its own first symbol, in order.
 Queues are first-in-first-out for each symbol, which makes them a priority queue by
 (symbol, rank of the rest); what they hold beyond a limit goes to files. The text
-may be a memory map; nothing else grows with it but the files and the names.
+may be a memory map; besides the files, the S* suffixes with their names and ranks
+and one symbol's queue, read back whole, grow with it and are held in memory.
 
 Steps work on whole blocks of a queue with numpy: what one block sends to its own
 symbol is the next block. The string of names is sorted by doubling, as the
