@@ -31,7 +31,7 @@ from . import textcore as tc
 from .classifier import fold
 
 #: Bound of the labelled rows for each language that the centroids are fitted on.
-SAMPLE = 500
+SAMPLE = 1200
 #: Bound of the languages learned: those with the most rows.
 LANGUAGES = 200
 BUCKETS = 1 << 12
@@ -73,7 +73,9 @@ class CentroidModel:
 
     def fit(self, rows: np.ndarray, langs: list[str]) -> CentroidModel:
         self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + np.float32(0.3)
-        x = self.vectors(rows)
+        x = np.empty(rows.shape, np.float32)
+        for i in range(0, len(rows), 256):  # counts stay 16-bit: no whole copies beside the vectors
+            x[i : i + 256] = self.vectors(rows[i : i + 256].astype(np.float32))
         names, lang = np.unique(np.array(langs), return_inverse=True)
         rng = np.random.default_rng(self.seed)
         parts, owner = [], []
@@ -127,7 +129,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
 
     got = tc.arrow_batches(picked.select(F.col("text").cast("string"), F.col("lang").cast("string")), vectors, "lang string, v binary").collect()
     got.sort(key=lambda r: (r.lang, r.v))  # the order of partitions doesn't matter
-    return CentroidModel().fit(np.stack([np.frombuffer(r.v, np.uint16) for r in got]).astype(np.float32), [r.lang for r in got]) if got else None
+    if not got:
+        return None
+    counted, langs = np.stack([np.frombuffer(r.v, np.uint16) for r in got]), [r.lang for r in got]
+    del got
+    return CentroidModel().fit(counted, langs)
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, keep: list[str] | None = None) -> DataFrame:

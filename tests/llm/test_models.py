@@ -47,6 +47,14 @@ def test_op1_held_out_accuracy_and_cases(spark):
     assert {r.lang_pred for r in langid.identify(df, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_op1_sample_and_16_bit_counts():
+    assert langid.SAMPLE >= 1200
+    rng = np.random.default_rng(4)
+    counted_ = rng.integers(0, 9, (600, langid.BUCKETS)).astype(np.uint16)
+    model, wide = (langid.CentroidModel().fit(x, ["a", "b"] * 300) for x in (counted_, counted_.astype(np.float32)))
+    assert np.array_equal(model.matrix, wide.matrix) and np.array_equal(model.least, wide.least)
+
+
 def test_op2_targets_and_samples(spark, docs, data):
     quality = spark.createDataFrame([(0, 1), (3, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     got = mixing.mix(docs, quality).collect()
