@@ -10,7 +10,8 @@ part, not with how often one occurs, and the number of parts with the data. The
 answers of a unit are put together, by row, in ``assemble``.
 
 A unit is named by its task and its place there: a task that runs again makes the
-same units, as it reads the same rows in the same order.
+same units, as it reads the same rows in the same order. What is dealt must be so
+(``textcore.fixed`` writes it first where it isn't).
 """
 
 from __future__ import annotations
@@ -138,12 +139,16 @@ class Table:
     def close(self) -> Table:
         if self.pending:
             held = self.pending if self.hash is None else [(self.hash, self.cols), *self.pending]
+            self.hash, self.cols, self.pending, self.size = None, {}, [], 0
             h = np.concatenate([x[0] for x in held])
-            order = np.argsort(h, kind="stable")
+            held = [x[1] for x in held]
+            order = np.argsort(h, kind="stable")  # runs are merged
             h = h[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            self.cols = {k: f.reduceat(np.concatenate([x[1][k] for x in held])[order], first) for k, f in self.folds.items()}
-            self.hash, self.pending, self.size = h[first], [], 0
+            self.hash = h[first]
+            del h
+            for k, f in self.folds.items():  # a column at a time, and what it came from is let go
+                self.cols[k] = f.reduceat(np.concatenate([x.pop(k) for x in held])[order], first)
         return self
 
     def at(self, hash_: np.ndarray) -> Arrays:
@@ -160,7 +165,7 @@ def settle(packs: DataFrame, fold: Callable[[Table, Arrays], None], folds: dict[
     """
 
     def go(batches):
-        table, held = Table(folds), tempfile.SpooledTemporaryFile(max_size=48 << 20)
+        table, held = Table(folds), tempfile.SpooledTemporaryFile(max_size=16 << 20)
         sizes: list[tuple[int, int]] = []
         with held:
             for b in batches:

@@ -21,6 +21,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -33,31 +34,21 @@ from . import textcore as tc
 WINDOW = 50
 
 
-def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
-    """Each word and a space after it."""
-    size = end - start + 1
-    done = np.cumsum(size)
-    if not len(size):
-        return b""
-    out = np.append(data, np.uint8(0x20))[np.repeat(start - (done - size), size) + np.arange(done[-1])]
-    out[done - 1] = 0x20
-    return out.tobytes()
-
-
 def _word_rows(b: pa.RecordBatch):
     data, offs = tc.string_buffers(b.column("text"))
     start, end, row = tc.word_bounds(data, offs, tc.WHITE)
     return data, offs, start, end, row, tc.row_starts(row, b.num_rows)
 
 
-def _digests(data, start, end, bounds, keep=None) -> list[str]:
+def _digests(data, offs, bounds, keep=None) -> list[str]:
     """SHA-256 of each row's words (those kept), joined by one space."""
-    if keep is not None:
-        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
-        start, end = start[keep], end[keep]
-    raw = joined(data, start, end)
-    at = np.concatenate([[0], np.cumsum(end - start + 1)])[bounds].tolist()
-    return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    out = []
+    for r, (i, j) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        words = data[i:j].tobytes().split()  # at 09-0D and 20, as words are
+        if keep is not None:
+            words = itertools.compress(words, keep[bounds[r] : bounds[r + 1]].tolist())
+        out.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return out
 
 
 def _hit_rows(directory: ex.Arrays, answers: list[ex.Arrays], columns: list[str]) -> pa.RecordBatch:
@@ -78,9 +69,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def probes(b):
         data, offs, start, end, row, bounds = _word_rows(b)
         h, at = tc.ngram_hashes(tc.span_hashes(data, start, end), row, block)
-        pos = at - bounds[row[at]]
-        entries = {"hash": h, "row": row[at], "pos": pos}
-        sha = np.array(_digests(data, start, end, bounds), "S64").view(np.uint8)
+        row = row[at].astype(np.int32)
+        entries = {"hash": h, "row": row, "pos": (at - bounds[row]).astype(np.int32)}
+        sha = np.array(_digests(data, offs, bounds), "S64").view(np.uint8)
         return entries, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "n_words": np.diff(bounds), "sha": sha}
 
     folds = {"low": np.minimum, "high": np.maximum, "block": np.maximum}
@@ -130,7 +121,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             gone = tc.cover(np.concatenate(at), window, len(start))
             spans = [_runs(gone[bounds[r] : bounds[r + 1]]) for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("did"), b.column("tkey"), pa.array(np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])), pa.array(_digests(data, start, end, bounds, ~gone)), pa.array(spans, pa.list_(pa.int64()))],
+                [b.column("did"), b.column("tkey"), pa.array(np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])), pa.array(_digests(data, offs, bounds, ~gone)), pa.array(spans, pa.list_(pa.int64()))],
                 ["did", "tkey", "n_removed", "kept", "removed"],
             )
 

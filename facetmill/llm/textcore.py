@@ -219,13 +219,36 @@ def span_hashes_any(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return mix(out)
 
 
+def row_ends(b: pa.RecordBatch) -> np.ndarray:
+    """Where each row's bytes end, about, if the rows of ``b`` stand one after the other; 0 first."""
+    n = b.num_rows
+    out = np.zeros(n + 1, np.int64)
+    for c in b.columns:
+        kind = c.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            wide = np.int64 if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) else np.int32
+            if (offsets := c.buffers()[1]) is not None:
+                o = np.frombuffer(offsets, wide, n + 1, c.offset * np.dtype(wide).itemsize).astype(np.int64)
+                out += o - o[0]
+        else:
+            out += np.arange(n + 1) * (c.nbytes // max(n, 1))
+    return out
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes."""
+    """The same rows in batches of about ``limit`` bytes, or of one row that is longer."""
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         if not b.num_rows:
             continue
+        if b.nbytes > limit:
+            if held:
+                yield _one(held)
+                held, size = [], 0
+            for i, j in slices(row_ends(b), limit):
+                yield b.slice(i, j - i)
+            continue
         held.append(b)
         size += b.nbytes
         if size >= limit:
@@ -241,23 +264,47 @@ def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)], held[0].schema.names)
 
 
-def arrow_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of about ``SLICE`` bytes, whatever the length of rows.
+def arrow_batches(df: DataFrame, fn, schema, limit: int = SLICE) -> DataFrame:
+    """``df.mapInArrow`` with batches of about ``limit`` bytes, or of one row that is longer.
 
-    Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` in the session, as the
-    default of 10,000 texts of unknown length would not be a memory bound.
+    Lowers ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``.maxBytesPerBatch``
+    in the session, never raises them: the defaults of 10,000 texts or 64 MB are no
+    bound for small executors. As the result is lazy, they stay lowered.
     """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
-
+    lower(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS)
+    lower(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", SLICE)
 
     def run(batches):
-        yield from fn(gathered(batches))
+        yield from fn(gathered(batches, limit))
         trim()
 
     return df.mapInArrow(run, schema)
 
 
+def lower(spark: SparkSession, setting: str, most: int) -> None:
+    """Set a bound of the session to ``most`` unless it is a smaller positive number already."""
+    now = str(spark.conf.get(setting)).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(setting, str(most))
+
+
+def replayable(df: DataFrame) -> bool:
+    """Whether a task that runs again surely reads the same rows in the same order: scans, projections and filters."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        p = plans.pop()
+        if not p.deterministic() or p.nodeName() not in ("Project", "Filter") and not p.nodeName().startswith(("LogicalRelation", "Relation", "LocalRelation", "DataSourceV2Relation")):
+            return False
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return True
+
+
+def fixed(df: DataFrame, name: str = "input") -> DataFrame:
+    """``df``, written first where a task that runs again may not read the same rows in the same order."""
+    return df if replayable(df) else stored(df, name)
+
+
 def trim() -> None:
     """Give freed memory back at a task's end: Python workers stay for later tasks."""
     gc.collect()
@@ -283,9 +330,9 @@ def release(spark: SparkSession) -> None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did (doc_id, a null one after all others), tkey (64-bit key of the text) and text of each row."""
+    """did (doc_id, a null one after all others), tkey (64-bit key of the text) and text of each row; safe to read again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    return fixed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text")))
 
 
 def doc_id() -> F.Column:

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, counted, frame, order, rows, words
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from facetmill.llm import decontaminate, induced_sort, ngram_join, quality_rules, substring_dedup, suffix_dedup
@@ -187,3 +190,54 @@ def test_op5_forest_isolates_odd_rows():
 @pytest.mark.parametrize("run", [lambda d, s: ngram_join.jaccard_components(d), lambda d, s: suffix_dedup.remove_repeats(d), lambda d, s: substring_dedup.remove_repeats(d), lambda d, s: quality_rules.quality_rules(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: decontaminate.decontaminate(d, s.createDataFrame(ITEMS, "item_id int, text string"))])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA), spark).count() == 0
+
+
+def test_batches_are_bounded_by_bytes():
+    """256 rows of 1 MiB come in slices; row order and slices of slices stay right."""
+    b = pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array(["é" * (1 << 19)] * 255 + [None])], ["did", "text"])
+    got = list(tc.gathered(iter([b.slice(0, 0), b.slice(250), b, b.slice(3, 2)])))
+    assert [x for g in got for x in g.column("did").to_pylist()] == [*range(250, 256), *range(256), 3, 4]
+    assert max(g.nbytes for g in got) <= tc.SLICE + (1 << 20) + 4096
+    long_ = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["x", "y" * (3 * tc.SLICE), ""])], ["did", "text"])
+    assert sum(g.num_rows for g in tc.gathered(iter([long_]))) == 3
+
+
+def test_long_rows_in_one_partition(spark):
+    """Rows of a megabyte each, more of them than a batch may hold."""
+    docs = spark.range(0, 8, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(120_000)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") + 7)).cast("string")))).alias("text"))
+    assert [r.n_words for r in substring_dedup.remove_repeats(tc.stored(docs)).select("n_words").collect()] == [120_001] * 8
+
+
+def test_inputs_that_may_change_are_written_first(spark):
+    scan = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    at = tc.stored(scan, "scan")
+    assert tc.replayable(at.where("doc_id > 1").select("text"))
+    assert not tc.replayable(at.repartition(3)) and not tc.replayable(at.where("rand() > 0.5")) and not tc.replayable(at.join(scan, "doc_id"))
+    assert tc.fixed(at) is at
+
+
+def test_a_task_that_fails_midway_is_run_again(spark, tmp_path):
+    """Recovery: a batch function fails once in each task; answers are those of a run without failures."""
+    docs = tc.stored(frame(spark, rows()).select("doc_id", "text"), "retry")
+    want = counted(substring_dedup.remove_repeats(docs).drop("removed").collect())
+    marks = str(tmp_path)
+    whole = tc.arrow_batches
+
+    def failing(df, fn, schema, *more):
+        def once(batches):
+            c = TaskContext.get()
+            mark = Path(marks) / f"{c.stageId()}-{c.partitionId()}"
+            for k, b in enumerate(fn(batches)):
+                yield b
+                if not k and c.attemptNumber() == 0 and not mark.exists():
+                    mark.touch()
+                    raise RuntimeError("lost")
+
+        return whole(df, once, schema, *more)
+
+    tc.arrow_batches = failing
+    try:
+        got = counted(substring_dedup.remove_repeats(docs).drop("removed").collect())
+    finally:
+        tc.arrow_batches = whole
+    assert got == want
