@@ -14,6 +14,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetmill import project_queries
 from facetmill.config import ENTITY_TYPES, STOP_WORDS, AggregationConfig
 from facetmill.functions import text as tx
 from facetmill.operators import clustering, components, directives, graph, grouping, intervals, numbering, profile, projection, resolve, similarity, tokens
@@ -38,11 +39,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | project_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | project_queries.ORACLE
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
