@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,14 +31,19 @@ UNASSIGNED_BLOCKS = "block_id string, group_id string, signature string, file st
 
 
 def containment(entities: DataFrame, keys: list[str], name: str, ident: str, is_container: Column, separator: str = ".") -> DataFrame:
-    """(container, member) where the member's name goes on from the container's, within equal keys (JOIN-12)."""
+    """(container, member) where the member's name goes on from the container's, within equal keys (JOIN-12).
+
+    A member looks for each beginning of its name that ends before a separator, so
+    the join is by equality and one hot key spreads over the names in it.
+    """
     c = entities.where(is_container & F.col(name).isNotNull() & (F.trim(name) != "")).select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col(name).alias("c_name"), F.col(ident).alias("container"))
-    m = entities.where(F.col(name).isNotNull()).select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col(name).alias("m_name"), F.col(ident).alias("member"))
-    same = [F.col(f"c_{k}") == F.col(f"m_{k}") for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return c.join(m, on & F.col("m_name").startswith(F.concat("c_name", F.lit(separator))) & (F.col("container") != F.col("member"))).select("container", "member")
+    parts = F.split(F.col(name), re.escape(separator), -1)
+    m = entities.where(F.col(name).isNotNull()).select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col(ident).alias("member"), parts.alias("_p")).where(F.size("_p") > 1)
+    m = m.withColumn("m_name", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.array_join(F.slice("_p", F.lit(1), i), separator)))).drop("_p")
+    on = F.col("c_name") == F.col("m_name")
+    for k in keys:
+        on = on & (F.col(f"c_{k}") == F.col(f"m_{k}"))
+    return c.join(m, on & (F.col("container") != F.col("member"))).select("container", "member")
 
 
 def classification(block_only: Column, entities: Column, internal: Column) -> Column:

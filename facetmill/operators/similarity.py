@@ -9,11 +9,19 @@ from facetmill.config import AggregationConfig
 from facetmill.functions import text as tx
 
 
+#: Tasks that the pairs of one group are dealt over.
+SALTS = 16
+
+
 def all_pairs(rows: DataFrame, group: str, ident: str, order: list[str]) -> DataFrame:
-    """Every two rows of a group, once, the first in order first (JOIN-16)."""
-    x = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("a"), F.struct(*order).alias("_x"))
-    y = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("b"), F.struct(*order).alias("_y"))
-    return x.join(y, "group_id").where("_x < _y").drop("_x", "_y")
+    """Every two rows of a group, once, the first in order first (JOIN-16).
+
+    The result is quadratic by definition; a group is dealt over SALTS keys so that
+    one large group isn't one task.
+    """
+    x = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("a"), F.struct(*order).alias("_x"), F.pmod(F.xxhash64(ident), F.lit(SALTS)).alias("_salt"))
+    y = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("b"), F.struct(*order).alias("_y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    return x.join(y, ["group_id", "_salt"]).where("_x < _y").drop("_x", "_y", "_salt")
 
 
 def weighted_jaccard(pairs: DataFrame, freq: DataFrame, ident: str, token: str, n: str, out: str = "lexical") -> DataFrame:

@@ -362,3 +362,128 @@ def rpt7_fil15_details(spark, sf):
     parts = {f"FEC {k}": v.select(*shown[k]) for k, v in reports.details(a, one).items()}
     parts |= {f"AFEC {k}": v.select(*(_WIDE if k == "candidate" else shown[k])) for k, v in reports.details(a, "AFEC-G2-01").items() if k in shown}
     return reports.lines(parts)
+
+
+# sources made from customers: each form of a declaration, by the customer's key
+
+_FORMS = [
+    """package p%n;
+public interface T%k extends Base {
+  void go(int a, String b);
+}
+""",
+    """package p%n;
+import java.util.List;
+public class T%k<X extends Number> {
+  private List<String> items, more;
+  public T%k(Map<String, List<X>> m, int[] c) {
+    this.items = null;
+  }
+  <Y> Y pick(Y y, int... z) {
+    return y;
+  }
+  T%k() { } T%k(int a) { }
+}
+""",
+    """package p%n;
+class T%k {
+  enum Color { RED, GREEN; void paint() { } }
+  class Inner {
+    int deep;
+  }
+  void make() {
+    class Local { void hid() { } }
+    Runnable r = new Runnable() { public void run() { go(); } };
+    new Inner();
+  }
+}
+""",
+    """package p%n;
+class T%k extends T3 implements Runnable {
+  @Override
+  public void run() {
+    helper(1);
+    this.count = count + 1;
+  }
+//#if A
+  int count;
+//#elif B
+  int other, count;
+//#endif
+}
+""",
+    "package p%n;\nclass T%k {\n  void run( {\n}\n",
+]
+_SPECIAL = "CASE WHEN c_custkey % 11 = 5 THEN 4 ELSE c_custkey % 4 END"
+
+#: form, entity type, simple name, qualified name, first and last line, products.
+_DECLARED = """(0, 'INTERFACE', 'T%k', 'p%n.T%k', 2, 4, 'A|B'), (0, 'METHOD', 'go', 'p%n.T%k.go', 3, 3, 'A|B'),
+(1, 'CLASS', 'T%k', 'p%n.T%k', 3, 12, 'A|B'), (1, 'FIELD', 'items', 'p%n.T%k.items', 4, 4, 'A|B'), (1, 'FIELD', 'more', 'p%n.T%k.more', 4, 4, 'A|B'), (1, 'CONSTRUCTOR', 'T%k', 'p%n.T%k.T%k', 5, 7, 'A|B'), (1, 'METHOD', 'pick', 'p%n.T%k.pick', 8, 10, 'A|B'), (1, 'CONSTRUCTOR', 'T%k', 'p%n.T%k.T%k', 11, 11, 'A|B'), (1, 'CONSTRUCTOR', 'T%k', 'p%n.T%k.T%k', 11, 11, 'A|B'),
+(2, 'CLASS', 'T%k', 'p%n.T%k', 2, 12, 'A|B'), (2, 'CLASS', 'Inner', 'p%n.T%k.Inner', 4, 6, 'A|B'), (2, 'METHOD', 'paint', 'p%n.T%k.paint', 3, 3, 'A|B'), (2, 'METHOD', 'make', 'p%n.T%k.make', 7, 11, 'A|B'), (2, 'METHOD', 'hid', 'p%n.T%k.Local.hid.make', 8, 8, 'A|B'), (2, 'METHOD', 'run', 'p%n.T%k.run.make', 9, 9, 'A|B'), (2, 'FIELD', 'deep', 'p%n.T%k.Inner.deep', 5, 5, 'A|B'),
+(3, 'CLASS', 'T%k', 'p%n.T%k', 2, 13, 'A|B'), (3, 'METHOD', 'run', 'p%n.T%k.run', 3, 7, 'A|B'), (3, 'FIELD', 'count', 'p%n.T%k.count', 9, 9, 'A'), (3, 'FIELD', 'other', 'p%n.T%k.other', 11, 11, 'B'), (3, 'FIELD', 'count', 'p%n.T%k.count', 11, 11, 'B')"""
+
+#: form, relation type, target, line, qualified name of the source, products.
+_SAID = """(0, 'EXTENDS', 'Base', 2, 'p%n.T%k', 'A|B'), (0, 'TYPE_REFERENCE', 'int', 3, 'p%n.T%k.go', 'A|B'), (0, 'TYPE_REFERENCE', 'String', 3, 'p%n.T%k.go', 'A|B'),
+(1, 'TYPE_REFERENCE', 'X extends Number', 3, 'p%n.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'Number', 3, 'p%n.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'List<String>', 4, 'p%n.T%k.items', 'A|B'), (1, 'TYPE_REFERENCE', 'String', 4, 'p%n.T%k.items', 'A|B'), (1, 'TYPE_REFERENCE', 'List<String>', 4, 'p%n.T%k.more', 'A|B'), (1, 'TYPE_REFERENCE', 'String', 4, 'p%n.T%k.more', 'A|B'),
+(1, 'TYPE_REFERENCE', 'Map<String, List<X>>', 5, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'String', 5, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'List<X>', 5, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'X', 5, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'int[]', 5, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'int', 5, 'p%n.T%k.T%k', 'A|B'),
+(1, 'FIELD_REFERENCE', 'items', 6, 'p%n.T%k.T%k', 'A|B'), (1, 'TYPE_REFERENCE', 'Y', 8, 'p%n.T%k.pick', 'A|B'), (1, 'TYPE_REFERENCE', 'int', 8, 'p%n.T%k.pick', 'A|B'), (1, 'TYPE_REFERENCE', 'int', 11, 'p%n.T%k.T%k', 'A|B'),
+(2, 'TYPE_REFERENCE', 'int', 5, 'p%n.T%k.Inner.deep', 'A|B'), (2, 'TYPE_REFERENCE', 'Runnable', 9, 'p%n.T%k.make', 'A|B'), (2, 'TYPE_REFERENCE', 'Inner', 10, 'p%n.T%k.make', 'A|B'), (2, 'CONSTRUCTOR_CALL', 'Runnable', 9, 'p%n.T%k.make', 'A|B'), (2, 'CONSTRUCTOR_CALL', 'Inner', 10, 'p%n.T%k.make', 'A|B'), (2, 'METHOD_CALL', 'go', 9, 'p%n.T%k.run.make', 'A|B'),
+(3, 'EXTENDS', 'T3', 2, 'p%n.T%k', 'A|B'), (3, 'IMPLEMENTS', 'Runnable', 2, 'p%n.T%k', 'A|B'), (3, 'METHOD_CALL', 'helper', 5, 'p%n.T%k.run', 'A|B'), (3, 'FIELD_REFERENCE', 'count', 6, 'p%n.T%k.run', 'A|B'), (3, 'TYPE_REFERENCE', 'int', 9, 'p%n.T%k.count', 'A'), (3, 'TYPE_REFERENCE', 'int', 11, 'p%n.T%k.other', 'B'), (3, 'TYPE_REFERENCE', 'int', 11, 'p%n.T%k.count', 'B')"""
+
+
+def _filled(column: str) -> str:
+    return f"replace(replace({column}, '%k', CAST(c_custkey AS VARCHAR)), '%n', CAST(c_nationkey AS VARCHAR))"
+
+
+_SOURCES: dict[tuple[str, str], Analysis] = {}
+
+
+def sources(spark: SparkSession, sf: str) -> Analysis:
+    """The analysis of one source for each customer; its facts, once made, serve the queries of an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if (a := _SOURCES.get(key)) is not None:
+        try:
+            a.facts.entities.limit(1).count()
+            return a
+        except Exception:  # what was stored is gone
+            pass
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), F.expr(_SPECIAL).cast("int") + 1)
+    text = F.replace(F.replace(form, F.lit("%k"), F.col("c_custkey").cast("string")), F.lit("%n"), F.col("c_nationkey").cast("string"))
+    a = _SOURCES[key] = Analysis(c.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), text.alias("src")))
+    return a
+
+
+def _sources_query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@_sources_query(f"""SELECT '/c/' || c_custkey AS file, entity_type, {_filled('simple')} AS simple_name, {_filled('qualified')} AS qualified_name, s AS start_line, e AS end_line, products
+FROM customer JOIN (VALUES {_DECLARED}) v(form, entity_type, simple, qualified, s, e, products) ON form = {_SPECIAL}""")
+def par1_to_par5_par12_par13_par14_agg3_fil2_entities(spark, sf):
+    e = sources(spark, sf).facts.entities
+    return e.select("file", "entity_type", "simple_name", "qualified_name", "start_line", "end_line", F.array_join("observed_products", "|").alias("products"))
+
+
+@_sources_query(f"""SELECT '/c/' || c_custkey AS file, relation_type, target AS target_text, line AS source_line, {_filled('source')} AS source_name, products
+FROM customer JOIN (VALUES {_SAID}) v(form, relation_type, target, line, source, products) ON form = {_SPECIAL}""")
+def par6_to_par11_agg4_join5_join6_relations(spark, sf):
+    f = sources(spark, sf).facts
+    names = f.entities.select(F.col("entity_id").alias("source_entity_id"), F.col("qualified_name").alias("source_name"))
+    return f.relations.join(names, "source_entity_id", "left").select("file", "relation_type", "target_text", "source_line", "source_name", F.array_join("observed_products", "|").alias("products"))
+
+
+@_sources_query(f"""SELECT 'failure' AS what, '/c/' || c_custkey AS file, product, 3 AS line FROM customer, (SELECT unnest(['A', 'B']) AS product) WHERE {_SPECIAL} = 4
+UNION ALL SELECT 'parsed files', NULL, NULL, count(*) FROM customer WHERE {_SPECIAL} <> 4 UNION ALL SELECT 'attempts', NULL, NULL, 2 * count(*) FROM customer UNION ALL SELECT 'successes', NULL, NULL, 2 * count(*) FROM customer WHERE {_SPECIAL} <> 4""")
+def par1_agg23_src6_failures_and_counts(spark, sf):
+    f = sources(spark, sf).facts
+    none = F.lit(None).cast("string")
+    said = [f.stats.select(F.lit(name).alias("what"), none.alias("file"), none.alias("product"), F.col(c).cast("long").alias("line")) for name, c in (("parsed files", "parsed_files"), ("attempts", "attempts"), ("successes", "successes"))]
+    out = f.failures.where("extraction_skipped").select(F.lit("failure").alias("what"), "file", "product", F.col("line").cast("long").alias("line"))
+    for s in said:
+        out = out.union(s)
+    return out
