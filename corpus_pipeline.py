@@ -39,8 +39,10 @@ def _back(out: DataFrame, docs: DataFrame, plain: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; a missing ``lang`` is filled in."""
+    """Documents whose language is identified; a missing ``lang`` is filled in. Without a column ``lang`` nothing can be learned and no document passes."""
     rows, plain = _guarded(docs)
+    if "lang" not in docs.columns:
+        return docs.limit(0)
     model = _langid.train(rows.select("text", "lang", F.col("doc_id").alias("key")))
     found = _langid.identify(rows, model, plain).where("not rejected")
     return _back(found.withColumn(lang := plain[docs.columns.index("lang")], F.coalesce(lang, "lang_pred")), docs, plain)

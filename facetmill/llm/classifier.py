@@ -8,7 +8,8 @@ in it, a trained model is also one weight per bucket, which is how whole texts
 are scored in one vectorised pass.
 
 The model is fitted on at most ``SAMPLE`` labelled rows (those with the smallest
-hashes of their ids, from the training folds); every row is scored.
+hashes of their ids, from the training folds, whatever their length); their features
+are counted on the executors. Every row is scored.
 
 Cases: null and empty texts have no features and get the prior's score; a null
 ``doc_id`` is never labelled nor held out; labels that repeat for an id count
@@ -23,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange as ex
 from . import textcore as tc
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 6000
-#: Bound of one labelled row's bytes that training looks at; longer rows stay out of the sample.
-ROW_BYTES = 64 << 10
 BUCKETS = 1 << 16
 DIM = 8
 NGRAMS = (2, 3, 4)
@@ -66,26 +66,41 @@ def features(data: np.ndarray, offs: np.ndarray, ngrams: tuple[int, ...] = NGRAM
     return np.concatenate(buckets), np.concatenate(rows)
 
 
+def counted(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text's features, ascending, and how often each occurs; a long text is taken a megabyte at a time.
+
+    A feature over such a cut counts on neither side but its word does: cuts are at white space.
+    """
+    total = np.zeros(BUCKETS, np.int64)
+    a, end = 0, len(data)
+    while a < end:
+        b = min(a + tc.PIECE, end)
+        if b < end:
+            white = np.flatnonzero(tc.WHITE[data[a:b]])
+            b = a + int(white[-1]) + 1 if len(white) else b
+        f, _ = features(data[a:b], np.array([0, b - a], np.int64))
+        total += np.bincount(f, minlength=BUCKETS)
+        a = b
+    at = np.flatnonzero(total)
+    return at.astype(np.int32), total[at]
+
+
 class SubwordClassifier:
     """Averaged hashed vectors and a softmax over labels, trained by SGD."""
 
     def __init__(self, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11):
         self.dim, self.epochs, self.rate, self.seed = dim, epochs, rate, seed
 
-    def fit(self, texts: list[str], labels: np.ndarray, classes: int = 2) -> SubwordClassifier:
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int = 2) -> SubwordClassifier:
+        """bags: the buckets of each text's features, and the share of each (``bag``)."""
         rng = np.random.default_rng(self.seed)
         e = rng.uniform(-1 / self.dim, 1 / self.dim, (BUCKETS, self.dim)).astype(np.float32)
         w = np.zeros((classes, self.dim), np.float32)
         prior = np.bincount(labels, minlength=classes) + 1
         b = np.log(prior / prior.sum()).astype(np.float32)
-        bags = []
-        for t in texts:
-            data, offs = tc.string_buffers(pa.array([t], pa.string()))
-            f, n = np.unique(features(data, offs)[0], return_counts=True)
-            bags.append((f, (n / max(n.sum(), 1)).astype(np.float32)))
-        steps, done = self.epochs * len(texts), 0
+        steps, done = self.epochs * len(bags), 0
         for _ in range(self.epochs):
-            for i in rng.permutation(len(texts)):
+            for i in rng.permutation(len(bags)):
                 f, n = bags[i]
                 rate = self.rate * (1 - done / steps)
                 done += 1
@@ -125,13 +140,22 @@ def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, thresho
 
     labelled: (text, label 0/1, key) rows to learn from; ``key`` decides, by hash, which are sampled.
     """
-    rows = (
-        labelled.where(F.octet_length("text") <= ROW_BYTES).withColumn("h", F.xxhash64("key"))
-        .orderBy("h", "key", "label").limit(sample).select("text", "label").collect()
-    )
+    def bags(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                data, offs = tc.string_buffers(b.column("text").slice(i, 1))
+                f, n = counted(data, offs)
+                yield pa.RecordBatch.from_arrays([b.column("label").slice(i, 1), b.column("key").slice(i, 1), pa.array([ex.pack({"hash": f, "n": ex.small(n)})])], ["label", "key", "bag"])
+
+    kept = tc.arrow_batches(labelled.select(F.col("text").cast("string"), F.col("label").cast("long"), F.col("key").cast("long")), bags, "label long, key long, bag binary")
+    rows = kept.withColumn("h", F.xxhash64("key")).orderBy("h", "key", "label", "bag").limit(sample).select("label", "bag").collect()
     y = np.array([r.label for r in rows], np.int64)
     if len(set(y.tolist())) == 2:
-        table, bias = SubwordClassifier().fit([r.text for r in rows], y).table()
+        made = []
+        for r in rows:
+            e = ex.unpack(r.bag)
+            made.append((e["hash"], (e["n"] / max(e["n"].sum(), 1)).astype(np.float32)))
+        table, bias = SubwordClassifier().fit(made, y).table()
     else:
         table, bias = np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     model = docs.sparkSession.sparkContext.broadcast((table, bias))

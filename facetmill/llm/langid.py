@@ -6,11 +6,12 @@ sublinear term frequency times inverse document frequency and normalised. Each
 language has ``CENTROIDS`` centroids from spherical k-means; a text gets the
 language of the centroid with the largest cosine. Texts farther from every
 centroid than their length explains are rejected: the least accepted cosine of
-a length class is calibrated on the training rows.
+a length class is a share of the quantile that the training rows of that class reach.
 
-Centroids, document frequencies and distances are fitted on at most ``SAMPLE``
-labelled rows for each language (by hash of their ids) of the training folds;
-every whole text is classified.
+Centroids and document frequencies are fitted on about ``SAMPLE`` labelled rows for
+each language (by hash of their ids) of the training folds, a language to a task, so
+the driver gets centroids only; the quantiles come from all training rows, and every
+whole text is classified. No language is left out.
 
 Cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; a null language teaches nothing; without training rows every text
@@ -23,21 +24,24 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange as ex
 from . import textcore as tc
 from .classifier import fold
 
 #: Bound of the labelled rows for each language that the centroids are fitted on.
 SAMPLE = 1200
-#: Bound of the languages learned: those with the most rows.
-LANGUAGES = 200
 BUCKETS = 1 << 12
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but SLACK of the training rows of its length reach.
-SHARE, SLACK = 0.4, 0.002
+SHARE, SLACK = 0.6, 0.002
+#: Steps of cosine that quantiles are told apart by.
+STEPS = 4096
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -46,94 +50,129 @@ _LENGTHS = np.array([0, 8, 16, 32, 64, 128, 256, 1024])
 
 
 def counts(text: str) -> np.ndarray | None:
-    """Hashed n-gram counts of a text, worked on in pieces; None without a letter."""
+    """Hashed n-gram counts of a whole text, hashed in pieces that overlap by what an n-gram needs; None without a letter."""
     if not _LETTER.search(text):
         return None
     out = np.zeros(BUCKETS)
-    step = 1 << 20
-    for i in range(0, len(text), step):
-        # pieces overlap by two characters of context at most: n-grams there may count twice
-        data = np.frombuffer(b" " + _OTHER.sub(b" ", text[i : i + step].lower().encode("utf-8", "replace")) + b" ", np.uint8).astype(np.uint32)
-        for n in (1, 2, 3):
-            m = len(data) - n + 1
-            if m > 0:
-                x = np.full(m, n, np.uint32)
-                for k in range(n):
-                    x = (x + data[k : k + m]) * np.uint32(0x9E3779B1)
-                    x ^= x >> np.uint32(15)
-                out += np.bincount((x >> np.uint32(7)) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+    whole = np.frombuffer(b" " + _OTHER.sub(b" ", text.lower().encode("utf-8", "replace")) + b" ", np.uint8)
+    for n in (1, 2, 3):
+        for i in range(0, max(len(whole) - n + 1, 0), PIECE):
+            m = min(PIECE, len(whole) - n + 1 - i)
+            data = whole[i : i + m + n - 1].astype(np.uint32)
+            x = np.full(m, n, np.uint32)
+            for k in range(n):
+                x = (x + data[k : k + m]) * np.uint32(0x9E3779B1)
+                x ^= x >> np.uint32(15)
+            out += np.bincount((x >> np.uint32(7)) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
     return out
 
 
+def length_class(rows: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_LENGTHS, rows.sum(1) / 3, "right") - 1
+
+
+def vectors(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = np.log1p(rows).astype(np.float32) * idf
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def centroids_of(rows: np.ndarray, idf: np.ndarray, k: int = CENTROIDS, seed: int = 5) -> np.ndarray:
+    """Centroids of one language's rows of counts, by spherical k-means."""
+    v = vectors(rows, idf)
+    c = v[np.random.default_rng(seed).choice(len(v), min(k, len(v)), replace=False)]
+    for _ in range(12):
+        near = (v @ c.T).argmax(1)
+        c = np.stack([v[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return c
+
+
+def thresholds(seen: np.ndarray) -> np.ndarray:
+    """Least accepted cosine of each length class, from counts of rows by class and step of cosine.
+
+    A class without rows takes the next longer one's, or else the next shorter one's;
+    shorter texts are never asked for more than longer ones.
+    """
+    n = seen.sum(1)
+    at = np.array([np.searchsorted(np.cumsum(x), max(1, int(np.ceil(SLACK * k)))) / STEPS if k else np.nan for x, k in zip(seen, n, strict=True)])
+    have = np.flatnonzero(n)
+    if not len(have):
+        return np.zeros(len(n))
+    at = at[[have[min(np.searchsorted(have, i), len(have) - 1)] for i in range(len(n))]]
+    return SHARE * np.minimum.accumulate(at[::-1])[::-1]
+
+
 class CentroidModel:
-    """Clustered centroids of TF-IDF vectors for each language."""
-
-    def __init__(self, centroids: int = CENTROIDS, seed: int = 5):
-        self.centroids, self.seed = centroids, seed
-
-    def fit(self, rows: np.ndarray, langs: list[str]) -> CentroidModel:
-        self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + np.float32(0.3)
-        x = np.empty(rows.shape, np.float32)
-        for i in range(0, len(rows), 256):  # counts stay 16-bit: no whole copies beside the vectors
-            x[i : i + 256] = self.vectors(rows[i : i + 256].astype(np.float32))
-        names, lang = np.unique(np.array(langs), return_inverse=True)
-        rng = np.random.default_rng(self.seed)
-        parts, owner = [], []
-        for k in range(len(names)):
-            v = x[lang == k]
-            c = v[rng.choice(len(v), min(self.centroids, len(v)), replace=False)]
-            for _ in range(12):
-                near = (v @ c.T).argmax(1)
-                c = np.stack([v[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-            parts.append(c)
-            owner += [k] * len(c)
-        self.names, self.matrix, self.owner = names, np.concatenate(parts).T.astype(np.float32), np.array(owner)
-        best = (x @ self.matrix).max(1)
-        length = self.length_class(rows)
-        at = np.array([np.quantile(best[length >= k], SLACK) if (length >= k).any() else 0.0 for k in range(len(_LENGTHS))])
-        at = np.array([np.quantile(best[length == k], SLACK) if (length == k).sum() >= 50 else min(at[k], at[min(k, length.min())]) for k in range(len(_LENGTHS))])
-        self.least = SHARE * np.minimum.accumulate(at[::-1])[::-1]
-        return self
-
-    @staticmethod
-    def length_class(rows: np.ndarray) -> np.ndarray:
-        return np.searchsorted(_LENGTHS, rows.sum(1) / 3, "right") - 1
-
-    def vectors(self, rows: np.ndarray) -> np.ndarray:
-        v = np.log1p(rows).astype(np.float32) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """Clustered centroids of TF-IDF vectors for each language, and the least cosines accepted."""
+
+    def __init__(self, idf: np.ndarray, names: list[str], centroids: list[np.ndarray]):
+        self.idf, self.names, self.matrix = idf, np.array(names), np.concatenate(centroids).T.astype(np.float32)
+        self.owner = np.repeat(np.arange(len(names)), [len(c) for c in centroids])
+        self.least = np.zeros(len(_LENGTHS))
 
     def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, cosine and whether the row is rejected."""
-        s = self.vectors(rows) @ self.matrix
+        s = vectors(rows, self.idf) @ self.matrix
         at = s.argmax(1)
         best = np.clip(s[np.arange(len(s)), at], 0, 1).astype(float)
-        return self.owner[at], best, best < self.least[self.length_class(rows)]
+        return self.owner[at], best, best < self.least[length_class(rows)]
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> CentroidModel | None:
-    """A model from (text, lang, key) rows; ``key`` decides, by hash, which rows are sampled."""
-    rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
-        return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, sample / r.n)))])[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000)
+def train(labelled: DataFrame, sample: int = SAMPLE) -> CentroidModel | None:
+    """A model from (text, lang, key) rows; ``key`` decides, by hash, which rows centroids are fitted on."""
+    spark = labelled.sparkSession
+    rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "key")
+    sizes = rows.groupBy("lang").agg((F.lit(1_000_000) * F.least(F.lit(1.0), sample / F.count("*"))).alias("share"))
+    picked = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share"))
 
-    def vectors(batches):
+    def counted(batches):
         for b in batches:
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (c := counts(t)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes()])], ["lang", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([ex.pack({"n": ex.small(c.astype(np.int64))})])], ["lang", "v"])
+
+    kept = tc.stored(tc.arrow_batches(picked.select("text", "lang"), counted, "lang string, v binary"), "counts")
 
-    got = tc.arrow_batches(picked.select(F.col("text").cast("string"), F.col("lang").cast("string")), vectors, "lang string, v binary").collect()
-    got.sort(key=lambda r: (r.lang, r.v))  # the order of partitions doesn't matter
-    if not got:
+    def present(batches):
+        n, df = 0, np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for v in b.column("v").to_pylist():
+                df += ex.unpack(v)["n"] > 0
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()])], ["n", "df"])
+
+    n, df = 0, np.zeros(BUCKETS, np.int64)
+    for r in tc.arrow_batches(kept.select("v").coalesce(64), present, "n long, df binary").collect():  # 32 kB from each of 64 tasks at most
+        n, df = n + r.n, df + np.frombuffer(r.df, np.int64)
+    if not n:
         return None
-    counted, langs = np.stack([np.frombuffer(r.v, np.uint16) for r in got]), [r.lang for r in got]
-    del got
-    return CentroidModel().fit(counted, langs)
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.3)
+
+    def cluster(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([ex.unpack(v)["n"].astype(np.float32) for v in sorted(part["v"])])  # the order of partitions doesn't matter
+        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "c": [centroids_of(x, idf).astype(np.float32).tobytes()]})
+
+    tc.ship(spark)
+    got = sorted(kept.groupBy("lang").applyInPandas(cluster, "lang string, c binary").collect(), key=lambda r: r.lang)  # CENTROIDS vectors a language
+    model = CentroidModel(idf, [r.lang for r in got], [np.frombuffer(r.c, np.float32).reshape(-1, BUCKETS) for r in got])
+    shared = spark.sparkContext.broadcast(model)
+
+    def reached(batches):
+        seen = np.zeros((len(_LENGTHS), STEPS), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = [c for c in map(counts, b.column(0).slice(i, 256).to_pylist()) if c is not None]
+                if part:
+                    x = np.stack(part)
+                    np.add.at(seen, (length_class(x), np.minimum((shared.value.predict(x)[1] * STEPS).astype(int), STEPS - 1)), 1)
+        at = np.argwhere(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(seen[tuple(at.T)])], ["k", "step", "n"])
+
+    seen = np.zeros((len(_LENGTHS), STEPS), np.int64)
+    for r in tc.arrow_batches(rows.select("text"), reached, "k long, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).collect():  # of a fixed size
+        seen[r.k, r.step] = r.n
+    model.least = thresholds(seen)
+    return model
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, keep: list[str] | None = None) -> DataFrame:

@@ -1,13 +1,14 @@
 """Operator 5: quality rules with an isolation forest over rule statistics.
 
 ``rule_statistics`` scans each text once. ``IsolationForest`` (Liu et al., 2008)
-isolates rows by random splits; rows with short paths are anomalous. The forest
-and its threshold come from a sample of at most ``SAMPLE`` labelled rows (those
-with the smallest hashes of their ids); statistics and verdicts cover all rows.
+isolates rows by random splits; rows with short paths are anomalous. The forests
+come from at most ``SAMPLE`` labelled rows (those with the smallest hashes of their
+ids); thresholds come from the scores of all labelled good rows, and statistics and
+verdicts cover all rows.
 
 Cases: a null or empty text has no words and fails the base rules; a null
-``doc_id`` matches no label; repeated rows each get a row; without labelled rows
-of both kinds nothing is anomalous; an empty table gives an empty result; other
+``doc_id`` matches no label; repeated rows each get a row; without labelled good
+rows nothing is anomalous; an empty table gives an empty result; other
 columns of the input are ignored, whatever their names.
 """
 
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-#: Bound of the labelled rows that the forest and the threshold are fitted on.
+#: Bound of the labelled rows that the forests are fitted on.
 SAMPLE = 20_000
-#: Share of good labelled rows that the threshold may reject.
+#: Share of good labelled rows that all thresholds together may reject.
 REJECT_GOOD = 0.001
+#: Steps of score that thresholds are told apart by.
+STEPS = 1 << 14
 
 #: Each family of rule statistics has a forest of its own, so that rows which stand
 #: out in one family are not hidden by what is usual in the others.
@@ -163,17 +166,20 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.forest) / self.norm)
 
 
-def calibrate(score: np.ndarray, bad: np.ndarray, reject_good: float = REJECT_GOOD) -> float:
-    """The lowest threshold that rejects at most ``reject_good`` of the good rows.
+def calibrate(good: np.ndarray, reject_good: float = REJECT_GOOD) -> float:
+    """The lowest threshold, in steps of score, that rejects at most ``reject_good`` of the good rows; 2 without any.
 
-    2 (nothing is that anomalous) without rows of both kinds, or where the
-    threshold doesn't reject bad rows five times as often as good ones.
+    good: how many good rows have a score of each step.
     """
-    good = np.sort(score[~bad])
-    if not len(good) or not bad.any():
+    n = int(good.sum())
+    if not n:
         return 2.0
-    t = float(np.nextafter(good[max(0, int(np.ceil(len(good) * (1 - reject_good))) - 1)], 2))
-    return t if (score[bad] >= t).mean() >= 5 * max((good >= t).mean(), 1 / len(good)) else 2.0
+    above = n - np.cumsum(good)  # rows past each step
+    return (int(np.flatnonzero(above <= reject_good * n)[0]) + 1) / STEPS
+
+
+def step_of(score: np.ndarray) -> np.ndarray:
+    return np.minimum((score * STEPS).astype(np.int64), STEPS - 1)
 
 
 def base_failed() -> F.Column:
@@ -185,21 +191,32 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reje
     stats = tc.stored(rule_statistics(docs).withColumn("base_failed", base_failed()), "rules")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     cols = [f"r_{x}" for x in RATIOS]
-    labelled = tc.thinned(stats.where("not base_failed").join(marks, "doc_id"), "doc_id", sample)
-    rows = labelled.select("quality", *cols, F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", *cols).limit(sample).toPandas()
+    labelled = tc.stored(stats.where("not base_failed").join(marks, "doc_id").select("doc_id", "quality", *cols), "labelled")
+    some = tc.thinned(labelled, "doc_id", sample).withColumn("h", F.xxhash64("doc_id"))
+    rows = some.orderBy("h", "doc_id", *cols).limit(sample).select(*cols).toPandas()
     models: list[tuple[list[int], IsolationForest, float]] = []
     if len(rows):
-        x, bad = rows[cols].to_numpy(float), rows["quality"].to_numpy() == 0
-        for family in FAMILIES:
-            at = [RATIOS.index(c) for c in family]
-            forest = IsolationForest().fit(x[:, at])
-            if (t := calibrate(forest.score(x[:, at]), bad, reject_good)) < 2:
-                models.append((at, forest, t))
+        x = rows.to_numpy(float)
+        fitted = [(at := [RATIOS.index(c) for c in family], IsolationForest().fit(x[:, at])) for family in FAMILIES]
+
+        def scored(batches):
+            seen = np.zeros((len(fitted), STEPS), np.int64)
+            for b in batches:
+                v = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], 1)
+                for f, (at, forest) in enumerate(fitted):
+                    seen[f] += np.bincount(step_of(forest.score(v[:, at])), minlength=STEPS)
+            at = np.argwhere(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(seen[tuple(at.T)])], ["f", "step", "n"])
+
+        good = np.zeros((len(fitted), STEPS), np.int64)
+        for r in tc.arrow_batches(labelled.where("quality = 1").select(*cols), scored, "f long, step long, n long").groupBy("f", "step").agg(F.sum("n").alias("n")).collect():  # of a fixed size
+            good[r.f, r.step] = r.n
+        models = [(at, forest, calibrate(g, reject_good / len(FAMILIES))) for (at, forest), g in zip(fitted, good, strict=True)]
 
     def judge(batches):
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], 1)
-            s = np.max([np.zeros(len(x)), *(forest.score(x[:, at]) / t for at, forest, t in models)], axis=0)
+            s = np.max([np.zeros(len(x)), *((step_of(forest.score(x[:, at])) + 0.5) / STEPS / t for at, forest, t in models)], axis=0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEEP), pa.array(s)], [*KEEP, "anomaly"])
 
     KEEP = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -47,12 +47,61 @@ def test_op1_held_out_accuracy_and_cases(spark):
     assert {r.lang_pred for r in langid.identify(df, None, ["doc_id"]).collect()} == {"und"}
 
 
-def test_op1_sample_and_16_bit_counts():
-    assert langid.SAMPLE >= 1200
-    rng = np.random.default_rng(4)
-    counted_ = rng.integers(0, 9, (600, langid.BUCKETS)).astype(np.uint16)
-    model, wide = (langid.CentroidModel().fit(x, ["a", "b"] * 300) for x in (counted_, counted_.astype(np.float32)))
-    assert np.array_equal(model.matrix, wide.matrix) and np.array_equal(model.least, wide.least)
+def slow_counts(text):
+    """N-gram buckets of a text by plain loops."""
+    data = b" " + re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.lower().encode()) + b" "
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            x = n
+            for c in data[i : i + n]:
+                x = (x + c) * 0x9E3779B1 % (1 << 32)
+                x ^= x >> 15
+            out[(x >> 7) % langid.BUCKETS] += 1
+    return out
+
+
+def test_op1_by_brute_force(spark):
+    """Every prediction and cosine from the model's own centroids, by plain loops; counts over cuts are those of the whole."""
+    rng = random.Random(6)
+    made = [(i, sentence(rng, rng.choice([1, 4, 25]), LANGS[k]), k, None, None, None, None, None) for i, k in enumerate(list(LANGS) * 12)]
+    df = frame(spark, made + [made[0], (500, "12", "en", None, None, None, None, None)])
+    model = langid.train(df.select("text", "lang", F.col("doc_id").alias("key")))
+    whole = {}
+    for r in df.collect():
+        c = slow_counts(r.text)
+        v = {b: math.log1p(n) * float(model.idf[b]) for b, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(model.matrix[b, j]) for b, x in v.items()) / size for j in range(model.matrix.shape[1])]
+        whole[r.doc_id] = (model.names[model.owner[int(np.argmax(cos))]], max(cos)) if any(ch.isalpha() for ch in r.text) else ("und", 0.0)
+    got = langid.identify(df, model, ["doc_id"]).collect()
+    assert len(got) == len(made) + 2 and all(r.lang_pred == whole[r.doc_id][0] and r.score == pytest.approx(whole[r.doc_id][1], abs=1e-4) for r in got)
+    text = "Ünder " * 30 + "x" * 50
+    try:
+        langid.PIECE = 7
+        assert {b: n for b, n in enumerate(langid.counts(text)) if n} == slow_counts(text)
+    finally:
+        langid.PIECE = 1 << 20
+
+
+def test_op1_learns_every_language_and_rejects_unlearned_ones(spark):
+    rng = random.Random(7)
+    letters = lambda k: [chr(0x400 + 7 * k + rng.randrange(7)) * 2 + chr(0x400 + 7 * k + rng.randrange(7)) for _ in range(6)]
+    made = [(k * 4 + i, sentence(rng, 20, letters(k)), f"l{k:03d}", None, None, None, None, None) for k in range(210) for i in range(3)]
+    df = frame(spark, made)
+    model = langid.train(df.select("text", "lang", F.col("doc_id").alias("key")))
+    assert len(model.names) == 210
+    other = frame(spark, [(1, " ".join("ابتثجحخ"[i % 7] * 3 for i in range(90)), None, *[None] * 5)])
+    assert langid.identify(other, model, ["doc_id"]).first().rejected
+
+
+def test_op1_thresholds():
+    seen = np.zeros((8, langid.STEPS), np.int64)
+    assert not langid.thresholds(seen).any()
+    seen[3, 2048] = 5
+    seen[6, 1024:] = 10
+    t = langid.thresholds(seen) / langid.SHARE
+    assert t[6] == t[7] == t[0] and t[6] == pytest.approx(0.2515, abs=1e-3) and (np.diff(t) >= 0).all()
 
 
 def test_op2_targets_and_samples(spark, docs, data):
@@ -142,6 +191,57 @@ def test_op8_held_out_accuracy_and_cases(spark):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def slow_features(text):
+    """Buckets of a text's features by plain loops."""
+    data = (text or "").encode()
+    out, last = Counter(), None
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        h = sum(int(tc.TABLE[c]) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * by % (1 << 64)
+        h ^= h >> 31
+        out[h % classifier.BUCKETS] += 1
+        out[classifier.REPEAT] += 4 * (h == last)
+        last = h
+    code = [32 if c in b" \t\n\r\x0b\x0c" else c for c in data]
+    for n in classifier.NGRAMS:
+        for i in range(len(code) - n + 1):
+            x = n
+            for c in code[i : i + n]:
+                x = (x * 0x01000193 + c * 0x9E3779B1) % (1 << 32)
+            x ^= x >> 15
+            x = x * 0x2C1B3C6D % (1 << 32)
+            x ^= x >> 13
+            out[x % classifier.BUCKETS] += 1
+    return +out
+
+
+def test_op8_scores_by_brute_force():
+    rng = random.Random(1)
+    texts = [sentence(rng, n) for n in (1, 7, 30)] + ["", "éü ü ü\n\n x", "same same same"]
+    table, bias = np.random.default_rng(2).normal(size=classifier.BUCKETS).astype(np.float32), 0.3
+    data, offs = tc.string_buffers(pa.array(texts))
+    got = classifier.score_slice(data, offs, table, bias)
+    for t, s in zip(texts, got, strict=True):
+        f = slow_features(t)
+        z = sum(float(table[b]) * n for b, n in f.items()) / max(sum(f.values()), 1) + bias
+        assert s == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+        d, o = tc.string_buffers(pa.array([t]))
+        at, n = classifier.counted(d, o)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == f
+
+
+def test_op8_long_and_repeated_labelled_rows(spark):
+    """A labelled row of a megabyte is learned from as any other; repeats count."""
+    rng = random.Random(3)
+    good, bad = sentence(rng, 180_000), "### $$$ " * 150_000
+    assert len(good) > 1 << 20 < len(bad)
+    labelled = spark.createDataFrame([(good, 1, 1), (bad, 0, 2), (bad, 0, 2), (None, 1, 3)], "text string, label long, key long")
+    docs = frame(spark, [(1, sentence(rng, 30), *[None] * 6), (2, "$$$ ###", *[None] * 6)])
+    got = {r.doc_id: r.score for r in classifier.classify(docs, labelled).collect()}
+    assert got[1] > got[2]
+
+
 def test_op9_base_scores_are_exact_and_the_model_is_a_distribution(docs, data):
     got = language_model.score_corpus(docs, classifier.fold("doc_id", 7) != 2).withColumn("doc_id", tc.doc_id()).collect()
     tok = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]

@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import SCHEMA, counted, frame, order, rows, words
+from helpers import SCHEMA, counted, frame, order, rows, sentence, words
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -183,8 +183,43 @@ def test_op5_forest_isolates_odd_rows():
     x = np.concatenate([rng.normal(0, 1, (400, 2)), [[9, 9]]])
     s = quality_rules.IsolationForest().fit(x).score(x)
     assert s.argmax() == 400
-    bad = np.arange(401) == 400
-    assert quality_rules.calibrate(s, bad, 0.01) <= s[400] and quality_rules.calibrate(s, np.zeros(401, bool)) == 2.0
+    good = np.bincount(quality_rules.step_of(s[:400]), minlength=quality_rules.STEPS)
+    t = quality_rules.calibrate(good, 0.01)
+    step = lambda x: (quality_rules.step_of(x) + 0.5) / quality_rules.STEPS
+    assert step(s[400:])[0] >= t and (step(s[:400]) >= t).sum() <= 4 and quality_rules.calibrate(good * 0) == 2.0
+
+
+def test_op5_verdicts_by_brute_force(spark):
+    """Kept rows from paths through the trees, walked one row at a time."""
+    rng = random.Random(4)
+    data = [(i, sentence(rng, 60) if i % 9 else "#$% !! " * 3 + sentence(rng, 30).upper() + " ?!" * 40, *[None] * 6) for i in range(180)]
+    docs = tc.stored(frame(spark, data).select("doc_id", "text"))
+    labels = spark.createDataFrame([(r[0], int(r[0] % 9 > 0)) for r in data if r[0] % 2], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    stats = {r.doc_id: r for r in quality_rules.rule_statistics(docs).collect()}
+    cols = [f"r_{x}" for x in quality_rules.RATIOS]
+    fit = [i for i in got if i % 2 and not got[i].base_failed]
+    fit.sort(key=lambda i: (spark.sql(f"select xxhash64({i}L)").first()[0], i))
+    x = np.array([[stats[i][c] for c in cols] for i in fit])
+    verdict = {i: not got[i].base_failed for i in got}
+    for family in quality_rules.FAMILIES:
+        at = [quality_rules.RATIOS.index(c) for c in family]
+        forest = quality_rules.IsolationForest().fit(x[:, at])
+
+        def score(i, at=at, forest=forest):
+            v, total = [stats[i][cols[k]] for k in at], 0.0
+            for t in forest.forest:
+                k = 0
+                while t[k][0] >= 0:
+                    k = int(t[k][2] if v[int(t[k][0])] <= t[k][1] else t[k][3])
+                total += t[k][4]
+            return int(2.0 ** (-total / len(forest.forest) / forest.norm) * quality_rules.STEPS)
+
+        good = sorted(score(i) for i in fit if i % 9)
+        spared = next(s for s in range(quality_rules.STEPS) if sum(g > s for g in good) <= quality_rules.REJECT_GOOD / len(quality_rules.FAMILIES) * len(good))
+        for i in got:
+            verdict[i] = verdict[i] and score(i) <= spared
+    assert {i: r.kept for i, r in got.items()} == verdict and not all(verdict[i] for i in got if not got[i].base_failed)
 
 
 @pytest.mark.parametrize("run", [lambda d, s: ngram_join.jaccard_components(d), lambda d, s: suffix_dedup.remove_repeats(d), lambda d, s: substring_dedup.remove_repeats(d), lambda d, s: quality_rules.quality_rules(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: decontaminate.decontaminate(d, s.createDataFrame(ITEMS, "item_id int, text string"))])
