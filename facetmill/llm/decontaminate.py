@@ -9,10 +9,11 @@ for these prefix shingles only. A hit at word ``p`` of a shingle that stands
 and length bounds ask that ``p - o .. p - o + n`` lies inside the document. What
 passes is verified word by word over the item-sized window.
 
-The benchmark is read in blocks of at most ``BLOCK`` bytes of text (the query
-side, in blocks, against all documents); only one block's index is broadcast at a
-time, and documents pass through one matching step for each block, so no text is
-shuffled and memory doesn't grow with either table.
+The benchmark's distinct rows are read in blocks of about ``BLOCK`` bytes of text, an
+item that is longer in pieces (the query side, in blocks, against all documents); a
+block's index is broadcast, equal windows are one in it, and documents pass through
+one matching step for each block, so no text is shuffled. Each block costs a pass over
+all documents for its shingles' rarity: the benchmark is taken to be small beside them.
 
 Cases: null texts have no words; items without words are ignored, a null item id
 counts as the id "" ; items or documents that repeat give the same result for
@@ -23,6 +24,7 @@ an input column that has the name of an output column is replaced by it.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ SHINGLE = 3
 #: Bytes of benchmark text in a block, the bound of what is broadcast.
 BLOCK = 4 << 20
 _BITS = 20
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def _words_of(data: np.ndarray, offs: np.ndarray):
@@ -63,22 +66,31 @@ class _Lookup:
 
 
 class Windows:
-    """The windows of a block of items, and the shingles of each."""
+    """The distinct windows of a block of items, the items of each, and the shingles.
+
+    Windows of equal words are one, whatever items have them, so a passage that
+    many items share costs one look at each place.
+    """
 
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
         data, offs = tc.string_buffers(pa.array(texts, pa.string()))
         words, row = _words_of(data, offs)
-        self.words, self.ids, self.start, self.size, self.item = words, ["" if x is None else str(x) for x in ids], [], [], []
+        self.words, names = words, ["" if x is None else str(x) for x in ids]
         bounds = tc.row_starts(row, len(texts))
+        found: dict[bytes, int] = {}
+        start, size, self.items = [], [], []
         for k in range(len(texts)):
             a, b = int(bounds[k]), int(bounds[k + 1])
             n = min(window, b - a)
             for s in range(a, b - n + 1) if n else ():
-                self.start.append(s)
-                self.size.append(n)
-                self.item.append(k)
-        self.start, self.size, self.item = (np.array(x, np.int64) for x in (self.start, self.size, self.item))
-        self.by_size = {k: tc.ngram_hashes(words, np.zeros(len(words), np.int64), k)[0] for k in sorted({min(SHINGLE, n) for n in self.size.tolist()})}
+                w = found.setdefault(words[s : s + n].tobytes(), len(start))
+                if w == len(start):
+                    start.append(s)
+                    size.append(n)
+                    self.items.append(set())
+                self.items[w].add(names[k])
+        self.start, self.size = np.array(start, np.int64), np.array(size, np.int64)
+        self.by_size = {k: tc.ngram_hashes(words, np.zeros(len(words), np.int64), k)[0] for k in sorted({min(SHINGLE, n) for n in size})}
 
     def shingles(self) -> dict[int, np.ndarray]:
         """All shingle hashes by their number of words."""
@@ -159,13 +171,38 @@ def match(words: np.ndarray, row: np.ndarray, bounds: np.ndarray, block: Windows
     return np.concatenate(starts), np.concatenate(windows)
 
 
-def _blocks(benchmark: DataFrame, limit: int = BLOCK):
-    """The benchmark's rows, block by block of at most about ``limit`` bytes each."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _cut(texts: str, limit: int, window: int) -> list[str]:
+    """A text in pieces of about ``limit`` characters; a piece begins with the last ``window - 1`` words of the one before, so no window is lost."""
+    ends = [m.end() for m in _WORD.finditer(texts)]
+    if len(texts) <= limit or len(ends) <= window:
+        return [texts]
+    starts = [m.start() for m in _WORD.finditer(texts)]
+    out, i = [], 0
+    while True:
+        j = i + window
+        while j < len(ends) and ends[j] - starts[i] <= limit:
+            j += 1
+        out.append(texts[starts[i] : ends[min(j, len(ends)) - 1]])
+        if j >= len(ends):
+            return out
+        i = j - window + 1
+
+
+def _blocks(benchmark: DataFrame, limit: int = BLOCK, window: int = WINDOW):
+    """The benchmark's distinct rows, block by block of about ``limit`` bytes each; a longer item is cut to pieces."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+    def pieces(batches):
+        for b in batches:
+            for k, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for x in _cut(t, max(limit // 16, 1024), window):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([x], pa.string())], ["id", "text"])
+
+    made = tc.stored(tc.arrow_batches(items, pieces, "id string, text string"), "items")
+    total = made.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // limit))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        rows = made.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()  # half of limit on average
         if rows:
             yield Windows([r.id for r in rows], [r.text for r in rows])
 
@@ -199,7 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                             h = hits.setdefault(r, ([], set()))
                             a -= int(bounds[r])
                             h[0].append((a, a + int(found.size[k])))
-                            h[1].add(found.ids[found.item[k]])
+                            h[1].update(found.items[k])
                     for r in range(j - i):
                         a, b_ = hits.get(r, ([], set()))
                         spans.append(_union([*a, *_pairs(old_spans[i + r])]))

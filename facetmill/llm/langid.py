@@ -42,6 +42,8 @@ SHARE, SLACK = 0.6, 0.002
 #: Steps of cosine that quantiles are told apart by.
 STEPS = 4096
 PIECE = 1 << 20
+#: Languages whose shares are broadcast; more are joined by a shuffle.
+BROADCAST = 1 << 16
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -123,6 +125,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> CentroidModel | None:
     spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "key")
     sizes = rows.groupBy("lang").agg((F.lit(1_000_000) * F.least(F.lit(1.0), sample / F.count("*"))).alias("share"))
+    sizes = tc.stored(sizes, "languages")
+    if sizes.count() <= BROADCAST:  # a short name and a number each
+        sizes = F.broadcast(sizes)
     picked = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share"))
 
     def counted(batches):

@@ -15,8 +15,8 @@ sorted by document: a source with a third of all rows is never in one task.
 
 Cases: a null source is a source of its own, the last one; a null text has size 0
 and is taken 0 times; documents with the same id and text stay apart only by
-their order and have equal keys, sizes and weights; a null ``doc_id`` is hashed
-like any other value; an empty table or sizes of 0 give targets of 0; only
+their order and have equal keys, sizes and weights; a null ``doc_id`` gives
+way to the text, so that such rows have keys of their own; an empty table or sizes of 0 give targets of 0; only
 doc_id, text and source are read, other columns are ignored.
 """
 
@@ -39,9 +39,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def exponential(doc_id: Column) -> Column:
-    """A standard exponential variable from the first 52 bits of the id's MD5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double")
+def exponential(doc_id: Column, text: Column) -> Column:
+    """A standard exponential variable from the first 52 bits of the MD5 of the id, or of the text where that is null."""
+    told = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), text.cast("string")), F.lit("null"))
+    bits = F.conv(F.substring(F.md5(told.cast("binary")), 1, 13), 16, 10).cast("double")
     return -F.ln((bits + 0.5) / 4503599627370496.0)
 
 
@@ -65,13 +66,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
 
     quality: (doc_id, quality 0/1) rows that give documents their weights.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("text")).alias("text_key"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("text")).alias("text_key"), exponential(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
     if quality is not None:
         marks = quality.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
         rows = rows.join(marks, "doc_id", "left").withColumn("weight", F.when(F.col("q") == 1, GOOD).when(F.col("q") == 0, BAD).otherwise(UNKNOWN)).drop("q")
     else:
         rows = rows.withColumn("weight", F.lit(UNKNOWN))
-    rows = rows.withColumn("key", exponential(F.col("doc_id")) / F.col("weight"))
+    rows = rows.withColumn("key", F.col("key") / F.col("weight"))
     rows = tc.stored(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "mix")
 
     spans = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
@@ -101,7 +102,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH m AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
+        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || text, 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
           / CASE q WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 0.75 END AS k
       FROM documents LEFT JOIN m USING (doc_id)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * CAST(sum(size) AS DOUBLE) AS cap,

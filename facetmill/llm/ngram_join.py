@@ -46,6 +46,8 @@ _BLOCK = 1 << 16
 CLASSES = 64
 #: Members that are verified against one node in a task.
 MEMBERS = 256
+#: Members of a bucket that one task holds against all others of it.
+BUCKET = 512
 
 
 def shingles(b: pa.RecordBatch, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +297,7 @@ def jaccard_components(docs: DataFrame, n: int = N, alike: int = ALIKE) -> DataF
     named = least.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     cids = named.groupBy("label").agg(F.min("did").alias("cid"))
     nodes = named.join(cids, "label").select("node", "label", "cid")
-    out = rows.join(nodes, "node", "left")
+    out = tc.salted_join(rows, nodes, ["node"], "left", "did")  # many copies are one node
     return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).alias("label"), F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("did")).alias("cid"))
 
 
@@ -309,15 +311,22 @@ def _link(base: DataFrame, rows: DataFrame, buckets: DataFrame, n: int, alike: i
     centre = buckets.groupBy("h").agg(F.min(F.struct("pos", "n", "node")).alias("c"))
     met = buckets.alias("x").join(centre.select("h", "c.*").alias("c"), "h").where((F.col("x.node") != F.col("c.node")) & _passes("x", "c", alike))
     counted = met.groupBy(F.col("x.node").alias("b"), F.col("c.node").alias("a")).agg(F.count("*").alias("k"))
-    best = counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b")
+    best = tc.stored(counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("m")).select("m.a", "b"), "best")
     links = candidates.verify(best)
     labels = weakly_connected_components(links, "a", "b")
 
     alive = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = alive.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     alive = tc.stored(alive.join(open_, "h"), "open")
-    across = alive.alias("x").join(alive.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _passes("x", "y", alike))
+    # a large bucket is cut: each part of one side meets all of the other
+    parts = alive.groupBy("h").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"))
+    cut = alive.join(parts, "h")
+    x = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") < F.col("y.label")) & _passes("x", "y", alike))
     pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    tried = best.union(best.select("b", "a"))  # those that passed are inside a component
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     return weakly_connected_components(links.union(candidates.verify(pairs)), "a", "b")
 
 

@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = tc.stored(rows, "rows")
     firsts = rows.groupBy("tkey", "n_bytes").agg(F.min("did").alias("first"), F.max("did").alias("last"))
     copies = firsts.where("first < last").select("tkey", "n_bytes", "first")
-    hits = rows.where("hits is not null").join(copies, ["tkey", "n_bytes"], "left").where("first is null or did = first").select("did", "tkey", "hits").dropDuplicates(["did", "tkey"])
+    hits = tc.salted_join(rows.where("hits is not null"), copies, ["tkey", "n_bytes"], "left", "did").where("first is null or did = first").select("did", "tkey", "hits").dropDuplicates(["did", "tkey"])
     near = tc.stored(base.join(hits, ["did", "tkey"]).dropDuplicates(["did", "tkey"]), "near")
     tc.release(spark)
 
@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kind = "did long, tkey long, n_removed long, n_spans long, kept string, spans array<long>"
     cuts = tc.arrow_batches(near.select("did", "tkey", "text").join(spans, ["did", "tkey"]), cut, kind)
-    out = rows.select("did", "tkey", "n_bytes", "sha").join(cuts, ["did", "tkey"], "left").join(copies, ["tkey", "n_bytes"], "left")
+    out = tc.salted_join(rows.select("did", "tkey", "n_bytes", "sha").join(cuts, ["did", "tkey"], "left"), copies, ["tkey", "n_bytes"], "left", "did")
     copy = (F.col("did") > F.col("first")) & (F.col("n_bytes") >= length)
     all_gone = F.coalesce(copy, F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()

@@ -335,6 +335,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return fixed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text")))
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: str, salts: int = 16) -> DataFrame:
+    """``big.join(small, on, how)`` where a key may hold much of ``big``: its rows go to ``salts`` tasks by ``spread``, and ``small``, a row for each key, to all of them."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def doc_id() -> F.Column:
     """The doc_id that ``keyed`` made did from."""
     return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")

@@ -274,8 +274,9 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int =
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_last(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    # rows that repeat in all columns may fall to several shards: m tells them apart
+    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_last(), "h", "m").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text")
 
     def write(batches):
         k = TaskContext.get().partitionId()
@@ -295,6 +296,8 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int =
         if out is not None:
             out.close()
             sink.close()
+            if fs.get_file_info(at).type != pafs.FileType.NotFound:
+                fs.delete_file(at)  # of an attempt before: not every store replaces
             fs.move(own, at)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{directory}/shard-{k:06d}.tokz"]), pa.array([len(out.index)]), pa.array([out.tokens])], ["shard", "path", "docs", "tokens"])
 

@@ -276,3 +276,28 @@ def test_a_task_that_fails_midway_is_run_again(spark, tmp_path):
     finally:
         tc.arrow_batches = whole
     assert got == want
+
+
+def test_op4_cut_items_and_shared_passages(spark):
+    """Items cut to pieces lose no window; a passage of many items is one window with all of them."""
+    rng = random.Random(2)
+    long_ = sentence(rng, 900)
+    w = long_.split()
+    pieces = decontaminate._cut(long_, 1024, 10)
+    assert len(pieces) > 3 and {tuple(x[i : i + 10]) for x in (p.split() for p in pieces) for i in range(len(x) - 9)} == {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+    items = [(i, "one passage that all of the many items have in it " + sentence(rng, 3)) for i in range(40)] + [(99, long_)]
+    block = decontaminate.Windows([i for i, _ in items[:40]], [t for _, t in items[:40]])
+    assert max(map(len, block.items)) == 40 and len(block.start) < 40 * 5
+    docs = frame(spark, [(1, "x one passage that all of the many items have in it y", *[None] * 6), (2, " ".join(w[400:420]), *[None] * 6), (3, " ".join(w[400:409]), *[None] * 6)])
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id int, text string"), ["doc_id"], block=16_384).collect()}
+    assert (got[1].n_hit, len(got[1].hit_items), got[2].n_hit, got[2].hit_items, got[3].n_hit) == (11, 40, 20, ["99"], 0)
+
+
+def test_op6_hot_bucket_with_many_components(spark):
+    """One shingle that sets share which are otherwise apart, in more members than a part of a bucket holds."""
+    data = [(i, f"a b c d{i} e{i} f{i}" if i % 3 else f"a b c d{i}", *[None] * 6) for i in range(60)]
+    was, ngram_join.BUCKET = ngram_join.BUCKET, 7
+    try:
+        test_op6_links_and_components(frame(spark, data), data)
+    finally:
+        ngram_join.BUCKET = was
