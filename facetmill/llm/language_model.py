@@ -2,8 +2,10 @@
 
 ``GatedModel`` is a GRU over words with a class-factored softmax: words of a short
 list are sorted by frequency into classes of equal weight, a word's probability is
-that of its class times that within the class; all other words are one class, in
-which a word has its smoothed share of the corpus' counts. It is trained in numpy
+that of its class times that within the class; all other words belong to one of
+``RARE`` classes by their last two bytes, which the network reads and predicts as
+any other class, and in which a word has its smoothed share of the corpus' counts.
+No token is scored by corpus counts alone. It is trained in numpy
 by backpropagation truncated to windows, with the state carried on; texts are
 scored whole, all of a unit in step, with states carried across windows.
 
@@ -38,9 +40,11 @@ from .classifier import fold as id_fold
 
 SAMPLE = 1200
 ROW_BYTES = 64 << 10
-SHORT_LIST = 1000
+SHORT_LIST = 2000
 HIDDEN = 16
-CLASSES = 32
+CLASSES = 40
+#: Classes of words outside the short list, by the hash of their last two bytes.
+RARE = 40
 WINDOW = 24
 STREAMS = 64
 EPOCHS = 2
@@ -62,17 +66,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class GatedModel:
-    """GRU with a class-factored softmax over a short list and one class for other words (the last)."""
+    """GRU with a class-factored softmax over a short list and ``rare`` classes of other words (the last ones)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 3):
-        # words: hashes of the short list, by falling count; ids are END, then these, then other words
-        self.hidden = hidden
+    def __init__(self, words: np.ndarray, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 3, rare: int = 1):
+        # words: hashes of the short list, by falling count; ids are END, then these, then the rare classes
+        self.hidden, self.rare = hidden, rare
         order = np.argsort(words)
         self.keys, self.ids = words[order], order + 1
-        weight = np.sqrt(np.maximum(counts[:-1], 1))
+        weight = np.sqrt(np.maximum(counts[:-rare], 1))
         cls = np.minimum((np.cumsum(weight) - weight) / weight.sum() * classes, classes - 1).astype(int)
         cls = np.unique(cls, return_inverse=True)[1]
-        self.cls = np.append(cls, cls[-1] + 1)
+        self.cls = np.append(cls, cls[-1] + 1 + np.arange(rare))
         self.low = np.searchsorted(self.cls, np.arange(self.cls[-1] + 2))
         v, c = len(self.cls), self.cls[-1] + 1
         rng = np.random.default_rng(seed)
@@ -82,12 +86,13 @@ class GatedModel:
         self.square: dict | None = None
         self.par |= {"bc": f32(np.log((share + 1) / (share + 1).sum())), "bo": f32(np.log(np.maximum(counts, 1)))}
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words by their hashes."""
+    def encode(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Ids of words by their hashes, or by their tails where they aren't on the short list."""
+        other = len(self.cls) - self.rare + tails.astype(np.int64)
         if not len(self.keys):
-            return np.full(len(hashes), len(self.cls) - 1)
+            return other
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], len(self.cls) - 1)
+        return np.where(self.keys[at] == hashes, self.ids[at], other)
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         n = self.hidden
@@ -155,40 +160,48 @@ class GatedModel:
             fresh[1:] = ids[:-1] == END
             state = np.zeros((streams, n), np.float32)
             for t0 in range(0, length, window):
-                tok, new = ids[t0 : t0 + window], fresh[t0 : t0 + window]
-                hs, kept = [], []
-                for t in range(len(tok)):
-                    h = np.where(new[t][:, None], np.float32(0), state)
-                    g = h @ p["u"]
-                    x = p["x"][tok[t]]
-                    rz = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-                    c = np.tanh(x[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])
-                    hs.append(h)
-                    kept.append((g, rz, c))
-                    state = c + rz[:, n:] * (h - c)
-                grad = {k: np.zeros_like(v) for k, v in p.items()}
-                self.log_probs(np.concatenate(hs), tok.ravel(), grad)
-                gh = grad.pop("h").reshape(len(tok), streams, n)
-                back, gx = np.zeros_like(state), np.zeros((len(tok), streams, 3 * n), np.float32)
-                for t in range(len(tok) - 1, -1, -1):
-                    h, (g, rz, c) = hs[t], kept[t]
-                    r, z = rz[:, :n], rz[:, n:]
-                    dc = back * (1 - z) * (1 - c * c)
-                    dz = back * (h - c) * z * (1 - z)
-                    dr = dc * g[:, 2 * n :] * r * (1 - r)
-                    gx[t] = np.concatenate([dr, dz, dc], 1)
-                    du = np.concatenate([dr, dz, dc * r], 1)
-                    grad["u"] += h.T @ du
-                    back = back * z + du @ p["u"].T + gh[t]
-                    back[new[t]] = 0
-                order = np.argsort(tok.ravel(), kind="stable")
-                first = np.flatnonzero(np.diff(tok.ravel()[order], prepend=-1))
-                grad["x"][tok.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first)
+                grad, state = self.gradients(ids[t0 : t0 + window], fresh[t0 : t0 + window], state)
                 for k, d in grad.items():
                     d = np.clip(d / streams, -1, 1)
                     square[k] += d * d
                     p[k] -= rate * d / np.sqrt(square[k])
 
+    def gradients(self, tok: np.ndarray, new: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the loss of a window (time, stream) by backpropagation through it, and the state after it.
+
+        new: where a text begins, and the state with it.
+        """
+        n, p, streams = self.hidden, self.par, tok.shape[1]
+        hs, kept = [], []
+        for t in range(len(tok)):
+            h = np.where(new[t][:, None], np.float32(0), state)
+            g = h @ p["u"]
+            x = p["x"][tok[t]]
+            rz = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
+            c = np.tanh(x[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])
+            hs.append(h)
+            kept.append((g, rz, c))
+            state = c + rz[:, n:] * (h - c)
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        self.log_probs(np.concatenate(hs), tok.ravel(), grad)
+        gh = grad.pop("h").reshape(len(tok), streams, n)
+        back, gx = np.zeros_like(state), np.zeros((len(tok), streams, 3 * n), state.dtype)
+        for t in range(len(tok) - 1, -1, -1):
+            h, (g, rz, c) = hs[t], kept[t]
+            r, z = rz[:, :n], rz[:, n:]
+            dc = back * (1 - z) * (1 - c * c)
+            dz = back * (h - c) * z * (1 - z)
+            dr = dc * g[:, 2 * n :] * r * (1 - r)
+            gx[t] = np.concatenate([dr, dz, dc], 1)
+            du = np.concatenate([dr, dz, dc * r], 1)
+            grad["u"] += h.T @ du
+            back = back * z + du @ p["u"].T + gh[t]
+            back[new[t]] = 0
+        order = np.argsort(tok.ravel(), kind="stable")
+        first = np.flatnonzero(np.diff(tok.ravel()[order], prepend=-1))
+        grad["x"][tok.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first)
+        return grad, state
+
     def score(self, ids: np.ndarray, lengths: np.ndarray, limit: int = 1 << 16) -> np.ndarray:
         """Log10 probability of each text; ``ids`` holds the texts one after the other."""
         order = np.argsort(-lengths, kind="stable")
@@ -220,52 +233,62 @@ class GatedModel:
         return out[rank] / np.log(10)
 
 
-def words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word, A-Z lowered."""
+def words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and rare class of each word, A-Z lowered."""
     data, offs = tc.string_buffers(b.column("text"))
     data = tc.lower_ascii(data)
     start, end, row = tc.word_bounds(data, offs, tc.WHITE)
-    return tc.span_hashes(data, start, end), row
+    before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0) if len(end) else np.zeros(0, np.uint8)
+    last = data[end - 1].astype(tc.U) | before.astype(tc.U) << tc.U(8)
+    return tc.span_hashes(data, start, end), row, (tc.mix(last) % tc.U(RARE)).astype(np.uint8)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """kind, hash, n: how often each word stands in training rows (kind 0), and all words do (kind 1)."""
+    """kind, hash, tail, n: how often each word stands in training rows (kind 0), and all words of each tail do (kind 1)."""
+    names = ["kind", "hash", "tail", "n"]
+
+    def batch(kind, h, tail, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(n.astype(np.int64))], names)
 
     def count(batches):
-        held, size, total = [], 0, 0
+        held, size, total = [], 0, np.zeros(RARE, np.int64)
 
         def out():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "hash", "n"])
+            h, tail = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            return batch(0, h, tail[first], n)
 
         for b in batches:
-            held.append(words_of(b)[0])
-            size += len(held[-1])
-            total += len(held[-1])
+            h, _, tail = words_of(b)
+            held.append((h, tail))
+            size += len(h)
+            total += np.bincount(tail, minlength=RARE)
             if size >= COUNTED:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "hash", "n"])
+        yield batch(1, np.zeros(RARE, tc.U), np.arange(RARE), total)
 
-    found = tc.arrow_batches(rows.where("train").select("text"), count, "kind int, hash long, n long")
-    return found.groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    found = tc.arrow_batches(rows.where("train").select("text"), count, "kind int, hash long, tail int, n long")
+    return found.groupBy("kind", "hash", "tail").agg(F.sum("n").alias("n"))
 
 
 def untrained(rows: DataFrame, ends: int) -> GatedModel:
     """A model of the exact counts of all training rows, with their most frequent words as its short list."""
-    got = word_counts(rows).orderBy(F.desc("kind"), F.desc("n"), "hash").limit(SHORT_LIST + 1).collect()
-    total = sum(r.n for r in got if r.kind)
+    got = word_counts(rows).orderBy(F.desc("kind"), F.desc("n"), "hash", "tail").limit(SHORT_LIST + RARE).collect()
+    rare = np.zeros(RARE, np.int64)
+    for r in got:
+        rare[r.tail] += r.n if r.kind else -r.n
     top = [r for r in got if not r.kind]
     n = np.array([r.n for r in top], np.int64)
-    return GatedModel(np.array([r.hash for r in top], np.int64).view(tc.U), np.concatenate([[ends], n, [max(total - n.sum(), 1)]]))
+    return GatedModel(np.array([r.hash for r in top], np.int64).view(tc.U), np.concatenate([[ends], n, np.maximum(rare, 1)]), rare=RARE)
 
 
 def encoded(model: GatedModel, b: pa.RecordBatch) -> list[np.ndarray]:
     """The ids of each text, END last."""
-    h, row = words_of(b)
-    ids, at = model.encode(h), tc.row_starts(row, b.num_rows)
+    h, row, tail = words_of(b)
+    ids, at = model.encode(h, tail), tc.row_starts(row, b.num_rows)
     return [np.append(ids[i:j], END) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -340,11 +363,11 @@ def score_corpus(docs: DataFrame, train_rows: F.Column, sample: int = SAMPLE) ->
 
     def entries(b):
         model = shared.value
-        h, row = words_of(b)
+        h, row, tail = words_of(b)
         n = np.bincount(row, minlength=b.num_rows)
-        ids = model.encode(h)
-        other = len(model.cls) - 1
-        rare = np.bincount(row[ids == other], minlength=b.num_rows)
+        ids = model.encode(h, tail)
+        other = len(model.cls) - RARE
+        rare = np.bincount(row[ids >= other] * RARE + tail[ids >= other], minlength=b.num_rows * RARE)
         bounds = np.append(0, np.cumsum(n))
         full = np.insert(ids.astype(np.int32), bounds[1:], END)
         net = model.score(full, n + 1)
@@ -353,31 +376,32 @@ def score_corpus(docs: DataFrame, train_rows: F.Column, sample: int = SAMPLE) ->
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(h) else np.zeros(0, np.int64)
         tf = np.diff(np.append(first, len(h)))
         at = order[first]
-        out = {"hash": h[at], "row": row[at], "tf": tf, "other": (ids[at] == other).astype(np.uint8)}
-        return out, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "train": b.column("train").to_numpy(zero_copy_only=False).astype(np.uint8), "n": n + 1, "rare": rare, "net": net}
+        out = {"hash": h[at], "row": row[at], "tf": tf, "other": np.where(ids[at] >= other, tail[at] + 1, 0).astype(np.uint8)}
+        return out, {"did": b.column("did").to_numpy(), "tkey": b.column("tkey").to_numpy(), "train": b.column("train").to_numpy(zero_copy_only=False).astype(np.uint8), "n": n + 1, "rare": ex.small(rare), "net": net}
 
     def fold(table, e):
         table.add(e["hash"], {"c": e["tf"].astype(np.int64) * e["train"], "other": e["other"]})
 
     def answer(table, e):
         c = table.at(e["hash"])["c"]
-        logs = e["tf"] * np.log10(c + 1.0)
+        logs, e["other"] = e["tf"] * np.log10(c + 1.0), e["other"] > 0
         m = int(e["row"].max()) + 1
         fixed = lambda w: np.rint(np.bincount(e["row"], w, m) / STEP).astype(np.int64)
         return {"row": np.arange(m), "common_log": fixed(logs * (1 - e["other"].astype(float))), "rare_log": fixed(logs * e["other"]), "known": np.bincount(e["row"], e["tf"] * (c > 0), m).astype(np.int64)}
 
     def total(table):
-        c, o = table.cols["c"], table.cols["other"] > 0
-        return {"n": np.array([c.sum()]), "v": np.array([(c > 0).sum()]), "rare_n": np.array([c[o].sum()]), "rare_v": np.array([(c[o] > 0).sum()])}
+        c, o = table.cols["c"], table.cols["other"]
+        return {"n": np.bincount(o, c, RARE + 1).astype(np.int64), "v": np.bincount(o, c > 0, RARE + 1).astype(np.int64)}
 
     dealt = ex.deal(rows, entries, ex.parts_of(rows, factor=1), carry=("train",), unit_bytes=UNIT)
     settled = tc.stored(ex.settle(dealt, fold, {"c": np.add, "other": np.maximum}, answer, total), "counts")
     tc.release(spark)
-    sums = {"n": 0, "v": 0, "rare_n": 0, "rare_v": 0}
-    for r in settled.where("kind = 2").select("payload").collect():  # four numbers for each part
+    sums = {k: np.zeros(RARE + 1, np.int64) for k in "nv"}
+    for r in settled.where("kind = 2").select("payload").collect():  # RARE + 1 pairs of numbers for each part
         for k, x in ex.unpack(r.payload).items():
-            sums[k] += int(x[0])
-    n_all, v_all = sums["n"] + ends, sums["v"] + (ends > 0)
+            sums[k] += x
+    n_all, v_all = int(sums["n"].sum()) + ends, int(sums["v"].sum()) + (ends > 0)
+    shares = np.log10(sums["n"][1:] + sums["v"][1:] + 1.0)
 
     def make(d, answers):
         m = len(d["did"])
@@ -388,7 +412,7 @@ def score_corpus(docs: DataFrame, train_rows: F.Column, sample: int = SAMPLE) ->
             known += np.bincount(a["row"], a["known"].astype(float), m)
         n = d["n"].astype(np.int64)
         base = log + rare_log + np.log10(ends + 1.0) - n * np.log10(n_all + v_all + 1.0)
-        score = d["net"] + rare_log - d["rare"] * np.log10(sums["rare_n"] + sums["rare_v"] + 1.0)
+        score = d["net"] + rare_log - d["rare"].reshape(m, RARE) @ shares
         cols = {"did": d["did"], "tkey": d["tkey"], "n_tokens": n, "n_known": known.astype(np.int64) + (ends > 0), "train_tokens": np.full(m, n_all), "base_score": base, "score": score}
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], list(cols))
 

@@ -271,6 +271,29 @@ def test_op9_gradients_and_lockstep():
             loss.append(-m.log_probs(h, ids).sum())
         m.par[k][i] += 1e-5
         assert g[k][i] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-4)
+    # the whole network: finite differences of a window's loss through the recurrent state
+    tok, new = rng.integers(0, 22, (6, 3)), np.zeros((6, 3), bool)
+    tok[2, 1], new[3, 1], new[0] = 0, True, [True, False, True]
+    state = rng.normal(size=(3, 5)) * 0.3
+
+    def loss():
+        h, out = state, 0.0
+        for t in range(6):
+            h = np.where(new[t][:, None], 0.0, h)
+            out -= m.log_probs(h, tok[t]).sum()
+            h = m.step(h, tok[t])
+        return out
+
+    grad, after = m.gradients(tok, new, state)
+    for k in m.par:
+        for _ in range(6):
+            i = (int(rng.choice(tok.ravel())), int(rng.integers(15))) if k == "x" else tuple(rng.integers(0, x) for x in m.par[k].shape)
+            m.par[k][i] += 1e-5
+            up = loss()
+            m.par[k][i] -= 2e-5
+            down = loss()
+            m.par[k][i] += 1e-5
+            assert grad[k][i] == pytest.approx((up - down) / 2e-5, abs=1e-4), k
     lengths = np.array([3, 1, 7, 4])
     all_ = rng.integers(0, 22, lengths.sum())
     whole = m.score(all_, lengths, limit=5)
@@ -287,6 +310,29 @@ def test_op9_training_helps():
     assert m.score(np.concatenate(texts), np.array([len(t) for t in texts])).sum() > 0.6 * before
 
 
+def test_op9_is_a_distribution_over_all_words(spark):
+    """Probabilities of different whole texts, with words on the short list, in rare classes and unknown ones, add up to less than 1."""
+    was, language_model.SHORT_LIST = language_model.SHORT_LIST, 6
+    try:
+        vocab = [a + b for a in "abcdefg" for b in "hijklm"]
+        rng = random.Random(5)
+        texts = [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(60)]
+        # an unknown word of each class, found by trying
+        unknown = {}
+        for i in range(5000):
+            w = f"x{i}"
+            tail = int(language_model.words_of(pa.RecordBatch.from_arrays([pa.array([w])], ["text"]))[2][0])
+            unknown.setdefault(tail, w)
+        asked = ["", *vocab, *unknown.values()]
+        docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, w, False) for i, w in enumerate(asked)], "doc_id long, text string, t boolean")
+        got = {r.did: r.score for r in language_model.score_corpus(docs, F.col("t")).collect()}
+        tokens = Counter(w for t in texts for w in t.split())
+        assert len(tokens) == len(vocab) and all(math.isfinite(x) and x < 0 for x in got.values())
+        assert sum(10 ** got[1000 + i] for i in range(len(asked))) < 1
+    finally:
+        language_model.SHORT_LIST = was
+
+
 def test_op9_learns_from_every_training_row(spark):
     """Short list and weights don't hang on the sample, and long rows are learned from too."""
     texts = ["red stone " * 20] * 150 + ["blue river " * 20] * 150 + ["moon lamp " * 10_000]
