@@ -53,6 +53,8 @@ UNIT = 8 << 20
 #: Streams and tokens of a block of the pass over all training rows.
 PASS_STREAMS = 256
 BLOCK = 1 << 20
+#: Weights of a piece, as shards' weights are added up.
+WEIGHTS = 2048
 #: Words counted at once in a task.
 COUNTED = 4 << 20
 #: Sums of logarithms travel as multiples of this.
@@ -322,24 +324,26 @@ def train(rows: DataFrame, ends: int, sample: int = SAMPLE) -> GatedModel:
             seen += size
         if seen:
             shard = TaskContext.get().partitionId()
-            sums = [(v * float(seen)).astype(np.float64).tobytes() for v in own.par.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(own.par), pa.string()), pa.array([shard] * len(sums), pa.int32()), pa.array([seen] * len(sums), pa.int64()), pa.array(sums, pa.binary())], ["name", "shard", "n", "v"])
+            cut = [(k, i, v.ravel()[i : i + WEIGHTS].tobytes()) for k, v in own.par.items() for i in range(0, v.size, WEIGHTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cut], pa.string()), pa.array([x[1] for x in cut], pa.int32()), pa.array([shard] * len(cut), pa.int32()), pa.array([seen] * len(cut), pa.int64()), pa.array([x[2] for x in cut], pa.binary())], ["name", "at", "shard", "n", "v"])
 
     def add(batches):
-        n: dict[str, int] = {}
-        v: dict[str, np.ndarray] = {}
+        n: dict[tuple[str, int], int] = {}
+        v: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
-            for name, k, x in zip(b.column("name").to_pylist(), b.column("n").to_pylist(), b.column("v").to_pylist(), strict=True):
-                n[name] = n.get(name, 0) + k
-                v[name] = v.get(name, 0) + np.frombuffer(x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([x.tobytes() for x in v.values()], pa.binary())], ["name", "n", "v"])
+            for name, at, k, x in zip(*(b.column(c).to_pylist() for c in ("name", "at", "n", "v")), strict=True):
+                n[name, at] = n.get((name, at), 0) + k
+                v[name, at] = v.get((name, at), 0) + np.frombuffer(x, np.float32).astype(float) * k
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([x.tobytes() for x in v.values()], pa.binary())], ["name", "at", "n", "v"])
 
     keyed = rows.where("train").select(F.xxhash64("did", "tkey").alias("key"), "text")
     dealt = tc.arrow_batches(keyed, encode, "key long, ids binary").repartition(ex.parts_of(rows, factor=1), "key").sortWithinPartitions("key", "ids")
-    learned = tc.arrow_batches(dealt, learn, "name string, shard int, n long, v binary")
-    summed = tc.arrow_batches(learned.repartition(len(model.par), "name").sortWithinPartitions("name", "shard"), add, "name string, n long, v binary")
+    learned = tc.arrow_batches(dealt, learn, "name string, at int, shard int, n long, v binary")
+    pieces = sum(-(-v.size // WEIGHTS) for v in model.par.values())  # weights of all shards meet a piece at a time
+    summed = tc.arrow_batches(learned.repartition(pieces, "name", "at").sortWithinPartitions("name", "at", "shard"), add, "name string, at int, n long, v binary")
     for r in summed.collect():  # of a fixed size
-        model.par[r.name] = (np.frombuffer(r.v) / r.n).astype(np.float32).reshape(model.par[r.name].shape)
+        x = np.frombuffer(r.v) / r.n
+        model.par[r.name].ravel()[r["at"] : r["at"] + len(x)] = x
         model.learned = r.n
     model.square = None
     return model
