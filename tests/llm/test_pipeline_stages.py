@@ -29,3 +29,10 @@ def test_stages(spark, tmp_path):
     assert 32 not in seen["decontamination"] and len(seen["decontamination"]) == len(seen["near_copies"]) - 1
     assert max(map(seen["source_mixing"].count, seen["source_mixing"])) <= 2
     assert sorted(seen["token_output"], key=str) == sorted(seen["source_mixing"], key=str)
+
+
+def test_language_stage_without_a_language_column(spark):
+    """Nothing can be learned, so nothing passes, and the columns stay."""
+    docs = spark.createDataFrame([(1, "some words", "a")], "doc_id long, text string, source string")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == 0
