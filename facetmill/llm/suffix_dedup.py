@@ -6,13 +6,11 @@ anchors. An anchor that stands in one document alone has no repeats. Runs of win
 of one shared anchor are segments; a segment's bytes go to the shard of its anchor,
 so all occurrences of a window meet in one shard. There distinct segments are laid
 end to end and their suffixes sorted by induction with queues on disk
-(``induced_sort``); neighbours in that order with the same first 50 bytes are one
-string, and it is removed wherever a document with a smaller id has it too.
-
-The common prefix of neighbours is taken by comparing the hashes of their 50-byte
-windows; it isn't carried in the queues, as a minimum over ranges of ranks for each
-symbol would cost more than the sort. The string of names is sorted by doubling
-instead of a further induction. Both are told in the README.
+(``induced_sort``), whose queues carry the common prefixes of neighbours; neighbours
+with 50 bytes in common are one string, and it is removed wherever a document with a
+smaller id has it too. The string of names is sorted by doubling instead of a further
+induction, as the README tells. Beyond a limit the text of a shard and the least id of
+each of its places stand in files.
 
 Cases: null texts are empty; texts under 50 bytes lose nothing; a null doc_id stands
 after all others, and rows with one id never remove bytes of each other; repeated
@@ -24,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +37,8 @@ from . import textcore as tc
 
 LENGTH = 50
 ANCHOR = 20
+#: Bytes beyond which a shard's segments, text and ids go to files.
+LIMIT = 32 << 20
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -141,45 +142,56 @@ def deal_segments(near: DataFrame, parts: int, length: int = LENGTH) -> DataFram
     return ex.by_part(packs, parts)
 
 
-def repeats(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, did: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each place of ``text`` where a window starts: the least id of the segments that hold its bytes.
+def _numbers(n: int, kind: type, limit: int = LIMIT) -> np.ndarray:
+    """An array of n numbers, in a file beyond ``limit`` bytes; the file has no name and goes with the array."""
+    if n * np.dtype(kind).itemsize <= limit:
+        return np.empty(n, kind)
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, kind, "w+", shape=(n,))
+
+
+def repeats(text: np.ndarray, low: np.ndarray, length: int = LENGTH, limit: int = LIMIT) -> None:
+    """Lowers ``low``, the least id of the segment of each place, to the least id of all segments that hold the ``length`` bytes there.
 
-    text: segments (starts, sizes, ids), each followed by a zero byte, other bytes one up.
+    text: segments, each followed by a zero byte, other bytes one up. Strings across a
+    zero byte get values too, which mean nothing.
     """
-    n = len(text)
-    owner = np.repeat(np.arange(len(starts)), sizes + 1)
-    whole = _whole(np.append(starts, n), length + 1)  # a zero byte follows each segment
-    same = _string_hashes(text, np.append(starts, n), length)
-    low = np.full(n, tc.NO_ID, np.int64)
-    carry: tuple[int, np.ndarray, int] | None = None
-    for block in induced_sort.order(text, length):
-        x = block[whole[block]]
-        if not len(x):
+    open_at: list[np.ndarray] = []  # places of the string that the blocks so far end with
+    for x, lcp in induced_sort.order(text, length, limit):
+        cut = np.flatnonzero(lcp < length)
+        if not len(cut):
+            open_at.append(x)
             continue
-        h = same[x]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        least = np.minimum.reduceat(did[owner[x]], first)
-        if carry is not None and carry[0] == int(h[0]):
-            # a string's places may go on from the block before
-            least[0] = min(int(least[0]), carry[2])
-            low[carry[1]] = least[0]
-            last = np.concatenate([carry[1], x]) if len(first) == 1 else x[first[-1] :]
-        else:
-            last = x[first[-1] :]
-        low[x] = np.repeat(least, np.diff(np.append(first, len(x))))
-        carry = (int(h[-1]), last, int(least[-1]))
-    return low
+        if cut[0]:
+            open_at.append(x[: cut[0]])
+        _lower(low, open_at)
+        size = np.diff(cut)
+        many = np.flatnonzero(size > 1)
+        if len(many):
+            n = size[many]
+            done = np.cumsum(n)
+            at = x[np.repeat(cut[many] - (done - n), n) + np.arange(done[-1])]
+            low[at] = np.repeat(np.minimum.reduceat(low[at], done - n), n)
+        open_at = [x[cut[-1] :].copy()]
+    _lower(low, open_at)
+
+
+def _lower(low: np.ndarray, places: list[np.ndarray]) -> None:
+    if sum(map(len, places)) > 1:
+        least = min(low[x].min() for x in places)
+        for x in places:
+            low[x] = least
 
 
 def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Removed runs (row, start, size) of each unit's segments."""
 
     def go(batches):
-        held = tempfile.SpooledTemporaryFile(max_size=32 << 20)
+        held, texts = tempfile.SpooledTemporaryFile(LIMIT), tempfile.SpooledTemporaryFile(LIMIT)
         sizes: list[tuple[int, int]] = []
         known: dict[int, int] = {}
-        texts, ids, lengths, anchors = [], [], [], []
-        with held:
+        ids, lengths, anchors = array("q"), array("q"), array("Q")
+        with held, texts:
             for b in batches:
                 for u, k, data in zip(b.column("unit").to_pylist(), b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
                     if k == 0:
@@ -189,8 +201,8 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                     key, a, z = _segment_keys(e, length)
                     for i in np.unique(key, return_index=True)[1].tolist():
                         if int(key[i]) not in known:
-                            known[int(key[i])] = len(texts)
-                            texts.append(e["text"][a[i] : z[i]].tobytes())
+                            known[int(key[i])] = len(ids)
+                            texts.write(e["text"][a[i] : z[i]].tobytes())
                             lengths.append(int(z[i] - a[i]))
                             ids.append(tc.NO_ID)
                             anchors.append(int(e["hash"][i]))
@@ -201,7 +213,7 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                         ids[s] = min(ids[s], d)
                     held.write(data)
                     sizes.append((u, len(data)))
-            if not texts:
+            if not ids:
                 return
             # a segment that is alone with its anchor shares windows with no other one
             ids_of = np.array(ids, np.int64)
@@ -213,10 +225,15 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
             place[many] = start
             low = np.zeros(0, np.int64)
             if len(many):
-                text = np.frombuffer(b"\x00".join(texts[i] for i in many.tolist()) + b"\x00", np.uint8) + np.uint8(1)
-                text[start + size] = 0
-                low = repeats(np.minimum(text, 253), start, size, ids_of[many], length)
-            del texts, anchors
+                n = int(start[-1] + size[-1] + 1)
+                text, low = _numbers(n, np.uint8), _numbers(n, np.int64)
+                from_ = np.cumsum(np.array(lengths, np.int64))[many] - size
+                for i, a, z, d in zip(from_.tolist(), start.tolist(), (start + size).tolist(), ids_of[many].tolist(), strict=True):
+                    texts.seek(i)
+                    text[a:z] = np.minimum(np.frombuffer(texts.read(z - a), np.uint8), 252) + np.uint8(1)
+                    text[z] = 0
+                    low[a : z + 1] = d
+                repeats(text, low, length)
             held.seek(0)
             for u, n in sizes:
                 e = ex.unpack(held.read(n))

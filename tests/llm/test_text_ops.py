@@ -1,6 +1,7 @@
 """Operators on repeats: brute force on a fixture with every awkward case."""
 
 import hashlib
+import os
 import random
 import re
 from pathlib import Path
@@ -30,13 +31,45 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
-def test_suffix_order_is_right_with_queues_on_disk():
+def test_suffix_order_and_common_prefixes_with_queues_on_disk(monkeypatch):
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        t = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(1, 150))).astype(np.uint8)
-        b = t.tobytes()
-        got = np.concatenate(list(induced_sort.order(t, 10_000, limit=int(rng.choice([64, 1 << 20])))))[::-1]
-        assert got.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    for turn in range(200):
+        t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(1, 300))).astype(np.uint8)
+        if turn % 3 == 0:  # long repeats
+            t = np.tile(t[: len(t) // 7 + 1], 8)
+        depth = int(rng.choice([2, 17, 50, 255]))
+        # blocks smaller than the queues, and spills while a queue's file is read
+        monkeypatch.setattr(induced_sort, "BLOCK", int(rng.choice([3, 7, 64, 1 << 18])))
+        got = list(induced_sort.order(t, depth, limit=int(rng.choice([16, 200, 1 << 20]))))
+        at, common = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
+        assert sorted(at) == list(range(len(t)))
+        heads = [t[i : i + depth].tobytes() for i in at]
+        assert heads == sorted(heads, reverse=True)
+        assert common == [0, *(len(os.path.commonprefix([x, y])) for x, y in zip(heads, heads[1:], strict=False))]
+
+
+def test_op7_least_ids_of_repeats_in_files(monkeypatch):
+    """Text, ids and queues in files, at a tenth of the text's size."""
+    monkeypatch.setattr(induced_sort, "BLOCK", 256)
+    rng = np.random.default_rng(1)
+    common = [rng.integers(97, 123, 80).astype(np.uint8) for _ in range(20)]
+    segments = [np.concatenate([rng.integers(97, 100, 60).astype(np.uint8), common[rng.integers(20)], rng.integers(97, 100, 30).astype(np.uint8)]) for _ in range(120)]
+    did = rng.permutation(len(segments)) // 2
+    n = sum(map(len, segments)) + len(segments)
+    text, low = (suffix_dedup._numbers(n, kind, n // 10) for kind in (np.uint8, np.int64))
+    assert isinstance(text, np.memmap) and isinstance(low, np.memmap)
+    at, want, places = 0, {}, []
+    for s, d in zip(segments, did.tolist(), strict=True):
+        text[at : at + len(s)], text[at + len(s)], low[at : at + len(s) + 1] = s + np.uint8(1), 0, d
+        for i in range(len(s) - 49):
+            w = s[i : i + 50].tobytes()
+            want[w] = min(want.get(w, d), d)
+            places.append((at + i, w))
+        at += len(s) + 1
+    own = np.array(low)
+    suffix_dedup.repeats(text, low, 50, n // 10)
+    assert [int(low[i]) for i, _ in places] == [want[w] for _, w in places]
+    assert any(low[i] < own[i] for i, _ in places)
 
 
 def removed(units, size, data_):
