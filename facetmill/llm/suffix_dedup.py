@@ -151,7 +151,7 @@ def _numbers(n: int, kind: type, limit: int = LIMIT) -> np.ndarray:
 
 
 def repeats(text: np.ndarray, low: np.ndarray, length: int = LENGTH, limit: int = LIMIT) -> None:
-    """Lowers ``low``, the least id of the segment of each place, to the least id of all segments that hold the ``length`` bytes there.
+    """Lowers ``low``, the id (or its rank) of the segment of each place, to the least of all segments that hold the ``length`` bytes there.
 
     text: segments, each followed by a zero byte, other bytes one up. Strings across a
     zero byte get values too, which mean nothing.
@@ -223,12 +223,14 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
             start = np.cumsum(size + 1) - size - 1
             place = np.full(len(ids), -1, np.int64)
             place[many] = start
-            low = np.zeros(0, np.int64)
+            low, by_rank = np.zeros(0, np.int32), np.zeros(0, np.int64)
             if len(many):
                 n = int(start[-1] + size[-1] + 1)
-                text, low = _numbers(n, np.uint8), _numbers(n, np.int64)
+                # ids by their ranks, in half the bytes
+                by_rank, rank = np.unique(ids_of[many], return_inverse=True)
+                text, low = _numbers(n, np.uint8), _numbers(n, np.int32)
                 from_ = np.cumsum(np.array(lengths, np.int64))[many] - size
-                for i, a, z, d in zip(from_.tolist(), start.tolist(), (start + size).tolist(), ids_of[many].tolist(), strict=True):
+                for i, a, z, d in zip(from_.tolist(), start.tolist(), (start + size).tolist(), rank.tolist(), strict=True):
                     texts.seek(i)
                     text[a:z] = np.minimum(np.frombuffer(texts.read(z - a), np.uint8), 252) + np.uint8(1)
                     text[z] = 0
@@ -245,7 +247,7 @@ def settle_segments(packs: DataFrame, length: int = LENGTH) -> DataFrame:
                 least = np.repeat(ids_of[seg], count)
                 at = np.repeat(place[seg], count)
                 sorted_ = at >= 0
-                least[sorted_] = low[at[sorted_] + within[sorted_]]
+                least[sorted_] = by_rank[low[at[sorted_] + within[sorted_]]]
                 gone = least < np.repeat(e["did"], count)
                 if not gone.any():
                     continue
