@@ -23,9 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.shared import shared_dir, ship, stored
+from facetmill import shared
+from facetmill.shared import shared_dir, ship
 
-__all__ = ["shared_dir", "ship", "stored"]
+__all__ = ["shared_dir", "ship"]
 
 SLICE = 4 << 20
 PIECE = 1 << 20
@@ -289,6 +290,24 @@ def lower(spark: SparkSession, setting: str, most: int) -> None:
         spark.conf.set(setting, str(most))
 
 
+#: Shuffle files of a query go at its end, not when the driver's collector gets to them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; the shuffle files of the write go at its end."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return shared.stored(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
 def replayable(df: DataFrame) -> bool:
     """Whether a task that runs again surely reads the same rows in the same order: scans, projections and filters."""
     plans = [df._jdf.queryExecution().optimizedPlan()]

@@ -334,3 +334,11 @@ def test_op6_hot_bucket_with_many_components(spark):
         test_op6_links_and_components(frame(spark, data), data)
     finally:
         ngram_join.BUCKET = was
+
+
+def test_stored_restores_the_setting_of_shuffle_files(spark):
+    before = spark.conf.get(tc.CLEANUP)
+    made = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    for _ in range(2):  # the same frame may be written again
+        assert sorted(r[0] for r in tc.stored(made).collect()) == list(range(7))
+    assert spark.conf.get(tc.CLEANUP) == before
