@@ -59,12 +59,39 @@ WEIGHTS = 2048
 COUNTED = 4 << 20
 #: Sums of logarithms travel as multiples of this.
 STEP = 2.0**-24
+#: Logits within this need no shift before they are raised to powers of e.
+SAFE = 60.0
 #: The end token's place in the short list.
 END = 0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function of ``x``, in its place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _powers(z: np.ndarray, bias: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-softmax of ``z + bias`` at the columns ``own``, e to it (in the place of ``z``, up to a factor a row) and its sums by row.
+
+    bound: no logit is larger in size.
+    """
+    z += bias
+    if not bound < SAFE:
+        z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(own)), own]
+    np.exp(z, out=z)
+    s = z @ np.ones(z.shape[1], z.dtype)
+    return picked - np.log(s), z, s
+
+
+def _errors(e: np.ndarray, s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gradients of the loss by the logits, in the place of ``e``."""
+    e *= (1 / s)[:, None]
+    e[np.arange(len(own)), own] -= 1
+    return e
 
 
 class GatedModel:
@@ -78,9 +105,9 @@ class GatedModel:
         weight = np.sqrt(np.maximum(counts[:-rare], 1))
         cls = np.minimum((np.cumsum(weight) - weight) / weight.sum() * classes, classes - 1).astype(int)
         cls = np.unique(cls, return_inverse=True)[1]
-        self.cls = np.append(cls, cls[-1] + 1 + np.arange(rare))
-        self.low = np.searchsorted(self.cls, np.arange(self.cls[-1] + 2))
-        v, c = len(self.cls), self.cls[-1] + 1
+        self.cls = np.append(cls, cls[-1] + 1 + np.arange(rare)).astype(np.uint8 if classes + rare < 256 else np.int64)  # bytes are sorted by radix
+        self.low = np.searchsorted(self.cls, np.arange(int(self.cls[-1]) + 2))
+        v, c = len(self.cls), int(self.cls[-1]) + 1
         rng = np.random.default_rng(seed)
         f32 = lambda x: x.astype(np.float32)
         self.par = {"x": f32(rng.normal(0, 0.1, (v, 3 * hidden))), "u": f32(rng.normal(0, 0.2, (hidden, 3 * hidden))), "wc": f32(rng.normal(0, 0.1, (hidden, c))), "wo": f32(rng.normal(0, 0.1, (v, hidden)))}
@@ -97,47 +124,62 @@ class GatedModel:
         return np.where(self.keys[at] == hashes, self.ids[at], other)
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self._step(h.T, ids).T
+
+    def _step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """States after ``ids``; a column of ``h`` for each text."""
         n = self.hidden
-        x, g = self.par["x"][ids], h @ self.par["u"]
-        rz = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        c = np.tanh(x[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])
-        return c + rz[:, n:] * (h - c)
+        x, g = np.ascontiguousarray(self.par["x"][ids].T), self.par["u"].T @ h
+        return self._gated(h, x, g, n)[1]
+
+    @staticmethod
+    def _gated(h: np.ndarray, x: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Gates and candidate, in the place of ``x``, and the new states."""
+        x[: 2 * n] += g[: 2 * n]
+        rz = _sigmoid(x[: 2 * n])
+        c = x[2 * n :]
+        c += rz[:n] * g[2 * n :]
+        np.tanh(c, out=c)
+        out = h - c
+        out *= rz[n:]
+        out += c
+        return x, out
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> np.ndarray:
-        """Natural log probabilities of ``ids`` after states ``h``; with ``grad``, also the loss's gradients."""
+        """Natural log probabilities of ``ids`` after states ``h``, which are within -1 and 1; with ``grad``, also the loss's gradients."""
         p, cls = self.par, self.cls[ids]
-        z = h @ p["wc"] + p["bc"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
-        at = np.arange(len(ids))
-        out = (z[at, cls] - np.log(s)).astype(np.float64)
+        of_classes = float((np.abs(p["wc"]).sum(0) + np.abs(p["bc"])).max())
+        of_words = np.abs(p["wo"]) @ np.ones(self.hidden, np.float32) + np.abs(p["bo"])
+        # in order of classes, the rows of a class are a slice
+        order = np.argsort(cls, kind="stable")
+        cls, h = cls[order], h[order]
+        word = ids[order] - self.low[cls]
+        cuts = np.searchsorted(cls, np.arange(len(self.low)))
+        got, e, s = _powers(h @ p["wc"], p["bc"], cls, of_classes)
+        got = got.astype(np.float64)
         if grad is not None:
-            d = e / s[:, None]
-            d[at, cls] -= 1
+            d = _errors(e, s, cls)
             grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(0)
-            grad["h"] = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.low)))
+            grad["bc"] += np.ones(len(d), d.dtype) @ d
+            back = d @ p["wc"].T
         for c in range(len(self.low) - 1):
-            rows = order[cuts[c] : cuts[c + 1]]
+            rows = slice(cuts[c], cuts[c + 1])
             a, b = self.low[c], self.low[c + 1]
-            if not len(rows) or b - a == 1:
+            if cuts[c] == cuts[c + 1] or b - a == 1:
                 continue
-            hr, word = h[rows], ids[rows] - a
-            z = hr @ p["wo"][a:b].T + p["bo"][a:b]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            s = e.sum(1)
-            at = np.arange(len(rows))
-            out[rows] += z[at, word] - np.log(s)
+            hr, wo = h[rows], p["wo"][a:b]
+            more, e, s = _powers(hr @ wo.T, p["bo"][a:b], word[rows], float(of_words[a:b].max()))
+            got[rows] += more
             if grad is not None:
-                d = e / s[:, None]
-                d[at, word] -= 1
+                d = _errors(e, s, word[rows])
                 grad["wo"][a:b] += d.T @ hr
-                grad["bo"][a:b] += d.sum(0)
-                grad["h"][rows] += d @ p["wo"][a:b]
+                grad["bo"][a:b] += np.ones(len(d), d.dtype) @ d
+                back[rows] += d @ wo
+        out = np.empty(len(ids))
+        out[order] = got
+        if grad is not None:
+            grad["h"] = np.empty_like(back)
+            grad["h"][order] = back
         return out
 
     def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, window: int = WINDOW, streams: int = STREAMS, rate: float = RATE) -> GatedModel:
@@ -174,37 +216,46 @@ class GatedModel:
         new: where a text begins, and the state with it.
         """
         n, p, streams = self.hidden, self.par, tok.shape[1]
-        hs, kept = [], []
+        flat = tok.ravel()
+        if len(self.cls) < 1 << 16:
+            flat = flat.astype(np.uint16)  # sorted by radix
+        # a column for each stream, so that gates are whole rows
+        hs = np.empty((len(tok), n, streams), state.dtype)
+        gates = np.ascontiguousarray(p["x"][tok].transpose(0, 2, 1))
+        old, state = (~new).astype(state.dtype), state.T
+        mixed = []
         for t in range(len(tok)):
-            h = np.where(new[t][:, None], np.float32(0), state)
-            g = h @ p["u"]
-            x = p["x"][tok[t]]
-            rz = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-            c = np.tanh(x[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])
-            hs.append(h)
-            kept.append((g, rz, c))
-            state = c + rz[:, n:] * (h - c)
+            h = np.multiply(state, old[t], out=hs[t])
+            g = p["u"].T @ h
+            state = self._gated(h, gates[t], g, n)[1]
+            mixed.append(g[2 * n :])
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        self.log_probs(np.concatenate(hs), tok.ravel(), grad)
-        gh = grad.pop("h").reshape(len(tok), streams, n)
-        back, gx = np.zeros_like(state), np.zeros((len(tok), streams, 3 * n), state.dtype)
+        self.log_probs(hs.transpose(0, 2, 1).reshape(-1, n), flat, grad)
+        gh = np.ascontiguousarray(grad.pop("h").reshape(len(tok), streams, n).transpose(0, 2, 1))
+        back, gx, gu = np.zeros_like(hs[0]), np.empty_like(gates), np.empty_like(gates)
         for t in range(len(tok) - 1, -1, -1):
-            h, (g, rz, c) = hs[t], kept[t]
-            r, z = rz[:, :n], rz[:, n:]
-            dc = back * (1 - z) * (1 - c * c)
-            dz = back * (h - c) * z * (1 - z)
-            dr = dc * g[:, 2 * n :] * r * (1 - r)
-            gx[t] = np.concatenate([dr, dz, dc], 1)
-            du = np.concatenate([dr, dz, dc * r], 1)
-            grad["u"] += h.T @ du
-            back = back * z + du @ p["u"].T + gh[t]
-            back[new[t]] = 0
-        order = np.argsort(tok.ravel(), kind="stable")
-        first = np.flatnonzero(np.diff(tok.ravel()[order], prepend=-1))
-        grad["x"][tok.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first)
+            h, g, du = hs[t], mixed[t], gu[t]
+            r, z, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
+            bz = back * z
+            dc = back - bz
+            dc *= 1 - c * c
+            dr = np.multiply(dc, r, out=du[2 * n :])
+            du[:n] = dr * g * (1 - r)
+            du[n : 2 * n] = (h - c) * bz * (1 - z)
+            gx[t, : 2 * n], gx[t, 2 * n :] = du[: 2 * n], dc
+            back = p["u"] @ du
+            back += bz
+            back += gh[t]
+            back *= old[t]
+        grad["u"] += np.matmul(hs, gu.transpose(0, 2, 1)).sum(0)
+        gx, state = gx.transpose(0, 2, 1), np.ascontiguousarray(state.T)
+        order = np.argsort(flat, kind="stable")
+        at = flat[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        grad["x"][at[first]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first)
         return grad, state
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, limit: int = 1 << 16) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, limit: int = 1 << 14) -> np.ndarray:
         """Log10 probability of each text; ``ids`` holds the texts one after the other."""
         order = np.argsort(-lengths, kind="stable")
         size = lengths[order]
@@ -218,16 +269,16 @@ class GatedModel:
         packed[off[time] + np.repeat(rank, lengths)] = ids
         del time
         out = np.zeros(len(order))
-        state = np.zeros((len(order), self.hidden), np.float32)
+        state = np.zeros((self.hidden, len(order)), np.float32)
         t = 0
         while t < len(active):
             end = max(t + 1, int(np.searchsorted(off, off[t] + limit, "right")) - 1)
             hs = np.empty((off[end] - off[t], self.hidden), np.float32)
             for k in range(t, end):
                 n = active[k]
-                state = state[:n]
-                hs[off[k] - off[t] : off[k + 1] - off[t]] = state
-                state = self.step(state, packed[off[k] : off[k + 1]])
+                state = state[:, :n]
+                hs[off[k] - off[t] : off[k + 1] - off[t]] = state.T
+                state = self._step(state, packed[off[k] : off[k + 1]])
             got = self.log_probs(hs, packed[off[t] : off[end]])
             who = np.arange(off[t], off[end]) - np.repeat(off[t:end], active[t:end])
             out += np.bincount(who, weights=got, minlength=len(out))

@@ -299,6 +299,10 @@ def test_op9_gradients_and_lockstep():
     whole = m.score(all_, lengths, limit=5)
     alone = [m.score(x, np.array([len(x)]))[0] for x in np.split(all_, np.cumsum(lengths)[:-1])]
     assert np.allclose(whole, alone, atol=1e-5)
+    # logits beyond what powers of e can hold are shifted first
+    for k in ("bc", "bo"):
+        m.par[k] = m.par[k] + 900
+    assert m.log_probs(h, ids)[0] < 0 and np.allclose(m.score(all_, lengths), whole, atol=1e-3)
 
 
 def test_op9_training_helps():
