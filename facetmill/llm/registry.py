@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, langid, language_model, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import alignment, classifier, decontaminate, divergence, langid, language_model, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts, token_output
 
-MODULES = [langid, language_model, mixing, token_output, decontaminate, quality_rules, ngram_join, suffix_dedup, classifier, language_model, substring_dedup]
+MODULES = [langid, mixing, token_output, decontaminate, quality_rules, ngram_join, suffix_dedup, classifier, language_model, substring_dedup, alignment, divergence, token_counts]
 
 
 def queries() -> dict:
