@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill import shared
 from facetmill.config import AggregationConfig
 from facetmill.functions import text as tx
 
-from . import grouping, similarity, tokens
+from . import grouping, numbering, similarity, tokens
 from .components import Candidates, numbered
 from .wcc import weakly_connected_components, with_isolated
 
@@ -32,45 +32,81 @@ class Aggregation:
     outgoing: DataFrame
 
 
-def greedy(ids: list[str], score: dict[tuple[str, str], float], threshold: float) -> dict[str, int]:
-    """Members taken in order of id while every pair and the mean reach the threshold; who isn't is alone.
+#: Rows (members and alike pairs) of a part that one call decides; a larger part goes by rounds.
+PART = 50_000
 
-    Sums are kept, so a member costs one look at each accepted one (CLU-1, CLU-2).
-    """
-    out, accepted, total, pairs = {}, [], 0.0, 0
-    for k, i in enumerate(sorted(ids)):
-        links = [score.get((min(i, j), max(i, j))) for j in accepted]
-        if any(s is None or s < threshold for s in links) or (links and (total + sum(links)) / (pairs + len(links)) < threshold):
-            out[i] = k + 1
-            continue
-        accepted.append(i)
-        total, pairs = total + sum(links), pairs + len(links)
-        out[i] = 0
+
+def greedy(ids: list[str], alike: set[tuple[str, str]]) -> dict[str, bool]:
+    """Members in order of id, accepted while every pair with those accepted before is in ``alike`` (CLU-1)."""
+    accepted: list[str] = []
+    out = {}
+    for i in sorted(ids):
+        out[i] = all((j, i) in alike for j in accepted)
+        if out[i]:
+            accepted.append(i)
     return out
 
 
 def complete_link(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(group_id, component_id, part, sub): clusters of the components of merged pairs.
+    """(group_id, component_id, part, alone): clusters of the components of merged pairs; who isn't accepted is alone.
 
-    nodes: group_id, component_id. pairs: a, b, merged, combined. Acceptance depends on
-    its order, so it runs in one Python call for each connected set of merged pairs;
-    sets are independent and most have few members.
+    nodes: group_id, component_id. pairs: a, b, merged, combined. Members of a part are
+    taken in order of id and accepted while all their pairs with those accepted before
+    reach the threshold (CLU-1). The mean of such pairs, which has to reach it too,
+    then does, as none of them is below it (CLU-2).
     """
     linked = weakly_connected_components(pairs.where("merged"), "a", "b")
-    labelled = with_isolated(nodes, "component_id", linked).toDF("component_id", "part")
-    several = labelled.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    inside = pairs.join(labelled.toDF("a", "part"), "a").join(labelled.toDF("b", "part_b"), "b").where("part = part_b").join(several, "part").select("part", "a", "b", "combined")
-    rows = inside.union(labelled.join(several, "part").select("part", F.col("component_id").alias("a"), F.lit(None).cast("string"), F.lit(None).cast("double")))
+    labelled = shared.stored(with_isolated(nodes, "component_id", linked).toDF("component_id", "part"), "parts")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    near = pairs.where((F.col("combined") >= threshold) & (F.col("a") != F.col("b"))).select(low, high).distinct()
+    near = near.join(labelled.toDF("a", "part"), "a").join(labelled.toDF("b", "part"), ["b", "part"])
+    near = shared.stored(near.select("part", "a", "b"), "alike")
+
+    rows = labelled.select("part", F.lit(1).alias("m")).union(near.select("part", F.lit(0))).groupBy("part").agg(F.sum("m").alias("members"), F.count("*").alias("rows"))
+    sized = shared.stored(labelled.join(rows.where("members > 1"), "part").select("part", "component_id", (F.col("rows") > PART).alias("large")), "sized")
+    small, large = sized.where("not large").drop("large"), sized.where("large").drop("large")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        score = {(min(a, b), max(a, b)): s for a, b, s in zip(part["a"], part["b"], part["combined"], strict=True) if b is not None}
-        got = greedy(part.loc[part["b"].isna(), "a"].tolist(), score, threshold)
-        return pd.DataFrame({"component_id": list(got), "part": part["part"].iloc[0], "sub": list(got.values())})
+        b = part["b"]
+        got = greedy(part.loc[b.isna(), "a"].tolist(), set(zip(part.loc[b.notna(), "a"], b[b.notna()], strict=True)))
+        return pd.DataFrame({"part": part["part"].iloc[0], "component_id": list(got), "accepted": list(got.values())})
 
     shared.ship(nodes.sparkSession)
-    many = rows.groupBy("part").applyInPandas(run, "component_id string, part string, sub int")
-    one = labelled.join(several, "part", "left_anti").select("component_id", "part", F.lit(0).alias("sub"))
-    return nodes.join(many.union(one), "component_id")
+    some = small.select("part", F.col("component_id").alias("a"), F.lit(None).cast("string").alias("b")).union(near.join(small.select("part").distinct(), "part", "left_semi"))
+    decided = some.groupBy("part").applyInPandas(run, "part string, component_id string, accepted boolean")
+    if large.limit(1).count():
+        decided = decided.union(by_rounds(large, near.join(large.select("part").distinct(), "part", "left_semi")))
+    return nodes.join(labelled.join(decided, ["part", "component_id"], "left").select("component_id", "part", (~F.coalesce("accepted", F.lit(True))).alias("alone")), "component_id")
+
+
+def by_rounds(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(part, component_id, accepted) as ``greedy`` decides, for all parts at once, in joins and counts (CLU-1).
+
+    Undecided members are those alike to all that are accepted. One of them surely stays
+    if it is alike to all smaller undecided ones: it has as many alike pairs with them
+    as its number among them less one. Those are accepted together, and who isn't alike
+    to all of them is rejected. The least undecided member of each part is accepted
+    in every round; of random pairs a round decides most.
+
+    members: part, component_id. near: part and the pairs a < b that reach the threshold.
+    """
+    left, near, out = members, shared.stored(near, "alike"), None
+    while left.limit(1).count():
+        ranked = numbering.number_within(left, ["part"], [F.col("component_id")], "n")
+        smaller = near.groupBy("part", F.col("b").alias("component_id")).agg(F.count("*").alias("alike"))
+        state = ranked.join(smaller, ["part", "component_id"], "left")
+        state = shared.stored(state.select("part", "component_id", (F.coalesce("alike", F.lit(0)) == F.col("n") - 1).alias("accepted")), "round")
+        taken = state.where("accepted").drop("accepted")
+        out = taken if out is None else out.union(taken)
+        a, b = taken.withColumnRenamed("component_id", "a"), taken.withColumnRenamed("component_id", "b")
+        met = near.join(a, ["part", "a"]).select("part", F.col("b").alias("component_id")).union(near.join(b, ["part", "b"]).select("part", F.col("a").alias("component_id")))
+        met = met.groupBy("part", "component_id").agg(F.count("*").alias("met"))
+        every = taken.groupBy("part").agg(F.count("*").alias("taken"))
+        left = shared.stored(state.where("not accepted").join(met, ["part", "component_id"]).join(every, "part").where("met = taken").select("part", "component_id"), "undecided")
+        near = near.join(left.withColumnRenamed("component_id", "a"), ["part", "a"]).join(left.withColumnRenamed("component_id", "b"), ["part", "b"]).select("part", "a", "b")
+        near = shared.stored(near, "alike")
+    accepted = members.sparkSession.createDataFrame([], members.select("part", "component_id").schema) if out is None else out
+    return members.join(accepted.withColumn("accepted", F.lit(True)), ["part", "component_id"], "left").select("part", "component_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def label(top: Column) -> Column:
@@ -107,9 +143,10 @@ def aggregate(c: Candidates, groups: DataFrame, config: AggregationConfig | None
 
     # clusters are numbered by their first component, with its line as text
     k = c.candidates.select(F.col("candidate_id").alias("component_id"), F.coalesce(F.get("files", F.lit(0)), F.lit("")).alias("f"), F.coalesce("min_line", F.lit((1 << 31) - 1)).alias("l"))
+    clusters = clusters.withColumn("sub", F.when(F.col("alone"), F.col("component_id")).otherwise("")).drop("alone")
     first = clusters.join(k, "component_id").groupBy("group_id", "part", "sub").agg(F.min(F.struct("f", "l", "component_id")).alias("m"), F.count("*").alias("component_count"))
     key = F.concat_ws("|", "m.f", F.col("m.l").cast("string"), "m.component_id")
-    named = first.withColumn("n", F.row_number().over(Window.partitionBy("group_id").orderBy(key))).withColumn("candidate_id", numbered("AFEC-", F.col("group_id"), F.col("n")))
+    named = numbering.number_within(first, ["group_id"], [key], "n").withColumn("candidate_id", numbered("AFEC-", F.col("group_id"), F.col("n")))
     members = shared.stored(clusters.join(named.select("group_id", "part", "sub", "candidate_id", "component_count"), ["group_id", "part", "sub"]).select("candidate_id", "group_id", "component_id", "component_count"), "clusters")
 
     of = members.select(F.col("component_id"), F.col("candidate_id").alias("cluster"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill import shared
 from facetmill.config import SCOPES
 
+from . import intervals, numbering
 from .wcc import weakly_connected_components, with_isolated
 
 
@@ -59,12 +60,13 @@ def scope(source: Column, target: Column, source_group: Column, target_group: Co
 def associate(members: DataFrame, blocks: DataFrame, internal_sources: DataFrame) -> DataFrame:
     """(candidate_id, block_id): an entity names the block, stands in it, or an edge starts in it (JOIN-13).
 
-    Three joins and a union: one OR condition would be a nested loop.
+    Three joins and a union: one OR condition would be a nested loop. Lines meet blocks
+    by nodes of a tree over the lines, so a hot file is not one key.
     """
     b = blocks.select("group_id", "block_id", "file", "start_line", "end_line").distinct()
     named = members.join(b.select("group_id", "block_id"), ["group_id", "block_id"]).select("candidate_id", "block_id")
-    m = members.select("candidate_id", "group_id", "file", F.col("start_line").alias("_at"))
-    inside = m.join(b, ["group_id", "file"]).where((F.col("start_line") <= F.col("_at")) & (F.col("_at") <= F.col("end_line"))).select("candidate_id", "block_id")
+    m = members.select("candidate_id", "group_id", "file", F.col("start_line").alias("_at")).distinct()
+    inside = intervals.covering(m, b, ["group_id", "file"], "_at", "start_line", "end_line").select("candidate_id", "block_id")
     starts = internal_sources.join(b.select("group_id", "block_id"), ["group_id", "block_id"]).select("candidate_id", "block_id")
     return named.union(inside).union(starts).distinct()
 
@@ -89,7 +91,7 @@ def build(groups: DataFrame, group_blocks: DataFrame, entities: DataFrame, edges
     # the first entity of a component, with its line as text, orders components
     first = placed.groupBy("group_id", "label").agg(F.min(F.struct("file", "start_line", "entity_id")).alias("m"))
     key = F.concat_ws("|", "m.file", F.col("m.start_line").cast("string"), "m.entity_id")
-    ordered = first.withColumn("n", F.row_number().over(Window.partitionBy("group_id").orderBy(key)))
+    ordered = numbering.number_within(first, ["group_id"], [key], "n")
     named = ordered.select("group_id", "label", "n", numbered("FEC-", F.col("group_id"), F.col("n")).alias("candidate_id"))
     owned = shared.stored(placed.join(named.drop("n"), ["group_id", "label"]).drop("label"), "members")
     of = owned.select("entity_id", "candidate_id")
@@ -106,7 +108,7 @@ def build(groups: DataFrame, group_blocks: DataFrame, entities: DataFrame, edges
     block = group_blocks.groupBy("group_id", "block_id", "file", "directive", "start_line", "end_line", "signature").agg(F.count("*").alias("_n")).drop("_n")
     left = block.join(covered.select("block_id").distinct(), "block_id", "left_anti")  # JOIN-14, SET-5
     taken = named.groupBy("group_id").agg(F.max("n").alias("base"))
-    left = left.join(taken, "group_id", "left").withColumn("n", F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("group_id").orderBy("file", "start_line", "directive")))
+    left = numbering.number_within(left, ["group_id"], [F.col("file"), F.col("start_line"), F.col("directive"), F.col("block_id")], "k").join(taken, "group_id", "left").withColumn("n", F.coalesce("base", F.lit(0)) + F.col("k")).drop("k")
     left = left.withColumn("candidate_id", numbered("FEC-", F.col("group_id"), F.col("n")))
     blocks = shared.stored(covered.join(block, "block_id").unionByName(left.select("candidate_id", *block.columns)), "candidate_blocks")
 

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetmill import shared
 from facetmill.functions import text as tx
 from facetmill.sources import scan
 
@@ -18,7 +15,6 @@ PATTERN = r"^[ \t\n\x0B\f\r]*//[ \t\n\x0B\f\r]*#(if|elif|else|endif)\b[ \t\n\x0B
 _DIRECTIVE = re.compile(PATTERN, re.ASCII)
 _LINE = re.compile("\r\n|\n|\r")
 _SPACE = "".join(map(chr, range(33)))
-SCHEMA = "file string, seq int, directive string, start_line int, end_line int, depth int, raw string, ids array<string>, parent_seq int"
 
 
 def recognise(line: str) -> tuple[str, str] | None:
@@ -31,89 +27,59 @@ def ids_of(raw: str) -> list[str]:
     return [x for x in (p.strip(_SPACE) for p in raw.split("|")) if x]
 
 
-def fold(directives: Iterable[tuple[int, str, str]], last_line: int) -> list[dict]:
-    """Blocks in pre-order from (line, directive, expression) in order (DIR-2 to DIR-5).
+def marks(files: DataFrame) -> DataFrame:
+    """(file, ln, word, expression, last): the directive lines of files (path, src), with the number of the last line (DIR-1)."""
+    parts = scan.split_lines(scan.checked())
+    found = files.where(F.instr("src", "#") > 0).select(F.col("path").alias("file"), F.size(parts).alias("last"), F.posexplode(parts).alias("i", "text"))
+    whole = PATTERN.removesuffix("$") + r"\z"
+    found = found.where(F.col("text").rlike(whole))
+    cut = lambda k: F.regexp_extract("text", whole, k)
+    return found.select("file", (F.col("i") + 1).alias("ln"), cut(1).alias("word"), F.regexp_replace(cut(2), r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("expression"), "last")
 
-    A frame of the stack is an open ``if`` with its current branch; ``endif`` is a
-    block of its own beside the branches. Orphans are ignored, open blocks end with
-    the file, and a branch after ``else`` in name only has no products.
+
+def nested(found: DataFrame) -> DataFrame:
+    """``found`` (file, ln, word, ...) without orphans, with depth, and ``seq`` in pre-order, which is the order of lines (DIR-3, WIN-8).
+
+    The running sum of +1 for ``if`` and -1 for ``endif``, less its least value so far
+    where that is below 0, is how many ``if`` are open: an ``endif`` too many closes none.
     """
-    blocks: list[dict] = []
-    stack: list[dict] = []
-
-    def add(kind: str, line: int, depth: int, raw: str, parent: int | None) -> dict:
-        b = {"directive": kind, "start_line": line, "end_line": line, "depth": depth, "raw": raw, "ids": ids_of(raw), "parent": parent, "kids": []}
-        blocks.append(b)
-        (blocks[parent]["kids"] if parent is not None else roots).append(len(blocks) - 1)
-        return b
-
-    def effective(raw: str, allowed: list[str] | None) -> str:
-        return raw if allowed is None else "|".join(x for x in ids_of(raw) if x in allowed)
-
-    roots: list[int] = []
-    for line, word, expression in directives:
-        if word == "if":
-            parent = stack[-1]["branch"] if stack else None
-            allowed = blocks[parent]["ids"] if parent is not None else None
-            add("IF", line, len(stack), effective(expression, allowed), parent)
-            stack.append({"depth": len(stack), "allowed": allowed, "parent": parent, "branch": len(blocks) - 1})
-        elif stack:
-            frame = stack[-1]
-            open_ = blocks[frame["branch"]]
-            open_["end_line"] = max(open_["start_line"], line - 1)
-            if word == "endif":
-                stack.pop()
-                add("ENDIF", line, frame["depth"], "", frame["parent"])
-            else:
-                raw = effective(expression, frame["allowed"]) if word == "elif" else ""
-                add(word.upper(), line, frame["depth"], raw, frame["parent"])
-                frame["branch"] = len(blocks) - 1
-    for frame in stack:
-        open_ = blocks[frame["branch"]]
-        open_["end_line"] = max(open_["start_line"], last_line)
-
-    out: list[dict] = []
-
-    def visit(k: int, parent: int | None) -> None:
-        b = blocks[k]
-        seq = len(out)
-        out.append({c: b[c] for c in ("directive", "start_line", "end_line", "depth", "raw", "ids")} | {"seq": seq, "parent_seq": parent})
-        for kid in b["kids"]:
-            visit(kid, seq)
-
-    for k in roots:
-        visit(k, None)
-    return out
+    order = Window.partitionBy("file").orderBy("ln")
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    is_if = F.col("word") == "if"
+    out = found.withColumn("_s", F.sum(F.when(is_if, 1).when(F.col("word") == "endif", -1).otherwise(0)).over(until))
+    out = out.withColumn("_open", F.col("_s") - F.least(F.lit(0), F.min("_s").over(until)))
+    out = out.withColumn("_before", F.lag("_open", 1, 0).over(order)).where(is_if | (F.col("_before") > 0))
+    out = out.withColumns({"depth": (F.col("_before") - F.when(is_if, 0).otherwise(1)).cast("int"), "seq": (F.row_number().over(order) - 1).cast("int")})
+    return out.drop("_s", "_open", "_before")
+
+
+def ends(placed: DataFrame) -> DataFrame:
+    """``nested`` rows with ``end_line``: a branch ends before the next directive of its depth, which is of its frame, or with the file (DIR-4)."""
+    after = F.lead("ln").over(Window.partitionBy("file", "depth").orderBy("ln"))
+    return placed.withColumn("end_line", F.when(F.col("word") == "endif", F.col("ln")).otherwise(F.greatest(F.col("ln"), F.coalesce(after - 1, F.col("last")))).cast("int"))
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Blocks of all files (path, src), a row each, with their block_id; file by file, without a shuffle."""
-    shared.ship(files.sparkSession)
-    readable = files.select("path", scan.checked().alias("src")).where(F.instr("src", "#") > 0)
-
-    def build(parts):
-        for part in parts:
-            rows = []
-            for path, src in zip(part["path"], part["src"], strict=True):
-                lines = _LINE.split(src)
-                if lines[-1] == "":
-                    lines.pop()
-                words = [(i + 1, *d) for i, x in enumerate(lines) if (d := recognise(x))]
-                rows += [{"file": path} | b for b in fold(words, len(lines))]
-            if rows:
-                yield pd.DataFrame(rows)[[c.split()[0] for c in SCHEMA.split(", ")]].astype({"parent_seq": "Int32"})
-
-    blocks = readable.mapInPandas(build, SCHEMA)
-    return blocks.withColumn("block_id", tx.block_id(F.col("file"), F.col("directive"), F.col("start_line"), F.col("end_line")))
-
-
-def depths(marks: DataFrame, file: str, line: str, word: str) -> DataFrame:
-    """For balanced input: nesting depth and end of each branch by windows alone (DIR-3, DIR-4, WIN-8)."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(file).orderBy(line)
-    step = F.when(F.col(word) == "if", 1).when(F.col(word) == "endif", -1).otherwise(0)
-    open_ = F.coalesce(F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = marks.withColumn("depth", F.when(F.col(word) == "if", open_).otherwise(open_ - 1).cast("int"))
-    after = F.lead(line).over(Window.partitionBy(file, "depth").orderBy(line))
-    return out.withColumn("end_line", F.when(F.col(word) == "endif", F.col(line)).otherwise(F.greatest(F.col(line), after - 1)))
+    """Blocks of all files (path, src), a row each, with their block_id (DIR-2 to DIR-7).
+
+    The blocks around a directive of depth d are, for each depth below d, the last branch
+    of that depth before it. So each directive asks once for each of these depths, a
+    window over (file, depth) answers, and ids are own ones that all blocks around have.
+    ``endif`` is a block of its own beside the branches.
+    """
+    placed = ends(nested(marks(files)))
+    own = F.when(F.col("word").isin("if", "elif"), tx.parse_signature(F.col("expression"))).otherwise(F.array().cast("array<string>"))
+    placed = placed.withColumn("own", own)
+    is_branch = F.col("word") != "endif"
+    asks = F.struct(F.col("depth").alias("level"), F.lit(False).alias("ask"), F.when(is_branch, F.struct("seq", "own")).alias("branch"))
+    levels = F.transform(F.sequence(F.lit(0), F.col("depth")), lambda k: F.when(k == F.col("depth"), asks).otherwise(F.struct(k.alias("level"), F.lit(True).alias("ask"), F.lit(None).cast("struct<seq:int,own:array<string>>").alias("branch"))))
+    each = placed.withColumn("_l", F.explode(levels)).select("*", "_l.*").drop("_l")
+    around = F.last("branch", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0))
+    met = each.withColumn("around", F.when(F.col("ask"), around))
+    same = ["file", "seq", "word", "ln", "end_line", "depth", "expression", "own"]
+    met = met.groupBy(*same).agg(F.collect_list("around.own").alias("above"), F.max(F.when(F.col("level") == F.col("depth") - 1, F.col("around.seq"))).alias("parent_seq"))
+    ids = F.filter("own", lambda x: F.forall("above", lambda a: F.array_contains(a, x)))
+    raw = F.when(~F.col("word").isin("if", "elif"), "").when(F.col("depth") == 0, F.col("expression")).otherwise(F.array_join("ids", "|"))
+    out = met.withColumn("ids", ids).withColumn("raw", raw)
+    out = out.select("file", "seq", F.upper("word").alias("directive"), F.col("ln").cast("int").alias("start_line"), "end_line", "depth", "raw", "ids", "parent_seq")
+    return out.withColumn("block_id", tx.block_id(F.col("file"), F.col("directive"), F.col("start_line"), F.col("end_line")))

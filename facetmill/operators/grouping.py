@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.functions import text as tx
 
+from . import numbering
+
 
 def number_sets(rows: DataFrame, ids: str, prefix: str = "G") -> DataFrame:
-    """(ids, group_id) of the distinct id arrays, numbered in array order; one row per group is ordered."""
+    """(ids, group_id, n_rows) of the distinct id arrays, numbered in array order."""
     distinct = rows.groupBy(ids).agg(F.count("*").alias("n_rows"))
-    return distinct.withColumn("group_id", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(ids)).cast("string")))
+    return numbering.number(distinct, [F.col(ids)], "_n").withColumn("group_id", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
 
 
 def universe(rows: DataFrame, ids: str) -> DataFrame:

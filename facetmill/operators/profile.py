@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.config import ENTITY_TYPES, AggregationConfig
 from facetmill.functions import text as tx
 
-from . import graph, tokens
+from . import graph, numbering, tokens
 from .clustering import Aggregation
 from .components import Candidates
 
@@ -26,7 +26,7 @@ def ranked(entities: DataFrame, degree: DataFrame, by: str, order: str = "asc")
     d = degree.select(by, F.col("node").alias("entity_id"), "in_degree", "out_degree", "degree")
     out = entities.join(d, [by, "entity_id"], "left").na.fill(0, ["in_degree", "out_degree", "degree"])
     out = out.withColumn("score", 2 * F.col("degree") + F.col("in_degree") + F.col("out_degree"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*importance_order(order))))
+    return numbering.number_within(out, [by], importance_order(order), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def concept(top: Column) -> Column:
@@ -64,10 +64,11 @@ def build(c: Candidates, a: Aggregation, config: AggregationConfig | None = None
     rank = ranked(entities, degree, "candidate_id", config.importance_order).withColumn("name", name)
 
     item = F.struct("rank", "name", "score", "entity_type", "file", "start_line", "end_line")
-    best = F.array_sort(F.collect_list(item))
-    by_type = rank.withColumn("t_rank", F.row_number().over(Window.partitionBy("candidate_id", "entity_type").orderBy("rank")))
-    of_type = [F.array_sort(F.collect_list(F.when((F.col("entity_type") == t) & (F.col("t_rank") <= 5), item))).alias(f"top_{t.lower()}") for t in ENTITY_TYPES]
-    tops = by_type.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, item))).alias("representative_entities"), *of_type, F.count_if(F.col("degree") == 0).alias("isolated_entity_count"), F.slice(best, 1, 3).alias("_three"))
+    first = [F.array_sort(F.collect_list(F.when(F.col("rank") <= k, item))).alias(c) for k, c in ((5, "representative_entities"), (3, "_three"))]
+    tops = rank.groupBy("candidate_id").agg(*first, F.count_if(F.col("degree") == 0).alias("isolated_entity_count"))
+    by_type = tokens.top_k(rank, ["candidate_id", "entity_type"], [F.col("rank")], 5, "t_rank")
+    of_type = [F.array_sort(F.collect_list(F.when(F.col("entity_type") == t, item))).alias(f"top_{t.lower()}") for t in ENTITY_TYPES]
+    typed = by_type.groupBy("candidate_id").agg(*of_type)
 
     freq = a.frequencies.join(of, "component_id").groupBy("candidate_id", "token").agg(F.sum("n").alias("n"))
     names = entities.select("candidate_id", "entity_id", name.alias("name"))
@@ -81,7 +82,7 @@ def build(c: Candidates, a: Aggregation, config: AggregationConfig | None = None
     is_type, is_code = F.col("entity_type").isin("CLASS", "INTERFACE"), F.col("entity_type").isin("METHOD", "CONSTRUCTOR")
     package = tx.package_prefix(F.col("qualified_name"))
     parts = [
-        tops, top, types, endpoints(internal, "target_entity_id", names, "top_targets"), endpoints(internal, "source_entity_id", names, "top_sources"),
+        tops, typed, top, types, endpoints(internal, "target_entity_id", names, "top_targets"), endpoints(internal, "source_entity_id", names, "top_sources"),
         _sorted(entities.where("qualified_name is not null").where(F.trim(package) != ""), package, "packages"), _sorted(entities.where(is_type), name, "classes"), _sorted(entities.where(is_code), name, "methods"),
         _sorted(entities.select("candidate_id", F.explode("observed_products").alias("p")), F.col("p"), "_products"),
     ]

@@ -5,23 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetmill import shared
 from facetmill.functions import text as tx
 
 
-def name_index(rows: DataFrame, name: str, ident: str) -> DataFrame:
-    """name, n_ids and the least id, a row for each name with text (JOIN-11)."""
-    named = rows.where(F.col(name).isNotNull() & (F.trim(name) != "")).select(tx.canonical_target(F.col(name)).alias("name"), F.col(ident).alias("id")).distinct()
-    return named.groupBy("name").agg(F.count("*").alias("n_ids"), F.min("id").alias("id"))
+#: A name looked up at least so often is hot; of all hot names the most frequent HOT_NAMES are broadcast.
+HOT, HOT_NAMES = 10_000, 4096
 
 
-def lookup(df: DataFrame, name: Column, index: DataFrame, out: str) -> DataFrame:
-    """``df`` with ``out``_n and ``out``_id: matches of the exact name, or else of its last part (JOIN-7)."""
-    exact = index.select(F.col("name").alias("_en"), F.col("n_ids").alias("_ec"), F.col("id").alias("_ei"))
-    plain = index.select(F.col("name").alias("_sn"), F.col("n_ids").alias("_sc"), F.col("id").alias("_si"))
-    keyed = df.withColumns({"_e": tx.canonical_target(name), "_s": tx.simple_name(name)})
-    joined = keyed.join(exact, F.col("_e") == F.col("_en"), "left").join(plain, F.col("_s") == F.col("_sn"), "left")
-    n = F.coalesce("_ec", "_sc", F.lit(0))
-    return joined.withColumns({f"{out}_n": n, f"{out}_id": F.when(n == 1, F.coalesce("_ei", "_si"))}).drop("_e", "_s", "_en", "_ec", "_ei", "_sn", "_sc", "_si")
+def name_index(rows: DataFrame, kind: Column, name: str, ident: str) -> DataFrame:
+    """kind, name, n_ids and the least id, a row for each name with text (JOIN-11)."""
+    named = rows.where(F.col(name).isNotNull() & (F.trim(name) != "")).select(kind.alias("kind"), tx.canonical_target(F.col(name)).alias("name"), F.col(ident).alias("id")).distinct()
+    return named.groupBy("kind", "name").agg(F.count("*").alias("n_ids"), F.min("id").alias("id"))
+
+
+def _matched(df: DataFrame, key: str, index: DataFrame, p: str, said: DataFrame) -> DataFrame:
+    """``df`` with ``p``_n and ``p``_id of (_k, key) in the index.
+
+    Names are as frequent as code makes them (``get``, ``run``): rows of the hottest take
+    their match from a broadcast of bounded size. They go on to the shuffled join under
+    keys that no name has and that spread them, so no task gets a name's rows.
+    """
+    often = said.groupBy(F.col("_k").alias("kind"), F.col(key).alias("name")).agg(F.count("*").alias("_c")).where((F.col("_c") >= HOT) & F.col("name").isNotNull())
+    hot = often.orderBy(F.desc("_c"), "kind", "name").limit(HOT_NAMES).drop("_c").join(index, ["kind", "name"], "left")
+    hot = F.broadcast(hot.select(F.col("kind").alias("_hk"), F.col("name").alias("_hn"), F.col("n_ids").alias("_hc"), F.col("id").alias("_hi"), F.lit(True).alias("_hot")))
+    out = df.join(hot, (F.col("_k") == F.col("_hk")) & (F.col(key) == F.col("_hn")), "left")
+    apart = F.concat(F.lit("\n"), F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)).cast("string"))
+    out = out.withColumn("_j", F.when(F.col("_hot") | F.col("_k").isNull() | F.col(key).isNull(), apart).otherwise(F.col(key)))
+    ix = index.toDF("_xk", "_xn", "_xc", "_xi")
+    out = out.join(ix, (F.coalesce("_k", F.lit("")) == F.col("_xk")) & (F.col("_j") == F.col("_xn")), "left")
+    return out.withColumns({f"{p}_n": F.coalesce("_hc", "_xc"), f"{p}_id": F.coalesce("_hi", "_xi")}).drop("_hk", "_hn", "_hc", "_hi", "_hot", "_j", "_xk", "_xn", "_xc", "_xi")
+
+
+def lookup(df: DataFrame, kind: Column, name: Column, index: DataFrame, out: str, said: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``out``_n and ``out``_id: matches of the exact name among those of the kind, or else of its last part (JOIN-7).
+
+    said: the rows whose names are counted to find hot ones, by default ``df``; better a stored form of it.
+    """
+    keys = {"_k": kind, "_e": tx.canonical_target(name), "_s": tx.simple_name(name)}
+    keyed, said = df.withColumns(keys), (df if said is None else said).withColumns(keys)
+    joined = _matched(_matched(keyed, "_e", index, "_x", said), "_s", index, "_y", said)
+    n = F.coalesce("_x_n", "_y_n", F.lit(0))
+    return joined.withColumns({f"{out}_n": n, f"{out}_id": F.when(n == 1, F.coalesce("_x_id", "_y_id"))}).drop("_k", "_e", "_s", *[f"_{p}_{c}" for p in "xy" for c in ("n", "id")])
 
 
 def tri_state(n: Column, external: Column) -> Column:
@@ -58,25 +83,15 @@ def resolve(relations: DataFrame, entities: DataFrame) -> DataFrame:
     r = relations.join(src, (F.col("file") == F.col("s_file")) & (F.col("source_key") == F.col("s_key")), "left").drop("s_file", "s_key")
     r = r.join(dst, (F.col("file") == F.col("t_file")) & (F.col("target_key") == F.col("t_key")), "left").drop("t_file", "t_key")
 
-    # one index, with the kind in front of each name
-    names = entity_names(entities).where(F.col("name").isNotNull() & (F.trim("name") != ""))
-    flat = names.select("kind", tx.canonical_target(F.col("name")).alias("name"), "entity_id").distinct()
-    index = flat.groupBy("kind", "name").agg(F.count("*").alias("n_ids"), F.min("entity_id").alias("id"))
+    index = shared.stored(name_index(entity_names(entities), F.col("kind"), "name", "entity_id"), "names")
 
     kind = F.when(F.col("relation_type") == "METHOD_CALL", "M").when(F.col("relation_type") == "CONSTRUCTOR_CALL", "C").when(F.col("relation_type") == "FIELD_REFERENCE", "F").otherwise("T")
     own = F.col("source_entity_id").isNotNull() & F.col("target_text").isin("this", "super") & (F.col("relation_type") == "CONSTRUCTOR_CALL")
     name = F.when(own & (F.col("target_text") == "this"), F.col("s_declaring")).when(own, F.lit("")).otherwise(F.col("target_text"))
 
-    def find(df: DataFrame, kind: Column, name: Column, out: str) -> DataFrame:
-        df = df.withColumns({"_k": kind, "_e": tx.canonical_target(name), "_s": tx.simple_name(name)})
-        for p, key in (("x", "_e"), ("y", "_s")):
-            ix = index.toDF(f"{p}_kind", f"{p}_name", f"{p}_n", f"{p}_id")
-            df = df.join(ix, (F.col("_k") == F.col(f"{p}_kind")) & (F.col(key) == F.col(f"{p}_name")), "left")
-        n = F.coalesce("x_n", "y_n", F.lit(0))
-        return df.withColumns({f"{out}_n": n, f"{out}_id": F.when(n == 1, F.coalesce("x_id", "y_id"))}).drop("_k", "_e", "_s", *[f"{p}_{c}" for p in "xy" for c in ("kind", "name", "n", "id")])
-
-    r = find(r, F.when(F.col("relation_type") == "FIELD_REFERENCE", "F"), F.concat("s_declaring", F.lit("#"), "target_text"), "field")
-    r = find(r, kind, name, "any")
+    r = said = shared.stored(r, "bound")
+    r = lookup(r, F.when(F.col("relation_type") == "FIELD_REFERENCE", "F"), F.concat("s_declaring", F.lit("#"), "target_text"), index, "field", said)
+    r = lookup(r, kind, name, index, "any", said)
     declared = (F.col("relation_type") == "FIELD_REFERENCE") & (F.col("field_n") == 1)
     n = F.when(F.col("bound_id").isNotNull() | declared, F.lit(1)).otherwise(F.col("any_n"))
     target = F.coalesce("bound_id", F.when(declared, F.col("field_id")), F.col("any_id"))

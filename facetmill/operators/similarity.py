@@ -8,20 +8,68 @@ from pyspark.sql import functions as F
 from facetmill.config import AggregationConfig
 from facetmill.functions import text as tx
 
+from . import numbering, tokens
 
-#: Tasks that the pairs of one group are dealt over.
+
+#: Rows in a block of a group, so that a cell of two blocks makes about BLOCK**2 pairs at most.
+BLOCK = 1024
+#: Tasks that one group's rows are dealt over when they get the group's size.
 SALTS = 16
 
 
-def all_pairs(rows: DataFrame, group: str, ident: str, order: list[str]) -> DataFrame:
-    """Every two rows of a group, once, the first in order first (JOIN-16).
+def cells(rows: DataFrame, group: list[str], ident: str, order: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of each group, keyed by cell: (group, i, j, a, _x) and (group, i, j, b, _y).
+
+    A group's rows are numbered in order and cut into blocks; blocks i <= j make a cell,
+    a triangle of cells for each group. A row is the first of pairs in the cells (i, i),
+    (i, i + 1), ... of its block i and the second in (0, j), ..., (j, j) of its block j, so
+    every pair has one cell and a group has as many as its size asks for. A group of one
+    block, as most are, is copied to no second cell.
+    """
+    placed = rows.select(*group, F.col(ident).alias("_id"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    ranked = numbering.number_within(placed, group, [*[F.col(f"_o{k}") for k in range(len(order))], F.col("_id")], "_n")
+    ranked = ranked.select(*group, "_id", "_n", F.floor((F.col("_n") - 1) / block).cast("int").alias("_block"))
+    last = ranked.groupBy(*group).agg(F.max("_block").alias("_last")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    first = ranked.withColumn("_salt", (F.col("_n") % SALTS).cast("int")).join(last, [*group, "_salt"])
+    x = first.select(*group, F.col("_block").alias("i"), F.explode(F.sequence("_block", "_last")).alias("j"), F.col("_id").alias("a"), F.col("_n").alias("_x"))
+    y = ranked.select(*group, F.explode(F.sequence(F.lit(0), "_block")).alias("i"), F.col("_block").alias("j"), F.col("_id").alias("b"), F.col("_n").alias("_y"))
+    return x, y
+
+
+def all_pairs(rows: DataFrame, group: str | list[str], ident: str, order: list[str]) -> DataFrame:
+    """Every two rows of a group (of one column, as ``group_id``, or several), once, the first in order first (JOIN-16).
 
-    The result is quadratic by definition; a group is dealt over SALTS keys so that
-    one large group isn't one task.
+    The result is quadratic by definition; its cells (see ``cells``) are even.
     """
-    x = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("a"), F.struct(*order).alias("_x"), F.pmod(F.xxhash64(ident), F.lit(SALTS)).alias("_salt"))
-    y = rows.select(F.col(group).alias("group_id"), F.col(ident).alias("b"), F.struct(*order).alias("_y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    return x.join(y, ["group_id", "_salt"]).where("_x < _y").drop("_x", "_y", "_salt")
+    if isinstance(group, str):
+        rows, group = rows.select(F.col(group).alias("group_id"), *dict.fromkeys([ident, *order])), ["group_id"]
+    x, y = cells(rows, group, ident, order)
+    return x.join(y, [*group, "i", "j"]).where("_x < _y").drop("_x", "_y", "i", "j")
+
+
+def shared_elements(sets: DataFrame, group: str, ident: str, order: list[str]) -> DataFrame:
+    """(a, b, kind, common): how many elements two sets of a group share, for pairs that share any (SIM-2, SIM-3).
+
+    sets: group, ident, order, kind and x, a row for each element of a set. Sets meet by
+    element; those of a frequent element are paired in cells, like those of a group.
+    """
+    met = all_pairs(sets, [group, "kind", "x"], ident, order)
+    return met.groupBy("a", "b", "kind").agg(F.count("*").alias("common"))
+
+
+def set_jaccard(pairs: DataFrame, sets: DataFrame, group: str, ident: str, order: list[str], kinds: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with the Jaccard similarity of each kind of set, 0 where one is empty."""
+    common = shared_elements(sets, group, ident, order)
+    common = common.groupBy("a", "b").agg(*[F.sum(F.when(F.col("kind") == k, F.col("common"))).alias(f"_c_{k}") for k in kinds])
+    sizes = sets.groupBy(ident).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    out = pairs.join(common, ["a", "b"], "left")
+    for side in "ab":
+        out = out.join(sizes.select(F.col(ident).alias(side), *[F.col(k).alias(f"_{side}_{k}") for k in kinds]), side, "left")
+    made = {}
+    for k in kinds:
+        both = F.coalesce(f"_c_{k}", F.lit(0))
+        made[k] = F.when(both > 0, both / (F.col(f"_a_{k}") + F.col(f"_b_{k}") - both)).otherwise(F.lit(0.0))
+    return out.withColumns(made).drop(*[f"_{p}_{k}" for p in "abc" for k in kinds])
 
 
 def weighted_jaccard(pairs: DataFrame, freq: DataFrame, ident: str, token: str, n: str, out: str = "lexical") -> DataFrame:
@@ -66,15 +114,14 @@ SUPPORT = {"lexical": "lexical", "context": "contextual", "neighborhood": "neigh
 
 
 def similarities(candidates: DataFrame, sets: DataFrame, freq: DataFrame, outgoing: DataFrame, c: AggregationConfig) -> DataFrame:
-    """All pairs of components of a group with every measure."""
+    """All pairs of components of a group with every measure; ``sets`` has a row for each element (``tokens.sets``)."""
     order = candidates.select("group_id", "candidate_id", F.coalesce(F.get("files", F.lit(0)), F.lit("")).alias("_f"), F.coalesce("min_line", F.lit((1 << 31) - 1)).alias("_l"))
     pairs = all_pairs(order, "group_id", "candidate_id", ["_f", "_l", "candidate_id"])
     pairs = weighted_jaccard(pairs, freq, "component_id", "token", "n")
     pairs = direct(pairs, outgoing.select(F.col("candidate_id").alias("from_id"), F.col("other_candidate_id").alias("to_id")))
-    x, y = (sets.select(F.col("component_id").alias(k), *[F.col(n).alias(f"{k}_{n}") for n in ("packages", "classes", "files", "neighbors", "block_ids")]) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    j = lambda n: tx.jaccard(F.col(f"a_{n}"), F.col(f"b_{n}"))
-    both = both.withColumns({"context": tx.mean(j("packages"), j("classes"), j("files")), "neighborhood": j("neighbors"), "block": j("block_ids")})
+    placed = sets.join(order.select("group_id", F.col("candidate_id").alias("component_id"), "_f", "_l"), "component_id")
+    both = set_jaccard(pairs, placed, "group_id", "component_id", ["_f", "_l", "component_id"], tokens.KINDS)
+    both = both.withColumns({"context": tx.mean(F.col("packages"), F.col("classes"), F.col("files")), "neighborhood": F.col("neighbors"), "block": F.col("block_ids")})
     both = both.withColumns({"combined": combined(c), "threshold": F.lit(c.pairwise_merge_threshold), "support": support(SUPPORT)})
     return both.select("group_id", "a", "b", "lexical", "context", "neighborhood", "direct", "block", "combined", "threshold", F.size("support").alias("support_count"), "support")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from facetmill.config import STOP_WORDS
 from facetmill.functions import text as tx
 
+from . import numbering
 from .components import Candidates
 
 
@@ -29,8 +30,8 @@ def evidence(c: Candidates, stop_words=STOP_WORDS) -> DataFrame:
     full = e.select("component_id", "source_entity_id", F.lit(0), "file", "line", F.lit(""), "source_entity_id", F.lit(1), F.lit("IDENTIFIER"), "qualified_name")
     edge = c.internal.select(F.col("candidate_id"), "source_entity_id", F.lit(1), "source_file", "source_line", "relation_type", F.concat_ws("|", "source_entity_id", "target_entity_id"), F.lit(0), F.lit("IDENTIFIER"), "relation_type")
     rows = explode_tokens(simple.union(full).union(edge).where("_t is not null"), "_t", stop_words)
-    order = Window.partitionBy("component_id").orderBy("phase", "file", "line", "k1", "k2", "k3", "tok_pos")
-    return rows.withColumn("pos", F.row_number().over(order)).select("component_id", "token", "provenance", "source_entity_id", "pos")
+    order = [F.col(c) for c in ("phase", "file", "line", "k1", "k2", "k3", "tok_pos")]
+    return numbering.number_within(rows, ["component_id"], order, "pos").select("component_id", "token", "provenance", "source_entity_id", "pos")
 
 
 def frequencies(rows: DataFrame, by: str, token: str = "token") -> DataFrame:
@@ -39,7 +40,11 @@ def frequencies(rows: DataFrame, by: str, token: str = "token") -> DataFrame:
 
 
 def top_k(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each group in an order (TOP-1, TOP-2, TOP-5, TOP-6)."""
+    """The first k rows of each group in an order (TOP-1, TOP-2, TOP-5, TOP-6).
+
+    A task keeps k rows of a group before the shuffle (the plan's WindowGroupLimit), so
+    what one group sends is bounded by the number of tasks.
+    """
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
@@ -49,17 +54,23 @@ def representative(freq: DataFrame, by: str, k: int = 8) -> DataFrame:
     return top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token", "n"))), lambda x: F.struct(x["token"].alias("token"), x["n"].alias("n"))).alias("top"))
 
 
+#: The sets that components are compared by.
+KINDS = ["packages", "classes", "files", "neighbors", "block_ids"]
+
+
 def sets(c: Candidates) -> DataFrame:
-    """Packages, classes, files, blocks and neighbours of each component, as arrays (AGG-11, GRA-6, SET-3)."""
+    """(component_id, kind, x): packages, classes, files, blocks and neighbours of each component, a row for each element (AGG-11, GRA-6, SET-3)."""
     cid = F.col("candidate_id").alias("component_id")
     q = c.entities.where("qualified_name is not null")
-    out = c.candidates.select(cid, "files")
     parts = {
         "packages": q.select(cid, tx.package_prefix(F.col("qualified_name")).alias("x")),
         "classes": q.select(cid, tx.enclosing_class(F.col("qualified_name")).alias("x")),
+        "files": c.entities.select(cid, F.col("file").alias("x")).union(c.blocks.select(cid, "file")),
         "block_ids": c.blocks.select(cid, F.col("block_id").alias("x")),
         "neighbors": c.internal.select(cid, F.col("target_entity_id").alias("x")).union(c.incoming.select(cid, "source_entity_id")).union(c.outgoing.select(cid, "target_entity_id")),
     }
-    for name, rows in parts.items():
-        out = out.join(rows.groupBy("component_id").agg(F.array_sort(F.collect_set("x")).alias(name)), "component_id", "left")
-    return out.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in parts})
+    out = None
+    for kind, rows in parts.items():
+        made = rows.select("component_id", F.lit(kind).alias("kind"), "x")
+        out = made if out is None else out.union(made)
+    return out.where("x is not null").distinct()

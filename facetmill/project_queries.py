@@ -10,6 +10,8 @@ ends in 0 alone. All pairs are merged (thresholds of 0), so a group is one clust
 
 from __future__ import annotations
 
+import copy
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,20 +73,40 @@ class Project(Analysis):
         self.__dict__ |= {"facts": Facts(entities, relations, failures, stats), "_grouped": (shared.stored(groups, "groups"), blocks)}
 
 
-_MADE: dict[tuple[str, str], Project] = {}
+_MADE: dict[tuple, Analysis] = {}
 
 
-def project(spark: SparkSession, sf: str) -> Project:
-    """The project of a folder of tables; its stages, once made, serve all queries of an application."""
-    key = (spark.sparkContext.applicationId, sf)
+def _kept(spark: SparkSession, sf: str, tables: tuple[str, ...], what: str, make: Callable[[], Analysis]) -> Analysis:
+    """What was made of these very files in this application, or else made now; changed files make it anew."""
+    files: list = []
+    for t in tables:
+        f = spark.read.parquet(f"{sf}/{t}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files += sorted(map(tuple, f.distinct().collect()))
+    key = (spark.sparkContext.applicationId, what, tuple(files))
     if (a := _MADE.get(key)) is not None:
         try:
             a.facts.entities.limit(1).count()
+            return a
         except Exception:  # what was stored is gone
-            a = None
-    if a is None:
-        a = _MADE[key] = Project(spark, sf)
-    return a
+            pass
+    _MADE[key] = make()
+    return _MADE[key]
+
+
+def project(spark: SparkSession, sf: str, config: AggregationConfig = ALL) -> Analysis:
+    """The project of a folder of tables; its stages, once made, serve all queries of an application."""
+    tables = ("nation", "customer", "supplier", "orders")
+    base = _kept(spark, sf, tables, "project", lambda: Project(spark, sf))
+    if config == ALL:
+        return base
+
+    def other() -> Analysis:
+        a = copy.copy(base)
+        base.candidates  # noqa: B018 made once for both
+        a.__dict__ = {k: v for k, v in base.__dict__.items() if k not in ("aggregation", "_profiled", "tables")} | {"config": config}
+        return a
+
+    return _kept(spark, sf, tables, repr(config), other)
 
 
 _STEM = "CASE WHEN w LIKE '%ies' AND len(w) > 4 THEN left(w, len(w) - 3) || 'y' WHEN w LIKE '%ing' AND len(w) > 5 THEN left(w, len(w) - 3) WHEN w LIKE '%s' AND len(w) > 3 THEN left(w, len(w) - 1) ELSE w END"
@@ -241,6 +263,121 @@ def snk11_12_15_16_clu3_win6_fil6_fil8_agg12_map1_lab1_2_3_4_set2_aggregation_cs
     return _rows(project(spark, sf), "aggregated-feature-effect-candidates", "aggregated-feature-effect-members", "candidate-labels", "unassigned-components")
 
 
+#: Reports by the relation that _csv reads, and the order of their rows in SQL.
+_FILES = {
+    "entities": (_csv("entities", "ent", observed_products=_P), "file, start_line, entity_type, coalesce(qualified_name, '')"),
+    "relations": (_csv("relations", "rel", observed_products=_P), "file, source_line, relation_type, coalesce(target_text, '')"),
+    "dependency-nodes": (_csv("dependency-nodes", "ent", observed_products=_P), "file, start_line, entity_type, coalesce(qualified_name, '')"),
+    "dependency-edges": (_csv("dependency-edges", "edge", observed_products=_P, resolution_status="'RESOLVED_INTERNAL'"), "source_file, source_line, relation_type, source_entity_id, target_entity_id"),
+    "unresolved-relations": (_csv("unresolved-relations", "why WHERE failure_reason IS NOT NULL", observed_products=_P), "file, source_line, relation_type, coalesce(source_entity_id, ''), coalesce(target_text, '')"),
+    "feature-effect-candidates": (_csv("feature-effect-candidates", "cand", observed_products=_P, file_count="len(files)"), "group_id, coalesce(min_file, ''), min_line NULLS FIRST, candidate_id"),
+    "candidate-dependencies": (_csv("candidate-dependencies", "dep"), "source_candidate_id, target_candidate_id, dependency_scope, relation_type"),
+    "aggregated-feature-effect-candidates": (_csv("aggregated-feature-effect-candidates", "aggregated", block_count="len(block_ids)", file_count="len(files)", unresolved_concerns=_CONCERNS, **_LIST), "group_id, candidate_id"),
+}
+
+
+def _lines(name: str) -> str:
+    sql, order = _FILES[name]
+    head = ",".join(c.partition("=")[0] for c in sinks.CSV[name][0].split(","))
+    select, relation = sql.split(" AS value FROM ", 1)
+    value = select.split(" AS report, ", 1)[1]
+    return f"SELECT '{name}' AS report, CAST(0 AS BIGINT) AS n, '{head}' AS value UNION ALL SELECT '{name}', row_number() OVER (ORDER BY {order}, {value}), {value} FROM {relation}"
+
+
+@query(" UNION ALL ".join(map(_lines, _FILES)))
+def ord1_to_ord5_snk_order_of_report_files(spark, sf):
+    """Lines of report files, read back with their places: header, order and end are the sink's own."""
+    a, at, out = project(spark, sf), f"{shared.shared_dir(spark)}/reports-{uuid.uuid4().hex}", None
+    for name in _FILES:
+        sinks.write_csv(a.tables[name], name, at)
+        made = sinks.read_lines(spark, f"{at}/{name}.csv").select(F.lit(name).alias("report"), "n", "value")
+        out = made if out is None else out.union(made)
+    return out
+
+
+#: Thresholds that some pairs and members fail; isolated components don't merge in the second.
+REAL = AggregationConfig(cluster_cohesion_threshold=0.5)
+STRICT = AggregationConfig(cluster_cohesion_threshold=0.6, aggregate_isolated_entities=False, minimum_evidence_families=3)
+
+_J = "max(CASE WHEN kind = '{0}' THEN j END) AS {0}"
+_SIMILAR = f""",
+cs AS (SELECT candidate_id AS id, group_id, signature, classification_status, coalesce(files[1], '') AS f, coalesce(min_line, 2147483647) AS l FROM cand),
+pr AS (SELECT x.group_id, x.id AS a, y.id AS b, x.classification_status AS a_class, y.classification_status AS b_class FROM cs x JOIN cs y ON x.group_id = y.group_id AND (x.f < y.f OR x.f = y.f AND (x.l < y.l OR x.l = y.l AND x.id < y.id))),
+tf AS (SELECT candidate_id AS id, token, count(*) AS n FROM ev GROUP BY ALL), tt AS (SELECT id, sum(n) AS n FROM tf GROUP BY id),
+tw AS (SELECT a, b, sum(least(p.n, q.n)) AS w FROM pr JOIN tf p ON p.id = a JOIN tf q ON q.id = b AND q.token = p.token GROUP BY ALL),
+qn AS (SELECT candidate_id AS id, qualified_name AS q, string_split(qualified_name, '.') AS parts FROM mem WHERE qualified_name IS NOT NULL),
+el AS (SELECT id, 'packages' AS kind, CASE WHEN contains(q, '.') THEN regexp_extract(q, '^(.*)\\.[^.]*$', 1) ELSE '' END AS x FROM qn UNION SELECT id, 'classes', CASE WHEN len(parts) >= 2 THEN parts[-2] ELSE q END FROM qn UNION SELECT candidate_id, 'files', unnest(files) FROM cand UNION SELECT candidate_id, 'block_ids', block_id FROM cblk
+  UNION SELECT candidate_id, 'neighbors', target_entity_id FROM inn UNION SELECT t_cand, 'neighbors', source_entity_id FROM acr UNION SELECT s_cand, 'neighbors', target_entity_id FROM acr),
+es AS (SELECT id, kind, count(*) AS n FROM el GROUP BY ALL), ec AS (SELECT a, b, p.kind, count(*) AS c FROM pr JOIN el p ON p.id = a JOIN el q ON q.id = b AND q.kind = p.kind AND q.x = p.x GROUP BY ALL),
+ej AS (SELECT a, b, {', '.join(_J.format(k) for k in ('packages', 'classes', 'files', 'neighbors', 'block_ids'))} FROM (SELECT a, b, ec.kind, CAST(c AS DOUBLE) / (p.n + q.n - c) AS j FROM ec JOIN es p ON p.id = a AND p.kind = ec.kind JOIN es q ON q.id = b AND q.kind = ec.kind) GROUP BY a, b),
+dc AS (SELECT DISTINCT least(s_cand, t_cand) AS lo, greatest(s_cand, t_cand) AS hi FROM acr),
+sm0 AS (SELECT pr.*, CASE WHEN coalesce(ta.n, 0) + coalesce(tb.n, 0) - coalesce(w, 0) > 0 THEN CAST(coalesce(w, 0) AS DOUBLE) / (coalesce(ta.n, 0) + coalesce(tb.n, 0) - coalesce(w, 0)) ELSE 0.0::DOUBLE END AS lexical, (coalesce(packages, 0) + coalesce(classes, 0) + coalesce(files, 0)) / 3.0::DOUBLE AS context,
+    coalesce(neighbors, 0.0::DOUBLE) AS neighborhood, CASE WHEN lo IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS direct, coalesce(block_ids, 0.0::DOUBLE) AS block
+  FROM pr LEFT JOIN tw USING (a, b) LEFT JOIN tt ta ON ta.id = a LEFT JOIN tt tb ON tb.id = b LEFT JOIN ej USING (a, b) LEFT JOIN dc ON lo = least(a, b) AND hi = greatest(a, b)),
+sm AS (SELECT *, 0.35 * lexical + 0.2 * context + 0.2 * neighborhood + 0.15 * direct + 0.1 * block AS combined, list_filter([CASE WHEN lexical >= 0.2 THEN 'lexical' END, CASE WHEN context >= 0.3 THEN 'contextual' END, CASE WHEN neighborhood >= 0.2 THEN 'neighborhood' END, CASE WHEN direct > 0 THEN 'dependency' END, CASE WHEN block >= 0.2 THEN 'block' END], lambda v: v IS NOT NULL) AS support FROM sm0)"""
+
+
+def _decided(c: AggregationConfig) -> str:
+    """Decisions in SQL."""
+    isolated = "false" if c.aggregate_isolated_entities else "(a_class = 'ISOLATED_ENTITY' OR b_class = 'ISOLATED_ENTITY')"
+    why = f"CASE WHEN {isolated} THEN 'isolated aggregation disabled' WHEN len(support) < {c.minimum_evidence_families} THEN 'insufficient independent evidence families' WHEN combined < {c.pairwise_merge_threshold} THEN 'combined score below threshold' ELSE 'threshold and evidence-family requirements satisfied' END"
+    return f"{_SIMILAR}, dec AS (SELECT *, {why} AS reason FROM sm)"
+
+
+def _clustered(c: AggregationConfig) -> str:
+    """Clusters in SQL: components of merged pairs, then members one by one while alike to all accepted."""
+    t = c.cluster_cohesion_threshold
+    return f"""{_decided(c)}, merged AS (SELECT a, b FROM dec WHERE reason LIKE 'threshold%' UNION SELECT b, a FROM dec WHERE reason LIKE 'threshold%'),
+reach AS (SELECT id AS a, id AS b FROM cs UNION SELECT r.a, m.b FROM reach r JOIN merged m ON r.b = m.a), part AS (SELECT a AS id, min(b) AS part FROM reach GROUP BY a),
+alike AS (SELECT id, list(o) AS near FROM (SELECT greatest(a, b) AS id, least(a, b) AS o FROM sm WHERE combined >= {t}) GROUP BY id),
+ordered AS (SELECT part, part.id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY part ORDER BY part.id) AS k FROM part LEFT JOIN alike USING (id)),
+taken AS (SELECT part, CAST(1 AS BIGINT) AS k, [id] AS acc FROM ordered WHERE k = 1 UNION ALL SELECT t.part, t.k + 1, CASE WHEN list_has_all(o.near, t.acc) THEN list_append(t.acc, o.id) ELSE t.acc END FROM taken t JOIN ordered o ON o.part = t.part AND o.k = t.k + 1),
+last AS (SELECT part, acc FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k DESC) AS z FROM taken) WHERE z = 1),
+placed AS (SELECT ordered.part, id, CASE WHEN list_contains(acc, id) THEN '' ELSE id END AS sub FROM ordered JOIN last USING (part)),
+named AS (SELECT group_id, part, sub, n, {_two('AFEC-', 'group_id', 'n')} AS cluster FROM (SELECT group_id, part, sub, row_number() OVER (PARTITION BY group_id ORDER BY concat_ws('|', m.f, m.l, m.id)) AS n FROM (SELECT group_id, part, sub, min({{'f': f, 'l': l, 'id': cs.id}}) AS m FROM placed JOIN cs USING (id) GROUP BY ALL)))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SIX = ["lexical", "context", "neighborhood", "direct", "block", "combined"]
+
+
+def _similar(config: AggregationConfig, name: str):
+    rounded = ", ".join(f"round({c}, 9) AS {c}" for c in _SIX)
+
+    @query(f"{_decided(config)} SELECT group_id, a, b, {rounded}, {config.pairwise_merge_threshold}::DOUBLE AS threshold, CAST(len(support) AS INT) AS support_count, array_to_string(support, '|') AS support, CASE WHEN reason LIKE 'threshold%' THEN 'MERGED' ELSE 'NOT_MERGED' END AS decision, reason FROM dec")
+    def run(spark, sf):
+        t = project(spark, sf, config).tables
+        s, d = t["component-similarities"], t["component-merge-decisions"]
+        s = s.select("group_id", "a", "b", *[F.round(c, 9).alias(c) for c in _SIX], "threshold", "support_count", F.array_join("support", "|").alias("support"))
+        return s.join(d.select("a", "b", "decision", "reason"), ["a", "b"])
+
+    for q in (QUERIES, ORACLE):
+        q[name] = q.pop("run")
+
+
+_similar(REAL, "snk13_snk14_agg11_gra6_sim1_to_sim7_similarities_and_decisions")
+_similar(STRICT, "snk13_snk14_sim7_decisions_by_strict_rules")
+
+
+def _clusters(config: AggregationConfig, name: str):
+    lost = "(SELECT cluster FROM named JOIN placed USING (part, sub) LEFT JOIN tt USING (id) GROUP BY cluster HAVING coalesce(sum(n), 0) = 0)".replace("sum(n)", "sum(tt.n)")
+
+    @query(f"{_clustered(config)} SELECT cluster AS candidate_id, id AS component_id, count(*) OVER (PARTITION BY cluster) AS component_count, cluster IN {lost} AS unassigned FROM named JOIN placed USING (part, sub)")
+    def run(spark, sf):
+        a = project(spark, sf, config)
+        lost_ = a.tables["unassigned-components"].select(F.col("candidate_id").alias("component_id"), F.lit(True).alias("unassigned"))
+        return a.aggregation.members.select("candidate_id", "component_id", "component_count").join(lost_, "component_id", "left").withColumn("unassigned", F.coalesce("unassigned", F.lit(False)))
+
+    QUERIES[name], ORACLE[name] = QUERIES.pop("run"), _recursive(ORACLE.pop("run"))
+
+
+_clusters(REAL, "clu1_clu2_clu3_win6_fil7_fil8_snk16_clusters_by_real_thresholds")
+_clusters(STRICT, "clu1_clu2_clu3_win6_fil7_fil8_snk16_clusters_by_strict_rules")
+
+
 def _best(kind: str) -> str:
     return f"coalesce((SELECT string_agg(name || '[rank=' || rank || ',score=' || score || ']', '|' ORDER BY rank) FROM typed WHERE typed.cluster = aggregated.candidate_id AND {kind}), '')"
 
@@ -435,23 +572,16 @@ def _filled(column: str) -> str:
     return f"replace(replace({column}, '%k', CAST(c_custkey AS VARCHAR)), '%n', CAST(c_nationkey AS VARCHAR))"
 
 
-_SOURCES: dict[tuple[str, str], Analysis] = {}
-
-
 def sources(spark: SparkSession, sf: str) -> Analysis:
     """The analysis of one source for each customer; its facts, once made, serve the queries of an application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if (a := _SOURCES.get(key)) is not None:
-        try:
-            a.facts.entities.limit(1).count()
-            return a
-        except Exception:  # what was stored is gone
-            pass
-    c = spark.read.parquet(f"{sf}/customer.parquet")
-    form = F.element_at(F.array(*map(F.lit, _FORMS)), F.expr(_SPECIAL).cast("int") + 1)
-    text = F.replace(F.replace(form, F.lit("%k"), F.col("c_custkey").cast("string")), F.lit("%n"), F.col("c_nationkey").cast("string"))
-    a = _SOURCES[key] = Analysis(c.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), text.alias("src")))
-    return a
+
+    def made() -> Analysis:
+        c = spark.read.parquet(f"{sf}/customer.parquet")
+        form = F.element_at(F.array(*map(F.lit, _FORMS)), F.expr(_SPECIAL).cast("int") + 1)
+        text = F.replace(F.replace(form, F.lit("%k"), F.col("c_custkey").cast("string")), F.lit("%n"), F.col("c_nationkey").cast("string"))
+        return Analysis(c.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), text.alias("src")))
+
+    return _kept(spark, sf, ("customer",), "sources", made)
 
 
 def _sources_query(sql: str):

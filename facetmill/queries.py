@@ -109,13 +109,34 @@ def src5_dir1_2_3_4_7_str10_blocks(spark, sf):
 @query("""WITH l AS (SELECT '/n/' || n_name AS file, CAST(ln + n_regionkey AS INT) AS ln, word, CAST(depth AS INT) AS depth, CAST(e + n_regionkey AS INT) AS end_line FROM nation,
   (VALUES (1, 'if', 0, 5), (3, 'if', 1, 4), (5, 'endif', 1, 5), (6, 'elif', 0, 8), (9, 'else', 0, 10), (11, 'endif', 0, 11)) v(ln, word, depth, e)) SELECT * FROM l""")
 def win8_dir3_dir4_depth_by_windows(spark, sf):
-    from facetmill.sources import scan
+    return directives.ends(directives.nested(directives.marks(_scripts(spark, sf)))).select("file", "ln", "word", "depth", "end_line")
 
-    # the last line, an orphan in this form, isn't balanced and is left out
-    marks = scan.lines(_scripts(spark, sf)).withColumn("word", F.regexp_extract("text", directives.PATTERN, 1)).where("word <> ''")
-    last = Window.partitionBy("path")
-    marks = marks.withColumn("top", F.max("ln").over(last)).where("ln < top").select(F.col("path").alias("file"), "ln", "word")
-    return directives.depths(marks, "file", "ln", "word")
+
+# scripts of customers: fourteen lines each, chosen by the key, with orphans and open ends
+
+_LINE_KINDS = ["//#if A|B", " // #if B | C ", "//#elif C|A", "//#else", "//#endif", "  //#endif", "x();", "//#if D|A|B"]
+_CHOICE = "(c_custkey * 7 + j * j * 3 + c_custkey {div} (j + 1)) % 8"
+
+
+def _varied(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, _LINE_KINDS))
+    line = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda j: F.element_at(kinds, ((F.col("c_custkey") * 7 + j * j * 3 + F.call_function("div", F.col("c_custkey"), j + 1)) % 8 + 1).cast("int")))
+    return _t(spark, sf, "customer").select(F.concat(F.lit("/v/"), F.col("c_custkey").cast("string")).alias("path"), F.array_join(line, "\n").alias("src"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT c_custkey AS k, j AS ln, CASE c WHEN 0 THEN 'if' WHEN 1 THEN 'if' WHEN 7 THEN 'if' WHEN 2 THEN 'elif' WHEN 3 THEN 'else' ELSE 'endif' END AS word, CASE c WHEN 0 THEN ['A', 'B'] WHEN 1 THEN ['B', 'C'] WHEN 7 THEN ['D', 'A', 'B'] WHEN 2 THEN ['C', 'A'] ELSE []::VARCHAR[] END AS own
+  FROM (SELECT c_custkey, j, {_CHOICE.format(div='//')} AS c FROM customer, (SELECT unnest(range(1, 15)) AS j)) WHERE c <> 6),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ln) AS i FROM m),
+st AS (SELECT k, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS open, CAST(NULL AS BIGINT) AS ln, CAST(NULL AS VARCHAR) AS word, CAST(NULL AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS parent_ln, []::VARCHAR[] AS own FROM (SELECT DISTINCT k FROM m)
+  UNION ALL SELECT s.k, n.i, CASE WHEN n.word = 'if' THEN list_append(s.open, n.ln) WHEN len(s.open) = 0 THEN s.open WHEN n.word = 'endif' THEN s.open[:-2] ELSE list_append(s.open[:-2], n.ln) END, n.ln, CASE WHEN n.word = 'if' OR len(s.open) > 0 THEN n.word END,
+    len(s.open) - CASE WHEN n.word = 'if' THEN 0 ELSE 1 END, CASE WHEN n.word = 'if' THEN s.open[-1] ELSE s.open[-2] END, n.own FROM st s JOIN n ON n.k = s.k AND n.i = s.i + 1),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY ln) - 1 AS INT) AS seq, CASE WHEN word = 'endif' THEN ln ELSE greatest(ln, coalesce(lead(ln) OVER (PARTITION BY k, depth ORDER BY ln) - 1, 14)) END AS end_line FROM st WHERE word IS NOT NULL),
+eff AS (SELECT k, ln, depth, own AS ids FROM kept WHERE depth = 0 UNION ALL SELECT c.k, c.ln, c.depth, list_filter(c.own, lambda x: list_contains(p.ids, x)) FROM eff p JOIN kept c ON c.k = p.k AND c.parent_ln = p.ln AND c.depth = p.depth + 1)
+SELECT '/v/' || k AS file, seq, upper(word) AS directive, CAST(ln AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(depth AS INT) AS depth, array_to_string(ids, '|') AS ids, parent.seq AS parent_seq
+FROM kept JOIN eff USING (k, ln, depth) LEFT JOIN (SELECT k, ln AS parent_ln, seq FROM kept) parent USING (k, parent_ln)""".replace("SELECT '/v/' || k AS file, seq,", "SELECT '/v/' || k AS file, kept.seq,"))
+def dir1_to_dir7_str10_blocks_of_varied_scripts(spark, sf):
+    """Blocks of one script for each customer: nesting, orphans and open ends as the key has them."""
+    return directives.extract(_varied(spark, sf)).select("file", "seq", "directive", "start_line", "end_line", "depth", tx.join_ids(F.col("ids")).alias("ids"), "parent_seq")
 
 
 @query("""WITH p AS (SELECT '/n/' || n_name AS file, n_nationkey AS k, n_regionkey AS r, product FROM nation, (SELECT unnest(['A', 'B', 'N3', 'Z']) AS product))
@@ -181,10 +202,41 @@ def join7_8_9_10_11_str6_7_9_name_resolution(spark, sf):
     part, s = _t(spark, sf, "part"), _t(spark, sf, "supplier")
     names = part.select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")).union(s.select("s_name", F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))))
     probes = part.select(F.concat(F.lit("x."), "p_name", F.lit(" <T>[]")).alias("probe")).union(s.select("s_name")).union(_t(spark, sf, "customer").select("c_mktsegment")).union(_t(spark, sf, "nation").select(F.concat(F.lit("java.util."), "n_name"))).distinct()
-    found = resolve.lookup(probes, F.col("probe"), resolve.name_index(names, "name", "id"), "m")
+    found = resolve.lookup(probes, F.lit("P"), F.col("probe"), resolve.name_index(names, F.lit("P"), "name", "id"), "m")
     return found.select("probe", F.col("m_n").alias("matches"), F.col("m_id").alias("id"), resolve.tri_state(F.col("m_n"), tx.known_external(F.col("probe"))).alias("status"))
 
 
+# declarations of nations and customers, and orders as what the customer's declaration says
+
+_DECLARES = """CASE WHEN c_custkey % 4 = 2 AND c_custkey % 3 = 0 THEN 'w.X' || c_custkey ELSE 'w.' || replace(n_name, ' ', '') END"""
+_NAMED = f"""SELECT 'N' || n_nationkey AS entity_id, 'CLASS' AS entity_type, replace(n_name, ' ', '') AS simple_name, 'w.' || replace(n_name, ' ', '') AS qualified_name, CAST(NULL AS {{s}}) AS declaring, '/n/' || n_nationkey AS file, n_name AS key_name, 1 AS start_line FROM nation
+UNION ALL SELECT 'C' || c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'METHOD' WHEN 2 THEN 'CONSTRUCTOR' ELSE 'FIELD' END, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'm' || (c_custkey % 90) WHEN 2 THEN 'k' ELSE 'f' || c_custkey END,
+  CAST(NULL AS {{s}}), {_DECLARES}, '/n/' || c_nationkey, 'c' || c_custkey, CAST(c_custkey AS INT) FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+_SAYS = """SELECT 'R' || o_orderkey AS relation_id, 'C' || o_custkey AS source, '/n/' || c_nationkey AS file, CASE o_orderkey % 9 WHEN 1 THEN 'CONSTRUCTOR_CALL' WHEN 2 THEN 'CONSTRUCTOR_CALL' WHEN 3 THEN 'FIELD_REFERENCE' WHEN 4 THEN 'FIELD_REFERENCE' WHEN 5 THEN 'TYPE_REFERENCE' WHEN 6 THEN 'TYPE_REFERENCE' WHEN 7 THEN 'EXTENDS' ELSE 'METHOD_CALL' END AS relation_type,
+  CASE o_orderkey % 9 WHEN 0 THEN 'a.b.m' || (o_custkey % 130) WHEN 1 THEN 'this' WHEN 2 THEN 'super' WHEN 3 THEN c_mktsegment WHEN 4 THEN 'x.f' || (o_custkey - o_custkey % 4 + 3) WHEN 5 THEN 'w.' || replace(n_name, ' ', '') WHEN 6 THEN 'zz.' || replace(n_name, ' ', '') || ' <T>[]' WHEN 7 THEN 'java.util.' || CASE WHEN o_custkey % 2 = 0 THEN 'List' ELSE replace(n_name, ' ', '') END ELSE 'run' END AS target_text,
+  CASE WHEN o_orderkey % 9 = 8 AND o_orderpriority = '1-URGENT' THEN 'C' || o_custkey END AS bound, o_orderpriority = '5-LOW' AS resolved_by_parser FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(f"""WITH e AS ({_NAMED.format(s='VARCHAR')}), r AS ({_SAYS}),
+names AS (SELECT 'T' AS kind, simple_name AS name, entity_id FROM e WHERE entity_type = 'CLASS' UNION SELECT 'T', qualified_name, entity_id FROM e WHERE entity_type = 'CLASS' UNION SELECT 'M', simple_name, entity_id FROM e WHERE entity_type = 'METHOD'
+  UNION SELECT 'C', declaring, entity_id FROM e WHERE entity_type = 'CONSTRUCTOR' UNION SELECT 'C', regexp_replace(declaring, '^.*\\.', ''), entity_id FROM e WHERE entity_type = 'CONSTRUCTOR' UNION SELECT 'F', simple_name, entity_id FROM e WHERE entity_type = 'FIELD' UNION SELECT 'F', declaring || '#' || simple_name, entity_id FROM e WHERE entity_type = 'FIELD'),
+ix AS (SELECT kind, name, count(*) AS n, min(entity_id) AS id FROM names WHERE trim(name) <> '' GROUP BY ALL),
+k AS (SELECT r.*, s.declaring, CASE relation_type WHEN 'METHOD_CALL' THEN 'M' WHEN 'CONSTRUCTOR_CALL' THEN 'C' WHEN 'FIELD_REFERENCE' THEN 'F' ELSE 'T' END AS kind, regexp_replace(CASE target_text WHEN 'this' THEN s.declaring WHEN 'super' THEN '' ELSE target_text END, ' ?<.*$', '') AS name FROM r JOIN e s ON s.entity_id = r.source),
+f AS (SELECT k.*, own.n AS own_n, own.id AS own_id, coalesce(x.n, y.n, 0) AS n, CASE WHEN coalesce(x.n, y.n) = 1 THEN coalesce(x.id, y.id) END AS id FROM k LEFT JOIN ix own ON k.kind = 'F' AND own.kind = 'F' AND own.name = k.declaring || '#' || k.name LEFT JOIN ix x ON x.kind = k.kind AND x.name = k.name LEFT JOIN ix y ON y.kind = k.kind AND y.name = regexp_replace(k.name, '^.*\\.', '')),
+g AS (SELECT *, CASE WHEN bound IS NOT NULL OR own_n = 1 THEN 1 ELSE n END AS m FROM f)
+SELECT relation_id, source AS source_entity_id, coalesce(bound, CASE WHEN own_n = 1 THEN own_id END, id) AS target_entity_id,
+  CASE WHEN m = 1 THEN 'RESOLVED_INTERNAL' WHEN m > 1 THEN 'AMBIGUOUS' WHEN resolved_by_parser OR name LIKE 'java.%' THEN 'RESOLVED_EXTERNAL' ELSE 'UNRESOLVED' END AS resolution_status FROM g""")
+def join5_to_join11_targets_and_statuses(spark, sf):
+    """The analysis's resolver on names that are bound, declared in the source's type, qualified, ambiguous, ``this``, ``super``, external or unknown."""
+    t = {n: _t(spark, sf, n) for n in ("nation", "customer", "orders")}
+    e = spark.sql(_NAMED.format(s="STRING").replace("FROM nation", "FROM {nation}").replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}"), nation=t["nation"], customer=t["customer"]).withColumn("params", F.lit(""))
+    said = spark.sql(_SAYS.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("JOIN nation", "JOIN {nation}"), **t)
+    key = F.struct("entity_type", "declaring", "key_name", "params", "start_line")
+    src, dst = e.select(F.col("entity_id").alias("source"), key.alias("source_key")), e.select(F.col("entity_id").alias("bound"), key.alias("target_key"))
+    found = resolve.resolve(said.join(src, "source").join(dst, "bound", "left").drop("source", "bound"), e)
+    return found.select("relation_id", "source_entity_id", "target_entity_id", "resolution_status")
+
+
 @query("""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS name FROM pages), h AS (SELECT page_id, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS host, regexp_replace(name, '/[^/]*$', '') AS dir, name FROM u)
 SELECT c.page_id AS container, m.page_id AS member FROM h c JOIN h m ON c.host = m.host AND starts_with(m.name, c.dir || '/') AND c.page_id <> m.page_id WHERE trim(c.dir) <> ''""")
 def join12_containment(spark, sf):
@@ -309,10 +361,11 @@ def _measures(spark: SparkSession, sf: str) -> DataFrame:
     sold = _t(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
     x, y = sold.toDF("s", "from_id"), sold.toDF("s", "to_id")
     pairs = similarity.direct(pairs, x.join(y, "s").where("from_id <> to_id").select("from_id", "to_id"))
-    sets = part.groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_retailprice") > 1900, F.col("p_type"))).alias("packages"), F.collect_set(F.when(F.col("p_retailprice") > 1500, F.col("p_size").cast("string"))).alias("classes"), F.collect_set(F.when(F.col("p_size") < 3, F.col("p_name"))).alias("files"), F.collect_set(F.when(F.col("p_size") > 48, F.col("p_type"))).alias("blocks"))
-    a, b = (sets.select(F.col("p_brand").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("packages", "classes", "files", "blocks")]) for k in "ab")
-    j = lambda c: tx.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))
-    both = pairs.join(a, "a").join(b, "b").withColumns({"context": tx.mean(j("packages"), j("classes"), j("files")), "neighborhood": j("files"), "block": j("blocks")})
+    kinds = {"packages": ("p_retailprice > 1900", "p_type"), "classes": ("p_retailprice > 1500", "cast(p_size as string)"), "files": ("p_size < 3", "p_name"), "blocks": ("p_size > 48", "p_type")}
+    sets = [part.where(when).select(group.alias("g"), "p_brand", F.lit(k).alias("kind"), F.expr(x).alias("x")) for k, (when, x) in kinds.items()]
+    sets = sets[0].union(sets[1]).union(sets[2]).union(sets[3]).distinct()
+    both = similarity.set_jaccard(pairs, sets, "g", "p_brand", ["p_brand"], list(kinds))
+    both = both.withColumns({"context": tx.mean(F.col("packages"), F.col("classes"), F.col("files")), "neighborhood": F.col("files"), "block": F.col("blocks")})
     return both.withColumns({"combined": similarity.combined(AggregationConfig()), "support": similarity.support()})
 
 
@@ -351,7 +404,7 @@ def clu1_clu2_win6_clusters(spark, sf):
     m = _measures(spark, sf)
     nodes = m.select("a").union(m.select("b")).distinct().select(F.lit("G").alias("group_id"), F.col("a").alias("component_id"))
     pairs = m.select("a", "b", ((F.size("support") >= 2) & (F.col("combined") >= 0.42)).alias("merged"), "combined")
-    return clustering.complete_link(nodes, pairs, 0.5).select("component_id", "part", "sub")
+    return clustering.complete_link(nodes, pairs, 0.5).select("component_id", "part", "alone")
 
 
 # member tables, counts and orders

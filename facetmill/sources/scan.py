@@ -79,11 +79,15 @@ def checked() -> Column:
     return F.when(F.col("src").isNull(), F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))).otherwise(F.col("src"))
 
 
+def split_lines(src: Column) -> Column:
+    """The lines of a text; what ends with a line end has no empty line after it."""
+    parts = F.split(src, "\r\n|\n|\r", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, ln (from 1), text of each line (SRC-5)."""
-    parts = F.split(checked(), "\r\n|\n|\r", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return files.select("path", F.posexplode(kept).alias("i", "text")).select("path", (F.col("i") + 1).alias("ln"), "text")
+    return files.select("path", F.posexplode(split_lines(checked())).alias("i", "text")).select("path", (F.col("i") + 1).alias("ln"), "text")
 
 
 def unreadable(files: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """Reports as files: CSV with quoted text and bare numbers, text, tab-separated, and Parquet.
 
 Spark's CSV writer can't leave numbers and nulls bare while it quotes text, so each
-row is one rendered string and the text sink writes it, in order, in one file as
-readers of such reports expect. Parquet is the native form of every table.
+row is one rendered string and the text sink writes it, in order, in as many files as
+the rows ask for. Parquet is the native form of every table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetmill.functions import text as tx
+from facetmill.operators import tokens
+from facetmill.operators.numbering import number
 
 #: File name, its columns in order (name or name=source column), and the order of its rows.
 CSV = {
@@ -53,16 +55,30 @@ def csv_rows(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     return ",".join(n for n, _, _ in columns), df.select(line.alias("value"), *[k.alias(f"o{i}") for i, k in enumerate(keys)])
 
 
-def _one_file(rows: DataFrame, keys: list[str], path: str) -> None:
-    rows.repartition(1).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
+def write_lines(rows: DataFrame, keys: list[str], path: str, header: str | None = None) -> None:
+    """``value`` of rows as text in the order of keys, then of the text itself, after the header; replaced as a whole.
+
+    Rows are dealt to files by ranges of the order, so no task writes them all: the
+    names of the part files ascend with the rows, and the first begins with the header.
+    ``_SUCCESS``, which Spark writes last, says that all files are there.
+    """
+    both = rows.select(F.lit(1).alias("k"), "value", *keys)
+    if header is not None:
+        both = rows.sparkSession.createDataFrame([(0, header)], "k int, value string").unionByName(both, allowMissingColumns=True)
+    both.orderBy("k", *keys, "value").select("value").write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines that ``write_lines`` wrote, numbered from 0 in their order."""
+    m = F.col("_metadata")
+    rows = spark.read.text(path).select(F.regexp_extract(m["file_name"], r"part-(\d+)", 1).cast("int").alias("_file"), m["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_line"), "value")
+    return number(rows, [F.col("_file"), F.col("_start"), F.col("_line")], "n").select((F.col("n") - 1).alias("n"), "value")
 
 
 def write_csv(df: DataFrame, name: str, directory: str) -> None:
-    """``name``.csv as a folder of one text file, replaced as a whole (SNK-1 to SNK-17, SNK-20)."""
+    """``name``.csv as a folder of text files in order, the header first (SNK-1 to SNK-17)."""
     header, rows = csv_rows(df, name)
-    top = df.sparkSession.createDataFrame([(0, header)], "k int, value string")
-    both = top.unionByName(rows.withColumn("k", F.lit(1)), allowMissingColumns=True)
-    _one_file(both, ["k", *[c for c in rows.columns if c != "value"]], f"{directory}/{name}.csv")
+    write_lines(rows, [c for c in rows.columns if c != "value"], f"{directory}/{name}.csv", header)
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
@@ -72,8 +88,9 @@ def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
 
 def blocks_tsv(blocks: DataFrame, path: str) -> None:
     """The forest in pre-order with tabs (SNK-19)."""
-    rows = blocks.repartition(1).sortWithinPartitions("file", "seq").select("file", F.lower("directive").alias("directive"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), F.col("depth").alias("nestingDepth"), tx.join_ids(F.col("ids")).alias("productIds"))
-    rows.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
+    cells = {"file": F.col("file"), "directive": F.lower("directive"), "startLine": F.col("start_line"), "endLine": F.col("end_line"), "nestingDepth": F.col("depth"), "productIds": tx.join_ids(F.col("ids"))}
+    rows = blocks.select(F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells.values()]).alias("value"), "file", "seq")
+    write_lines(rows, ["file", "seq"], path, "\t".join(cells))
 
 
 def candidate_members(entities: DataFrame, blocks: DataFrame, internal: DataFrame) -> DataFrame:
@@ -103,11 +120,11 @@ def labels(aggregated: DataFrame, members: DataFrame, entities: DataFrame, evide
     of = members.select("candidate_id", "component_id")
     e = entities.withColumnRenamed("candidate_id", "component_id").join(of, "component_id")
     name = tx.display_name(F.col("qualified_name"), F.col("simple_name"))
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("file", "start_line", "entity_id", name.alias("name")))), lambda x: x["name"]), 1, 5)
+    firsts = lambda rows, order, k, name: tokens.top_k(rows, ["candidate_id"], [F.col(c) for c in order], k).groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda v: v["x"]).alias(name))
+    named = firsts(e.withColumn("x", name), ["file", "start_line", "entity_id"], 5, "representative_entities")
     said = evidence.join(of, "component_id").join(aggregated.select("candidate_id", "representative_tokens"), "candidate_id").where(F.array_contains("representative_tokens", F.col("token")))
-    text = F.concat_ws(":", "token", "provenance", "source_entity_id")
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("component_id", "pos", text.alias("x")))), lambda x: x["x"]), 1, 12)
-    out = aggregated.join(e.groupBy("candidate_id").agg(names.alias("representative_entities")), "candidate_id", "left").join(said.groupBy("candidate_id").agg(first.alias("representative_token_evidence")), "candidate_id", "left")
+    said = firsts(said.withColumn("x", F.concat_ws(":", "token", "provenance", "source_entity_id")), ["component_id", "pos"], 12, "representative_token_evidence")
+    out = aggregated.join(named, "candidate_id", "left").join(said, "candidate_id", "left")
     none = F.array().cast("array<string>")
     return out.withColumns({
         "representative_entities": F.coalesce("representative_entities", none), "representative_token_evidence": F.coalesce("representative_token_evidence", none),
@@ -144,4 +161,4 @@ def profile_report(profiles: DataFrame) -> DataFrame:
 
 
 def write_report(profiles: DataFrame, directory: str) -> None:
-    _one_file(profile_report(profiles), ["candidate_id"], f"{directory}/feature-evidence-report.txt")
+    write_lines(profile_report(profiles), ["candidate_id"], f"{directory}/feature-evidence-report.txt")

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,9 +8,63 @@ from hypothesis import strategies as st
 from facetmill.operators import directives, grouping, projection
 
 
+def fold(found, last_line):
+    """Blocks in pre-order from (line, directive, expression) in order (DIR-2 to DIR-5).
+
+    A frame of the stack is an open ``if`` with its current branch; ``endif`` is a
+    block of its own beside the branches. Orphans are ignored, open blocks end with
+    the file, and a branch after ``else`` in name only has no products.
+    """
+    blocks, stack = [], []
+
+    def add(kind: str, line: int, depth: int, raw: str, parent: int | None) -> dict:
+        b = {"directive": kind, "start_line": line, "end_line": line, "depth": depth, "raw": raw, "ids": directives.ids_of(raw), "parent": parent, "kids": []}
+        blocks.append(b)
+        (blocks[parent]["kids"] if parent is not None else roots).append(len(blocks) - 1)
+        return b
+
+    def effective(raw: str, allowed: list[str] | None) -> str:
+        return raw if allowed is None else "|".join(x for x in directives.ids_of(raw) if x in allowed)
+
+    roots: list[int] = []
+    for line, word, expression in found:
+        if word == "if":
+            parent = stack[-1]["branch"] if stack else None
+            allowed = blocks[parent]["ids"] if parent is not None else None
+            add("IF", line, len(stack), effective(expression, allowed), parent)
+            stack.append({"depth": len(stack), "allowed": allowed, "parent": parent, "branch": len(blocks) - 1})
+        elif stack:
+            frame = stack[-1]
+            open_ = blocks[frame["branch"]]
+            open_["end_line"] = max(open_["start_line"], line - 1)
+            if word == "endif":
+                stack.pop()
+                add("ENDIF", line, frame["depth"], "", frame["parent"])
+            else:
+                raw = effective(expression, frame["allowed"]) if word == "elif" else ""
+                add(word.upper(), line, frame["depth"], raw, frame["parent"])
+                frame["branch"] = len(blocks) - 1
+    for frame in stack:
+        open_ = blocks[frame["branch"]]
+        open_["end_line"] = max(open_["start_line"], last_line)
+
+    out: list[dict] = []
+
+    def visit(k: int, parent: int | None) -> None:
+        b = blocks[k]
+        seq = len(out)
+        out.append({c: b[c] for c in ("directive", "start_line", "end_line", "depth", "raw", "ids")} | {"seq": seq, "parent_seq": parent})
+        for kid in b["kids"]:
+            visit(kid, seq)
+
+    for k in roots:
+        visit(k, None)
+    return out
+
+
 def blocks(text):
     lines = text.split("\n")
-    return directives.fold([(i + 1, *d) for i, x in enumerate(lines) if (d := directives.recognise(x))], len(lines))
+    return fold([(i + 1, *d) for i, x in enumerate(lines) if (d := directives.recognise(x))], len(lines))
 
 
 def brief(rows):
@@ -78,6 +135,24 @@ def test_groups_are_numbered_in_array_order(spark):
     assert grouping.universe(groups, "ids").first()[0] == ["Enterprise", "HomeBasic", "Professional", "Starter"]
 
 
+def test_forest_by_windows_is_that_of_a_stack(spark):
+    """Random scripts with orphans, open ends, repeats and odd spaces."""
+    rng = random.Random(9)
+    kinds = ["//#if A|B", "//#if B|A|B", " //\t#if C | B ", "//#if", "//#elif C", "//#elif A", "//#else", "//#else junk", "//#endif", "//#endif", "x", "", "x //#if A", "//#if A\u2028", "//#endif\u0085"]
+    scripts = {f"/s{i}": "\n".join(rng.choice(kinds) for _ in range(rng.randrange(26))) + rng.choice(["", "\n"]) for i in range(300)}
+    scripts |= {"/deep": "\n".join(["//#if A|B"] * 40 + ["//#if A"] + ["//#endif"] * 45), "/cr": "//#if A\r\n//#else\r//#endif"}
+    got = {}
+    for r in directives.extract(spark.createDataFrame(list(scripts.items()), "path string, src string")).collect():
+        got.setdefault(r.file, []).append(r)
+    for path, src in scripts.items():
+        lines = re.split("\r\n|\n|\r", src)
+        if lines[-1] == "":
+            lines.pop()
+        want = fold([(i + 1, *d) for i, x in enumerate(lines) if (d := directives.recognise(x))], len(lines))
+        mine = sorted(got.get(path, []), key=lambda r: r.seq)
+        assert [tuple(r[c] for c in ("seq", "directive", "start_line", "end_line", "depth", "raw", "ids", "parent_seq")) for r in mine] == [tuple(w[c] for c in ("seq", "directive", "start_line", "end_line", "depth", "raw", "ids", "parent_seq")) for w in want], src
+
+
 def test_no_directives_no_blocks(spark):
     assert directives.extract(spark.createDataFrame([("a", "class A {}")], "path string, src string")).count() == 0
 

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from facetmill import cli
 from facetmill.config import AggregationConfig
-from facetmill.operators import clustering, components, graph, numbering, profile, similarity, wcc
+from facetmill.operators import clustering, components, graph, intervals, numbering, profile, similarity, wcc
 from facetmill.plans import reports
 from facetmill.plans.pipeline import Analysis
 
@@ -89,7 +91,7 @@ def test_reports_and_export(analysis, tmp_path, spark):
         reports.details(analysis, "FEC-none")
     analysis.export(str(tmp_path))
     assert len(list(tmp_path.glob("*.csv"))) == 17 and (tmp_path / "feature-evidence-report.txt").exists()
-    text = "".join(p.read_text() for p in (tmp_path / "unassigned-blocks.csv").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "unassigned-blocks.csv").glob("part-*")))
     assert text == "block_id,group_id,signature,file,branch_type,start_line,end_line,reason\n"
 
 
@@ -132,9 +134,117 @@ def test_weighted_jaccard(spark):
 
 
 def test_greedy_clusters_reject_to_singletons():
-    score = {("a", "b"): 0.9, ("a", "c"): 0.9, ("b", "c"): 0.1, ("c", "d"): 0.9, ("a", "d"): 0.1, ("b", "d"): 0.1}
-    assert clustering.greedy(["d", "c", "b", "a"], score, 0.5) == {"a": 0, "b": 0, "c": 3, "d": 4}
-    assert clustering.greedy(["a", "b"], {}, 0.5) == {"a": 0, "b": 2}
+    alike = {("a", "b"), ("a", "c"), ("c", "d")}
+    assert clustering.greedy(["d", "c", "b", "a"], alike) == {"a": True, "b": True, "c": False, "d": False}
+    assert clustering.greedy(["a", "b"], set()) == {"a": True, "b": False}
+
+
+def test_rounds_decide_as_one_by_one(spark):
+    """Parts of random density at once: a star, a clique, a path, missing pairs."""
+    rng = random.Random(11)
+    members, near = [], []
+    for part, (n, p) in enumerate([(30, 0.5), (30, 0.95), (40, 0.1), (25, 1.0), (25, 0.0), (12, 0.7), (1, 0)]):
+        ids = [f"p{part}-{i:02d}" for i in range(n)]
+        members += [(f"p{part}", i) for i in ids]
+        near += [(f"p{part}", a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if rng.random() < p or (part == 4 and k == 0)]
+    m, e = spark.createDataFrame(members, "part string, component_id string"), spark.createDataFrame(near, "part string, a string, b string")
+    got = {(r.part, r.component_id): r.accepted for r in clustering.by_rounds(m, e).collect()}
+    want = {}
+    for part in {x for x, _ in members}:
+        want |= {(part, i): v for i, v in clustering.greedy([i for x, i in members if x == part], {(a, b) for x, a, b in near if x == part}).items()}
+    assert got == want and sum(want.values()) > 40
+
+
+def test_a_large_part_takes_many_tasks(spark):
+    """100,000 members in one part: a star whose rim is cut in thirds; no task sees more than its share."""
+    n = 100_000
+    ids = spark.range(n).select(F.lit("p").alias("part"), F.format_string("m%06d", F.col("id")).alias("component_id"), "id")
+    star = ids.where("id > 0").select("part", F.lit("m000000").alias("a"), F.col("component_id").alias("b"))
+    rim = ids.where("id > 0 and id % 3 = 1").select("part", F.lit("m000001").alias("a"), F.col("component_id").alias("b")).where("a < b")
+    got = clustering.by_rounds(ids.drop("id"), star.union(rim))
+    kept = sorted(r.component_id for r in got.where("accepted").collect())
+    assert kept == ["m000000", "m000001", "m000004"] and got.count() == n
+
+
+def test_large_and_small_parts_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"c{i:02d}" for i in range(30)]
+    pairs = spark.createDataFrame([(a, b, rng.random() < 0.1, rng.random()) for i, a in enumerate(names) for b in names[i + 1 :]], "a string, b string, merged boolean, combined double")
+    nodes = spark.createDataFrame([("G", x) for x in names], "group_id string, component_id string")
+    some = sorted(map(tuple, clustering.complete_link(nodes, pairs, 0.4).collect()))
+    monkeypatch.setattr(clustering, "PART", 0)
+    assert sorted(map(tuple, clustering.complete_link(nodes, pairs, 0.4).collect())) == some and any(r[3] for r in some)
+
+
+def test_numbers_within_groups_over_many_ranges(spark):
+    """Half of the rows in one group, null as a group, ties of groups across ranges."""
+    rows = [("hot", i * 7919 % 5000) for i in range(5000)] + [(f"g{i % 40}", i) for i in range(4000)] + [(None, i) for i in range(1000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = numbering.number_within(spark.createDataFrame(rows, "g string, x int").repartition(5), ["g"], [F.col("x")], "n")
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for g in {r[0] for r in rows}:
+        want += [(g, x, i + 1) for i, x in enumerate(sorted(v for k, v in rows if k == g))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_pairs_are_dealt_to_even_cells(spark):
+    n, block = 100_000, 4096
+    rows = spark.range(n).select(F.lit("g").alias("g"), F.col("id"))
+    x, y = similarity.cells(rows, ["g"], "id", ["id"], block)
+    per = x.groupBy("i", "j").agg(F.count("*").alias("n")).join(y.groupBy("i", "j").agg(F.count("*").alias("m")), ["i", "j"], "full").collect()
+    m = -(-n // block)
+    assert len(per) == m * (m + 1) // 2 and all(r.n <= block and r.m <= block for r in per)
+    small = spark.createDataFrame([("g", i) for i in range(50)] + [("h", i) for i in range(7)], "g string, id int")
+    x, y = similarity.cells(small, ["g"], "id", ["id"], 8)
+    got = sorted((r.g, r.a, r.b) for r in x.join(y, ["g", "i", "j"]).where("_x < _y").collect())
+    assert got == sorted((g, a, b) for g, k in (("g", 50), ("h", 7)) for a in range(k) for b in range(a + 1, k))
+    assert sorted((r.group_id, r.a, r.b) for r in similarity.all_pairs(small, "g", "id", ["id"]).collect()) == got
+
+
+def test_set_similarity_by_elements(spark):
+    rng = random.Random(8)
+    sets = {(k, i): {f"x{rng.randrange(9)}" for _ in range(rng.randrange(5))} for k in ("p", "q") for i in range(12)}
+    long = spark.createDataFrame([("g", i, k, x) for (k, i), s in sets.items() for x in s], "g string, id int, kind string, x string")
+    pairs = similarity.all_pairs(spark.createDataFrame([("g", i) for i in range(12)], "g string, id int"), "g", "id", ["id"])
+    for r in similarity.set_jaccard(pairs, long, "g", "id", ["id"], ["p", "q"]).collect():
+        for k in ("p", "q"):
+            a, b = sets[k, r.a], sets[k, r.b]
+            assert r[k] == (len(a & b) / len(a | b) if a and b else 0.0)
+
+
+def test_innermost_interval_by_brute_force(spark):
+    rng = random.Random(4)
+    spans = [(rng.choice("fgh"), a, a + rng.choice([0, 1, 7, 15, 16, 17, 300, 5000, 40_000, -1])) for a in (rng.randrange(-50, 60_000) for _ in range(300))]
+    i = spark.createDataFrame([(k, a, b, b - a, n) for n, (k, a, b) in enumerate(spans)], "k string, s int, e int, size int, n int")
+    points = [(rng.choice("fgh"), rng.randrange(-60, 70_000)) for _ in range(500)] + [(k, x) for k, a, b in spans[:50] for x in (a, b, a - 1, b + 1)] + [(None, 3), ("f", None)]
+    p = spark.createDataFrame(points, "k string, at int")
+    rank = lambda n: (-(spans[n][2] - spans[n][1]), n)
+    holds = lambda k, x: [n for n, (f, a, b) in enumerate(spans) if f == k and a <= x <= b]
+    best = {(r.k, r["at"]): r.n for r in intervals.innermost(p, i, "k", "at", "s", "e", [-F.col("size"), F.col("n")], ["n"]).collect()}
+    assert best == {(k, x): max(found, key=rank) for k, x in points if k and x is not None and (found := holds(k, x))}
+    got = sorted((r.k, r["at"], r.n) for r in intervals.covering(p.where("at is not null and k is not null").distinct(), i, ["k"], "at", "s", "e").collect())
+    assert got == sorted((k, x, n) for k, x in set(points) if k and x is not None for n in holds(k, x))
+
+
+def test_a_hot_file_meets_its_blocks_by_even_keys(spark):
+    """A million lines and 30,000 nested blocks of one file: rows joined stay near-linear and no key is hot."""
+    n = 1_000_000
+    lines = spark.range(n).select(F.lit("f").alias("k"), F.col("id").alias("at"))
+    blocks = spark.range(10_000).select(F.lit("f").alias("k"), F.explode(F.array(*[F.struct((F.col("id") * 100 + d * 10).alias("s"), (F.col("id") * 100 + 99 - d * 10).alias("e"), F.lit(d).alias("d")) for d in range(3)])).alias("b")).select("k", "b.*")
+    whole = spark.createDataFrame([("f", 0, n - 1, -1)], "k string, s long, e long, d int")
+    keys = blocks.union(whole).select(F.explode(intervals.nodes_of(F.col("s"), F.col("e"))).alias("c"))
+    assert keys.count() < 40 * 30_000
+    hot = lines.select(F.explode(intervals.nodes_at(F.col("at"))).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert hot == intervals.WIDTH**intervals.LEVELS
+    got = intervals.innermost(lines, blocks.union(whole), "k", "at", "s", "e", [F.col("d")], ["d"]).groupBy("d").count().collect()
+    assert {r.d: r["count"] for r in got} == {0: 200_000, 1: 200_000, 2: 600_000}
 
 
 def test_labels(spark):

@@ -40,7 +40,7 @@ def test_project_guard_accepts(tree):
 def test_csv_quotes_text_and_leaves_numbers_and_nulls(spark, tmp_path):
     df = spark.createDataFrame([("E1", "CLASS", 'a"b', None, "f", 1, 2, "G1", "A", ["A", "B"])], "entity_id string, entity_type string, simple_name string, qualified_name string, file string, start_line int, end_line int, group_id string, signature string, observed_products array<string>")
     sinks.write_csv(df, "dependency-nodes", str(tmp_path))
-    text = "".join(p.read_text() for p in (tmp_path / "dependency-nodes.csv").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "dependency-nodes.csv").glob("part-*")))
     assert text == 'entity_id,entity_type,simple_name,qualified_name,file,start_line,end_line,group_id,signature,observed_products\n"E1","CLASS","a""b",,"f",1,2,"G1","A","A|B"\n'
 
 
@@ -49,5 +49,5 @@ def test_blocks_tsv(spark, tmp_path):
 
     b = directives.extract(spark.createDataFrame([("f", "//#if A\n//#endif")], "path string, src string"))
     sinks.blocks_tsv(b, str(tmp_path / "b"))
-    text = "".join(p.read_text() for p in (tmp_path / "b").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "b").glob("part-*")))
     assert text.split("\n")[:2] == ["file\tdirective\tstartLine\tendLine\tnestingDepth\tproductIds", "f\tif\t1\t1\t0\tA"]

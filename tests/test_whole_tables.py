@@ -72,5 +72,5 @@ def test_clusters_by_brute_force(spark):
     nodes = spark.createDataFrame([("G", n) for n in names], "group_id string, component_id string")
     df = spark.createDataFrame(pairs, "a string, b string, merged boolean, combined double")
     got = clustering.complete_link(nodes, df, 0.3).collect()
-    assert {r.component_id: (r.part, "together" if r["sub"] == 0 else "alone", "" if r["sub"] == 0 else r.component_id) for r in got} == want
+    assert {r.component_id: (r.part, "alone" if r.alone else "together", r.component_id if r.alone else "") for r in got} == want
     assert len({v for v in want.values()}) > 3
