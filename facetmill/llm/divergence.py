@@ -17,7 +17,8 @@ sources by terms is built; for sources s and u with z = p(0) the sum is made of
   terms occur in s (terms of both are taken off twice; the correction adds them).
 
 The floor is taken by long division in base 1000, so numbers stay in 64 bits and
-exact up to denominators of 9.2e15. Only DataFrame functions run.
+exact up to denominators of 9.2e15. Terms are cut and counted in units of texts in
+Arrow, one pass for occurrences and documents; all else are DataFrame functions.
 
 Cases: null text, language and source are read as ''; a group without terms is
 there with all counts 0; a language without kept terms has pairs of value 0 and
@@ -27,15 +28,18 @@ ties go to the lesser item; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-#: Everything between terms once A-Z are lowered.
-BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
+#: Bytes between terms once A-Z are lowered: all of ASCII but a-z.
+BETWEEN = np.arange(256) < 0x80
+BETWEEN[0x61:0x7B] = False
+#: Bytes of text in a unit, about.
+UNIT = 16 << 20
 MIN_DOCS, PRIOR, TOP = 30, 5, 50
 
 
@@ -49,28 +53,47 @@ def share(n: Column, total: Column) -> Column:
     return out + F.lit(1)
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """lang, source and all terms of each text, in an array that may hold empty strings."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    return docs.select(*named, F.split(text, BETWEEN, -1).alias("terms"))
+def counted(docs: DataFrame, unit: int = UNIT) -> DataFrame:
+    """(lang, source, term, n, docs) of units of texts: occurrences of each term, and documents with it."""
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+    def go(batches):
+        for b in batches:
+            lang, source = (b.column(k).dictionary_encode() for k in (0, 1))
+            data, offs = tc.string_buffers(b.column(2))
+            data = tc.lower_ascii(data)
+            start, end, row = tc.word_bounds(data, offs, BETWEEN)
+            bounds = np.append(0, np.cumsum(end - start)).astype(np.int64)
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[~BETWEEN[data]].tobytes())]).dictionary_encode()
+            size = max(1, len(words.dictionary))
+            # first by document and term, then by group and term
+            own, n = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            key, at, docs_ = np.unique(group[own // size] * size + own % size, return_inverse=True, return_counts=True)
+            sums = np.zeros(len(key), np.int64)
+            np.add.at(sums, at, n)
+            group, term = key // size, words.dictionary.take(pa.array(key % size))
+            made = [lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))), term.cast(pa.binary()).cast(pa.string()), pa.array(sums), pa.array(docs_)]
+            yield pa.RecordBatch.from_arrays(made, ["lang", "source", "term", "n", "docs"])
+
+    return tc.arrow_batches(rows, go, "lang string, source string, term string, n long, docs long", unit)
 
 
-def postings(rows: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, term, n) of kept terms. A task adds up its own rows before the shuffle, so a frequent term is a row for each task."""
-    counted = rows.select("lang", "source", F.explode("terms").alias("term")).where("term <> ''").groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    kept = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''").groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return counted.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
+def postings(units: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, n) of kept terms. Dealt once by language and term, where a frequent term is a row for each unit and source."""
+    met = units.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    held = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return met.withColumn("held", held).where(F.col("held") >= min_docs).select("lang", "source", "term", "n")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, prior: int = PRIOR, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): distances of sources, and terms that a source has above its language."""
-    rows = terms(docs)
-    kept = tc.stored(postings(rows, min_docs), "postings")
+    kept = tc.stored(postings(counted(docs), min_docs), "postings")
     by_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     of_lang = by_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("support"))
-    groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(of_lang, "lang", "left")
+    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = named.join(sums, ["lang", "source"], "left").join(of_lang, "lang", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("total", "support", "v", "total_lang")}
     below = lambda n, v: F.greatest(F.col(n) + F.lit(prior) * F.col(v), F.lit(1).cast("long"))
     groups = groups.withColumns(zero).withColumn("z", share(F.when(F.col("v") > 0, prior).otherwise(0), below("total", "v")))
