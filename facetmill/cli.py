@@ -35,13 +35,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     reports.show(spark, a)
     if args.candidate_details:
         try:
-            found = reports.details(a, args.candidate_details)
-        except ValueError as e:
-            print(e)
+            found = reports.detail_text(a, args.candidate_details)
+        except ValueError:
+            print(f"Candidate not found: {args.candidate_details}")
             return 0
-        for name, df in found.items():
-            print(f"== {name}")
-            df.show(50, truncate=False)
+        for r in found.orderBy("n").toLocalIterator():
+            print(r.line)
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,19 +79,27 @@ class Analysis:
         return self._profiled[1]
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        """The tables of all reports, by file name."""
-        c, a = self.candidates, self.aggregation
+    def _tables(self) -> dict[str, Callable[[], DataFrame]]:
+        c, a, g, f = (lambda: self.candidates), (lambda: self.aggregation), (lambda: self.graph), (lambda: self.facts)
         return {
-            "entities": self.facts.entities, "relations": self.facts.relations, "dependency-nodes": self.graph.nodes, "dependency-edges": self.graph.edges, "unresolved-relations": self.graph.unresolved,
-            "group-dependencies": graph.group_dependencies(self.graph.edges), "feature-effect-candidates": c.candidates.withColumn("file_count", F.size("files")),
-            "feature-effect-members": sinks.candidate_members(c.entities, c.blocks, c.internal), "candidate-dependencies": c.dependencies,
-            "unassigned-blocks": self.spark.createDataFrame([], components.UNASSIGNED_BLOCKS), "aggregated-feature-effect-candidates": a.candidates,
-            "aggregated-feature-effect-members": sinks.aggregated_members(a.candidates, a.members, c.entities), "component-similarities": a.similarities, "component-merge-decisions": a.decisions,
-            "candidate-labels": sinks.labels(a.candidates, a.members, c.entities, a.evidence), "unassigned-components": a.unassigned.withColumn("reason", F.lit("insufficient semantic aggregation evidence")),
-            "feature-evidence-profile": sinks.profile_rows(self.profiles),
+            "entities": lambda: f().entities, "relations": lambda: f().relations, "dependency-nodes": lambda: g().nodes, "dependency-edges": lambda: g().edges, "unresolved-relations": lambda: g().unresolved,
+            "group-dependencies": lambda: graph.group_dependencies(g().edges), "feature-effect-candidates": lambda: c().candidates.withColumn("file_count", F.size("files")),
+            "feature-effect-members": lambda: sinks.candidate_members(c().entities, c().blocks, c().internal), "candidate-dependencies": lambda: c().dependencies,
+            "unassigned-blocks": lambda: self.spark.createDataFrame([], components.UNASSIGNED_BLOCKS), "aggregated-feature-effect-candidates": lambda: sinks.ordered(a().candidates),
+            "aggregated-feature-effect-members": lambda: sinks.aggregated_members(a().candidates, a().members, c().entities), "component-similarities": lambda: a().similarities, "component-merge-decisions": lambda: a().decisions,
+            "candidate-labels": lambda: sinks.labels(sinks.ordered(a().candidates), a().members, c().entities, a().evidence), "unassigned-components": lambda: a().unassigned.withColumn("reason", F.lit("insufficient semantic aggregation evidence")),
+            "feature-evidence-profile": lambda: sinks.profile_rows(self.profiles),
         }
 
+    def table(self, name: str) -> DataFrame:
+        """The table of one report; only the stages it needs are made."""
+        return self._tables[name]()
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables of all reports, by file name."""
+        return {name: self.table(name) for name in self._tables}
+
     def export(self, directory: str) -> None:
         """All reports as CSV and text, and all tables as Parquet."""
         for name, df in self.tables.items():

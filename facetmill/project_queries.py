@@ -103,7 +103,7 @@ def project(spark: SparkSession, sf: str, config: AggregationConfig = ALL) -> An
     def other() -> Analysis:
         a = copy.copy(base)
         base.candidates  # noqa: B018 made once for both
-        a.__dict__ = {k: v for k, v in base.__dict__.items() if k not in ("aggregation", "_profiled", "tables")} | {"config": config}
+        a.__dict__ = {k: v for k, v in base.__dict__.items() if k not in ("aggregation", "_profiled", "_tables")} | {"config": config}
         return a
 
     return _kept(spark, sf, tables, repr(config), other)
@@ -217,7 +217,7 @@ def _csv(name: str, relation: str, **made: str) -> str:
 def _rows(a: Project, *names: str) -> DataFrame:
     out = None
     for n in names:
-        made = sinks.csv_rows(a.tables[n], n)[1].select(F.lit(n).alias("report"), "value")
+        made = sinks.csv_rows(a.table(n), n)[1].select(F.lit(n).alias("report"), "value")
         out = made if out is None else out.union(made)
     return out
 
@@ -272,7 +272,8 @@ _FILES = {
     "unresolved-relations": (_csv("unresolved-relations", "why WHERE failure_reason IS NOT NULL", observed_products=_P), "file, source_line, relation_type, coalesce(source_entity_id, ''), coalesce(target_text, '')"),
     "feature-effect-candidates": (_csv("feature-effect-candidates", "cand", observed_products=_P, file_count="len(files)"), "group_id, coalesce(min_file, ''), min_line NULLS FIRST, candidate_id"),
     "candidate-dependencies": (_csv("candidate-dependencies", "dep"), "source_candidate_id, target_candidate_id, dependency_scope, relation_type"),
-    "aggregated-feature-effect-candidates": (_csv("aggregated-feature-effect-candidates", "aggregated", block_count="len(block_ids)", file_count="len(files)", unresolved_concerns=_CONCERNS, **_LIST), "group_id, candidate_id"),
+    "aggregated-feature-effect-candidates": (_csv("aggregated-feature-effect-candidates", "aggregated", block_count="len(block_ids)", file_count="len(files)", unresolved_concerns=_CONCERNS, **_LIST), "group_id, coalesce(files[1], ''), component_ids[1], candidate_id"),
+    "candidate-labels": (_csv("candidate-labels", _LABELS, representative_strings="''", explanation="'label derived from representative code identifier tokens'", **_LIST), "candidate_id"),
 }
 
 
@@ -289,7 +290,7 @@ def ord1_to_ord5_snk_order_of_report_files(spark, sf):
     """Lines of report files, read back with their places: header, order and end are the sink's own."""
     a, at, out = project(spark, sf), f"{shared.shared_dir(spark)}/reports-{uuid.uuid4().hex}", None
     for name in _FILES:
-        sinks.write_csv(a.tables[name], name, at)
+        sinks.write_csv(a.table(name), name, at)
         made = sinks.read_lines(spark, f"{at}/{name}.csv").select(F.lit(name).alias("report"), "n", "value")
         out = made if out is None else out.union(made)
     return out
@@ -349,8 +350,8 @@ def _similar(config: AggregationConfig, name: str):
 
     @query(f"{_decided(config)} SELECT group_id, a, b, {rounded}, {config.pairwise_merge_threshold}::DOUBLE AS threshold, CAST(len(support) AS INT) AS support_count, array_to_string(support, '|') AS support, CASE WHEN reason LIKE 'threshold%' THEN 'MERGED' ELSE 'NOT_MERGED' END AS decision, reason FROM dec")
     def run(spark, sf):
-        t = project(spark, sf, config).tables
-        s, d = t["component-similarities"], t["component-merge-decisions"]
+        t = project(spark, sf, config)
+        s, d = t.table("component-similarities"), t.table("component-merge-decisions")
         s = s.select("group_id", "a", "b", *[F.round(c, 9).alias(c) for c in _SIX], "threshold", "support_count", F.array_join("support", "|").alias("support"))
         return s.join(d.select("a", "b", "decision", "reason"), ["a", "b"])
 
@@ -368,7 +369,7 @@ def _clusters(config: AggregationConfig, name: str):
     @query(f"{_clustered(config)} SELECT cluster AS candidate_id, id AS component_id, count(*) OVER (PARTITION BY cluster) AS component_count, cluster IN {lost} AS unassigned FROM named JOIN placed USING (part, sub)")
     def run(spark, sf):
         a = project(spark, sf, config)
-        lost_ = a.tables["unassigned-components"].select(F.col("candidate_id").alias("component_id"), F.lit(True).alias("unassigned"))
+        lost_ = a.table("unassigned-components").select(F.col("candidate_id").alias("component_id"), F.lit(True).alias("unassigned"))
         return a.aggregation.members.select("candidate_id", "component_id", "component_count").join(lost_, "component_id", "left").withColumn("unassigned", F.coalesce("unassigned", F.lit(False)))
 
     QUERIES[name], ORACLE[name] = QUERIES.pop("run"), _recursive(ORACLE.pop("run"))
@@ -429,16 +430,20 @@ def _line(part: str, relation: str, *columns: str) -> str:
     return f"SELECT '{part}' AS part, {cells} AS line FROM {relation}"
 
 
-_CALLS = "(SELECT *, array_to_string(observed_products, '|') AS p FROM rel WHERE relation_type = 'METHOD_CALL' ORDER BY file, source_line, target_text, relation_id LIMIT 10)"
+_FIRST = {
+    "first_method_calls": ("(SELECT * FROM rel WHERE relation_type = 'METHOD_CALL' ORDER BY file, source_line, target_text, length(relation_id), relation_id LIMIT 10)", ["source_entity_id", "target_text", "file", "source_line", "group_id", "resolution_status"]),
+    "merged_entities": ("(SELECT * FROM ent WHERE len(observed_products) > 1 ORDER BY length(entity_id), entity_id LIMIT 5)", ["entity_id", "file", "entity_type", "start_line", "end_line", "signature", "group_id"]),
+    "merged_relations": ("(SELECT * FROM rel WHERE len(observed_products) > 1 ORDER BY length(relation_id), relation_id LIMIT 5)", ["relation_id", "file", "source_line", "relation_type", "target_entity_id", "target_text", "signature", "group_id"]),
+}
 
 
 @query(" UNION ALL ".join([
     _line("extraction", "(SELECT count(DISTINCT file) AS parsed_files, count(*) AS attempts, count(*) FILTER (entity_type = 'CLASS') AS successes FROM ent)", "parsed_files", "attempts", "successes"),
-    _zero("entities_by_type", "entity_type", ENTITY_TYPES, "ent"), _zero("relations_by_type", "relation_type", RELATION_TYPES, "rel"), _zero("entities_by_group", "entity_type", ENTITY_TYPES, "ent", "(SELECT DISTINCT group_id FROM blk)"), _zero("relations_by_status", "resolution_status", RESOLUTION, "rel"),
+    _zero("entities_by_type", "entity_type", ENTITY_TYPES, "ent"), _zero("relations_by_type", "relation_type", RELATION_TYPES, "rel"), _zero("entities_by_group", "entity_type", ENTITY_TYPES, "ent", "(SELECT DISTINCT group_id FROM blk)"), _zero("relations_by_status", "resolution_status", RESOLUTION, "rel"), *[_line(k, sql, *columns) for k, (sql, columns) in _FIRST.items()],
 ]))
 def rpt2_agg17_agg23_entity_summary(spark, sf):
     parts = reports.entities(project(spark, sf))
-    return reports.lines({k: parts[k] for k in ("extraction", "entities_by_type", "relations_by_type", "entities_by_group", "relations_by_status", "failures")})
+    return reports.lines({k: parts[k].select(*_FIRST[k][1]) if k in _FIRST else parts[k] for k in parts})
 
 
 @query(" UNION ALL ".join([
@@ -473,11 +478,12 @@ _WIDE = ["candidate_id", "group_id", "commonality", "suggested_label", "label_co
     _zero("commonality", "commonality", ("FULL_COMMONALITY", "SUBGROUP_COMMONALITY", "VARIABLE_SIGNATURE"), "aggregated"), _zero("label_confidence", "label_confidence", ("HIGH", "MEDIUM", "LOW", "UNLABELED"), "aggregated"), _zero("candidate_confidence", "candidate_confidence", ("HIGH", "MEDIUM", "LOW", "UNRESOLVED"), "aggregated"),
     _line("largest", "(SELECT * FROM aggregated ORDER BY entity_count DESC, candidate_id LIMIT 10)", *_WIDE),
     _line("profiles", f"(SELECT candidate_id, {_CONCEPT} AS implementation_concept, entity_count, len(files) AS file_count, internal_edge_count, {_PROFILE['token_counts']} AS token_counts FROM aggregated ORDER BY entity_count DESC, candidate_id LIMIT 20)", "candidate_id", "implementation_concept", "entity_count", "file_count", "internal_edge_count", "token_counts"),
+    _line("best_labels", "(SELECT * FROM aggregated WHERE suggested_label <> '' ORDER BY list_position(['HIGH', 'MEDIUM', 'LOW', 'UNLABELED'], label_confidence), candidate_id LIMIT 10)", *_WIDE),
 ]))
 def rpt5_rpt6_agg22_top7_aggregation_summary(spark, sf):
     a = project(spark, sf)
     parts = reports.aggregation(a)
-    return reports.lines({k: parts[k] for k in ("counters", "commonality", "label_confidence", "candidate_confidence")} | {"largest": parts["largest"].select(*_WIDE), "profiles": reports.profiles(a)})
+    return reports.lines({k: parts[k] for k in ("counters", "commonality", "label_confidence", "candidate_confidence")} | {"largest": parts["largest"].select(*_WIDE), "best_labels": parts["best_labels"].select(*_WIDE), "profiles": reports.profiles(a)})
 
 
 def _detail(ident: str) -> str:
@@ -491,6 +497,7 @@ _ONE = "(SELECT min(candidate_id) FROM cand WHERE entity_count > 1)"
     _line("FEC candidate", f"cand WHERE candidate_id IN {_ONE}", *_KEPT), *[x.replace("SELECT '", "SELECT 'FEC ") for x in _detail(_ONE).split(" UNION ALL ")],
     _line("FEC incoming", f"acr WHERE t_cand IN {_ONE}", "edge_id", "relation_type"), _line("FEC outgoing", f"acr WHERE s_cand IN {_ONE}", "edge_id", "relation_type"),
     _line("AFEC candidate", "aggregated WHERE candidate_id = 'AFEC-G2-01'", *_WIDE), *[x.replace("SELECT '", "SELECT 'AFEC ") for x in _detail("(SELECT candidate_id FROM afec WHERE cluster = 'AFEC-G2-01')").split(" UNION ALL ")],
+    _line("AFEC incoming", "acr WHERE target_group_id = 'G2' AND source_group_id <> 'G2'", "edge_id", "relation_type"), _line("AFEC outgoing", "acr WHERE source_group_id = 'G2' AND target_group_id <> 'G2'", "edge_id", "relation_type"),
 ]))
 def rpt7_fil15_details(spark, sf):
     a = project(spark, sf)
@@ -501,6 +508,51 @@ def rpt7_fil15_details(spark, sf):
     return reports.lines(parts)
 
 
+_PLACE = "file || ':' || start_line || '-' || end_line"
+_NAME = "coalesce(qualified_name, simple_name)"
+_AT = "file, lpad(CAST(start_line AS VARCHAR), 10, '0')"
+
+
+def _text(of: str, *sections: tuple[str, str, str]) -> str:
+    """Numbered lines of sections (line, relation, three keys)."""
+    each = [f"SELECT {i} AS section, {keys or chr(39) * 2 + ', ' + chr(39) * 2 + ', ' + chr(39) * 2}, {line} FROM {relation}" for i, (line, relation, keys) in enumerate(sections)]
+    return f"SELECT '{of}' AS of, row_number() OVER (ORDER BY section, k0, k1, k2, line) AS n, line FROM ({' UNION ALL '.join(each)}) t(section, k0, k1, k2, line)"
+
+
+def _fec_text() -> str:
+    one, c = f"candidate_id = {_ONE}", f"(SELECT * FROM cand WHERE candidate_id = {_ONE})"
+    heads = [(f"'{w}: ' || {x}", c, "") for w, x in (("Candidate details", "candidate_id"), ("Group", "group_id"), ("Signature", "signature"), ("Classification", "classification_status"))]
+    return _text("FEC", *heads, ("'Entities:'", c, ""), (f"'- ' || entity_id || ' ' || {_NAME} || ' ' || {_PLACE} || ' block=' || block_id", f"mem WHERE {one}", f"{_AT}, entity_id"), ("'Blocks:'", c, ""), (f"'- ' || directive || ' ' || {_PLACE}", f"cblk WHERE {one}", f"{_AT}, directive"),
+        ("'Internal dependencies:'", c, ""), ("'- ' || relation_type || ' ' || source_entity_id || ' -> ' || target_entity_id || ' line=' || source_line", f"inn WHERE {one}", "lpad(substr(edge_id, 2), 20, '0'), '', ''"),
+        ("'Incoming dependencies: ' || count(*)", f"acr WHERE t_cand = {_ONE}", ""), ("'Outgoing dependencies: ' || count(*)", f"acr WHERE s_cand = {_ONE}", ""))
+
+
+def _afec_text() -> str:
+    it = "'AFEC-G2-01'"
+    c = f"(SELECT * FROM aggregated WHERE candidate_id = {it})"
+    listed = lambda x: f"'[' || array_to_string({x}, ', ') || ']'"
+    heads = [(f"'{w}: ' || {x}", c, "") for w, x in (("Aggregated candidate details", "candidate_id"), ("Label", "CASE WHEN trim(suggested_label) = '' THEN '<unlabeled>' ELSE suggested_label END"), ("Label confidence", "label_confidence"), ("Candidate confidence", "candidate_confidence"), ("Components", listed("component_ids")), ("Representative tokens", listed("representative_tokens")))]
+    return _text("AFEC", *heads, ("'Entities:'", c, ""), (f"'- ' || entity_id || ' ' || {_NAME} || ' ' || {_PLACE}", f"amem WHERE cluster = {it}", f"{_AT}, entity_id"), ("'Merge decisions:'", c, ""),
+        (f"'- ' || a || ' + ' || b || ' score=' || CAST(CAST(round(CAST(combined AS DECIMAL(18, 12)), 3) AS DECIMAL(18, 3)) AS VARCHAR) || ' evidence=' || {listed('support')} || ' reason=threshold and evidence-family requirements satisfied'", "sm WHERE group_id = 'G2'", "a, b, ''"),
+        ("'Incoming dependencies: ' || incoming_edge_count", c, ""), ("'Outgoing dependencies: ' || outgoing_edge_count", c, ""))
+
+
+@query(f"{_SIMILAR} {_fec_text()} UNION ALL {_afec_text()}")
+def rpt7_detail_view_as_text(spark, sf):
+    a = project(spark, sf)
+    one = a.candidates.candidates.where("entity_count > 1").agg(F.min("candidate_id")).first()[0]
+    return reports.detail_text(a, one).select(F.lit("FEC").alias("of"), "n", "line").union(reports.detail_text(a, "AFEC-G2-01").select(F.lit("AFEC"), "n", "line"))
+
+
+@query("SELECT s_group AS source_group_id, count(*) AS n FROM why WHERE relation_type = 'CONSTRUCTOR_CALL' AND s_group IS NOT NULL AND target_entity_id IN (SELECT entity_id FROM ent WHERE entity_type <> 'CONSTRUCTOR') GROUP BY ALL")
+def join18_invalid_constructors_of_all_relations(spark, sf):
+    """The check on relations before the graph rejects such calls; in the graph's own edges none is left."""
+    f = project(spark, sf).facts
+    of = f.entities.select(F.col("entity_id").alias("source_entity_id"), F.col("group_id").alias("source_group_id"))
+    bad = reports.invalid_constructors(f.relations.drop("group_id").join(of, "source_entity_id"), f.entities)
+    return bad.groupBy("source_group_id").agg(F.count("*").alias("n"))
+
+
 # sources made from customers: each form of a declaration, by the customer's key
 
 _FORMS = [

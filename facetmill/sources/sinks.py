@@ -27,11 +27,11 @@ CSV = {
     "feature-effect-members": ("candidate_id,member_type,member_id,entity_type,qualified_name,file,start_line,end_line,block_id,group_id,signature", ["candidate_id", "kind", "file", "start_line", "member_id"]),
     "candidate-dependencies": ("source_candidate_id,target_candidate_id,dependency_scope,relation_type,edge_count,cross_file_edge_count,source_group_id,target_group_id,source_signature,target_signature", ["source_candidate_id", "target_candidate_id", "dependency_scope", "relation_type"]),
     "unassigned-blocks": ("block_id,group_id,signature,file,branch_type,start_line,end_line,reason", ["block_id"]),
-    "aggregated-feature-effect-candidates": ("candidate_id,group_id,signature,commonality_classification=commonality,suggested_label,label_confidence,candidate_confidence,component_count,entity_count,block_count,file_count,internal_edge_count,incoming_edge_count,outgoing_edge_count,representative_tokens,unresolved_concerns", ["group_id", "candidate_id"]),
-    "aggregated-feature-effect-members": ("candidate_id,member_type,member_id,entity_type,qualified_name,file,start_line,end_line,block_id,group_id,signature", ["candidate_id", "kind", "file", "start_line", "member_id"]),
+    "aggregated-feature-effect-candidates": ("candidate_id,group_id,signature,commonality_classification=commonality,suggested_label,label_confidence,candidate_confidence,component_count,entity_count,block_count,file_count,internal_edge_count,incoming_edge_count,outgoing_edge_count,representative_tokens,unresolved_concerns", ["group_id", "first_file", "first_component", "candidate_id"]),
+    "aggregated-feature-effect-members": ("candidate_id,member_type,member_id,entity_type,qualified_name,file,start_line,end_line,block_id,group_id,signature", ["group_id", "first_file", "first_component", "candidate_id", "kind", "file", "start_line", "member_id"]),
     "component-similarities": ("group_id,component_a=a,component_b=b,lexical_similarity=lexical,context_similarity=context,neighborhood_similarity=neighborhood,direct_dependency=direct,shared_block_evidence=block,combined_score=combined,threshold,supporting_evidence_count=support_count", ["group_id", "a", "b"]),
     "component-merge-decisions": ("group_id,component_a=a,component_b=b,decision,combined_score=combined,supporting_evidence=support,reason", ["group_id", "a", "b"]),
-    "candidate-labels": ("candidate_id,suggested_label,label_confidence,representative_tokens,representative_token_evidence,representative_entities,representative_strings,explanation", ["candidate_id"]),
+    "candidate-labels": ("candidate_id,suggested_label,label_confidence,representative_tokens,representative_token_evidence,representative_entities,representative_strings,explanation", ["group_id", "first_file", "first_component", "candidate_id"]),
     "unassigned-components": ("component_id=candidate_id,group_id,signature,component_type=classification_status,entity_count,block_count,reason", ["candidate_id"]),
     "feature-evidence-profile": ("component_id=candidate_id,group_id,signature,entity_count,file_count,block_count,top_classes,top_methods,top_fields,top_tokens=token_counts,top_dependency_targets=top_targets,top_dependency_sources=top_sources,packages,classes,representative_entities", ["candidate_id"]),
 }
@@ -101,17 +101,22 @@ def candidate_members(entities: DataFrame, blocks: DataFrame, internal: DataFram
     return e.unionByName(b).unionByName(d)
 
 
+def ordered(aggregated: DataFrame) -> DataFrame:
+    """With the keys that order aggregated candidates in their group: first file, first component (ORD-5)."""
+    return aggregated.withColumns({"first_file": F.coalesce(F.get("files", F.lit(0)), F.lit("")), "first_component": F.coalesce(F.get("component_ids", F.lit(0)), F.lit(""))})
+
+
 def aggregated_members(aggregated: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
     """Components, entities and blocks of aggregated candidates in one table (SET-2)."""
     no = lambda t: F.lit(None).cast(t)
-    a = aggregated.select("candidate_id", "group_id", "signature", "component_ids", "block_ids")
+    a = ordered(aggregated).select("candidate_id", "group_id", "signature", "component_ids", "block_ids", "first_file", "first_component")
 
     def wide(kind: int, word: str, ids: str, block: Column) -> DataFrame:
-        x = a.select("candidate_id", "group_id", "signature", F.explode(ids).alias("member_id"))
-        return x.select("candidate_id", F.lit(kind).alias("kind"), F.lit(word).alias("member_type"), "member_id", no("string").alias("entity_type"), no("string").alias("qualified_name"), no("string").alias("file"), no("int").alias("start_line"), no("int").alias("end_line"), block.alias("block_id"), "group_id", "signature")
+        x = a.select("candidate_id", "group_id", "signature", "first_file", "first_component", F.explode(ids).alias("member_id"))
+        return x.select("candidate_id", F.lit(kind).alias("kind"), F.lit(word).alias("member_type"), "member_id", no("string").alias("entity_type"), no("string").alias("qualified_name"), no("string").alias("file"), no("int").alias("start_line"), no("int").alias("end_line"), block.alias("block_id"), "group_id", "signature", "first_file", "first_component")
 
     e = entities.withColumnRenamed("candidate_id", "component_id").join(members.select("component_id", "candidate_id"), "component_id")
-    e = e.select("candidate_id", F.lit(1).alias("kind"), F.lit("ENTITY").alias("member_type"), F.col("entity_id").alias("member_id"), "entity_type", "qualified_name", "file", "start_line", "end_line", "block_id", "group_id", "signature")
+    e = e.select("candidate_id", F.lit(1).alias("kind"), F.lit("ENTITY").alias("member_type"), F.col("entity_id").alias("member_id"), "entity_type", "qualified_name", "file", "start_line", "end_line", "block_id", "group_id", "signature").join(a.select("candidate_id", "first_file", "first_component"), "candidate_id")
     return wide(0, "STRUCTURAL_COMPONENT", "component_ids", F.lit("")).unionByName(e).unionByName(wide(2, "BLOCK", "block_ids", F.col("member_id")))
 
 
