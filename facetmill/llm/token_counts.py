@@ -8,8 +8,8 @@ distinct content is encoded once, whole, and appended. So a second run over the
 same documents, or over a corpus that holds them, encodes only what is new.
 
 Contents are the same to the tokenizer where its own normaliser makes them so. If
-that lowers case and drops white space, A-Z are lowered and runs of ASCII white
-space become one space (none at the ends) before the digest, except in texts that
+that lowers case and drops white space, texts of ASCII are lowered, and in all texts line
+feeds become spaces and spaces at the ends go, before the digest; except in texts that
 hold the string of an added token, which is looked for before normalising. Other
 tokenizers get texts as they are.
 
@@ -29,12 +29,11 @@ import json
 import uuid
 from functools import lru_cache
 from pathlib import Path
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -117,17 +116,18 @@ def folds(path: str) -> bool:
     return "Lowercase" in lowers and lowers <= {"NFC", "Replace", "Lowercase"} and plain and bool(cut) and cut[0].get("pattern") == {"Regex": words} and cut[0].get("invert") is True
 
 
-def content(text: Column, path: str) -> Column:
-    """The text as far as the tokenizer tells it from others."""
+def contents(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``content``: the text as far as the tokenizer tells it from others."""
     if not folds(path):
-        return text
-    lowered = F.translate(text, ascii_uppercase, ascii_lowercase)
-    folded = F.trim(F.regexp_replace(lowered, r"[\x09-\x0D\x20]+", " "))
-    added = [t["content"] for t in _described(path).get("added_tokens", [])]
+        return rows.withColumn("content", F.col("text"))
+    ascii_only = F.octet_length("text") == F.length("text")
+    # a column that is used more than once is made in a step of its own, so that it is made once
+    out = rows.withColumn("_low", F.when(ascii_only, F.lower("text")).otherwise(F.col("text")))
     special = F.lit(False)
-    for t in added:
-        special = special | F.contains(lowered, F.lit(t.translate(str.maketrans(ascii_uppercase, ascii_lowercase))))
-    return F.when(special, text).otherwise(folded)
+    for t in _described(path).get("added_tokens", []):
+        special = special | F.contains("_low", F.lit(t["content"].lower()))
+    folded = F.trim(F.replace("_low", F.lit("\n"), F.lit(" ")))
+    return out.withColumn("content", F.when(special, F.col("text")).otherwise(folded)).drop("_low")
 
 
 def version(path: str) -> str:
@@ -136,7 +136,7 @@ def version(path: str) -> str:
     import tokenizers
 
     release = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
-    return hashlib.sha256(Path(path).read_bytes() + f"|{release}|{'folded' if folds(path) else 'whole'}-1".encode()).hexdigest()
+    return hashlib.sha256(Path(path).read_bytes() + f"|{release}|{'folded' if folds(path) else 'whole'}-2".encode()).hexdigest()
 
 
 def cached(spark: SparkSession, cache: str, of: str) -> DataFrame | None:
@@ -166,7 +166,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = LIMIT
     spark, of = docs.sparkSession, version(tokenizer)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    keyed = keyed.withColumn("content", content(F.col("text"), tokenizer)).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    keyed = contents(keyed, tokenizer).withColumn("digest", F.unhex(F.sha2("content", 256)))
     missing, stored = keyed.select("digest", "content"), cached(spark, cache, of)
     if stored is not None:
         missing = missing.join(stored, "digest", "left_anti")

@@ -171,7 +171,7 @@ def test_only_what_the_cache_lacks_is_encoded(spark, tmp_path, monkeypatch):
     sent = []
     encode = token_counts.encode
     monkeypatch.setattr(token_counts, "encode", lambda df, t: (sent.append(sorted(r.content for r in df.collect())), encode(df, t))[1])
-    first = h.frame(spark, [(i, t, *[None] * 6) for i, t in enumerate(["One  two", "one TWO ", None, "", "three", "three"])])
+    first = h.frame(spark, [(i, t, *[None] * 6) for i, t in enumerate(["One\ntwo", "one TWO ", None, "", "three", "three"])])
     token_counts.count_tokens(first, cache, W).collect()
     assert sent.pop() == ["", "one two", "three"]
     more = first.union(h.frame(spark, [(9, "four", *[None] * 6)]))
@@ -180,7 +180,7 @@ def test_only_what_the_cache_lacks_is_encoded(spark, tmp_path, monkeypatch):
     token_counts.count_tokens(more, cache, W)
     assert sent.pop() == []
     token_counts.count_tokens(first, cache, A)  # another tokenizer has counts of its own, and tells case
-    assert sent.pop() == ["", "One  two", "one TWO ", "three"]
+    assert sent.pop() == ["", "One\ntwo", "one TWO ", "three"]
     # the rows that two runs append are read once
     spark.read.parquet(cache).write.mode("append").parquet(f"{cache}-2")
     spark.read.parquet(cache).write.mode("append").parquet(f"{cache}-2")
