@@ -7,10 +7,9 @@ contexts, numbers and names are DataFrame operations.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +24,11 @@ from .projection import variants
 
 KEY = ["entity_type", "declaring", "key_name", "params", "start_line"]
 _KEY = "struct<entity_type:string,declaring:string,key_name:string,params:string,start_line:int>"
-RAW = "file string, products array<string>, kind string, ord long, body string"
+_TEXTS = ("entity_type", "declaring", "key_name", "params")
+_KEY_FIELDS = pa.struct([*[(c, pa.string()) for c in _TEXTS], ("start_line", pa.int32())])
+_BODY_FIELDS = pa.struct([*_KEY_FIELDS, ("end_line", pa.int32()), *[(c, pa.string()) for c in ("simple_name", "qualified_name", "relation_type", "target_text")], ("source_line", pa.int32()), ("source_key", _KEY_FIELDS), ("target_key", _KEY_FIELDS), ("target_name", pa.string()), ("message", pa.string()), ("line", pa.int32())])
 _BODY = f"entity_type string, declaring string, key_name string, params string, start_line int, end_line int, simple_name string, qualified_name string, relation_type string, target_text string, source_line int, source_key {_KEY}, target_key {_KEY}, target_name string, message string, line int"
+RAW = f"file string, products array<string>, kind string, ord long, b struct<{_BODY.replace(' string', ':string').replace(' int', ':int').replace(' struct', ':struct')}>"
 
 
 @dataclass(frozen=True)
@@ -60,18 +62,18 @@ def rows_of(source: str, products: list[str]) -> list[tuple[list[str], str, int,
 
 
 def parse(files: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row for each fact of each variant; the body is JSON and typed right after."""
+    """One row for each fact of each variant, typed in Arrow."""
     shared.ship(files.sparkSession)
     pairs = files.where("src is not null").crossJoin(universe).where(F.size("universe") > 0)
 
-    def run(parts):
-        for part in parts:
-            rows = [(f, of, kind, i, json.dumps(body)) for f, s, u in zip(part["path"], part["src"], part["universe"], strict=True) for of, kind, i, body in rows_of(s, list(u))]
+    def run(batches):
+        for b in batches:
+            rows = [(f, of, kind, i, body) for f, s, u in zip(*[c.to_pylist() for c in b.columns], strict=True) for of, kind, i, body in rows_of(s, u)]
             if rows:
-                yield pd.DataFrame(rows, columns=["file", "products", "kind", "ord", "body"])
+                kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), _BODY_FIELDS]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "products", "kind", "ord", "b"])
 
-    raw = pairs.select("path", "src", "universe").mapInPandas(run, RAW)
-    return raw.withColumn("b", F.from_json("body", _BODY)).drop("body")
+    return pairs.select("path", "src", "universe").mapInArrow(run, RAW)
 
 
 def merge_entities(drafts: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ def frequencies(rows: DataFrame, by: str, token: str = "token") -> DataFrame:
     return rows.groupBy(by, token).agg(F.count("*").alias("n"))
 
 
+def text_frequencies(rows: DataFrame, by: str, text: str, stop_words=STOP_WORDS) -> DataFrame:
+    """(by, token, n) of texts whose token order doesn't matter (AGG-10).
+
+    Words between separators are counted first, so each distinct one of a group is
+    split and stemmed once, not each time it occurs.
+    """
+    words = rows.select(by, F.explode(F.split(text, "[^A-Za-z0-9]+")).alias("_w")).where("_w <> ''").groupBy(by, "_w").agg(F.count("*").alias("_n"))
+    return words.select(by, F.explode(tx.tokens(F.col("_w"), stop_words)).alias("token"), "_n").groupBy(by, "token").agg(F.sum("_n").alias("n"))
+
+
 def top_k(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in an order (TOP-1, TOP-2, TOP-5, TOP-6).
 

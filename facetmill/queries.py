@@ -8,19 +8,20 @@ names to resolve. Names carry the operators each query applies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetmill import project_queries
+from facetmill import project_queries, shared
 from facetmill.config import ENTITY_TYPES, STOP_WORDS, AggregationConfig
 from facetmill.functions import text as tx
 from facetmill.operators import clustering, components, directives, graph, grouping, intervals, numbering, profile, projection, resolve, similarity, tokens
 from facetmill.operators.wcc import weakly_connected_components
 from facetmill.plans import reports
 from facetmill.plans.pipeline import Analysis
-from facetmill.sources import sinks
+from facetmill.sources import scan, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +113,25 @@ def win8_dir3_dir4_depth_by_windows(spark, sf):
     return directives.ends(directives.nested(directives.marks(_scripts(spark, sf)))).select("file", "ln", "word", "depth", "end_line")
 
 
+# a tree of suppliers' files: hidden names and folders, empty files, bytes that aren't text
+
+_FILE = """CASE WHEN s_suppkey % 7 = 0 THEN '_d' || (s_suppkey % 3) || '/' ELSE '' END || CASE WHEN s_suppkey % 4 = 0 THEN 'p/.q' || (s_suppkey % 5) || '/' ELSE '' END || CASE WHEN s_suppkey % 5 = 0 THEN '.' ELSE '' END || 's' || s_suppkey"""
+_BODY = "CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name || chr(10) || 'a' || s_suppkey END"
+
+
+@query(f"""SELECT {_FILE} AS file, CASE WHEN s_suppkey % 13 <> 0 THEN {_BODY} END AS src, CASE WHEN s_suppkey % 13 = 0 THEN 'the file is not UTF-8' END AS failure FROM supplier""")
+def src1_src2_src6_scan_of_a_tree(spark, sf):
+    """Files that tasks write below the shared folder, and what a scan finds of them."""
+    at = f"{shared.shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    bad = F.when(F.col("s_suppkey") % 13 == 0, F.unhex(F.lit("ff00fe"))).otherwise(F.encode(F.expr(_BODY), "UTF-8"))
+    made = sinks.write_files(_t(spark, sf, "supplier").select(F.expr(_FILE).alias("path"), bad.alias("content")), at)
+    made.agg(F.sum("files")).collect()
+    found = shared.stored(scan.scan(spark, at), "scanned")
+    short = lambda c: F.regexp_replace(c, "^.*/tree-[0-9a-f]+/", "")
+    failed = scan.unreadable(found).select(F.col("file").alias("path"), F.col("message").alias("failure"))
+    return found.join(failed, "path", "left").select(short("path").alias("file"), "src", "failure")
+
+
 # scripts of customers: fourteen lines each, chosen by the key, with orphans and open ends
 
 _LINE_KINDS = ["//#if A|B", " // #if B | C ", "//#elif C|A", "//#else", "//#endif", "  //#endif", "x();", "//#if D|A|B"]
@@ -124,14 +144,17 @@ def _varied(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "customer").select(F.concat(F.lit("/v/"), F.col("c_custkey").cast("string")).alias("path"), F.array_join(line, "\n").alias("src"))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT c_custkey AS k, j AS ln, CASE c WHEN 0 THEN 'if' WHEN 1 THEN 'if' WHEN 7 THEN 'if' WHEN 2 THEN 'elif' WHEN 3 THEN 'else' ELSE 'endif' END AS word, CASE c WHEN 0 THEN ['A', 'B'] WHEN 1 THEN ['B', 'C'] WHEN 7 THEN ['D', 'A', 'B'] WHEN 2 THEN ['C', 'A'] ELSE []::VARCHAR[] END AS own
+_VARIED = f"""WITH RECURSIVE m AS (SELECT c_custkey AS k, j AS ln, CASE c WHEN 0 THEN 'if' WHEN 1 THEN 'if' WHEN 7 THEN 'if' WHEN 2 THEN 'elif' WHEN 3 THEN 'else' ELSE 'endif' END AS word, CASE c WHEN 0 THEN ['A', 'B'] WHEN 1 THEN ['B', 'C'] WHEN 7 THEN ['D', 'A', 'B'] WHEN 2 THEN ['C', 'A'] ELSE []::VARCHAR[] END AS own
   FROM (SELECT c_custkey, j, {_CHOICE.format(div='//')} AS c FROM customer, (SELECT unnest(range(1, 15)) AS j)) WHERE c <> 6),
 n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ln) AS i FROM m),
 st AS (SELECT k, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS open, CAST(NULL AS BIGINT) AS ln, CAST(NULL AS VARCHAR) AS word, CAST(NULL AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS parent_ln, []::VARCHAR[] AS own FROM (SELECT DISTINCT k FROM m)
   UNION ALL SELECT s.k, n.i, CASE WHEN n.word = 'if' THEN list_append(s.open, n.ln) WHEN len(s.open) = 0 THEN s.open WHEN n.word = 'endif' THEN s.open[:-2] ELSE list_append(s.open[:-2], n.ln) END, n.ln, CASE WHEN n.word = 'if' OR len(s.open) > 0 THEN n.word END,
     len(s.open) - CASE WHEN n.word = 'if' THEN 0 ELSE 1 END, CASE WHEN n.word = 'if' THEN s.open[-1] ELSE s.open[-2] END, n.own FROM st s JOIN n ON n.k = s.k AND n.i = s.i + 1),
 kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY ln) - 1 AS INT) AS seq, CASE WHEN word = 'endif' THEN ln ELSE greatest(ln, coalesce(lead(ln) OVER (PARTITION BY k, depth ORDER BY ln) - 1, 14)) END AS end_line FROM st WHERE word IS NOT NULL),
-eff AS (SELECT k, ln, depth, own AS ids FROM kept WHERE depth = 0 UNION ALL SELECT c.k, c.ln, c.depth, list_filter(c.own, lambda x: list_contains(p.ids, x)) FROM eff p JOIN kept c ON c.k = p.k AND c.parent_ln = p.ln AND c.depth = p.depth + 1)
+eff AS (SELECT k, ln, depth, own AS ids FROM kept WHERE depth = 0 UNION ALL SELECT c.k, c.ln, c.depth, list_filter(c.own, lambda x: list_contains(p.ids, x)) FROM eff p JOIN kept c ON c.k = p.k AND c.parent_ln = p.ln AND c.depth = p.depth + 1)"""
+
+
+@query(f"""{_VARIED}
 SELECT '/v/' || k AS file, seq, upper(word) AS directive, CAST(ln AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(depth AS INT) AS depth, array_to_string(ids, '|') AS ids, parent.seq AS parent_seq
 FROM kept JOIN eff USING (k, ln, depth) LEFT JOIN (SELECT k, ln AS parent_ln, seq FROM kept) parent USING (k, parent_ln)""".replace("SELECT '/v/' || k AS file, seq,", "SELECT '/v/' || k AS file, kept.seq,"))
 def dir1_to_dir7_str10_blocks_of_varied_scripts(spark, sf):
@@ -139,6 +162,29 @@ def dir1_to_dir7_str10_blocks_of_varied_scripts(spark, sf):
     return directives.extract(_varied(spark, sf)).select("file", "seq", "directive", "start_line", "end_line", "depth", tx.join_ids(F.col("ids")).alias("ids"), "parent_seq")
 
 
+@query(f"""{_VARIED}, b AS (SELECT list_sort(list_distinct(ids)) AS ids FROM kept JOIN eff USING (k, ln, depth) WHERE word <> 'endif' AND len(ids) > 0)
+SELECT 'G' || row_number() OVER (ORDER BY ids) AS group_id, array_to_string(ids, '|') AS signature, count(*) AS block_count FROM b GROUP BY ids""")
+def fil1_agg1_win1_rpt1_groups_of_varied_scripts(spark, sf):
+    groups, members = grouping.group(directives.extract(_varied(spark, sf)))
+    return groups.drop("block_count").join(members.groupBy("group_id").agg(F.count("*").alias("block_count")), "group_id").select("group_id", "signature", "block_count")
+
+
+@query(f"""{_VARIED}, p AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS product),
+framed AS (SELECT *, sum(CASE WHEN word = 'if' THEN 1 ELSE 0 END) OVER (PARTITION BY k, depth ORDER BY ln) AS frame FROM kept WHERE word <> 'endif'),
+hits AS (SELECT framed.*, product, CASE WHEN word = 'else' OR list_contains(own, product) THEN 1 ELSE 0 END AS hit FROM framed, p),
+sel AS (SELECT *, hit = 1 AND coalesce(max(hit) OVER (PARTITION BY k, depth, frame, product ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS chosen FROM hits),
+act AS (SELECT k, ln, depth, product, chosen AS active FROM sel WHERE depth = 0 UNION ALL SELECT c.k, c.ln, c.depth, c.product, a.active AND c.chosen FROM act a JOIN sel c ON c.k = a.k AND c.product = a.product AND c.parent_ln = a.ln AND c.depth = a.depth + 1),
+code AS (SELECT c_custkey AS k, j FROM customer, (SELECT unnest(range(1, 15)) AS j) WHERE {_CHOICE.format(div='//')} = 6),
+inside AS (SELECT c.k, c.j, (SELECT max_by(open, i) FROM st WHERE st.k = c.k AND st.ln < c.j)[-1] AS ln FROM code c),
+shown AS (SELECT inside.k, j, p.product FROM inside CROSS JOIN p LEFT JOIN act ON act.k = inside.k AND act.ln = inside.ln AND act.product = p.product WHERE inside.ln IS NULL OR active)
+SELECT '/v/' || c_custkey AS file, p.product, 14 AS line_count, coalesce(string_agg(CAST(j AS VARCHAR), ',' ORDER BY j), '') AS kept FROM customer CROSS JOIN p LEFT JOIN shown ON shown.k = c_custkey AND shown.product = p.product GROUP BY ALL""")
+def join1_prj1_prj3_prj4_projections_of_varied_scripts(spark, sf):
+    """Lines of code that each product keeps, by number."""
+    made = projection.generate(_varied(spark, sf), spark.createDataFrame([(["A", "B", "C", "D", "E"],)], "universe array<string>"))
+    at = F.filter(F.transform(F.split("src", "\n"), lambda x, i: F.when(x == "x();", i + 1)), lambda n: n.isNotNull())
+    return made.select("file", "product", "line_count", F.array_join(at, ",").alias("kept"))
+
+
 @query("""WITH p AS (SELECT '/n/' || n_name AS file, n_nationkey AS k, n_regionkey AS r, product FROM nation, (SELECT unnest(['A', 'B', 'N3', 'Z']) AS product))
 SELECT file, product, CAST(r + 12 AS INT) AS line_count,
   CASE WHEN product = 'A' THEN 'int a;' WHEN product = 'B' THEN 'int a;|int n;' WHEN product = 'N' || k THEN 'x();|@Override' ELSE 'y();' END AS kept FROM p""")
@@ -330,7 +376,7 @@ s AS (SELECT k, lower(raw) AS w FROM r WHERE trim(raw) <> ''), t AS (SELECT k, {
 
 @query(f"WITH {_token_sql('text', 'documents', 'source')} SELECT k AS source, token, n FROM n")
 def str1_2_3_4_agg10_tokens(spark, sf):
-    return tokens.frequencies(tokens.explode_tokens(_t(spark, sf, "documents").select("source", "text"), "text"), "source")
+    return tokens.text_frequencies(_t(spark, sf, "documents"), "source", "text")
 
 
 _BRANDS = "(SELECT p_brand, p_name || ' ' || p_type || ' get' || replace(p_name, ' ', 'Value_') AS x FROM part)"

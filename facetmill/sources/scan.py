@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from facetmill import shared
 
+from . import tree
+
 
 @dataclass(frozen=True)
 class Project:
@@ -52,30 +54,24 @@ def resolve_project(root: str | Path, sub: str | None) -> Project:
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """path, src of every regular file at or below ``path``, without a filter of names (SRC-1, SRC-2).
 
-    ``src`` is null where the bytes aren't UTF-8. Spark's listing leaves out names
-    that begin with ``_`` or ``.``; on a local file system the driver lists such files
-    and tasks read them. A missing path raises (SRC-3).
+    ``src`` is null where a file can't be read or isn't UTF-8. A missing path raises
+    (SRC-3). A store that only Spark reads is listed by Spark, which leaves out names
+    that begin with ``_`` or ``.`` and ends the run where a file can't be read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(path))
-    found = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    local = str(path).removeprefix("file://")
-    if os.path.isdir(local):
-        hidden = [os.path.join(d, f) for d, _, names in os.walk(local) for f in names if any(x[:1] in "._" for x in Path(os.path.relpath(os.path.join(d, f), local)).parts)]
-        if hidden:
-            shared.ship(spark)
-            listed = spark.createDataFrame([(h,) for h in sorted(hidden)], "path string")
-            found = found.union(listed.mapInPandas(_read, "path string, content binary"))
+    try:
+        tree.opened(str(path))
+    except ValueError:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(path)).select("path", "content")
+    else:
+        shared.ship(spark)
+        spark.dataSource.register(tree.TreeSource)
+        found = spark.read.format("source_tree").option("tasks", str(spark.sparkContext.defaultParallelism * 2)).load(str(path))
     text = F.col("content").cast("string")
     return found.select("path", F.when(F.is_valid_utf8(text), text).alias("src"))
 
 
-def _read(parts):
-    for part in parts:
-        yield part.assign(content=[Path(p).read_bytes() for p in part["path"]])
-
-
 def checked() -> Column:
-    """The source of a file; one that isn't UTF-8 ends the run."""
+    """The source of a file; one that can't be read or isn't UTF-8 ends the run."""
     return F.when(F.col("src").isNull(), F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))).otherwise(F.col("src"))
 
 
@@ -91,5 +87,5 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def unreadable(files: DataFrame) -> DataFrame:
-    """A failure row for each file that isn't UTF-8 (SRC-6)."""
+    """A failure row for each file that can't be read or isn't UTF-8 (SRC-6)."""
     return files.where("src is null").select(F.col("path").alias("file"), F.lit("<all>").alias("product"), F.lit(0).alias("line"), F.lit("the file is not UTF-8").alias("message"), F.lit(True).alias("extraction_skipped"))

@@ -7,14 +7,18 @@ the rows ask for. Parquet is the native form of every table.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetmill import shared
 from facetmill.functions import text as tx
 from facetmill.operators import tokens
 from facetmill.operators.numbering import number
 
+from . import tree
+
 #: File name, its columns in order (name or name=source column), and the order of its rows.
 CSV = {
     "entities": ("entity_id,entity_type,simple_name,qualified_name,file,start_line,end_line,block_id,group_id,signature,observed_products,resolution_status", ["file", "start_line", "entity_type", "qualified_name"]),
@@ -62,10 +66,10 @@ def write_lines(rows: DataFrame, keys: list[str], path: str, header: str | None
     names of the part files ascend with the rows, and the first begins with the header.
     ``_SUCCESS``, which Spark writes last, says that all files are there.
     """
-    both = rows.select(F.lit(1).alias("k"), "value", *keys)
+    both = rows.select(F.lit(1).alias("_part"), "value", *keys)
     if header is not None:
-        both = rows.sparkSession.createDataFrame([(0, header)], "k int, value string").unionByName(both, allowMissingColumns=True)
-    both.orderBy("k", *keys, "value").select("value").write.mode("overwrite").text(path)
+        both = rows.sparkSession.createDataFrame([(0, header)], "_part int, value string").unionByName(both, allowMissingColumns=True)
+    both.orderBy("_part", *keys, "value").select("value").write.mode("overwrite").text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +79,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return number(rows, [F.col("_file"), F.col("_start"), F.col("_line")], "n").select((F.col("n") - 1).alias("n"), "value")
 
 
+def write_files(rows: DataFrame, directory: str) -> DataFrame:
+    """(files): how many of the files (path, content) below a folder each task wrote; a task that runs again writes the same. Lazy."""
+
+    def go(batches):
+        fs, at, _ = tree.opened(directory)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                fs.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{at}/{path}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["files"])
+
+    shared.ship(rows.sparkSession)
+    return rows.select("path", "content").mapInArrow(go, "files long")
+
+
 def write_csv(df: DataFrame, name: str, directory: str) -> None:
     """``name``.csv as a folder of text files in order, the header first (SNK-1 to SNK-17)."""
     header, rows = csv_rows(df, name)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from facetmill import cli
 from facetmill.config import AggregationConfig
-from facetmill.operators import clustering, components, graph, intervals, numbering, profile, similarity, wcc
+from facetmill.operators import clustering, components, graph, intervals, numbering, profile, resolve, similarity, tokens, wcc
 from facetmill.plans import reports
 from facetmill.plans.pipeline import Analysis
 
@@ -247,6 +247,31 @@ def test_a_hot_file_meets_its_blocks_by_even_keys(spark):
     assert {r.d: r["count"] for r in got} == {0: 200_000, 1: 200_000, 2: 600_000}
 
 
+def test_hot_names_match_as_others_do(spark, monkeypatch):
+    """Names broadcast apart, all of them or the hottest two, against a plain look-up; null and empty names, a hot one without a match."""
+    index = spark.createDataFrame([("M", "run", 1, "E1"), ("M", "get", 3, "E2"), ("T", "run", 1, "E3"), ("M", "a.b", 1, "E4")], "kind string, name string, n_ids long, id string")
+    said = [("M", "run")] * 40 + [("M", "x.get")] * 30 + [("T", "run")] * 5 + [("M", "none")] * 20 + [("M", "a.b"), (None, "run"), ("M", None), ("M", ""), ("T", "q.run<X>[]")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "i int, k string, t string").repartition(3)
+
+    def want(k, t):
+        known = {("M", "run"): (1, "E1"), ("M", "get"): (3, None), ("T", "run"): (1, "E3"), ("M", "a.b"): (1, "E4")}
+        full = (t or "").split("<")[0]
+        return known.get((k, full)) or known.get((k, full.rpartition(".")[2])) or (0, None)
+
+    for least, most in ((10_000, 4096), (1, 4096), (20, 2)):
+        monkeypatch.setattr(resolve, "HOT", least)
+        monkeypatch.setattr(resolve, "HOT_NAMES", most)
+        got = {r.i: (r.m_n, r.m_id) for r in resolve.lookup(df, F.col("k"), F.col("t"), index, "m").collect()}
+        assert got == {i: want(*x) for i, x in enumerate(said)}
+
+
+def test_first_rows_are_bounded_before_the_shuffle(spark):
+    rows = spark.range(0, 10_000, 1, 8).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"))
+    top = tokens.top_k(rows, ["g"], [F.desc("x")], 3)
+    assert sorted((r.g, r.x, r["rank"]) for r in top.collect()) == [(0, 9994, 3), (0, 9996, 2), (0, 9998, 1), (1, 9995, 3), (1, 9997, 2), (1, 9999, 1)]
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels(spark):
     df = spark.createDataFrame([([],), (["queue"],), (["queue", "item"],)], "t array<string>")
     got = [tuple(r) for r in df.select(clustering.label(F.col("t")), clustering.label_confidence(F.size("t"), F.lit(2)), profile.concept(F.col("t"))).collect()]
