@@ -20,11 +20,11 @@ terms of its distinct segments, then aligned by joins, windows and grouping:
 5. ``scored``: links, times the number of their segment's occurrences, are counted by
    id pair; the counts are joined back, and a segment's links, groups and sums are
    put together.
-6. ``align``: the dictionaries are joined with that by segment and put back to units,
-   whose texts take sums and groups from it.
+6. ``align``: the dictionaries are joined with that by segment; a task packs what it has
+   for each unit and sends it there, where texts take sums and groups from it.
 
 A frequent segment is a row for each unit, not for each occurrence. Partitioned by
-segment once, steps 3 and 4 need no further shuffle.
+segment, steps 3 to 5 need no further shuffle but that of the counts.
 
 Cases: texts that are null or empty or that a tokenizer doesn't give back byte by byte
 have no tokens and count for nothing; null doc_ids and rows that repeat get a row
@@ -52,6 +52,10 @@ from . import textcore as tc
 UNIT = 24 << 20
 #: Segments encoded at a time, and codes of texts put together at a time.
 BATCH, CODES = 4096, 1 << 20
+#: Bytes of rows in a pack of answers, about, before they are dealt to their units.
+PACK = 16 << 20
+#: Id pairs whose counts are broadcast, 24 bytes each; more are joined by a shuffle.
+BROADCAST = 1 << 20
 _SPACE = "▁"
 
 
@@ -111,19 +115,15 @@ def starts(data: np.ndarray, offs: np.ndarray, cuts: bool) -> np.ndarray:
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
     if cuts and len(data) > 2:
-        inner = data[1:-1] == 0x20
-        visible = (data > 0x20) & (data != 0x7F)
-        wide = (data == 0xE1) | (data == 0xE2) | (data == 0xE3)
-        ahead = visible & (data != 0xC2) & ~wide
-        # before: the last byte of a character of two or three bytes with such a lead
-        odd = np.zeros(len(data), bool)
-        odd[1:] |= data[:-1] == 0xC2
-        odd[2:] |= wide[:-2]
-        back = visible & ((data < 0x80) | ~odd)
-        at = np.flatnonzero(inner & back[:-2] & ahead[2:]) + 1
-        row = np.searchsorted(offs, at, "right") - 1
+        at = np.flatnonzero(data[1:-1] == 0x20) + 1
+        ahead, back = data[at + 1], data[at - 1]
+        wide = lambda x: (x == 0xE1) | (x == 0xE2) | (x == 0xE3)
+        # after: no first byte of such a character; before: no last byte of one of two or three bytes
+        good = (ahead > 0x20) & (ahead != 0x7F) & (ahead != 0xC2) & ~wide(ahead) & (back > 0x20) & (back != 0x7F)
+        good &= (back < 0x80) | ((data[np.maximum(at - 2, 0)] != 0xC2) & ~wide(data[np.maximum(at - 3, 0)]))
+        at = at[good]
         # a space at either end of a row isn't between two characters of it
-        first[at[(at > offs[row]) & (at + 1 < offs[row + 1])]] = True
+        first[at[~first[at] & ~first[at + 1]]] = True
     return np.flatnonzero(first[:-1])
 
 
@@ -202,13 +202,14 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def scored(links: DataFrame, counts: DataFrame) -> DataFrame:
     """(sid, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each segment; ``groups`` ends with a semicolon."""
-    known = tc.salted_join(links.drop("n"), counts, ["a", "b"], "inner", "sid")
-    side = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(f"{c}_ends"), F.struct("end", F.col(c).alias("id"))))), lambda t: t["id"].cast("string")), ",")
+    few = counts.count() <= BROADCAST
+    known = links.drop("n").join(F.broadcast(counts), ["a", "b"]) if few else tc.salted_join(links.drop("n"), counts, ["a", "b"], "inner", "sid")
+    # in a group the A ids come first; the last id of a side ends where the group does
+    cut = F.col("a_ends") & F.col("b_ends")
+    part = lambda c, side, last: F.collect_list(F.when(F.col(f"{c}_ends"), F.struct((-F.col("group")).alias("k"), F.lit(side).alias("side"), "end", F.concat(F.col(c).cast("string"), F.when(cut, last).otherwise(",")).alias("x"))))
     count = lambda c: F.sum(F.col(c).cast("long"))
-    groups = known.groupBy("sid", "group").agg(F.concat(side("a"), F.lit("|"), side("b"), F.lit(";")).alias("text"), count("a_ends").alias("n_a"), count("b_ends").alias("n_b"), F.count("*").alias("n_links"), count("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    total = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")]
-    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("group")).alias("k"), "text"))), lambda g: g["text"]), "")
-    return groups.groupBy("sid").agg(F.count("*").alias("n_groups"), *total, in_order.alias("groups"))
+    out = known.groupBy("sid").agg(count("a_ends").alias("n_a"), count("b_ends").alias("n_b"), F.sum(cut.cast("long")).alias("n_groups"), F.count("*").alias("n_links"), count("best").alias("n_best"), F.sum("count").alias("count_sum"), F.concat(part("a", 0, "|"), part("b", 1, ";")).alias("ids"))
+    return out.withColumn("groups", F.array_join(F.transform(F.sort_array("ids"), lambda t: t["x"]), "")).drop("ids")
 
 
 FIELDS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -227,19 +228,39 @@ def _texts(pieces: pa.Array, codes: np.ndarray, ends: np.ndarray) -> list[str]:
     return out
 
 
-def _put_together(payload: bytes, found: pa.Table) -> pa.RecordBatch:
-    """The rows of a unit; ``found`` has what is known of each of its segments, by code."""
-    d = ex.unpack(payload)
-    codes, ends = d["codes"].astype(np.int64), d["ends"]
+def packed(rows: DataFrame) -> DataFrame:
+    """(of, pack): rows of a unit (of, code, FIELDS, groups) that a task has, in one binary for each batch."""
+
+    def go(batches):
+        for b in batches:
+            of = b.column("of").to_numpy()
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+            numbers = {f: b.column(f).to_numpy()[order] for f in ("code", *FIELDS)}
+            data, offs = tc.string_buffers(b.column("groups").take(pa.array(order)))
+            packs = []
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                packs.append(ex.pack({k: ex.small(v[i:j]) for k, v in numbers.items()} | {"size": ex.small(np.diff(offs[i : j + 1])), "text": data[offs[i] : offs[j]]}))
+            yield pa.RecordBatch.from_arrays([pa.array(of[order][cuts]), pa.array(packs, pa.binary())], ["of", "pack"])
+
+    return tc.arrow_batches(rows, go, "of long, pack binary", PACK)
+
+
+def _put_together(payload: bytes, packs: list[bytes]) -> pa.RecordBatch:
+    """The rows of a unit; ``packs`` have what is known of each of its segments."""
+    d, parts = ex.unpack(payload), [ex.unpack(p) for p in packs]
+    codes, ends = d["codes"].astype(np.int64), d["ends"].astype(np.int64)
+    column = lambda k, kind=np.int64: np.concatenate([p[k].astype(kind) for p in parts]) if parts else np.zeros(0, kind)
+    place = np.argsort(column("code"))
     cols = [pa.array(d["doc_id"], mask=d["null"].astype(bool))]
+    full = np.flatnonzero(np.diff(ends))
     for f in FIELDS:
-        each = found.column(f).to_numpy()
         sums = np.zeros(len(ends) - 1, np.int64)
-        full = np.flatnonzero(np.diff(ends))
         if len(full):
-            sums[full] = np.add.reduceat(each[codes], ends[:-1][full])
+            sums[full] = np.add.reduceat(column(f)[place][codes], ends[:-1][full])
         cols.append(pa.array(sums))
-    pieces = found.column("groups").combine_chunks().cast(pa.large_binary())
+    bounds = np.append(0, np.cumsum(column("size"))).astype(np.int64)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(column("text", np.uint8).tobytes())]).take(pa.array(place))
     cols.append(pa.array(_texts(pieces, codes, ends), pa.string()))
     return pa.RecordBatch.from_arrays(cols, ["doc_id", *FIELDS, "groups_sha256"])
 
@@ -252,7 +273,7 @@ def align(docs: DataFrame, a: str, b: str, unit: int = UNIT) -> DataFrame:
     known = tc.stored(encoded(distinct, a, b), "encoded")
     parts = ex.parts_of(docs)
     by_sid = known.select("sid", "n", "a", "size_a", "b", "size_b").repartition(parts, "sid")
-    links = tc.stored(linked(tokens(by_sid, "a", "size_a"), tokens(by_sid, "b", "size_b")), "links")
+    links = linked(tokens(by_sid, "a", "size_a"), tokens(by_sid, "b", "size_b"))  # made twice: smaller to sort again than to keep
     counts = tc.stored(pair_counts(links), "pairs")
     made = tc.stored(scored(links, counts).join(known.select("sid", "segment"), "sid").drop("sid"), "scored")
 
@@ -260,11 +281,10 @@ def align(docs: DataFrame, a: str, b: str, unit: int = UNIT) -> DataFrame:
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = right.sort_by("code")
-        return pa.Table.from_batches([_put_together(x.as_py(), found) for x in left.column("payload")])
+        return pa.Table.from_batches([_put_together(x.as_py(), right.column("pack").to_pylist()) for x in left.column("payload")])
 
-    tc.ship(docs.sparkSession)
-    return units.select("unit", "payload").groupBy("unit").cogroup(rows.groupBy("of")).applyInArrow(go, schema)
+    packs = tc.stored(packed(rows), "packs")  # here the shuffles by segment end
+    return units.select("unit", "payload").groupBy("unit").cogroup(packs.groupBy("of")).applyInArrow(go, schema)
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
