@@ -17,10 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at if ":" in at.split("/", 1)[0] else f"file://{os.path.abspath(at)}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
