@@ -151,7 +151,7 @@ def dictionaries(docs: DataFrame, a: str, b: str, unit: int = UNIT) -> DataFrame
             )
             n += 1
 
-    return tc.stored(tc.arrow_batches(rows, go, "unit long, segments array<string>, counts array<long>, payload binary", unit), "units")
+    return tc.stored(tc.arrow_batches(rows, go, "unit long, segments array<string>, counts array<long>, payload binary", unit), "units", "zstd")
 
 
 def encoded(segments: DataFrame, a: str, b: str) -> DataFrame:
@@ -270,12 +270,12 @@ def align(docs: DataFrame, a: str, b: str, unit: int = UNIT) -> DataFrame:
     units = dictionaries(docs, a, b, unit)
     each = units.select(F.explode(F.arrays_zip("segments", "counts")).alias("s"))
     distinct = each.groupBy(F.col("s.segments").alias("segment")).agg(F.sum("s.counts").alias("n"))
-    known = tc.stored(encoded(distinct, a, b), "encoded")
+    known = tc.stored(encoded(distinct, a, b), "encoded", "zstd")
     parts = ex.parts_of(docs)
     by_sid = known.select("sid", "n", "a", "size_a", "b", "size_b").repartition(parts, "sid")
     links = linked(tokens(by_sid, "a", "size_a"), tokens(by_sid, "b", "size_b"))  # made twice: smaller to sort again than to keep
     counts = tc.stored(pair_counts(links), "pairs")
-    made = tc.stored(scored(links, counts).join(known.select("sid", "segment"), "sid").drop("sid"), "scored")
+    made = tc.stored(scored(links, counts).join(known.select("sid", "segment"), "sid").drop("sid"), "scored", "zstd")
 
     rows = units.select(F.col("unit").alias("of"), F.posexplode("segments").alias("code", "segment")).join(made, "segment").drop("segment")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -294,13 +294,13 @@ def lower(spark: SparkSession, setting: str, most: int) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again; the shuffle files of the write go at its end."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        return shared.stored(df, name)
+        return shared.stored(df, name, compression)
     finally:
         if before is None:
             conf.unset(CLEANUP)
