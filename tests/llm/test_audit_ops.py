@@ -4,13 +4,17 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import helpers as h
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from facetmill.llm import alignment, divergence, token_counts  # noqa: E402
+from facetmill.llm import textcore as tc  # noqa: E402
 
 A, B, W = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 ODD = [
@@ -189,3 +193,42 @@ def test_only_what_the_cache_lacks_is_encoded(spark, tmp_path, monkeypatch):
 
 def test_counts_of_nothing(spark, tmp_path):
     assert token_counts.count_tokens(h.frame(spark, []), f"file://{tmp_path}/none", W).collect() == []
+
+
+def test_tasks_that_fail_midway_are_run_again(spark, tmp_path):
+    """Recovery: each batch function fails once in each task after its first batch; answers are those of a run without failures."""
+    docs = tc.stored(table(spark)[1].select("doc_id", "text", "lang", "source").where("length(text) < 20000"), "retry")
+    runs = {
+        "align": lambda k: alignment.align(docs, A, B, 2000), "audit": lambda k: divergence.audit(docs, 2), "count": lambda k: token_counts.count_tokens(docs, f"file://{tmp_path}/cache-{k}", W),
+    }
+    want = {k: h.counted(f("whole").collect()) for k, f in runs.items()}
+    marks, whole = str(tmp_path), tc.arrow_batches
+
+    def failing(df, fn, schema, *more):
+        def once(batches):
+            c = TaskContext.get()
+            mark = Path(marks) / f"{c.stageId()}-{c.partitionId()}"
+            for k, b in enumerate(fn(batches)):
+                yield b
+                if not k and c.attemptNumber() == 0 and not mark.exists():
+                    mark.touch()
+                    raise RuntimeError("lost")
+
+        return whole(df, once, schema, *more)
+
+    tc.arrow_batches = failing
+    try:
+        got = {k: h.counted(f("again").collect()) for k, f in runs.items()}
+    finally:
+        tc.arrow_batches = whole
+    assert got == want and len(list(tmp_path.glob("*-*"))) > 6
+
+
+def test_a_hot_source_and_copies_change_nothing_but_counts(spark):
+    """Half of the rows are one text of one source: tokens align alike, the pair counts grow by as many links."""
+    text, n = "The river, the stone: zwölf Lampen.", 400
+    one = alignment.align(h.frame(spark, [(0, text, *[None] * 6)]), A, B).collect()[0]
+    many = alignment.align(h.frame(spark, [(i, text, *[None] * 6) for i in range(n)]), A, B).collect()
+    assert len(many) == n and {tuple(r)[1:6] for r in many} == {tuple(one)[1:6]} and {r.count_sum for r in many} == {n * one.count_sum}
+    counts = token_counts.Counter(W)
+    assert set(counts.count(pa.array([text] * n)).tolist()) == set(counts.count(pa.array([text])).tolist())

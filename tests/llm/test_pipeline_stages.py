@@ -36,3 +36,16 @@ def test_language_stage_without_a_language_column(spark):
     docs = spark.createDataFrame([(1, "some words", "a")], "doc_id long, text string, source string")
     out = corpus_pipeline.language_id(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 0
+
+
+def test_empty_tables_and_a_very_long_text(spark, tmp_path):
+    """No rows give no rows in every stage; a text of a megabyte goes through whole."""
+    rng = random.Random(9)
+    long = sentence(rng, 120_000)
+    kinds = ("doc_id long, text string, lang string, source string, n_chars long", "item_id long, text string", "doc_id long, quality int, toxic int")
+    for name, data in (("none", []), ("some", [(i, sentence(rng, 40), "en", "s", 1) for i in range(20)] + [(99, long, "en", "s", 1)])):
+        for table, kind, rows in (("documents", kinds[0], data), ("benchmark", kinds[1], []), ("labels", kinds[2], [])):
+            spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in out} <= {*range(20), 99} and max(r.n_tokens for r in out if r.doc_id == 99) > 100_000
