@@ -73,8 +73,10 @@ def build(c: Candidates, a: Aggregation, config: AggregationConfig | None = None
     freq = a.frequencies.join(of, "component_id").groupBy("candidate_id", "token").agg(F.sum("n").alias("n"))
     names = entities.select("candidate_id", "entity_id", name.alias("name"))
     seen = a.evidence.join(of, "component_id").join(names.withColumnRenamed("entity_id", "source_entity_id"), ["candidate_id", "source_entity_id"], "left")
+    top = tokens.top_k(freq, ["candidate_id"], [F.desc("n"), F.asc("token")], 8)
+    seen = seen.join(top.select("candidate_id", "token"), ["candidate_id", "token"], "left_semi")
     origin = seen.groupBy("candidate_id", "token").agg(F.array_sort(F.collect_set(F.concat("provenance", F.lit(":"), F.coalesce("name", F.lit("<external>"))))).alias("origins"))
-    top = tokens.top_k(freq.join(origin, ["candidate_id", "token"]), ["candidate_id"], [F.desc("n"), F.asc("token")], 8)
+    top = top.join(origin, ["candidate_id", "token"])
     top = top.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "n", "origins"))).alias("top_tokens"))
 
     types = internal.groupBy("candidate_id", "relation_type").agg(F.count("*").alias("n"))  # AGG-9
