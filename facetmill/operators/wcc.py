@@ -3,16 +3,21 @@
 Large-star and small-star steps alternate: each links what a vertex knows to the
 least vertex it knows. The number of steps grows with the logarithm of a
 component's width, each is stored in the shared folder, and only a count and a
-checksum reach the driver.
+checksum reach the driver. Once ``FEW`` edges or less are left, which one task holds
+at any size of the input, it joins them by union and find instead of further steps.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill import shared
 
+#: Edges that one task finishes.
+FEW = 50_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -27,6 +32,29 @@ def _small(edges: DataFrame) -> DataFrame:
     return out.union(least.select("u", "m")).where("a <> b").distinct()
 
 
+def _finished(edges: DataFrame) -> DataFrame:
+    """(a, b): each vertex but the least of its component, and the least."""
+
+    def run(parts):
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for part in parts:
+            for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                up[high] = low
+        found = [(x, root(x)) for x in list(up)]
+        yield pd.DataFrame([x for x in found if x[0] != x[1]], columns=["a", "b"])
+
+    shared.ship(edges.sparkSession)
+    return edges.coalesce(1).mapInPandas(run, edges.schema)
+
+
 def weakly_connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, label): each linked vertex and the least vertex of its component, of any ordered type.
 
@@ -38,6 +66,9 @@ def weakly_connected_components(edges: DataFrame, src: str, dst: str) -> DataFra
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
+        if state[0] <= FEW and now.schema["a"].dataType.typeName() in ("string", "integer", "long"):
+            now = shared.stored(_finished(now), "edges")
+            break
         before = state
         now = shared.stored(_small(_large(now)), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())

@@ -107,7 +107,9 @@ def test_cli_rejects_bad_folders(tmp_path, capsys):
 # operators on rows made by hand
 
 
-def test_wcc_is_right_on_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 12, 50_000])
+def test_wcc_is_right_on_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(wcc, "FEW", few)
     e = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)] + [("z", f"m{i}") for i in range(10)] + [("q", "q"), ("m1", None)]
     got = {r.node: r.label for r in wcc.weakly_connected_components(spark.createDataFrame(e, "a string, b string"), "a", "b").collect()}
     assert {got[f"n{i:02}"] for i in range(41)} == {"n00"} and {got[f"m{i}"] for i in range(10)} | {got["z"]} == {"m0"} and "q" not in got
