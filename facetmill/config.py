@@ -41,7 +41,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class AggregationConfig:
-    """Weights, thresholds and switches of semantic aggregation."""
+    """Weights, thresholds and switches of semantic aggregation; the defaults are fixed values."""
 
     lexical_weight: float = 0.35
     contextual_weight: float = 0.20

@@ -19,7 +19,7 @@ from facetmill.operators.numbering import number
 
 from . import tree
 
-#: File name, its columns in order (name or name=source column), and the order of its rows.
+#: Fixed values, as readers of the reports expect them: file name, its columns in order (name or name=source column), and the order of its rows.
 CSV = {
     "entities": ("entity_id,entity_type,simple_name,qualified_name,file,start_line,end_line,block_id,group_id,signature,observed_products,resolution_status", ["file", "start_line", "entity_type", "qualified_name"]),
     "relations": ("relation_id,source_entity_id,target_entity_id,target_text,relation_type,file,line=source_line,block_id,group_id,signature,observed_products,resolution_status", ["file", "source_line", "relation_type", "target_text"]),
