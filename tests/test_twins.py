@@ -56,3 +56,35 @@ def test_pairs_and_clusters_by_twins(spark, aggregate_isolated, threshold):
     by_twins = clustering.of_twins(like, judged.selectExpr("a", "b", "decision = 'MERGED' as merged", "combined"), threshold)
     columns = ["group_id", "component_id", "part", "alone"]
     assert plain(by_twins, columns) == plain(one_by_one, columns)
+
+
+def test_what_pairs_show_is_worked_out_before_they_are_made(spark):
+    """Rows of the reports on pairs copy rounded values and texts; only the names of two components differ."""
+    from pathlib import Path
+
+    from facetmill import project_queries
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no tables")
+    made = project_queries.QUERIES["snk13_snk14_agg11_gra6_sim1_to_sim7_similarities_and_decisions"](spark, str(data))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate explode(_y") < plan.index("round(")
+
+
+def test_lines_of_the_detail_view_are_numbered_without_their_texts(spark, monkeypatch):
+    from pathlib import Path
+
+    from facetmill import project_queries
+    from facetmill.plans import reports
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no tables")
+    real, texts = reports.number, []
+    monkeypatch.setattr(reports, "number", lambda df, order, name: texts.append(df.where("section = 9").agg({"line": "max"}).first()[0]) or real(df, order, name))
+    a = project_queries.project(spark, str(data))
+    got = [r.line for r in reports.detail_text(a, "AFEC-G2-01").orderBy("n").collect()]
+    said = [x for x in got if " score=" in x]
+    assert len(said) == a.aggregation.members.where("candidate_id = 'AFEC-G2-01'").count() * (a.aggregation.members.where("candidate_id = 'AFEC-G2-01'").count() - 1) // 2
+    assert got[got.index("Merge decisions:") + 1] == said[0] and " reason=threshold" in said[0] and texts == [""]
