@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from facetmill import queries
-from facetmill.operators import tokens, wcc
+from facetmill.operators import graph, tokens, wcc
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -45,3 +45,14 @@ def test_evidence_is_neither_sorted_nor_shuffled(spark):
     made = tokens.evidence(SimpleNamespace(entities=e, internal=i), [])
     assert "Exchange" not in plan(made) and "Sort" not in plan(made)
     assert [r.token for r in made.orderBy("component_id", "pos").collect()] == ["log", "p", "log", "read", "file", "method", "call"]
+
+
+def test_entities_are_not_sent_whole_through_the_driver(spark):
+    e = spark.createDataFrame([(f"e{i}", "METHOD", f"f{i}", "G1", "A", "m", None, 1, 2, ["A"]) for i in range(3)], "entity_id string, entity_type string, file string, group_id string, signature string, simple_name string, qualified_name string, start_line int, end_line int, observed_products array<string>")
+    ends = [("e0", "e1"), ("", "e1"), (None, "e1"), ("e0", " "), ("e0", None), ("e0", "e9"), ("e9", "e0")]
+    r = spark.createDataFrame([(f"r{i}", s, t, "METHOD_CALL", "f0", 1, "b", ["A"], "UNRESOLVED") for i, (s, t) in enumerate(ends)], "relation_id string, source_entity_id string, target_entity_id string, relation_type string, file string, source_line int, block_id string, observed_products array<string>, resolution_status string")
+    g = graph.build(e, r)
+    assert "BroadcastHashJoin" not in plan(g.unresolved)
+    why = {x.relation_id: x.failure_reason for x in g.unresolved.collect()}
+    assert why == {"r1": "missing source entity", "r2": "missing source entity", "r3": "unresolved target", "r4": "unresolved target", "r5": "target entity not found", "r6": "source entity not found"}
+    assert [(x.source_entity_id, x.target_entity_id) for x in g.edges.collect()] == [("e0", "e1")]
