@@ -88,3 +88,41 @@ def test_lines_of_the_detail_view_are_numbered_without_their_texts(spark, monkey
     said = [x for x in got if " score=" in x]
     assert len(said) == a.aggregation.members.where("candidate_id = 'AFEC-G2-01'").count() * (a.aggregation.members.where("candidate_id = 'AFEC-G2-01'").count() - 1) // 2
     assert got[got.index("Merge decisions:") + 1] == said[0] and " reason=threshold" in said[0] and texts == [""]
+
+
+def test_lines_of_merged_pairs_get_their_places_without_being_stored(spark, monkeypatch):
+    """Names are in another order than places; some pairs of twins aren't merged, and some components are of another cluster."""
+    from types import SimpleNamespace
+
+    from facetmill import shared
+    from facetmill.plans import reports
+
+    rng = random.Random(5)
+    names = [f"c{i}" for i in range(1, 131)]
+    twin_of = {c: rng.randrange(5) for c in names}
+    first = {k: min(c for c in names if twin_of[c] == k) for k in range(5)}
+    place = dict(zip(rng.sample(names, len(names)), range(1, len(names) + 1), strict=True))
+    score = {(j, k): rng.choice([0.25, 0.5005, 0.75]) for k in range(5) for j in range(k + 1)}
+    like = spark.createDataFrame([("G1", c, first[twin_of[c]], place[c]) for c in names], "group_id string, candidate_id string, twin string, n long")
+    judged = spark.createDataFrame([("G1", first[j], first[k], x, ["lexical"] if x < 0.7 else [], "MERGED" if x > 0.3 else "NOT_MERGED", "r") for (j, k), x in score.items()], "group_id string, a string, b string, combined double, support array<string>, decision string, reason string")
+    mine = [c for c in names if c != "c7"]
+    e = spark.createDataFrame([(c, f"e{c}", "Log", "p.Log", "f", 1, 2) for c in names[:3]], "candidate_id string, entity_id string, simple_name string, qualified_name string, file string, start_line int, end_line int")
+    none = spark.createDataFrame([("other",)], "candidate_id string")
+    found = spark.createDataFrame([("AFEC-G1-01", "G1", "", "LOW", "LOW", ["c1"], ["log"])], "candidate_id string, group_id string, suggested_label string, label_confidence string, candidate_confidence string, component_ids array<string>, representative_tokens array<string>")
+    members = spark.createDataFrame([("AFEC-G1-01", c) for c in mine], "candidate_id string, component_id string")
+    a = SimpleNamespace(candidates=SimpleNamespace(entities=e, blocks=none, internal=none), aggregation=SimpleNamespace(candidates=found, members=members, like=like, judged=judged, incoming=none, outgoing=none), profiles=none)
+
+    want = []
+    for x, y in sorted((x, y) for x in mine for y in mine if place[x] < place[y]):
+        s = score[tuple(sorted((twin_of[x], twin_of[y])))]
+        if s > 0.3:
+            want.append(f"- {x} + {y} score={'0.501' if s == 0.5005 else '0.750'} evidence={'[lexical]' if s < 0.7 else '[]'} reason=r")
+    real, rows = shared.stored, []
+    monkeypatch.setattr(shared, "stored", lambda df, *of: (out := real(df, *of)) and (rows.append(out.count()) or out))
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    monkeypatch.setattr(similarity, "NAMES", 32, raising=False)
+    got = [tuple(r) for r in reports.detail_text(a, "AFEC-G1-01").orderBy("n").collect()]
+    assert [n for n, _ in got] == list(range(1, len(got) + 1))
+    at = [line for _, line in got].index("Merge decisions:") + 1
+    assert [line for _, line in got[at:]] == [*want, "Incoming dependencies: 0", "Outgoing dependencies: 0"]
+    assert len(want) > 3000 and max(rows) < len(want) / 4
