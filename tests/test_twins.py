@@ -126,3 +126,25 @@ def test_lines_of_merged_pairs_get_their_places_without_being_stored(spark, monk
     at = [line for _, line in got].index("Merge decisions:") + 1
     assert [line for _, line in got[at:]] == [*want, "Incoming dependencies: 0", "Outgoing dependencies: 0"]
     assert len(want) > 3000 and max(rows) < len(want) / 4
+
+
+def test_reports_on_pairs_make_no_clusters_and_measure_pairs_once(spark, monkeypatch):
+    from pathlib import Path
+
+    from facetmill import project_queries, shared
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no tables")
+    real, names = shared.stored, []
+    monkeypatch.setattr(shared, "stored", lambda df, name="step", *of: names.append(name) or real(df, name, *of))
+    monkeypatch.setattr(project_queries, "_MADE", {})
+    for q in ("snk13_snk14_agg11_gra6_sim1_to_sim7_similarities_and_decisions", "snk13_snk14_sim7_decisions_by_strict_rules"):
+        project_queries.QUERIES[q](spark, str(data))
+    assert names.count("evidence") == names.count("twins") == 1 and not {"clusters", "aggregated"} & set(names)
+
+    config = project_queries.STRICT
+    a = project_queries.project(spark, str(data), config)
+    alone = clustering.compare(a.candidates, config)
+    assert set(a.compared.judged.select("threshold", "decision").collect()) == set(alone.judged.select("threshold", "decision").collect())
+    assert plain(a.compared.judged.drop("support"), a.compared.judged.drop("support").columns) == plain(alone.judged.drop("support"), alone.judged.drop("support").columns)
